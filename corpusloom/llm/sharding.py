@@ -42,7 +42,7 @@ def stratified_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", t
         "shard-rows",
     )
     total = rows.count()
-    bits = max(4, (total // BUCKET_ROWS).bit_length() + 1)
+    bits = max(8, (total // BUCKET_ROWS).bit_length() + 1)
     tie = ["key", "id", "size", "crc"]
     strata = rows.groupBy("stratum").agg(F.count("*").alias("of_stratum"))
     ranked = distributed_rank(rows, ["stratum"], F.shiftright("key", KEY_BITS - bits), tie).join(strata, "stratum")
