@@ -1 +1,25 @@
-"""corpusloom.plans"""
+"""Whole retrieval plans, composed of operators."""
+
+from __future__ import annotations
+
+from typing import Any
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.operators import bm25, dense, filters, fusion
+
+
+def hybrid_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, n: int = 5, tree: dict[str, Any] | None = None, depth: int = 50) -> DataFrame:
+    """Filtered hybrid search: both legs over the filtered chunks, fused, rescored, best chunk per document.
+
+    ``chunks``: chunk_id, doc_id, text, total_pages, doi and filter columns;
+    ``vectors``: chunk_id, embedding; ``queries``: query_id, query, embedding.
+    """
+    kept = chunks.where(filters.where(tree or {}))
+    sparse = bm25.bm25_topk(bm25.build_index(kept), queries.select("query_id", "query"), depth)
+    near = vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi")
+    leg = dense.dense_topk(queries.select("query_id", "embedding"), near, depth).select("query_id", "rank", "chunk_id", "distance")
+    hits = fusion.rrf(sparse, leg, 4 * n).select("query_id", "chunk_id", (1 - F.col("score")).alias("distance"), "rank")
+    scored = hits.join(kept, "chunk_id").withColumn("score", F.round(fusion.quality_score(), 9))
+    return fusion.best_per_document(scored, n)
