@@ -379,7 +379,9 @@ def fit_labeller(pages: list[str], rounds: int = 600, size: int = 24, rate: floa
 def learn_blocks(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> BlockLabeller:
     """Fit on at most ``SAMPLE_PAGES`` pages, chosen by a hash of the id."""
     rows = df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where("length(html) > 0")
-    return fit_labeller([r.html for r in rows.orderBy(F.xxhash64("id"), "id", "html").limit(SAMPLE_PAGES).select("html").collect()])
+    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES)  # ids only, so that tasks send little
+    pages = rows.join(F.broadcast(chosen.distinct()), "id").dropDuplicates(["id"]).orderBy("id").select("html")
+    return fit_labeller([r.html for r in pages.limit(SAMPLE_PAGES).collect()])
 
 
 def extract_text(df: DataFrame, model: BlockLabeller, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
