@@ -128,8 +128,10 @@ def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.where("lang is not null and length(text) > 0")
     languages = rows.select("lang").distinct().count()
     each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // max(languages, 1)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("lang", "text")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("id").distinct()  # ids only, so that tasks send little
+    texts = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row"))
+    sample = texts.select("row.lang", "row.text")
     found = sample.mapInArrow(run, "lang string, at array<smallint>, value array<float>").toArrow().to_pylist()
     found.sort(key=lambda r: (r["lang"], r["at"], r["value"]))
     vectors = np.zeros((len(found), FEATURES), dtype=np.float32)
