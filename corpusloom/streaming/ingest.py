@@ -14,7 +14,7 @@ def append_new(batch: DataFrame, path: str, id_col: str = "chunk_id") -> None:
     spark = batch.sparkSession
     rows = batch.dropDuplicates([id_col])
     if exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select(id_col), id_col, "left_anti")
+        rows = rows.join(spark.read.parquet(path).select(id_col), id_col, "left_anti").select(*batch.columns)
     rows.write.mode("append").parquet(path)
 
 
