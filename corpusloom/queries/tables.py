@@ -86,7 +86,7 @@ _TRUTH = "truth AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmar
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage word for word; candidates share its first 40 characters' words, then are checked."""
+    """Documents that hold a passage word for word; candidates are the documents that its first twelve words find."""
     hits = _sparse(spark, sf_dir, 2**31 - 1)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return hits.join(text_queries(spark, sf_dir), "query_id").join(docs, "chunk_id").where(F.contains("text", "passage")).select("query_id", "chunk_id")
