@@ -4,7 +4,8 @@ The n-grams of the test items set the bits of a filter of fixed size, which ever
 task holds.  Each document is read once and gives up only the passages around
 n-grams that pass; equal n-grams are then matched by a join.  Over all documents
 it is counted how often each n-gram of an item occurs, and the item's rare ones
-seed its alignments with the passages.
+seed its alignments with the passages.  An edited copy that is itself so common that
+no rare n-gram is left in it is seeded by several n-grams together.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ NGRAM = 5
 RARE_TIMES = 20
 #: ... or up to this share of all documents.
 RARE_SHARE = 1e-4
+#: A passage that shares this many n-grams with an item is aligned with it, rare or not.
+DENSE = 3
 #: Least share of the best possible alignment score of an item.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -145,9 +148,11 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_
     counted = seeds.join(counts, "gram")
     rarest = counted.groupBy("item_id").agg(F.min("documents").alias("least"))
     floor = F.lit(RARE_SHARE) * docs.count()
-    rare = counted.join(rarest, "item_id").where(F.col("documents") <= F.greatest(RARE_TIMES * F.col("least"), floor)).select("gram", "item_id")
+    rare = F.col("documents") <= F.greatest(RARE_TIMES * F.col("least"), floor)
+    weighed = counted.join(rarest, "item_id").select("gram", "item_id", F.when(rare, DENSE).otherwise(1).alias("weight"))
 
-    pairs = hits.select("passage", "gram").join(rare, "gram").select("passage", "item_id").distinct()
+    shared = hits.select("passage", "gram").join(weighed, "gram")
+    pairs = shared.groupBy("passage", "item_id").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= DENSE).select("passage", "item_id")
     cases = found.select("passage", "id", "start", "words").dropDuplicates(["passage"]).join(pairs, "passage").join(item_words.select("item_id", "item_words"), "item_id")
 
     def run(batches):

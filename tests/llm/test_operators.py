@@ -146,6 +146,15 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert decontam.contaminated_passages(awkward(spark), bench).count() == 0
 
 
+def test_decontamination_finds_an_edit_that_is_far_more_common_than_the_item(spark):
+    draw = random.Random(9)
+    item = prose(draw, 40).split()
+    edited = " ".join([*item[:18], "otherwise", "put", *item[20:]])
+    docs = [f"{prose(draw, 9)} {' '.join(item)}", *(f"{prose(draw, 9)} {edited} {k}" for k in range(60)), " ".join(item[:6])]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated_passages(table(spark, docs), bench).collect()} == set(range(61))
+
+
 # -- 4
 
 
