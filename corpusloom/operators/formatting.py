@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranking import distributed_rank
+
 
 def author_list(names: Column, most: int = 3) -> Column:
     shown = F.array_join(F.slice(names, 1, most), ", ")
@@ -35,9 +37,11 @@ def bibliography(docs: DataFrame) -> DataFrame:
 
 
 def markdown_by_group(docs: DataFrame, group: str) -> DataFrame:
-    """``group, position, line``: entries numbered in each group by author."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy("author", "doc_id")).cast("long")
-    return docs.select(group, n.alias("position"), "author", "title").withColumn("line", F.concat(F.col("position"), F.lit(". **"), F.col("author"), F.lit("** "), F.col("title"))).drop("author", "title")
+    """``group, position, line``: entries numbered in each group by author; a null group or author is ``Unknown``."""
+    unknown = lambda c: F.coalesce(c, F.lit("Unknown")).alias(c)
+    rows = docs.select(unknown(group), unknown("author"), "doc_id", "title")
+    ranked = distributed_rank(rows, [group], F.struct("author", F.floor(F.col("doc_id") / 10_000)), ["author", "doc_id"])
+    return ranked.select(group, (F.col("rank") + 1).alias("position"), "author", "title").withColumn("line", F.concat(F.col("position"), F.lit(". **"), F.col("author"), F.lit("** "), F.col("title"))).drop("author", "title")
 
 
 def chat_markdown(turns: DataFrame) -> DataFrame:

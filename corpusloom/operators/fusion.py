@@ -79,5 +79,5 @@ def sufficiency(hits: DataFrame, passing: float = 0.7) -> DataFrame:
         F.round(F.col("d") / F.col("n"), 6).alias("diversity"),
         F.round(F.least(F.col("n") / 5, F.lit(1.0)), 6).alias("coverage"),
     )
-    overall = F.round(0.5 * F.col("relevance") + 0.3 * F.col("diversity") + 0.2 * F.col("coverage"), 6)
+    overall = F.round(0.5 * F.col("relevance") + 0.3 * F.col("diversity") + 0.2 * F.col("coverage"), 7)
     return out.withColumn("overall", overall).withColumn("sufficient", F.col("overall") >= passing)

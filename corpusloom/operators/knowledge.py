@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.components import connected_components
+from corpusloom.operators.ranking import distributed_rank
 from corpusloom.operators.text import phrases
 
 
@@ -30,15 +31,28 @@ def cooccurrence_edges(mentions: DataFrame, id_col: str = "doc_id") -> DataFrame
 
 
 def clusters(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """``node, component, cluster``: components numbered in the order of their least member."""
+    """``node, component, cluster``: components numbered in the order of their least member.
+
+    Nodes are integers or strings.
+    """
     found = connected_components(edges, src, dst)
-    names = found.select("component").distinct().withColumn("cluster", F.concat(F.lit("cluster_"), F.dense_rank().over(Window.orderBy("component"))))
+    parts = found.select("component").distinct()
+    if parts.schema["component"].dataType.typeName() == "string":
+        bucket = F.substring("component", 1, 2)
+    else:
+        least, most = parts.agg(F.min("component"), F.max("component")).first()
+        bucket = F.floor((F.col("component") - (least or 0)) / (((most or 0) - (least or 0)) // 1024 + 1)).cast("long")
+    numbered = distributed_rank(parts, [], bucket, ["component"])
+    names = numbered.select("component", F.concat(F.lit("cluster_"), F.col("rank") + 1).alias("cluster"))
     return found.join(names, "component").select("node", "component", "cluster")
 
 
 def cluster_table(clustered: DataFrame, most: int = 6) -> DataFrame:
-    members = F.sort_array(F.collect_list("node"))
-    return clustered.groupBy("component", "cluster").agg(F.count("*").alias("n_nodes"), F.array_join(F.slice(members, 1, most).cast("array<string>"), ", ").alias("covers"))
+    """``component, cluster, n_nodes, covers``: the first nodes of each component name it."""
+    first = clustered.withColumn("n", F.row_number().over(Window.partitionBy("component").orderBy("node"))).where(F.col("n") <= most)
+    members = F.transform(F.sort_array(F.collect_list("node")), lambda n: n.cast("string"))
+    named = first.groupBy("component").agg(F.array_join(members, ", ").alias("covers"))
+    return clustered.groupBy("component", "cluster").agg(F.count("*").alias("n_nodes")).join(named, "component")
 
 
 def majority_cluster(docs: DataFrame) -> DataFrame:

@@ -41,13 +41,13 @@ PAPERS = """papers AS (
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``chunk_id, doc_id, embedding``: the searched vectors, ten a document."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id >= 20")
-    return e.select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 50).alias("doc_id"), "label", "embedding")
+    """``chunk_id, doc_id, embedding``: the searched vectors, all of them."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 50).alias("doc_id"), "label", "embedding")
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), "embedding")
+    """Every vector whose id is divisible by 50."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), "embedding")
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,9 +126,9 @@ def index_remove_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- dense
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z : CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
-_VECTORS = """vectors AS (SELECT vec_id AS chunk_id, vec_id % 50 AS doc_id, label, embedding FROM embeddings WHERE vec_id >= 20),
-qv AS (SELECT vec_id AS query_id, label AS query_label, embedding AS q FROM embeddings WHERE vec_id < 20)"""
-_COSINE = f"round(1 - {_DOT.format('q', 'embedding')} / (sqrt({_DOT.format('q', 'q')}) * sqrt({_DOT.format('embedding', 'embedding')})), 6)"
+_VECTORS = """vectors AS (SELECT vec_id AS chunk_id, vec_id % 50 AS doc_id, label, embedding FROM embeddings),
+qv AS (SELECT vec_id AS query_id, label AS query_label, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)"""
+_COSINE = f"round(1 - {_DOT.format('q', 'embedding')} / (sqrt({_DOT.format('q', 'q')}) * sqrt({_DOT.format('embedding', 'embedding')})), 6) + 0::DOUBLE"
 _L2 = "round(list_sum(list_transform(list_zip(q, embedding), lambda z : (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))), 6)"
 
 
@@ -165,7 +165,7 @@ def doc_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
-@query(f"""WITH v0 AS (SELECT vec_id AS chunk_id, vec_id % 50 AS doc_id, embedding FROM embeddings WHERE vec_id >= 20), vectors AS (SELECT * FROM v0), {_CENTROIDS},
+@query(f"""WITH v0 AS (SELECT vec_id AS chunk_id, vec_id % 50 AS doc_id, embedding FROM embeddings), vectors AS (SELECT * FROM v0), {_CENTROIDS},
 qv AS (SELECT doc_id AS query_id, list(x ORDER BY pos) AS q FROM parts GROUP BY doc_id),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS r FROM (
   SELECT query_id, chunk_id, doc_id, {_COSINE} AS distance FROM vectors, qv)) WHERE r <= 15 AND doc_id <> query_id),
@@ -181,11 +181,11 @@ def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.lsh_topk(query_vectors(spark, sf_dir), vectors(spark, sf_dir))
 
 
-# -- hybrid: query i pairs the i-th passage with the i-th vector; a chunk is a document with a vector
+# -- hybrid: query i pairs the i-th passage with the i-th query vector; a chunk is a document with a vector
 
-_HYBRID = f"""{_SCORED}, vectors AS (SELECT vec_id AS chunk_id, vec_id AS doc_id, embedding FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id >= 20),
-qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 20), {_nearest(_COSINE)},
-s50 AS (SELECT * FROM sparse WHERE rank <= 50 AND query_id < 20), d50 AS (SELECT * FROM dense WHERE rank <= 50),
+_HYBRID = f"""{_SCORED}, vectors AS (SELECT vec_id AS chunk_id, vec_id AS doc_id, embedding FROM embeddings JOIN documents ON doc_id = vec_id),
+qv AS (SELECT vec_id // 50 AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), {_nearest(_COSINE)},
+s50 AS (SELECT * FROM sparse WHERE rank <= 50), d50 AS (SELECT * FROM dense WHERE rank <= 50),
 fused AS (SELECT query_id, chunk_id, min(sr) AS sparse_rank, min(dr) AS dense_rank FROM (
   SELECT query_id, chunk_id, rank AS sr, NULL AS dr FROM s50 UNION ALL SELECT query_id, chunk_id, NULL, rank FROM d50) GROUP BY ALL),
 rrf AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sparse_rank NULLS LAST, dense_rank NULLS LAST, chunk_id) AS rank, chunk_id, score
@@ -193,10 +193,11 @@ rrf AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score
 
 
 def _legs(spark: SparkSession, sf_dir: str, k: int = 50) -> tuple[DataFrame, DataFrame]:
-    sparse = _sparse(spark, sf_dir, k).where("query_id < 20")
+    sparse = _sparse(spark, sf_dir, k)
     with_text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
     corpus = vectors(spark, sf_dir).join(with_text, "chunk_id")
-    return sparse, dense.dense_topk(query_vectors(spark, sf_dir), corpus, k).select("query_id", "rank", "chunk_id", "distance")
+    asked = query_vectors(spark, sf_dir).withColumn("query_id", F.floor(F.col("query_id") / 50).cast("long"))
+    return sparse, dense.dense_topk(asked, corpus, k).select("query_id", "rank", "chunk_id", "distance")
 
 
 def _fused(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
@@ -284,7 +285,7 @@ def synthesis_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_RESCORED}, s AS (SELECT query_id, round(least(avg(score) + 0.2, 1.0), 6) AS relevance, round(count(DISTINCT topic) / count(*)::DOUBLE, 6) AS diversity, round(least(count(*) / 5.0::DOUBLE, 1.0), 6) AS coverage FROM rescored GROUP BY query_id)
-SELECT *, round(0.5 * relevance + 0.3 * diversity + 0.2 * coverage, 6) AS overall, round(0.5 * relevance + 0.3 * diversity + 0.2 * coverage, 6) >= 0.7 AS sufficient FROM s""")
+SELECT *, round(0.5 * relevance + 0.3 * diversity + 0.2 * coverage, 7) AS overall, round(0.5 * relevance + 0.3 * diversity + 0.2 * coverage, 7) >= 0.7 AS sufficient FROM s""")
 def retrieval_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rescored(spark, sf_dir).drop("doc_id").withColumnRenamed("topic", "doc_id")
     return fusion.sufficiency(rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
 from corpusloom.operators import bm25, chunking, dense, formatting, knowledge, stats, tenancy
-from corpusloom.queries.fixtures import CHUNKS, PAPERS, papers, table, text_queries, vectors
+from corpusloom.queries.fixtures import CHUNKS, PAPERS, papers, query_vectors, table, text_queries, vectors
 from corpusloom.queries.search import _COSINE, _SCORED, _sparse
 from corpusloom.queries.search import ORACLES as ORACLES_OF_SEARCH
 from corpusloom.session import workspace
@@ -141,14 +141,16 @@ def cooccurrence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.cooccurrence_edges(entity_mentions(spark, sf_dir))
 
 
-_EDGES = """edges AS (SELECT DISTINCT o_custkey AS src, l_partkey % 1500 + 1000000 AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 61 = 0)"""
+_EDGES = """lines AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+edges AS (SELECT DISTINCT l.doc_id AS src, f.first AS dst FROM lines l JOIN (SELECT line, min(doc_id) AS first FROM lines WHERE line <> '' GROUP BY line) f USING (line) WHERE l.doc_id <> f.first)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and the parts that they ordered together: a graph of many components."""
-    some = table(spark, sf_dir, "orders").where("o_orderkey % 61 = 0")
-    met = some.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return met.select(F.col("o_custkey").alias("src"), (F.col("l_partkey") % 1500 + 1000000).alias("dst")).distinct()
+    """Each document and the first that has one of its lines."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("line <> ''")
+    keyed = lines.select("doc_id", F.xxhash64("line").alias("line"))
+    first = keyed.groupBy("line").agg(F.min("doc_id").alias("first"))
+    return keyed.join(first, "line").where("doc_id <> first").select(F.col("doc_id").alias("src"), F.col("first").alias("dst")).distinct()
 
 
 _REACH = f"""WITH RECURSIVE {_EDGES}, pairs AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges),
@@ -186,16 +188,15 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- claims
 
-_CLAIMS = """vectors AS (SELECT vec_id AS chunk_id, vec_id % 50 AS doc_id, embedding FROM embeddings WHERE vec_id >= 20),
-qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 20)"""
+_CLAIMS = """vectors AS (SELECT vec_id AS chunk_id, vec_id % 50 AS doc_id, embedding FROM embeddings),
+qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)"""
 _EVIDENCE = f"""{_CLAIMS}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (
   SELECT query_id, chunk_id, {_COSINE} AS distance FROM vectors, qv)) WHERE rank <= 5),
 ev AS (SELECT query_id, greatest(0.0, round(max(1 - distance), 6)) AS best_score, count(*) FILTER (1 - distance >= 0.35) AS evidence FROM near GROUP BY query_id)"""
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
-    return dense.dense_topk(claims, vectors(spark, sf_dir), 5)
+    return dense.dense_topk(query_vectors(spark, sf_dir), vectors(spark, sf_dir), 5)
 
 
 @query(f"WITH {_EVIDENCE} SELECT query_id, rank, chunk_id, distance FROM near")

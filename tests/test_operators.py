@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import bm25, chunking, dense, filters, fusion, knowledge
+from corpusloom.operators import bm25, chunking, dense, filters, fusion, knowledge, stats
 from corpusloom.operators import text as T
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.ranking import distributed_rank
@@ -134,3 +134,38 @@ def test_sources(spark, tmp_path):
     graph = spark.createDataFrame([(1, '{"entities": [{"name": "X"}, {"name": " "}], "relations": [{"source": "X", "target": "Y"}]}')], "claim_id int, raw string")
     entities, relations = io.parse_graph(graph)
     assert [tuple(r) for r in entities.collect()] == [(1, "X", "concept")] and [tuple(r) for r in relations.collect()] == [(1, "X", "Y", "related_to")]
+
+
+def test_order_statistics_are_exact_when_one_value_is_most_of_a_group(spark):
+    import statistics
+
+    groups = {"hot": [5.0] * 70 + [float(k) for k in range(31)], "few": [3.0, 1.0], "one": [2.0, 2.0, 2.0], "wide": [1e-9, 1e12, 7.0, 8.0, -4.0] * 5}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], "g string, v double")
+    out = {r.g: r for r in stats.latency_summary(rows, "g", "v").collect()}
+    for g, vs in groups.items():
+        assert out[g].n == len(vs) and out[g].median == round(statistics.median(vs), 6)
+        assert out[g].p95 == (round(sorted(vs)[int(0.95 * len(vs))], 6) if len(vs) >= 20 else None)
+    assert stats.latency_summary(rows.limit(0), "g", "v").count() == 0
+
+
+def test_clusters_are_numbered_by_their_least_member(spark):
+    for kind, name in (("long", lambda k: 10**12 * k), ("string", lambda k: f"n{k:02}")):
+        edges = spark.createDataFrame([(name(a), name(b)) for a, b in ((9, 3), (3, 7), (2, 8), (5, 4), *((3, k) for k in range(20, 40)))], f"src {kind}, dst {kind}")
+        found = knowledge.clusters(edges, "src", "dst")
+        first = {r.cluster: r.component for r in found.select("cluster", "component").distinct().collect()}
+        assert first == {"cluster_1": name(2), "cluster_2": name(3), "cluster_3": name(4)}
+        table = {r.cluster: (r.n_nodes, r.covers) for r in knowledge.cluster_table(found).collect()}
+        assert table["cluster_2"] == (23, ", ".join(str(name(k)) for k in (3, 7, 9, 20, 21, 22)))
+    assert knowledge.clusters(edges.limit(0), "src", "dst").count() == 0
+
+
+def test_approximate_search_finds_nine_in_ten(spark):
+    import numpy as np
+
+    points = np.random.default_rng(3).normal(size=(300, 32))
+    points[100:] += 2 * points[:200]
+    corpus = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "chunk_id long, embedding array<float>")
+    asked = corpus.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    pairs = lambda df: {(r.query_id, r.chunk_id) for r in df.collect()}
+    exact = pairs(dense.dense_topk(asked, corpus))
+    assert len(exact & pairs(dense.lsh_topk(asked, corpus))) >= 0.9 * len(exact)
