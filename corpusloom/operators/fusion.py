@@ -81,3 +81,16 @@ def sufficiency(hits: DataFrame, passing: float = 0.7) -> DataFrame:
     )
     overall = F.round(0.5 * F.col("relevance") + 0.3 * F.col("diversity") + 0.2 * F.col("coverage"), 7)
     return out.withColumn("overall", overall).withColumn("sufficient", F.col("overall") >= passing)
+
+
+def expanded(first: DataFrame, more: DataFrame, n: int = 5, extra: int = 3, sub_queries: int = 3, parent: str = "parent_id") -> DataFrame:
+    """A second, wider pass for ``parent`` questions: n + ``extra`` hits of the question and ``extra`` of each of its
+    first sub-queries, one row per document and score.
+
+    ``more`` has ``sub``, the number of the sub-query from 0.
+    """
+    wide = first.where(F.col("rank") <= n + extra)
+    subs = more.where((F.col("sub") < sub_queries) & (F.col("rank") <= extra)).drop("sub")
+    rows = wide.unionByName(subs).groupBy(parent, "doc_id", "score").agg(F.min("chunk_id").alias("chunk_id"))
+    order = Window.partitionBy(parent).orderBy(F.desc("score"), "doc_id")
+    return rows.withColumn("rank", F.row_number().over(order).cast("long"))

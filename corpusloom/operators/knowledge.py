@@ -87,3 +87,51 @@ def quote_check(cases: DataFrame, docs: DataFrame) -> DataFrame:
         .otherwise("page_exists")
     )
     return cases.join(docs.select("doc_id", "text", "total_pages"), "doc_id", "left").select("case_id", verdict.alias("verdict"))
+
+
+def expand_by_graph(seeds: DataFrame, occurrences: DataFrame, edges: DataFrame, hops: int = 1, entities: int = 30, terms: int = 12) -> DataFrame:
+    """``query_id, name``: entities of each query's seed documents and those within ``hops`` edges, the first ``terms`` by name."""
+    first = lambda df, n: df.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy("name"))).where(F.col("__n") <= n).drop("__n")
+    reached = first(seeds.join(occurrences, "doc_id").select("query_id", "name").distinct(), entities)
+    steps = edges.select(F.col("source").alias("name"), F.col("target").alias("next")).unionByName(edges.select(F.col("target").alias("name"), F.col("source").alias("next")))
+    for _ in range(hops):
+        reached = reached.unionByName(reached.join(steps, "name").select("query_id", F.col("next").alias("name"))).distinct()
+    return first(reached, terms)
+
+
+def documents_of_entities(occurrences: DataFrame, names: DataFrame) -> DataFrame:
+    """``name, doc_id``, once each, of the entities in ``names``."""
+    return occurrences.join(names.select("name").distinct(), "name", "left_semi").select("name", "doc_id").distinct()
+
+
+def evidence_snippets(hits: DataFrame, chunks: DataFrame, claim: str = "query_id", most: int = 2, chars: int = 300) -> DataFrame:
+    """``claim, snippets``: the best chunks of each claim as a JSON list of document, score and the start of its text."""
+    best = hits.where(F.col("rank") <= most).join(chunks.select("chunk_id", "text"), "chunk_id", "left")
+    item = F.struct("rank", F.col("doc_id"), F.greatest(F.lit(0.0), F.round(1 - F.col("distance"), 6)).alias("score"), F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("snippet"))
+    ordered = F.transform(F.sort_array(F.collect_list(item)), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["score"].alias("score"), x["snippet"].alias("snippet")))
+    return best.groupBy(claim).agg(F.to_json(ordered).alias("snippets"))
+
+
+def insights_view(claims: DataFrame, gaps: DataFrame, doc_clusters: DataFrame) -> DataFrame:
+    """``claim_id, doc_id, component, n_gaps, kinds``: every claim with its gaps and its document's cluster, null where there is none."""
+    kinds = F.array_join(F.sort_array(F.collect_set("gap")), ",")
+    nested = gaps.where("gap <> 'none'").groupBy("claim_id").agg(F.count("*").alias("n_gaps"), kinds.alias("kinds"))
+    return claims.join(nested, "claim_id", "left").join(doc_clusters, "doc_id", "left").select("claim_id", "doc_id", "component", F.coalesce("n_gaps", F.lit(0)).cast("long").alias("n_gaps"), "kinds")
+
+
+def claims_by_cluster(view: DataFrame) -> DataFrame:
+    """``component, n_claims, n_docs, with_gap`` over an insights view; claims of no cluster count together."""
+    return view.groupBy("component").agg(F.count("*").alias("n_claims"), F.count_distinct("doc_id").alias("n_docs"), F.count(F.when(F.col("n_gaps") > 0, 1)).alias("with_gap"))
+
+
+def answer_verdict(answers: DataFrame, issues: DataFrame, id_cols: list[str]) -> DataFrame:
+    """``valid, accuracy, hallucination`` of every answer, from the list of its issues: none is valid, two are a hallucination."""
+    counts = issues.groupBy(*id_cols).agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return answers.join(counts, id_cols, "left").select(*id_cols, n.alias("issues"), (n == 0).alias("valid"), F.when(n == 0, 0.9).otherwise(0.5).alias("accuracy"), (n >= 2).alias("hallucination"))
+
+
+def look_up_citations(cited: DataFrame, sources: DataFrame, id_cols: list[str]) -> DataFrame:
+    """Each cited author and year with the first source of that author's name and year, or null."""
+    first = sources.groupBy("author", "year").agg(F.min("doc_id").alias("doc_id"))
+    return cited.join(first, ["author", "year"], "left").select(*id_cols, "author", "year", "doc_id")

@@ -101,3 +101,26 @@ def eval_set(docs: DataFrame, n: int = 20, m: int = 3) -> DataFrame:
     expected = first.groupBy("topic", "phase").agg(F.sort_array(F.collect_list("doc_id")).alias("expected"))
     top = size.orderBy(F.desc("n_docs"), "topic", "phase").limit(n).join(expected, ["topic", "phase"])
     return top.select("topic", "phase", "n_docs", F.array_join("expected", ",").alias("expected"), F.concat_ws(" ", "topic", F.array_join(picked_keywords(F.col("title"), 4), " ")).alias("query"))
+
+
+def citation_correctness(cited: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per query: citations, the different correct ones, and their share (null without a truth or a citation)."""
+    expected = truth.select("query_id", "chunk_id").distinct()
+    correct = cited.select("query_id", "chunk_id").distinct().join(expected, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count("*").alias("c"))
+    known = expected.select("query_id").distinct().withColumn("known", F.lit(True))
+    rows = cited.groupBy("query_id").agg(F.count("*").alias("citations")).join(correct, "query_id", "left").join(known, "query_id", "left")
+    got = F.when(F.col("known"), F.coalesce("c", F.lit(0)))
+    return rows.select("query_id", "citations", got.alias("correct"), F.round(got / F.col("citations"), 4).alias("correctness"))
+
+
+def overhead(df: DataFrame, by: str, arm: Column, value: str) -> DataFrame:
+    """Per group: the mean with and without a feature, their difference, and that in percent."""
+    means = df.groupBy(by).agg(F.avg(F.when(arm, F.col(value))).alias("a"), F.avg(F.when(~arm, F.col(value))).alias("b"))
+    r = lambda c: F.round(c, 6)
+    gap = F.col("a") - F.col("b")
+    return means.select(by, r(F.col("a")).alias("with_feature"), r(F.col("b")).alias("without"), r(gap).alias("difference"), r(100 * gap / F.nullif("b", F.lit(0.0))).alias("percent"))
+
+
+def distribution(docs: DataFrame, by: str, value: str) -> DataFrame:
+    """``by, value, n``: how often each value occurs in each group."""
+    return docs.groupBy(by, value).agg(F.count("*").alias("n"))

@@ -33,3 +33,21 @@ def delete_document(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str,
 def replace_relations(old: DataFrame, new: DataFrame) -> DataFrame:
     """Relations after those of the documents in ``new`` are replaced."""
     return old.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
+
+
+def clear_base(tables: dict[str, DataFrame], gone: DataFrame, key: str = "kb_id") -> dict[str, DataFrame]:
+    """Every table without the rows of the knowledge bases in ``gone``."""
+    return {name: df.join(gone.select(key).distinct(), key, "left_anti") for name, df in tables.items()}
+
+
+def soft_delete(bases: DataFrame, gone: DataFrame) -> DataFrame:
+    """All bases; those in ``gone`` have the status ``deleted``."""
+    marked = gone.select("kb_id").distinct().withColumn("__gone", F.lit(True))
+    status = F.when(F.col("__gone"), "deleted").otherwise(F.col("status"))
+    return bases.join(marked, "kb_id", "left").withColumn("status", status).select(*bases.columns)
+
+
+def sessions(messages: DataFrame) -> DataFrame:
+    """``conv_id, messages, last_turn, title``: one row a chat, named after its first question."""
+    asked = F.min_by(F.when(F.col("role") == "user", F.substring("text", 1, 80)), F.when(F.col("role") == "user", F.struct("turn", "text")))
+    return messages.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"), asked.alias("title"))

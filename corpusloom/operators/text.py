@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import patterns as P
 
 
+# A line that holds one of these is no title.
+NOT_A_TITLE = ("page", "http", r"www\.", "@", "copyright", "confidential")
+
+
 def strip_noise(text: Column) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, f"(?im){p}", ""), P.NOISE, text)
 
@@ -253,3 +257,44 @@ def expand_terms(queries: DataFrame, groups: list[list[str]], most: int = 2, tex
     extra = F.flatten(F.array(*added))
     expanded = F.when(F.size(extra) > 0, F.concat_ws(" ", F.col(text_col), F.array_join(extra, " "))).otherwise(F.col(text_col))
     return queries.withColumn("expanded", expanded).withColumn("detected", F.array_compact(F.array(*named)))
+
+
+def plain_title(text: Column) -> Column:
+    """The first of twenty lines that reads like a title: 15 to 150 characters, a capital first,
+    at most three digits in ten characters, none of the words of page furniture."""
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 20), lambda x: F.trim(x))
+
+    def fits(line: Column) -> Column:
+        digits = F.length(F.regexp_replace(line, "[^0-9]", ""))
+        return F.length(line).between(15, 150) & line.rlike(r"^\p{Lu}") & (10 * digits <= 3 * F.length(line)) & ~F.lower(line).rlike("|".join(NOT_A_TITLE))
+
+    return F.regexp_replace(F.get(F.filter(lines, fits), 0), r"\s+", " ")
+
+
+def abstract_block(text: Column, most: int = 2000, least: int = 50) -> Column:
+    """What follows ``Abstract`` or ``Summary`` up to the next heading, white space collapsed; null if short."""
+    block = F.regexp_extract(text, r"(?is)\b(?:abstract|summary)[\s:-]+(.*?)\n\s*(?:keywords?|introduction|background|1\.)", 1)
+    flat = F.trim(F.regexp_replace(block, r"\s+", " "))
+    return F.when(F.length(flat) > least, F.substring(flat, 1, most))
+
+
+def merge_metadata(df: DataFrame, now: int) -> DataFrame:
+    """``year, title, authors`` by priority: from the file name, the text or the file's properties.
+
+    Takes ``name_*``, ``text_*`` and ``file_*`` columns; a file's year counts only before ``now``,
+    as copying a file sets it.
+    """
+    year = F.coalesce("name_year", "text_year", F.when(F.col("file_year") < now, F.col("file_year")))
+    title = F.coalesce("file_title", "text_title", "name_title")
+    rest = [c for c in df.columns if not c.startswith(("name_", "text_", "file_"))]
+    return df.select(*rest, year.alias("year"), title.alias("title"), F.coalesce("name_authors", "text_authors").alias("authors"))
+
+
+def flat_list(names: Column) -> Column:
+    """A list as one string for export; null if there is nothing in it."""
+    return F.nullif(F.array_join(names, ", "), F.lit(""))
+
+
+def split_list(flat: Column) -> Column:
+    """The list that ``flat_list`` wrote."""
+    return F.filter(F.transform(F.split(flat, ","), lambda n: F.trim(n)), lambda n: n != "")

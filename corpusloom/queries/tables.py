@@ -127,7 +127,7 @@ _CAPS = "array_join(transform(split(text, '\n'), l -> concat(initcap(substring(l
 
 @query()
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").withColumn("text", F.expr(_CAPS))
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.expr(_CAPS))
     return knowledge.entity_mentions(docs)
 
 
