@@ -48,7 +48,7 @@ _FOUND = [
     "CASE WHEN doc_id % 2 = 0 THEN year - 1 END AS text_year",
     "2000 + doc_id % 40 AS file_year",
     "CASE WHEN doc_id % 5 = 0 THEN title END AS file_title",
-    "CASE WHEN doc_id % 7 = 0 THEN upper(title) END AS text_title",
+    "CASE WHEN doc_id % 7 = 0 THEN 'text ' || title END AS text_title",
     "'file ' || doc_id AS name_title",
     "CASE WHEN doc_id % 4 = 0 THEN first_author END AS name_authors",
     "CASE WHEN doc_id % 3 = 1 THEN second_author END AS text_authors",
