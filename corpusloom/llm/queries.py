@@ -85,6 +85,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+#: CRC-32 by a table that follows from its polynomial; the rest is ranks over the seeded order.
+_SHARDS_SQL = """WITH crc AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)),
+r AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS key, coalesce('=' || source, '') AS stratum,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x : CAST('0x' || x AS BIGINT))),
+        lambda c, x : xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+  FROM documents, crc),
+f AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id, size, crc) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS fraction FROM r),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, key, doc_id, size, crc) - 1 AS place, count(*) OVER () AS n FROM f)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place * 16 // n AS INTEGER) AS shard,
+  CAST(place - ((place * 16 // n) * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p"""
+
+
 def oracles() -> dict[str, str]:
     """The SQL twins, by query name."""
-    return {}
+    return {"op4_sharding": _SHARDS_SQL}

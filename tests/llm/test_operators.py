@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import Counter
 from zlib import crc32
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from corpusloom.llm import decontam, html_text, langid, packing, pii, quality_model, quality_rules, sharding, simhash, token_counts
+from corpusloom.llm import decontam, html_text, langid, packing, pii, quality_model, quality_rules, queries, sharding, simhash, token_counts
 from corpusloom.llm.tokens import WordEncoder, default_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, words string, rank string"
@@ -398,3 +400,12 @@ def test_attention_gradients():
     starts = np.array([0, 3, 4])
     loss = lambda m: -np.log(np.where(y == 1, s := m.forward(np.concatenate(bags), starts)["score"], 1 - s)).mean()
     assert loss(after) < 0.2 * loss(before)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_sharding_is_the_same_in_sql(spark):
+    db = duckdb.connect()
+    db.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    twin = db.sql(queries.oracles()["op4_sharding"])
+    ours = queries.op4_sharding(spark, "/root/testdata/sf0.001").select(*twin.columns).collect()
+    assert sorted(map(tuple, ours)) == sorted(twin.fetchall())
