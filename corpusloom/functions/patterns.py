@@ -129,3 +129,12 @@ TOPIC_KEYWORDS = [
 
 # Plan tiers (documents, bytes, calls a day; None: unlimited) for the usage report.
 PLANS = [("free", 50, 200_000, 100), ("pro", 500, 2_000_000, 1000), ("enterprise", None, None, None)]
+
+#: Words of page furniture and prose that begin with a capital but are no part of a name; callers pass their corpus's own.
+NOT_NAMES = """abstract introduction methods results discussion conclusion references keywords university institute department school
+the and for with from this that these those germany german european review study research paper journal volume issue page""".split()
+
+#: Characters of a chunk by section type, and the allowed words of a retrieval plan.
+SECTION_SIZES = {"abstract": 1500, "introduction": 2000, "methods": 2000, "results": 2000, "discussion": 2000, "conclusion": 1500}
+INTENTS = ["comparative", "synthesis", "factual", "exploratory"]
+STRATEGIES = ["single", "multi_query", "expanded"]

@@ -100,3 +100,17 @@ def split_oversize(chunks: DataFrame, id_col: str = "chunk_id", text_col: str =
         parts = fixed_chunks(renamed.where(large), "__base", text_col, size, min(200, size // 10))
         cut = parts.select(F.concat(F.col("__base"), F.lit("_part_"), F.col("chunk_index")).alias("chunk_id"), F.col("__base").cast("string").alias("parent_chunk_id"), "text")
     return small.unionByName(cut)
+
+
+def section_chunks(sections: DataFrame, sizes: dict[str, int], default: int = 1000, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+    """Chunks of ``id, section_no, section_type, content``, of a size by section type; numbers run over the document.
+
+    A section's chunks, joined in order, give it again.  Empty and null sections give none.
+    """
+    known = F.create_map(*[F.lit(x) for item in sizes.items() for x in item]) if sizes else F.lit(None).cast("map<string,int>")
+    size = F.coalesce(F.try_element_at(known, F.col("section_type")), F.lit(default))
+    cut = sections.where(F.length(text_col) > 0).withColumn("__size", size)
+    packed = pack_units(_units(F.col(text_col), F.col("__size"), SEPARATORS), F.col("__size"))
+    rows = cut.select(id_col, "section_no", "section_type", F.posexplode(packed).alias("position", "text"))
+    number = (F.row_number().over(Window.partitionBy(id_col).orderBy("section_no", "position")) - 1).cast("long")
+    return rows.withColumn("chunk_index", number).drop("position")

@@ -94,3 +94,20 @@ def expanded(first: DataFrame, more: DataFrame, n: int = 5, extra: int = 3, sub_
     rows = wide.unionByName(subs).groupBy(parent, "doc_id", "score").agg(F.min("chunk_id").alias("chunk_id"))
     order = Window.partitionBy(parent).orderBy(F.desc("score"), "doc_id")
     return rows.withColumn("rank", F.row_number().over(order).cast("long"))
+
+
+def merge_results(first: DataFrame, second: DataFrame, n: int = 5) -> DataFrame:
+    """Two result lists as one: every chunk once at its least distance, rescored, the best chunk of each document.
+
+    Both have ``query_id, chunk_id, doc_id, distance, total_pages, doi``.
+    """
+    columns = ["query_id", "chunk_id", "doc_id", "distance", "total_pages", "doi"]
+    either = first.select(*columns).unionByName(second.select(*columns))
+    once = either.groupBy("query_id", "chunk_id").agg(F.min_by(F.struct(*columns[2:]), "distance").alias("r")).select("query_id", "chunk_id", "r.*")
+    return best_per_document(once.withColumn("score", F.round(quality_score(), 6)).withColumn("rank", F.lit(0)), n)
+
+
+def result_limit(complexity: Column, n: int = 5, sub_queries: Column | None = None) -> Column:
+    """How many results a question of this class asks for: n, two more (at most ten) or, for a complex one, at least two a sub-query."""
+    each = F.greatest(F.lit(2), F.floor(F.lit(n) / F.greatest(F.lit(1), sub_queries if sub_queries is not None else F.lit(1))))
+    return F.when(complexity == "simple", n).when(complexity == "medium", min(n + 2, 10)).otherwise(each).cast("long")

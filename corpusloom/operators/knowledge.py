@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.components import connected_components
@@ -135,3 +135,25 @@ def look_up_citations(cited: DataFrame, sources: DataFrame, id_cols: list[str])
     """Each cited author and year with the first source of that author's name and year, or null."""
     first = sources.groupBy("author", "year").agg(F.min("doc_id").alias("doc_id"))
     return cited.join(first, ["author", "year"], "left").select(*id_cols, "author", "year", "doc_id")
+
+
+def quote_similarity(cases: DataFrame, docs: DataFrame, passing: float = 0.6) -> DataFrame:
+    """``case_id, similarity, close``: the share of the quote's distinct three-word runs that the document holds.
+
+    Cases are ``case_id, doc_id, quote``.  A shorter quote is one run, which only a text of
+    just these words holds.  A missing document or an empty quote has similarity 0.
+    """
+
+    words = lambda text: F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+    def runs(name: str) -> Column:
+        size = F.size(name)
+        shifted = F.arrays_zip(F.col(name), F.slice(name, 2, F.greatest(size, F.lit(0))), F.slice(name, 3, F.greatest(size, F.lit(0))))
+        three = F.transform(F.slice(shifted, 1, F.greatest(size - 2, F.lit(0))), lambda z: F.concat_ws(" ", z[name], z["1"], z["2"]))
+        return F.when(size >= 3, F.array_distinct(three)).when(size > 0, F.array(F.array_join(name, " ")))
+
+    held = cases.join(docs.select("doc_id", F.col("text").alias("__text")), "doc_id", "left")
+    held = held.select("case_id", words(F.col("quote")).alias("q"), words(F.col("__text")).alias("t"))
+    held = held.select("case_id", runs("q").alias("__q"), runs("t").alias("__t"))
+    share = F.coalesce(F.size(F.array_intersect("__q", "__t")) / F.nullif(F.size("__q"), F.lit(0)), F.lit(0.0))
+    return held.select("case_id", F.round(F.when(F.col("__t").isNull() | F.col("__q").isNull(), 0.0).otherwise(share), 6).alias("similarity")).withColumn("close", F.col("similarity") > passing)

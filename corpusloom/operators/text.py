@@ -298,3 +298,29 @@ def flat_list(names: Column) -> Column:
 def split_list(flat: Column) -> Column:
     """The list that ``flat_list`` wrote."""
     return F.filter(F.transform(F.split(flat, ","), lambda n: F.trim(n)), lambda n: n != "")
+
+
+_NAME = r"[A-Z][a-z]{2,12} (?:[A-Z]\. ?)?[A-Z][a-z]{2,15}"
+
+
+def text_authors(text: Column, excluded: list[str] = P.NOT_NAMES, most: int = 4, head: int = 2000) -> Column:
+    """Names in the first characters: after ``by``, before an affiliation mark, or two joined by ``and``.
+
+    A name with a part among ``excluded`` (lower case) is left out; names keep the order of the three
+    rules and occur once.  An array, empty if there is none; null for a null text.
+    """
+    flat = F.regexp_replace(F.substring(text, 1, head), r"\s+", " ")
+    after_by = F.regexp_extract_all(flat, F.lit(rf"\b[Bb]y ({_NAME})"), 1)
+    marked = F.regexp_extract_all(flat, F.lit(rf"({_NAME})[\x{{b9}}\x{{b2}}\x{{b3}}*†‡§]"), 1)
+    both = rf"({_NAME}) and ({_NAME})"
+    joined = F.flatten(F.zip_with(F.regexp_extract_all(flat, F.lit(both), 1), F.regexp_extract_all(flat, F.lit(both), 2), lambda a, b: F.array(a, b)))
+    barred = F.array(*map(F.lit, excluded))
+    fits = lambda name: ~F.arrays_overlap(F.split(F.lower(F.regexp_replace(name, r"\.", "")), " "), barred)
+    return F.slice(F.filter(F.array_distinct(F.concat(after_by, marked, joined)), fits), 1, most)
+
+
+def plain_year(text: Column, now: int) -> Column:
+    """The year after a copyright sign if it is plausible (1900 to ``now``), else the first plausible one."""
+    marked = F.regexp_extract(text, r"©\s*([0-9]{4})", 1).try_cast("int")
+    years = F.transform(F.regexp_extract_all(text, F.lit(r"\b(?:19|20)[0-9]{2}\b"), 0), lambda y: y.cast("int"))
+    return F.coalesce(F.when(marked.between(1900, now), marked), F.get(F.filter(years, lambda y: y.between(1900, now)), 0)).cast("long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.patterns import INTENTS, STRATEGIES
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether Spark's file system has something at ``path``."""
@@ -92,3 +94,23 @@ def write_markdown(lines: DataFrame, path: str, order: list[str], line: str = "l
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def parse_plans(df: DataFrame, raw: str = "raw", question: str = "question", most: int = 5) -> DataFrame:
+    """Adds ``intent, strategy, sub_queries`` of a model's plan: a JSON object, in a code fence or not.
+
+    Unknown words become ``factual`` and ``multi_query``; a plan without sub-queries asks the question itself.  A reply
+    that is no object is a factual, single question.
+    """
+    body = F.coalesce(F.nullif(F.regexp_extract(raw, r"(?s)```(?:[a-z]*)\s*(\{.*?\})\s*```", 1), F.lit("")), F.col(raw))
+    plan = F.from_json(body, "intent_type string, retrieval_strategy string, sub_queries array<string>, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    out = df.withColumn("__p", plan)
+    bad = F.col("__p").isNull() | F.col("__p._bad").isNotNull()
+    one_of = lambda c, words, other: F.when(F.col(c).isin(words), F.col(c)).otherwise(other)
+    asked = F.slice("__p.sub_queries", 1, most)
+    return out.select(
+        *df.columns,
+        F.when(bad, "factual").otherwise(one_of("__p.intent_type", INTENTS, "factual")).alias("intent"),
+        F.when(bad, "single").otherwise(one_of("__p.retrieval_strategy", STRATEGIES, "multi_query")).alias("strategy"),
+        F.when(bad | F.col("__p.sub_queries").isNull() | (F.size("__p.sub_queries") == 0), F.array(question)).otherwise(asked).alias("sub_queries"),
+    )

@@ -169,3 +169,34 @@ def test_approximate_search_finds_nine_in_ten(spark):
     pairs = lambda df: {(r.query_id, r.chunk_id) for r in df.collect()}
     exact = pairs(dense.dense_topk(asked, corpus))
     assert len(exact & pairs(dense.lsh_topk(asked, corpus))) >= 0.9 * len(exact)
+
+
+def test_section_chunks_keep_sections_whole(spark):
+    long = " ".join(f"word{k}." for k in range(900))
+    rows = [(1, 1, "abstract", long), (1, 2, "other", "short"), (2, 1, "methods", ""), (3, 1, "methods", None), (3, 2, None, "x" * 2500)]
+    sections = spark.createDataFrame(rows, "doc_id long, section_no long, section_type string, content string")
+    out = chunking.section_chunks(sections, {"abstract": 1500}).orderBy("doc_id", "chunk_index").collect()
+    assert "".join(r.text for r in out if (r.doc_id, r.section_no) == (1, 1)) == long
+    assert max(len(r.text) for r in out if r.section_type == "abstract") <= 1500
+    assert [len(r.text) for r in out if r.doc_id == 3] == [1000, 1000, 500]
+    assert [r.chunk_index for r in out if r.doc_id == 1] == list(range(sum(r.doc_id == 1 for r in out))) and not [r for r in out if r.doc_id == 2]
+    assert chunking.section_chunks(sections.limit(0), {}).count() == 0
+
+
+def test_text_vectors(spark):
+    rows = [(1, "green valley coal"), (2, "green valley coal"), (3, "steel works and rivers"), (4, None), (5, "")]
+    found = {r.chunk_id: r.embedding for r in dense.text_vectors(spark.createDataFrame(rows, "chunk_id long, text string")).collect()}
+    assert found[1] == found[2] != found[3] and abs(sum(x * x for x in found[3]) - 1) < 1e-5
+    assert not any(found[4]) and not any(found[5])
+
+
+def test_quotes_without_text_or_document(spark):
+    cases = spark.createDataFrame([(1, 1, "a b c"), (2, 1, ""), (3, 9, "a b c"), (4, 1, None), (5, None, "a b c")], "case_id long, doc_id long, quote string")
+    docs = spark.createDataFrame([(1, "x A b  c y"), (2, None)], "doc_id long, text string")
+    assert {r.case_id: r.similarity for r in knowledge.quote_similarity(cases, docs).collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0}
+
+
+def test_authors_and_years_of_awkward_texts(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("by Karl Weber and by Karl Weber",), ("BY KARL WEBER",), ("© 2004 in 1999",), ("2099",)], "text string")
+    out = rows.select(T.text_authors(F.col("text")).alias("a"), T.plain_year(F.col("text"), 2024).alias("y")).collect()
+    assert [r.a for r in out] == [None, [], ["Karl Weber"], [], [], []] and [r.y for r in out] == [None, None, None, None, 2004, None]
