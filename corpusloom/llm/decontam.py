@@ -1,16 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-The n-grams of the test items set the bits of a filter of fixed size, which every
-task holds.  Each document is read once and gives up only the passages around
-n-grams that pass; equal n-grams are then matched by a join.  Over all documents
-it is counted how often each n-gram of an item occurs, and the item's rare ones
-seed its alignments with the passages.  An edited copy that is itself so common that
-no rare n-gram is left in it is seeded by several n-grams together.
+"""Benchmark decontamination: gapped three-word seeds, then Smith-Waterman alignment.
+
+Three words of an item, each one or two words after the one before, are a seed; in
+a document each may come up to three words after the one before.  How many seeds an
+alignment of a given score must hold follows from its edits (``least_seeds``), so a
+document with fewer seeds of an item anywhere is no copy of it, and all others are
+aligned.  Seeds are neither weighed nor counted over documents: what is found does
+not depend on how common a passage is.  Items go to the tasks in blocks of bounded
+size, and each document is read once for each block.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
@@ -20,18 +22,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import materialize
 
-NGRAM = 5
-#: An n-gram is rare for its item up to this many times the count of the item's rarest one ...
-RARE_TIMES = 20
-#: ... or up to this share of all documents.
-RARE_SHARE = 1e-4
-#: A passage that shares this many n-grams with an item is aligned with it, rare or not.
-DENSE = 3
+#: Items of fewer words are not searched for.
+LEAST_WORDS = 5
+#: Words from one word of a seed to the next, in an item and in a document.
+ITEM_STEPS, TEXT_STEPS = (1, 2), (1, 2, 3)
 #: Least share of the best possible alignment score of an item.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Bits of the filter: one MiB.
+#: Bits of each of the two filters.
 FILTER_BITS = 1 << 23
+#: Item words that go to the tasks at once, and document words that are searched at once.
+BLOCK_WORDS, TEXT_WORDS = 500_000, 200_000
+#: No word has this hash; three stand between texts, so that no seed spans two.
+_BREAK = 1 << 33
 _WORD = re.compile(r"[^\W_]+")
 _PRIME = 0x9E3779B97F4A7C15
 
@@ -41,18 +44,30 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall((text or "").lower())], dtype=np.int64)
 
 
-def grams(words: np.ndarray, n: int) -> np.ndarray:
-    """A signed 64-bit hash of every run of ``n`` words."""
-    if len(words) < n:
-        return np.zeros(0, dtype=np.int64)
-    out = np.zeros(len(words) - n + 1, dtype=np.uint64)
-    for k in range(n):
-        out = (out ^ words[k : len(out) + k].astype(np.uint64)) * np.uint64(_PRIME)
-    return (out ^ (out >> np.uint64(29))).view(np.int64)
+def least_seeds(n: int, threshold: float) -> int:
+    """So many seeds, with distinct middle words, are in every alignment of an item of ``n`` words from ``threshold`` on.
+
+    With M matched words and E edits the score is 2 M - E at most, so E <= 2 M - 2 n threshold.
+    Every three matched words in a row are a seed, unless one of the two gaps between them has two
+    words of the item (of which there are n - M) or three words of the text; such a gap takes
+    two or three edits and spoils two seeds.
+    """
+    least = n
+    for matched in range(1, n + 1):
+        edits = int(np.floor(2 * matched - 2 * n * threshold + 1e-9))
+        if edits >= 0:
+            gaps = min((n - matched) // 2, edits // 2)
+            least = min(least, matched - 2 - 2 * (gaps + (edits - 2 * gaps) // 3))
+    return max(1, least)
+
+
+def _mix(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    out = (hashes ^ words) * np.uint64(_PRIME)
+    return out ^ (out >> np.uint64(29))
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(41)).astype(np.int64)  # 23 bits
+    return (hashes >> np.uint64(41)).astype(np.int64)  # 23 bits
 
 
 def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -81,49 +96,130 @@ def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+class SeedIndex:
+    """The seeds of some items, and the search for passages that hold enough of them."""
+
+    def __init__(self, item_words: list[np.ndarray], threshold: float):
+        self.items = item_words
+        self.least = np.array([least_seeds(len(w), threshold) for w in item_words], dtype=np.int64)
+        # no alignment from the threshold on is longer
+        self.window = np.array([np.ceil((3 - 2 * threshold) * len(w)) for w in item_words], dtype=np.int64)
+        pairs, seeds, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k, words in enumerate(item_words):
+            w = words.astype(np.uint64)
+            for a in ITEM_STEPS:
+                pair = _mix(w[:-a] * np.uint64(_PRIME), w[a:])
+                pairs.append(pair)
+                for b in ITEM_STEPS:
+                    seeds.append(_mix(pair[: max(0, len(w) - a - b)], w[a + b :]))
+                    owners.append(np.full(len(seeds[-1]), k, np.int64))
+        seeds, owners = np.concatenate(seeds), np.concatenate(owners)
+        order = np.lexsort((owners, seeds))
+        seeds, owners = seeds[order], owners[order]
+        first = np.ones(len(seeds), bool)
+        first[1:] = (seeds[1:] != seeds[:-1]) | (owners[1:] != owners[:-1])
+        self.seeds, self.at, self.count = np.unique(seeds[first], return_index=True, return_counts=True)
+        self.owners = owners[first]
+        self.pair_bits, self.seed_bits = np.zeros(FILTER_BITS, bool), np.zeros(FILTER_BITS, bool)
+        self.pair_bits[_slots(np.concatenate(pairs))] = True
+        self.seed_bits[_slots(self.seeds)] = True
+
+    def __getstate__(self):
+        return self.__dict__ | {"pair_bits": np.packbits(self.pair_bits), "seed_bits": np.packbits(self.seed_bits)}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state | {k: np.unpackbits(state[k]).astype(bool) for k in ("pair_bits", "seed_bits")}
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Item and middle word of every seed in ``words``, once each and in order."""
+        w = words.astype(np.uint64)
+        scaled = w * np.uint64(_PRIME)
+        items, middles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in TEXT_STEPS:
+            pair = _mix(scaled[:-a], w[a:])
+            some = np.flatnonzero(self.pair_bits[_slots(pair)])
+            for b in TEXT_STEPS:
+                start = some[some < len(w) - a - b]
+                seed = _mix(pair[start], w[start + a + b])
+                passed = self.seed_bits[_slots(seed)]
+                start, seed = start[passed], seed[passed]
+                place = np.minimum(np.searchsorted(self.seeds, seed), len(self.seeds) - 1)
+                same = self.seeds[place] == seed
+                start, place = start[same], place[same]
+                count = self.count[place]
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                items.append(self.owners[np.repeat(self.at[place], count) + nth])
+                middles.append(np.repeat(start + a, count))
+        key = np.unique(np.concatenate(items) * (1 << 32) + np.concatenate(middles))
+        return key >> 32, key & 0xFFFFFFFF
+
+    def passages(self, texts: list[np.ndarray]):
+        """``text, item, first, end``: every passage that may hold an alignment of the item."""
+        gap = np.full(3, _BREAK, np.int64)
+        begins = np.cumsum([0, *(len(t) + 3 for t in texts)])
+        item, at = self.hits(np.concatenate([x for t in texts for x in (t, gap)]))
+        if not len(item):
+            return
+        text = np.searchsorted(begins, at, "right") - 1
+        last = np.arange(len(item)) + self.least[item] - 1
+        here = np.flatnonzero(last < len(item))
+        to = last[here]
+        here = here[(item[to] == item[here]) & (text[to] == text[here]) & (at[to] - at[here] <= self.window[item[here]])]
+        edge = np.zeros(len(item) + 1, np.int64)
+        np.add.at(edge, here, 1)
+        np.add.at(edge, last[here] + 1, -1)
+        dense = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        if not len(dense):
+            return
+        item, at, text = item[dense], at[dense], text[dense]
+        cut = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (at[1:] - at[:-1] > self.window[item[1:]])
+        for group in np.split(np.arange(len(item)), np.flatnonzero(cut) + 1):
+            k, t = int(item[group[0]]), int(text[group[0]])
+            size, begin = int(self.window[k]), int(begins[t])
+            yield t, k, max(0, int(at[group[0]]) - begin - size), min(len(texts[t]), int(at[group[-1]]) - begin + size + 1)
+
+
 def _item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             words = [word_hashes(t) for t in batch.column(1).to_pylist()]
-            lists = pa.array(words, pa.list_(pa.int64())), pa.array([grams(w, NGRAM) for w in words], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["item_id", "item_words", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], ["item_id", "item_words"])
 
     picked = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "item_id long, item_words array<long>, grams array<long>")
+    return picked.mapInArrow(run, "item_id long, item_words array<long>").where(F.size("item_words") >= LEAST_WORDS)
 
 
-def _filter_bits(grams_of_items: DataFrame) -> np.ndarray:
-    """One bit for each n-gram of an item; at most 131,072 words of 64 bits reach the driver."""
-    slot = F.shiftrightunsigned("gram", 41)
-    words = grams_of_items.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(gram, 41) & 63 as int)))").alias("bits"))
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for at, word in words.collect():
-        bits[at] = word
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+def _scored(docs: DataFrame, block: list, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """``id, item_id, score, first, last`` of the alignments with the items of one block."""
+    index = SeedIndex([np.array(r.item_words, dtype=np.int64) for r in block], threshold)
+    sent = docs.sparkSession.sparkContext.broadcast((index, [r.item_id for r in block]))
 
-
-def _passages(docs: DataFrame, bits: np.ndarray, margin: int, id_col: str, text_col: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    def search(ids, texts):
+        index, names = sent.value
+        for t, k, first, end in index.passages(texts):
+            score, start, last = alignment(index.items[k], texts[t][first:end])
+            share = score / (MATCH * len(index.items[k]))
+            if share >= threshold:
+                yield ids[t], names[k], share, first + start, first + last
 
     def run(batches):
-        passing = np.unpackbits(sent.value).astype(bool)
+        kinds = {"id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "first": pa.int64(), "last": pa.int64()}
         for batch in batches:
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = word_hashes(text)
-                hashes = grams(words, NGRAM)
-                hits = np.flatnonzero(passing[_slots(hashes)])
-                if not len(hits):
-                    continue
-                for group in np.split(hits, np.flatnonzero(np.diff(hits) > margin) + 1):
-                    start = max(0, int(group[0]) - margin)
-                    rows.append((i, start, words[start : int(group[-1]) + NGRAM + margin], np.unique(hashes[group])))
-            names, kinds = ["id", "start", "words", "grams"], [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            rows, ids, texts, held = [], [], [], 0
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(i)
+                texts.append(word_hashes(text.as_py()))
+                held += len(texts[-1])
+                if held >= TEXT_WORDS:
+                    rows += search(ids, texts)
+                    ids, texts, held = [], [], 0
+            if texts:
+                rows += search(ids, texts)
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], list(kinds))
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "id long, start long, words array<long>, grams array<long>")
+    return picked.mapInArrow(run, "id long, item_id long, score double, first long, last long")
 
 
 def contaminated_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -131,46 +227,18 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_
 
     ``score`` is the Smith-Waterman score over words (2 for a match, -1 for a
     mismatch or gap) as a share of the score of a verbatim copy; rows from
-    ``threshold`` on are returned.  An item of fewer than five words has no seed
-    and gives no row; so do null and empty texts.  Rows of null ids count as one
-    document and repeated rows as one; an empty table on either side gives an
-    empty result; further columns are ignored.
+    ``threshold`` on are returned, all of them for items from seven words at 0.5.
+    An item of five or six words is found where three of its words are in reach of
+    each other; one of fewer than five words gives no row, and neither do null and
+    empty texts.  Rows of null ids count as one document and repeated rows as one;
+    an empty table on either side gives an empty result; further columns are ignored.
     """
     item_words = materialize(_item_words(items, item_col, item_text_col), "items")
-    seeds = item_words.select("item_id", F.explode(F.array_distinct("grams")).alias("gram"))
-    longest = item_words.agg(F.coalesce(F.max(F.size("item_words")), F.lit(0))).first()[0]
-    found = materialize(_passages(docs, _filter_bits(seeds), longest + longest // 4, id_col, text_col), "passages")
-    found = found.withColumn("passage", F.xxhash64("id", "start", "words"))
-
-    # counts over all documents; what only passed the filter by chance finds no seed
-    hits = found.select("passage", "id", F.explode("grams").alias("gram"))
-    counts = hits.groupBy("gram", "id").agg(F.lit(1).alias("one")).groupBy("gram").agg(F.count("*").alias("documents"))
-    counted = seeds.join(counts, "gram")
-    rarest = counted.groupBy("item_id").agg(F.min("documents").alias("least"))
-    floor = F.lit(RARE_SHARE) * docs.count()
-    rare = F.col("documents") <= F.greatest(RARE_TIMES * F.col("least"), floor)
-    weighed = counted.join(rarest, "item_id").select("gram", "item_id", F.when(rare, DENSE).otherwise(1).alias("weight"))
-
-    shared = hits.select("passage", "gram").join(weighed, "gram")
-    pairs = shared.groupBy("passage", "item_id").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= DENSE).select("passage", "item_id")
-    cases = found.select("passage", "id", "start", "words").dropDuplicates(["passage"]).join(pairs, "passage").join(item_words.select("item_id", "item_words"), "item_id")
-
-    def run(batches):
-        for batch in batches:
-            scores = []
-            for b, a in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                score, first, last = alignment(np.array(a), np.array(b))
-                scores.append((score / (MATCH * len(a)), first, last))
-            columns = [pa.array(c, t) for c, t in zip(list(zip(*scores, strict=True)) or [[]] * 3, (pa.float64(), pa.int64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(1), *columns], ["id", "item_id", "at", "score", "first", "last"])
-
-    scored = (
-        cases.select("id", "start", "words", "item_words", "item_id")
-        .mapInArrow(run, "id long, item_id long, at long, score double, first long, last long")
-        .where(F.col("score") >= threshold)
-        .select("id", "item_id", F.struct("score", (-F.col("at") - F.col("first")).alias("start"), (F.col("at") + F.col("last")).alias("end")).alias("case"))
-    )
-    best = scored.groupBy("id", "item_id").agg(F.max("case").alias("case"))
+    blocks = -(-(item_words.agg(F.sum(F.size("item_words"))).first()[0] or 0) // BLOCK_WORDS) or 1
+    block = F.pmod(F.xxhash64("item_id", "item_words"), F.lit(blocks))
+    parts = [_scored(docs, item_words.where(block == k).collect(), threshold, id_col, text_col) for k in range(blocks)]
+    case = F.struct("score", (-F.col("first")).alias("start"), F.col("last").alias("end"))
+    best = reduce(DataFrame.unionByName, parts).groupBy("id", "item_id").agg(F.max(case).alias("case"))
     return best.select(
         F.col("id").alias(id_col), "item_id", F.col("case.score").alias("score"), (-F.col("case.start")).alias("start_word"), F.col("case.end").alias("end_word")
     )

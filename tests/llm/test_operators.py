@@ -157,6 +157,43 @@ def test_decontamination_finds_an_edit_that_is_far_more_common_than_the_item(spa
     assert {r.doc_id for r in decontam.contaminated_passages(table(spark, docs), bench).collect()} == set(range(61))
 
 
+def test_decontamination_finds_items_with_every_fifth_or_third_word_replaced(spark):
+    draw = random.Random(10)
+    items = [prose(draw, n).split() for n in (59, 15, 20, 38)]
+    fifth = [" ".join(f"new{k}" if k % 5 == 4 else w for k, w in enumerate(item)) for item in items]
+    third = [" ".join(f"new{k}" if k % 3 == 2 else w for k, w in enumerate(item)) for item in items]
+    spread = [" ".join(f"{w} new{k}" if k % 2 else w for k, w in enumerate(item)) for item in items]
+    docs = [f"{prose(draw, 40)} {t} {prose(draw, 40)}" for t in (*fifth, *third, *spread)] + [prose(draw, 400) for _ in range(30)]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated_passages(table(spark, docs), bench).collect()}
+    hashes = [decontam.word_hashes(" ".join(t)) for t in items]
+    true = {(d, k) for d, t in enumerate(docs) for k, h in enumerate(hashes) if decontam.alignment(h, decontam.word_hashes(t))[0] >= len(h)}
+    assert found == true and {(k, k % 4) for k in range(4)} <= found and len(found) >= 12
+
+
+def test_every_alignment_of_the_score_holds_the_seeds():
+    draw = random.Random(11)
+    near = 0
+    for _ in range(6000):
+        n = draw.randint(7, 26)
+        item, text, fresh = np.arange(n), [], 1000
+        rates = [draw.random() for _ in range(3)]
+        for word in item:
+            for _ in range(draw.choice((0, 1, 2, 3)) if draw.random() < rates[0] else 0):
+                text.append(fresh := fresh + 1)
+            if draw.random() < rates[1] / 2:
+                if draw.random() < rates[2]:
+                    text.append(fresh := fresh + 1)
+            else:
+                text.append(int(word))
+        text = np.array([*range(500, 520), *text, *range(600, 620)])
+        if decontam.alignment(item, text)[0] >= n:
+            near += 1
+            passages = list(decontam.SeedIndex([item], 0.5).passages([text]))
+            assert max(decontam.alignment(item, text[first:end])[0] for _, _, first, end in passages) == decontam.alignment(item, text)[0]
+    assert near > 1000
+
+
 # -- 4
 
 
