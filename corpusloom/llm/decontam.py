@@ -33,6 +33,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 1 << 23
 #: Item words that go to the tasks at once, and document words that are searched at once.
 BLOCK_WORDS, TEXT_WORDS = 500_000, 200_000
+#: Alignments that a task remembers, so that equal passages are aligned once.
+KNOWN = 2000
 #: No word has this hash; three stand between texts, so that no seed spans two.
 _BREAK = 1 << 33
 _WORD = re.compile(r"[^\W_]+")
@@ -194,16 +196,23 @@ def _scored(docs: DataFrame, block: list, threshold: float, id_col: str, text_co
     index = SeedIndex([np.array(r.item_words, dtype=np.int64) for r in block], threshold)
     sent = docs.sparkSession.sparkContext.broadcast((index, [r.item_id for r in block]))
 
-    def search(ids, texts):
+    def search(ids, texts, known):
         index, names = sent.value
         for t, k, first, end in index.passages(texts):
-            score, start, last = alignment(index.items[k], texts[t][first:end])
+            passage = texts[t][first:end]
+            key = k, passage.tobytes()
+            if key not in known:
+                if len(known) >= KNOWN:
+                    known.clear()
+                known[key] = alignment(index.items[k], passage)
+            score, start, last = known[key]
             share = score / (MATCH * len(index.items[k]))
             if share >= threshold:
                 yield ids[t], names[k], share, first + start, first + last
 
     def run(batches):
         kinds = {"id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "first": pa.int64(), "last": pa.int64()}
+        known = {}
         for batch in batches:
             rows, ids, texts, held = [], [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -211,10 +220,10 @@ def _scored(docs: DataFrame, block: list, threshold: float, id_col: str, text_co
                 texts.append(word_hashes(text.as_py()))
                 held += len(texts[-1])
                 if held >= TEXT_WORDS:
-                    rows += search(ids, texts)
+                    rows += search(ids, texts, known)
                     ids, texts, held = [], [], 0
             if texts:
-                rows += search(ids, texts)
+                rows += search(ids, texts, known)
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], list(kinds))
 

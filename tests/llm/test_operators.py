@@ -171,6 +171,16 @@ def test_decontamination_finds_items_with_every_fifth_or_third_word_replaced(spa
     assert found == true and {(k, k % 4) for k in range(4)} <= found and len(found) >= 12
 
 
+def test_decontamination_finds_a_common_edit_that_shares_one_run_of_five_words(spark):
+    draw = random.Random(12)
+    item = [f"w{k}" for k in range(15)]
+    edited = " ".join("other" if k in (4, 9) else w for k, w in enumerate(item))
+    docs = [" ".join(item), *(f"{prose(draw, 9)} {edited} {k}" for k in range(60)), *(f"{edited} {prose(draw, 9)}" for _ in range(60)), edited]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: r.score for r in decontam.contaminated_passages(table(spark, docs), bench).collect()}
+    assert set(found) == set(range(122)) and found[0] == 1.0 and all(abs(found[k] - 0.8) < 1e-9 for k in range(1, 122))
+
+
 def test_every_alignment_of_the_score_holds_the_seeds():
     draw = random.Random(11)
     near = 0
