@@ -26,10 +26,14 @@ class Bands:
         (4096, 0.20, 0.74),
         (16384, 0.15, 0.74),
     )
-    chunk: int = 4096
-    chunk_low: float = 0.15
-    chunk_high: float = 0.76
-    #: a text is rejected if more than this share of its full chunks is out of its band
+    #: (bytes of the text from, bytes of a chunk, lowest, highest ratio of a chunk); a shorter text is tested as a whole only
+    chunks: tuple[tuple[int, int, float, float], ...] = (
+        (256, 256, 0.40, 0.92),
+        (2048, 512, 0.25, 0.84),
+        (4096, 1024, 0.20, 0.80),
+        (16384, 4096, 0.15, 0.76),
+    )
+    #: a text is rejected if more than this share of its chunks is out of its band
     bad_chunks: float = 0.25
 
     def limits(self, size: int) -> tuple[float, float]:
@@ -39,6 +43,15 @@ class Bands:
                 found = (low, high)
         return found
 
+    def cut(self, size: int) -> tuple[list[int], int, float, float]:
+        """Where the chunks of a text of ``size`` bytes begin, their bytes and limits; the last may overlap the one before."""
+        begins, found = [], (0, 0.0, float("inf"))
+        for start, chunk, low, high in self.chunks:
+            if size >= start:
+                begins = [*range(0, size - chunk + 1, chunk), *([size - chunk] if size % chunk else [])]
+                found = (chunk, low, high)
+        return begins, *found
+
 
 def base_counts(text: str) -> dict[str, int]:
     """The five counts of one text; words are runs of anything but ASCII white space."""
@@ -68,18 +81,18 @@ def base_counts(text: str) -> dict[str, int]:
 
 
 def compression(text: str, bands: Bands, compressor: zstandard.ZstdCompressor) -> tuple[float | None, int, int, bool]:
-    """(ratio of the whole text, full chunks, chunks out of band, verdict)."""
+    """(ratio of the whole text, chunks, chunks out of band, verdict)."""
     raw = text.encode("utf-8", "surrogatepass")
     if not raw:
         return None, 0, 0, True
     ratio = len(compressor.compress(raw)) / len(raw)
     low, high = bands.limits(len(raw))
-    chunks = len(raw) // bands.chunk
+    begins, chunk, lowest, highest = bands.cut(len(raw))
     bad = 0
-    for k in range(chunks):
-        part = len(compressor.compress(raw[k * bands.chunk : (k + 1) * bands.chunk])) / bands.chunk
-        bad += not bands.chunk_low <= part <= bands.chunk_high
-    return ratio, chunks, bad, low <= ratio <= high and bad <= bands.bad_chunks * chunks
+    for at in begins:
+        part = len(compressor.compress(raw[at : at + chunk])) / chunk
+        bad += not lowest <= part <= highest
+    return ratio, len(begins), bad, low <= ratio <= high and bad <= bands.bad_chunks * len(begins)
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:

@@ -257,6 +257,20 @@ def test_rules_verdicts(spark):
     assert quality_rules.quality_rules(awkward(spark)).count() == 12 and quality_rules.quality_rules(empty(spark)).count() == 0
 
 
+def test_rules_see_repetition_in_every_part_of_a_text(spark):
+    draw, whole = random.Random(4), []
+    for size in (600, 1000, 2000, 3000, 4090, 5000, 8190, 12000, 20000):
+        clean = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(size * 55 // 100))
+        filler = ("and so the same words come again. " * size)[: size - len(clean)]
+        plain = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(size))
+        whole += [f"{clean}{filler}", f"{filler}{clean}", plain]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table(spark, whole)).collect()}
+    assert [got[k].kept for k in range(len(whole))] == [k % 3 == 2 for k in range(len(whole))]
+    for size in (256, 300, 2047, 2048, 5000, 8190, 16385):
+        begins, chunk, *_ = quality_rules.Bands().cut(size)
+        assert {b for at in begins for b in range(at, at + chunk)} == set(range(size))
+
+
 # -- 6
 
 
