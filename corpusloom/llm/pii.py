@@ -29,7 +29,9 @@ _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _QUAD = re.compile(r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _DIGITS = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_VALUE = re.compile(r"(?:[ \t]*(?:no\.?|number|is|id))?[ \t]*[:=#]?[ \t]*[\"']?([A-Za-z0-9][A-Za-z0-9_./+-]*[A-Za-z0-9])")
+#: Words between a cue and its value, in any case; only the lower-case ones may touch the digits ("NO93" begins an IBAN).
+_FILLER = r"(?:(?i:no\.|(?:no|number|is|id)(?![A-Za-z0-9]))|(?:no|number|is|id)(?=[0-9]))"
+_VALUE = re.compile(rf"(?:[ \t]*+(?:[:=#][ \t]*+)?{_FILLER})*[ \t]*+(?:[:=#][ \t]*+)?[\"']?([A-Za-z0-9][A-Za-z0-9_./+-]*[A-Za-z0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 _URL = re.compile(r"://(?:[^\s\"'<>/@]+@)?[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -42,12 +44,17 @@ def _automaton() -> ahocorasick.Automaton:
     for anchor in ("@", "+", "://", *"0123456789"):
         found.add_word(anchor, ("0" if anchor.isdigit() else anchor, len(anchor)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.title(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
 
+def _folded(text: str) -> str:
+    """``text`` in lower case, character by character, so that places stay the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c in text for x in (c.lower(),))
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -71,7 +78,7 @@ class PiiFinder:
         found: dict[str, list[tuple[str, int, int]]] = {k: [] for k in KINDS}
         # where the next match of each kind may begin
         email = number = quad = phone = account = address = 0
-        for last, (anchor, size) in self.anchors.iter(text):
+        for last, (anchor, size) in self.anchors.iter(_folded(text)):
             at = last - size + 1
             if anchor == "0":
                 if at >= number:

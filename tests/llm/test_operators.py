@@ -55,6 +55,19 @@ def brute_pii(t):
     return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
 
 
+def test_pii_accounts_after_any_cue_and_fillers():
+    finder = pii.PiiFinder()
+    forms = ["Account No: {}", "Account Number: {}", "account number is {}", "ACCOUNT ID = {}", "apiKey {}", "ApiKey: {}", "account no. {}", "Account No. is: {}", "İ aCcOuNt NUMBER IS '{}'", "account id{}", "acct: number {}"]
+    for form in forms:
+        text, at = form.format("12345678"), form.index("{")
+        assert ("account", at, at + 8) in finder.spans(text), text
+    for cue in ("iBan", "IBAN", "IBAN No", "Iban number is"):
+        for value in ("NO9386011117947", "NO93 8601 1117 947", "IS140159260076545510730339"):
+            assert ("account", len(cue) + 1, len(cue) + 1 + len(value)) in finder.spans(f"{cue} {value}"), (cue, value)
+    assert pii.redact_text("Account Number: 12345678.", finder.spans("Account Number: 12345678.")) == "Account Number: [ACCOUNT]."
+    assert not finder.spans("account no way") and not finder.spans("account " + " " * 20_000 + "is")
+
+
 def test_pii_base_kinds_equal_brute_force():
     draw, finder = random.Random(3), pii.PiiFinder()
     parts = ["@", ".", "+", "-", " ", "1", "2", "45", "0", "(", ")", "a", "b.c", "é", "255", "4111111111111111", "\n", "x@y.z", "://", "token", "IBAN ", "=", "1.2.3.4", "٣"]
