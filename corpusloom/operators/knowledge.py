@@ -10,10 +10,10 @@ from corpusloom.operators.ranking import distributed_rank
 from corpusloom.operators.text import phrases
 
 
-def entity_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 10) -> DataFrame:
-    """``id, paragraph, name``: the first capitalised phrases of each line."""
+def entity_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, paragraph, name``: the capitalised phrases of each line, all of them."""
     lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    return lines.select(id_col, (F.col("pos") + 1).cast("long").alias("paragraph"), F.explode(phrases(F.col("line"), most)).alias("name"))
+    return lines.select(id_col, (F.col("pos") + 1).cast("long").alias("paragraph"), F.explode(phrases(F.col("line"))).alias("name"))
 
 
 def upsert_entities(mentions: DataFrame, order: list[str]) -> DataFrame:
@@ -22,11 +22,19 @@ def upsert_entities(mentions: DataFrame, order: list[str]) -> DataFrame:
     return mentions.groupBy("name").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("n_docs"), F.min_by("doc_id", place).alias("first_doc"))
 
 
-def cooccurrence_edges(mentions: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``source, target, weight``: names that share a paragraph.  A paragraph holds a bounded number of names."""
+def cooccurrence_edges(mentions: DataFrame, id_col: str = "doc_id", part: int = 256) -> DataFrame:
+    """``source, target, weight``: names that share a paragraph, without a limit.
+
+    Of a paragraph with more than ``part`` names, the pairs are made in several tasks: about ``part`` sources
+    each, with all of the names.
+    """
     here = mentions.select(id_col, "paragraph", "name").distinct()
-    a, b = here.alias("a"), here.alias("b")
-    met = a.join(b, (F.col(f"a.{id_col}") == F.col(f"b.{id_col}")) & (F.col("a.paragraph") == F.col("b.paragraph")) & (F.col("a.name") < F.col("b.name")))
+    parts = F.ceil(F.count("*").over(Window.partitionBy(id_col, "paragraph")) / part).cast("int")
+    here = here.withColumn("parts", parts)
+    a = here.withColumn("part", F.pmod(F.xxhash64("name"), "parts").cast("int")).alias("a")
+    b = here.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    same = (F.col(f"a.{id_col}") == F.col(f"b.{id_col}")) & (F.col("a.paragraph") == F.col("b.paragraph")) & (F.col("a.part") == F.col("b.part"))
+    met = a.join(b, same & (F.col("a.name") < F.col("b.name")))
     return met.groupBy(F.col("a.name").alias("source"), F.col("b.name").alias("target")).agg(F.count("*").alias("weight"))
 
 

@@ -133,9 +133,9 @@ def keyword_line(text: Column, most: int = 10) -> Column:
     return F.slice(F.filter(F.transform(F.split(line, "[,;•·]"), lambda k: F.trim(k)), lambda k: F.length(k) > 2), 1, most)
 
 
-def phrases(text: Column, most: int = 10) -> Column:
-    """Capitalised phrases of two or more words, in order of first appearance."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+)+)"), 1)), 1, most)
+def phrases(text: Column) -> Column:
+    """All capitalised phrases of two or more words, once each, in order of first appearance."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+)+)"), 1))
 
 
 def normalize_authors(names: Column) -> Column:

@@ -200,3 +200,18 @@ def test_authors_and_years_of_awkward_texts(spark):
     rows = spark.createDataFrame([(None,), ("",), ("by Karl Weber and by Karl Weber",), ("BY KARL WEBER",), ("© 2004 in 1999",), ("2099",)], "text string")
     out = rows.select(T.text_authors(F.col("text")).alias("a"), T.plain_year(F.col("text"), 2024).alias("y")).collect()
     assert [r.a for r in out] == [None, [], ["Karl Weber"], [], [], []] and [r.y for r in out] == [None, None, None, None, 2004, None]
+
+
+def test_all_names_of_a_line_are_mentions_and_edges(spark):
+    names = [f"{a}{b} Mc" + "abcdefghijklmnopqrstuvwxyz"[k % 26] for k, (a, b) in enumerate((a, b) for a in ("Ada", "Bela", "Cora", "Dora", "Eva", "Fay") for b in "abcde")]
+    names = [n.replace("Mc", "M") for n in names]
+    docs = spark.createDataFrame([(1, ", ".join(names) + f"; {names[0]}\n{names[0]}, {names[29]}"), (2, f"{names[28]}, {names[29]}")], "doc_id long, text string")
+    mentions = knowledge.entity_mentions(docs)
+    assert {r.name for r in mentions.where("doc_id = 1 and paragraph = 1").collect()} == set(names) and mentions.count() == 34
+    found = {r.name: (r.mentions, r.n_docs) for r in knowledge.upsert_entities(mentions, ["doc_id", "paragraph"]).collect()}
+    assert found[names[29]] == (3, 2) and len(found) == 30
+    want = {tuple(sorted((x, y))): 1 for x in names for y in names if x != y}
+    want[tuple(sorted((names[0], names[29])))] += 1
+    want[tuple(sorted((names[28], names[29])))] += 1
+    for part in (256, 7):
+        assert {(r.source, r.target): r.weight for r in knowledge.cooccurrence_edges(mentions, part=part).collect()} == want
