@@ -1,16 +1,32 @@
-"""Quality rules: counts over words and lines, and bands of compression ratios."""
+"""Quality rules: counts over words and lines, and bands of compression ratios.
+
+Two kinds of bands decide.  Fixed ones, wide and the same for every corpus, hold
+for whole texts and for their chunks.  Fitted ones hold for whole texts: how far
+text compresses depends on its length and its kind, so each length class takes its
+limits from the ratios of all different texts of the corpus that pass the base
+rule, as fences around the middle half.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import materialize
+
 SYMBOLS = b"#*$%&|<>"
+#: Length classes for each doubling of a text's bytes, and steps of the logarithm of a ratio.
+CLASSES, STEPS = 8, 500
+#: A doubling of length with fewer different texts has only the fixed bands, and a class with fewer no median of its own.
+LEAST_OF_OCTAVE, LEAST_OF_CLASS = 100, 20
+#: Classes over which medians are smoothed, and the least spread of the middle half, so that a family of near copies sets no narrow band.
+SMOOTH, LEAST_SPREAD = 9, 0.02
 
 
 @dataclass(frozen=True)
@@ -35,6 +51,8 @@ class Bands:
     )
     #: a text is rejected if more than this share of its chunks is out of its band
     bad_chunks: float = 0.25
+    #: fitted limits lie so many spreads of the middle half beyond it; infinite: fixed bands only
+    fence: float = 2.5
 
     def limits(self, size: int) -> tuple[float, float]:
         found = (0.0, float("inf"))
@@ -95,36 +113,92 @@ def compression(text: str, bands: Bands, compressor: zstandard.ZstdCompressor) -
     return ratio, len(begins), bad, low <= ratio <= high and bad <= bands.bad_chunks * len(begins)
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
-    """Counts, ``base_failed``, compression figures and ``kept`` for every row.
+def fit_limits(histogram: list[tuple[int, int, int]], fence: float) -> list[tuple[int, float, float]]:
+    """``(length class, lowest, highest ratio)`` from ``(class, step of the logarithm of the ratio, texts)``.
 
-    ``kept`` is false where the base rule fails (under 50 words, or over half of
-    the words in repeated three-word windows) and otherwise says whether the text
-    is inside its compression bands.  Null texts count as empty and fail the base
-    rule; null ids and repeated rows stay; an empty table gives an empty result;
-    further columns are ignored.
+    The medians of the classes, smoothed, give the usual ratio of every length; the
+    quartiles of what differs from it, over a doubling of length, give the spread.
     """
+    counts: dict[int, Counter] = {}
+    for c, step, n in histogram:
+        counts.setdefault(c, Counter())[step] += n
+
+    def quantile(of: dict[float, int], q: float) -> float:
+        at, total = 0, sum(of.values())
+        for value in sorted(of):
+            at += of[value]
+            if at >= q * total:
+                return value
+        raise ValueError("no values")
+
+    own = sorted(c for c, of in counts.items() if of.total() >= LEAST_OF_CLASS)
+    if not own:
+        return []
+    medians = np.array([quantile(counts[c], 0.5) for c in own])
+    half = SMOOTH // 2
+    smooth = [float(np.median(medians[max(0, k - min(half, k, len(own) - 1 - k)) : k + min(half, k, len(own) - 1 - k) + 1])) for k in range(len(own))]
+    usual = {c: float(np.interp(c, own, smooth)) for c in counts}
+    limits = []
+    for octave in sorted({c // CLASSES for c in counts}):
+        inside = [c for c in counts if c // CLASSES == octave]
+        rest: Counter = Counter()
+        for c in inside:
+            for step, n in counts[c].items():
+                rest[step - usual[c]] += n
+        if rest.total() >= LEAST_OF_OCTAVE:
+            low, high = quantile(rest, 0.25), quantile(rest, 0.75)
+            spread = max(high - low, LEAST_SPREAD * STEPS)
+            limits += [(c, float(np.exp((usual[c] + low - fence * spread) / STEPS)), float(np.exp((usual[c] + high + 1 + fence * spread) / STEPS))) for c in sorted(inside)]
+    return limits
+
+
+def quality_figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
+    """``id``, the five counts, ``base_failed``, ``n_bytes``, ``zstd_ratio``, ``n_chunks``, ``bad_chunks`` and ``in_band`` (fixed bands)."""
     longs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches):
         compressor = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
             counts, ratios = [], []
-            for t in batch.column(1).to_pylist():
-                counts.append(base_counts(t or ""))
-                ratios.append(compression(t or "", bands, compressor))
+            for value in batch.column(1):
+                t = value.as_py() or ""
+                counts.append(base_counts(t))
+                ratios.append((len(t.encode("utf-8", "surrogatepass")), *compression(t, bands, compressor)))
             columns = [pa.array([c[k] for c in counts], pa.int64()) for k in longs]
-            kinds = (pa.float64(), pa.int64(), pa.int64(), pa.bool_())
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_())
             columns += [pa.array([r[k] for r in ratios], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *longs, "zstd_ratio", "n_chunks", "bad_chunks", "in_band"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *longs, "n_bytes", "zstd_ratio", "n_chunks", "bad_chunks", "in_band"])
 
-    schema = "id long, " + ", ".join(f"{k} long" for k in longs) + ", zstd_ratio double, n_chunks long, bad_chunks long, in_band boolean"
+    schema = "id long, " + ", ".join(f"{k} long" for k in longs) + ", n_bytes long, zstd_ratio double, n_chunks long, bad_chunks long, in_band boolean"
     picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return picked.mapInArrow(run, schema).withColumn("base_failed", failed)
+
+
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
+    """Counts, ``base_failed``, compression figures, fitted limits and ``kept`` for every row.
+
+    ``kept`` is false where the base rule fails (under 50 words, or over half of
+    the words in repeated three-word windows) and otherwise says whether the text
+    is inside its compression bands, the fixed and the fitted ones.  The fit takes
+    every different text once (copies have the same figures), so a group of copies
+    weighs no more than one of them; a length with too few texts has no fitted
+    limits, which are then null.  Null texts count as empty and fail the base rule;
+    null ids and repeated rows stay; an empty table gives an empty result; further
+    columns are ignored.
+    """
+    spark = df.sparkSession
+    figures = materialize(quality_figures(df, id_col, text_col, bands), "quality-figures")
+    length_class = F.floor(F.log2("n_bytes") * CLASSES).cast("int")
+    different = figures.where("not base_failed").select("n_bytes", "zstd_ratio", "n_words", "word_chars", "n_symbols").distinct()
+    # at most a few hundred classes times the steps of a ratio, whatever the input
+    histogram = different.groupBy(length_class.alias("c"), F.floor(F.log("zstd_ratio") * STEPS).cast("int").alias("step")).count().collect()
+    limits = spark.createDataFrame(fit_limits([tuple(r) for r in histogram], bands.fence), "length_class int, fitted_low double, fitted_high double")
+    fitted = F.coalesce(F.col("zstd_ratio").between(F.col("fitted_low"), F.col("fitted_high")), F.lit(True))
     return (
-        picked.mapInArrow(run, schema)
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
-        .drop("in_band")
+        figures.withColumn("length_class", F.when(F.col("n_bytes") > 0, length_class))
+        .join(F.broadcast(limits), "length_class", "left")  # one row a class
+        .withColumn("kept", ~F.col("base_failed") & F.col("in_band") & fitted)
+        .drop("in_band", "length_class")
         .withColumnRenamed("id", id_col)
     )
