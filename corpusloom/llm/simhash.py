@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.operators.components import connected_components
 from corpusloom.session import materialize
@@ -138,12 +139,29 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of ``df`` that stand for their group: the smallest id of each.
+    """One row of each group of near-duplicates: the one with the smallest id.
 
-    All columns of ``df`` are kept.  Of rows that repeat an id, one stays.  A
-    group whose ids are all null keeps one row.
+    All columns of ``df`` are kept.  Groups are of rows, not of ids: rows that
+    share an id, or have none, are told apart by a number of their own, so two
+    texts under one id both stay if they are no near-duplicates, and of equal rows
+    one stays.  Of rows with the smallest id of a group the one with the least hash
+    of its text counts; null ids come last.  An empty table gives an empty result.
+
+    Which rows stay is decided on numbers and fingerprints; the texts are shuffled
+    once, by the number of the row, which no two rows share.
     """
-    kept = simhash_components(df, id_col, text_col, width, seed).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col(id_col).alias("__kept")).distinct()
-    rows = df.join(ids, df[id_col].cast("long").eqNullSafe(ids["__kept"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            prints = [fingerprint_of(t.as_py(), width, seed) for t in texts]
+            yield batch.append_column("__fp", pa.array(prints, pa.int64()))
+
+    printed = df.mapInArrow(run, StructType([*df.schema.fields, StructField("__fp", LongType())]))
+    rows = materialize(printed.withColumn("__row", F.monotonically_increasing_id()), "near-dedup")
+    groups = link_fingerprints(rows.select(F.col("__fp").alias("fp")))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text"), F.col("__row").alias("row"))
+    # the least row of each fingerprint first, so that copies do not meet in one task
+    least = rows.select(F.col("__fp").alias("fp"), order.alias("at")).groupBy("fp").agg(F.min("at").alias("at"))
+    kept = least.join(groups, "fp").groupBy("component").agg(F.min("at").alias("at")).select(F.col("at.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
