@@ -12,11 +12,13 @@ size, and each document is read once for each block.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,39 +193,57 @@ def _item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return picked.mapInArrow(run, "item_id long, item_words array<long>").where(F.size("item_words") >= LEAST_WORDS)
 
 
-def _scored(docs: DataFrame, block: list, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def _blocks(items: DataFrame, item_col: str, text_col: str, threshold: float):
+    """A broadcast :class:`SeedIndex` and its item ids for every block of items."""
+    spark = items.sparkSession
+    item_words = materialize(_item_words(items, item_col, text_col), "items")
+    blocks = -(-(item_words.agg(F.sum(F.size("item_words"))).first()[0] or 0) // BLOCK_WORDS) or 1
+    block = F.pmod(F.xxhash64("item_id", "item_words"), F.lit(blocks))
+    for k in range(blocks):
+        rows = item_words.where(block == k).collect()  # about BLOCK_WORDS words
+        index = SeedIndex([np.array(r.item_words, dtype=np.int64) for r in rows], threshold)
+        yield spark.sparkContext.broadcast((index, [r.item_id for r in rows]))
+
+
+def _alignments(index: SeedIndex, texts: list[np.ndarray], threshold: float, known: dict):
+    """``text, item, share of the score, first, end`` of the passages from ``threshold`` on."""
+    for t, k, first, end in index.passages(texts):
+        passage = texts[t][first:end]
+        key = k, passage.tobytes()
+        if key not in known:
+            if len(known) >= KNOWN:
+                known.clear()
+            known[key] = alignment(index.items[k], passage)
+        score, start, last = known[key]
+        share = score / (MATCH * len(index.items[k]))
+        if share >= threshold:
+            yield t, k, share, first + start, first + last
+
+
+def _hashed(column) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Word hashes of the texts of an Arrow column, about TEXT_WORDS words at once, and where each part begins."""
+    texts, held, begin = [], 0, 0
+    for text in column:
+        texts.append(word_hashes(text.as_py()))
+        held += len(texts[-1])
+        if held >= TEXT_WORDS:
+            yield begin, texts
+            begin, texts, held = begin + len(texts), [], 0
+    if texts:
+        yield begin, texts
+
+
+def _scored(docs: DataFrame, sent: Broadcast, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """``id, item_id, score, first, last`` of the alignments with the items of one block."""
-    index = SeedIndex([np.array(r.item_words, dtype=np.int64) for r in block], threshold)
-    sent = docs.sparkSession.sparkContext.broadcast((index, [r.item_id for r in block]))
-
-    def search(ids, texts, known):
-        index, names = sent.value
-        for t, k, first, end in index.passages(texts):
-            passage = texts[t][first:end]
-            key = k, passage.tobytes()
-            if key not in known:
-                if len(known) >= KNOWN:
-                    known.clear()
-                known[key] = alignment(index.items[k], passage)
-            score, start, last = known[key]
-            share = score / (MATCH * len(index.items[k]))
-            if share >= threshold:
-                yield ids[t], names[k], share, first + start, first + last
 
     def run(batches):
+        index, names = sent.value
         kinds = {"id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "first": pa.int64(), "last": pa.int64()}
-        known = {}
+        known: dict = {}
         for batch in batches:
-            rows, ids, texts, held = [], [], [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(i)
-                texts.append(word_hashes(text.as_py()))
-                held += len(texts[-1])
-                if held >= TEXT_WORDS:
-                    rows += search(ids, texts, known)
-                    ids, texts, held = [], [], 0
-            if texts:
-                rows += search(ids, texts, known)
+            ids, rows = batch.column(0).to_pylist(), []
+            for begin, texts in _hashed(batch.column(1)):
+                rows += [(ids[begin + t], names[k], *rest) for t, k, *rest in _alignments(index, texts, threshold, known)]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], list(kinds))
 
@@ -242,10 +262,7 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_
     empty texts.  Rows of null ids count as one document and repeated rows as one;
     an empty table on either side gives an empty result; further columns are ignored.
     """
-    item_words = materialize(_item_words(items, item_col, item_text_col), "items")
-    blocks = -(-(item_words.agg(F.sum(F.size("item_words"))).first()[0] or 0) // BLOCK_WORDS) or 1
-    block = F.pmod(F.xxhash64("item_id", "item_words"), F.lit(blocks))
-    parts = [_scored(docs, item_words.where(block == k).collect(), threshold, id_col, text_col) for k in range(blocks)]
+    parts = [_scored(docs, sent, threshold, id_col, text_col) for sent in _blocks(items, item_col, item_text_col, threshold)]
     case = F.struct("score", (-F.col("first")).alias("start"), F.col("last").alias("end"))
     best = reduce(DataFrame.unionByName, parts).groupBy("id", "item_id").agg(F.max(case).alias("case"))
     return best.select(
@@ -253,11 +270,26 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no copy of an item; all columns stay.
 
-    Rows with a null id are judged by their own text only through that id: if one
-    of them is contaminated, all of them go.
+    Every row is judged by its own text where it is read, so ids may be null or
+    repeated and nothing is shuffled.  Null and empty texts stay; an empty table on
+    either side drops nothing.
     """
-    bad = contaminated_passages(docs, items, id_col, text_col, item_col, item_text_col, threshold).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["__bad"]), "left_anti")
+
+    def clean(sent: Broadcast):
+        def run(batches):
+            index, _ = sent.value
+            known: dict = {}
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for begin, texts in _hashed(batch.column(batch.schema.get_field_index(text_col))):
+                    keep[[begin + t for t, *_ in _alignments(index, texts, threshold, known)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for sent in _blocks(items, item_col, item_text_col, threshold):
+        docs = docs.mapInArrow(clean(sent), docs.schema)
+    return docs
