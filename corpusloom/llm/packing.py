@@ -112,6 +112,11 @@ def _dominant(plan: _Plan, there: list[int], length: int) -> tuple[int, ...] | N
                 pair, low = max(pair, total), low + 1
         if best >= pair:
             return (length, best)  # one is as large as any two
+        beside = [n for n in fits[: bisect_left(fits, room - best + 1)] if free(n) > (n == best)]
+        if beside:
+            larger = [n for n in fits[bisect_left(fits, beside[-1] + 1) :][:2] for _ in range(min(2, free(n)))][:2]
+            if len(larger) < 2 or sum(larger) > room:
+                return (length, best, beside[-1])  # no two fit of which the smaller is larger than the one beside the largest
     return None
 
 
