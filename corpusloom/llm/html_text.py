@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.sampling import hash_sample
+
 #: Element names with a meaning for the layout of text (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math canvas".split())
+RAW = frozenset("script style template".split())
 BLOCK = frozenset(
     """address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure
     footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre
@@ -167,10 +169,12 @@ class Featurizer:
         return self.paths[path]
 
     def words(self, text: str) -> np.ndarray:
-        """Up to 24 words, evenly spread over the whole block, in buckets."""
-        words = text.lower().split()
-        chosen = [crc32(w.encode("utf-8", "surrogatepass")) % WORD_BUCKETS for w in words[:: len(words) // 24 + 1]]
-        return self.words_of[chosen].sum(axis=0) / (4 + len(chosen)) ** 0.5
+        """The vectors of all words of the block, by bucket, over the root of their number."""
+        words = text.lower().encode("utf-8", "surrogatepass").split()
+        buckets = np.fromiter(map(crc32, words), dtype=np.uint32, count=len(words)) % WORD_BUCKETS
+        if len(words) < WORD_BUCKETS:
+            return self.words_of[buckets].sum(axis=0) / (4 + len(words)) ** 0.5
+        return np.bincount(buckets, minlength=WORD_BUCKETS).astype(np.float32) @ self.words_of / (4 + len(words)) ** 0.5
 
     def page(self, found: list[Block]) -> np.ndarray:
         rows = np.zeros((len(found), INPUTS), dtype=np.float32)
@@ -204,8 +208,8 @@ class BlockLabeller:
         w["out0"] = np.zeros(1, dtype=np.float32)
         return BlockLabeller(w)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """x: steps x pages x inputs, already in this direction's order."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, learning: bool = True) -> tuple[np.ndarray, list]:
+        """x: steps x pages x inputs, already in this direction's order; the states of each step are kept for learning only."""
         h = c = np.zeros((x.shape[1], HIDDEN), dtype=np.float32)
         out, kept = np.zeros((*x.shape[:2], HIDDEN), dtype=np.float32), []
         pushed = x @ self.w[d][:INPUTS] + self.w[d + "0"]
@@ -215,15 +219,17 @@ class BlockLabeller:
             i, f, o, n = g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
             m = mask[t][:, None]
             new = f * c + i * n
-            kept.append((h, c, i, f, o, n, np.tanh(new), m))
+            shown = np.tanh(new)
+            if learning:
+                kept.append((h, c, i, f, o, n, shown, m))
             c = m * new + (1 - m) * c
-            h = m * o * kept[-1][6] + (1 - m) * h
+            h = m * o * shown + (1 - m) * h
             out[t] = h
         return out, kept
 
-    def forward(self, x: np.ndarray, mask: np.ndarray):
-        f, kept_f = self._run(x, mask, "f")
-        b, kept_b = self._run(x[::-1], mask[::-1], "b")
+    def forward(self, x: np.ndarray, mask: np.ndarray, learning: bool = True):
+        f, kept_f = self._run(x, mask, "f", learning)
+        b, kept_b = self._run(x[::-1], mask[::-1], "b", learning)
         both = np.concatenate([f, b[::-1]], axis=2)
         return 1 / (1 + np.exp(-(both @ self.w["out"] + self.w["out0"]))), both, kept_f, kept_b
 
@@ -258,7 +264,7 @@ class BlockLabeller:
             together = max(1, min(128, 40_000 // longest))
             chosen, order = order[-together:], order[:-together]
             x, mask = _padded([pages[k] for k in chosen])
-            p = self.forward(x, mask)[0]
+            p = self.forward(x, mask, learning=False)[0]
             for j, k in enumerate(chosen):
                 out[k] = p[: len(pages[k]), j]
         return out
@@ -277,8 +283,8 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 #: Bound of the learning sample, in pages, and the pages laid out at random.
 SAMPLE_PAGES = 300
 LAID_OUT = 900
-#: Blocks of a sampled page that training reads at once.
-TRAIN_BLOCKS = 120
+#: Blocks of a sampled page that training reads at once, how many such runs of a page it takes, and how many of its words layouts may use.
+TRAIN_BLOCKS, TRAIN_RUNS, TRAIN_WORDS = 120, 3, 1000
 
 
 def markup_labels(found: list[Block]) -> list[int] | None:
@@ -347,17 +353,23 @@ def lay_out(words: list[str], draw: np.random.Generator) -> tuple[list[Block], l
     return out, labels
 
 
-def fit_labeller(pages: list[str], rounds: int = 600, size: int = 24, rate: float = 0.01, seed: int = 11) -> BlockLabeller:
-    """Train on the given pages and on random layouts of their words; deterministic for a seed."""
+def page_lesson(page: str, featurizer: Featurizer) -> tuple[list[tuple[np.ndarray, list[int]]], list[str]]:
+    """What one page teaches: runs of blocks with their labels, if its markup gives any, and words; bounded for a page of any length."""
+    found = blocks(page)
+    words = [w[:40] for b in found for w in b.text.split()[:50]][:TRAIN_WORDS]
+    labels = markup_labels(found)
+    if not labels:
+        return [], words
+    rows, starts = featurizer.page(found), range(0, len(found), TRAIN_BLOCKS)
+    chosen = sorted({starts[i * (len(starts) - 1) // max(1, TRAIN_RUNS - 1)] for i in range(TRAIN_RUNS)})  # the first, the last, and between
+    return [(rows[k : k + TRAIN_BLOCKS], labels[k : k + TRAIN_BLOCKS]) for k in chosen], words
+
+
+def fit_labeller(lessons: list[tuple[list[tuple[np.ndarray, list[int]]], list[str]]], rounds: int = 600, size: int = 24, rate: float = 0.01, seed: int = 11) -> BlockLabeller:
+    """Train on the lessons of pages and on random layouts of their words; deterministic for a seed."""
     draw, featurizer, model = np.random.default_rng(seed), Featurizer(), BlockLabeller.fresh()
-    cases, words = [], []
-    for page in pages:
-        found = blocks(page)
-        words += [w for b in found for w in b.text.split()[:50]]
-        labels = markup_labels(found)
-        if labels:
-            for k in range(0, len(found), TRAIN_BLOCKS):
-                cases.append((featurizer.page(found)[k : k + TRAIN_BLOCKS], labels[k : k + TRAIN_BLOCKS]))
+    cases = [case for taught, _ in lessons for case in taught]
+    words = [w for _, said in lessons for w in said]
     for _ in range(LAID_OUT):
         found, labels = lay_out(words or ["word"], draw)
         cases.append((featurizer.page(found), labels))
@@ -377,11 +389,31 @@ def fit_labeller(pages: list[str], rounds: int = 600, size: int = 24, rate: floa
 
 
 def learn_blocks(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> BlockLabeller:
-    """Fit on at most ``SAMPLE_PAGES`` pages, chosen by a hash of the id."""
+    """Fit on at most ``SAMPLE_PAGES`` pages, chosen by a hash of the id.
+
+    Of pages that share an id the least counts.  The tasks that hold the pages make
+    the features; the driver gets those of at most ``TRAIN_RUNS * TRAIN_BLOCKS``
+    blocks and ``TRAIN_WORDS`` words of a page, never the page.
+    """
+
+    def run(batches):
+        featurizer = Featurizer()
+        for batch in batches:
+            rows = []
+            for i, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                taught, words = page_lesson(page.as_py(), featurizer)
+                rows.append((i, [x.ravel() for x, _ in taught], [y for _, y in taught], words))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = (batch.schema.field(0).type, pa.list_(pa.list_(pa.float32())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "features", "labels", "words"])
+
     rows = df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where("length(html) > 0")
-    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES)  # ids only, so that tasks send little
-    pages = rows.join(F.broadcast(chosen.distinct()), "id").dropDuplicates(["id"]).orderBy("id").select("html")
-    return fit_labeller([r.html for r in pages.limit(SAMPLE_PAGES).collect()])
+    chosen = hash_sample(rows.select("id"), SAMPLE_PAGES)
+    pages = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("html").alias("html"))
+    kind = pages.schema["id"].dataType.simpleString()
+    taught = pages.mapInArrow(run, f"id {kind}, features array<array<float>>, labels array<array<int>>, words array<string>").toArrow().to_pylist()
+    taught.sort(key=lambda r: r["id"])
+    return fit_labeller([([(np.array(x, dtype=np.float32).reshape(-1, INPUTS), y) for x, y in zip(r["features"], r["labels"], strict=True)], r["words"]) for r in taught])
 
 
 def extract_text(df: DataFrame, model: BlockLabeller, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
@@ -396,10 +428,10 @@ def extract_text(df: DataFrame, model: BlockLabeller, id_col: str = "page_id", h
     def run(batches):
         featurizer = Featurizer()
         for batch in batches:
-            pages = batch.column(batch.num_columns - 1).to_pylist()
+            pages = batch.column(batch.num_columns - 1)
             texts, total, main = [], [], []
-            for at in range(0, len(pages), 512):
-                found = [blocks(p) for p in pages[at : at + 512]]
+            for at in range(0, len(pages), 256):
+                found = [blocks(p) for p in pages[at : at + 256].to_pylist()]
                 for b, p in zip(found, sent.value.label([featurizer.page(b) for b in found]), strict=True):
                     chosen = [x.text for x, q in zip(b, p, strict=True) if q >= 0.5]
                     texts.append("\n".join(chosen))
