@@ -14,9 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.sampling import hash_sample
+
 FEATURES = 8192
 GRAMS = (1, 2, 3)
 UNKNOWN = "und"
@@ -128,8 +130,7 @@ def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.where("lang is not null and length(text) > 0")
     languages = rows.select("lang").distinct().count()
     each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // max(languages, 1)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("id").distinct()  # ids only, so that tasks send little
+    chosen = hash_sample(rows.select("id", "lang"), each, ("lang",)).select("id").distinct()  # at most SAMPLE_ROWS, or one a language
     texts = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row"))
     sample = texts.select("row.lang", "row.text")
     found = sample.mapInArrow(run, "lang string, at array<smallint>, value array<float>").toArrow().to_pylist()

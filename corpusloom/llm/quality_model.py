@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.sampling import hash_sample
+
 PASSAGE_WORDS = 96
 SHAPES = 48
 HIDDEN, GATE = 24, 16
@@ -99,6 +101,28 @@ class AttentionModel:
         return {"h": h, "v": v, "u": u, "a": a, "z": z, "sizes": sizes, "score": 1 / (1 + np.exp(-(z @ w["out"] + w["out_b"])))}
 
 
+    def gradients(self, x: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Slopes of the mean logistic loss in every weight."""
+        w, s = self.weights, self.forward(x, starts)
+        d_out = (s["score"] - labels) / len(labels)
+        d_z = np.repeat(d_out[:, None] * w["out"], s["sizes"], axis=0)
+        d_a = (d_z * s["h"]).sum(axis=1)
+        d_raw = s["a"] * (d_a - np.repeat(np.add.reduceat(s["a"] * d_a, starts), s["sizes"]))
+        d_gate = d_raw[:, None] * w["attend"]
+        d_v, d_u = d_gate * s["u"] * (1 - s["v"] ** 2), d_gate * s["v"] * s["u"] * (1 - s["u"])
+        d_h = s["a"][:, None] * d_z + d_v @ w["v"].T + d_u @ w["u"].T
+        d_in = d_h * (1 - s["h"] ** 2)
+        return {
+            "out": s["z"].T @ d_out,
+            "out_b": d_out.sum(keepdims=True),
+            "attend": (s["v"] * s["u"]).T @ d_raw,
+            "v": s["h"].T @ d_v,
+            "u": s["h"].T @ d_u,
+            "encode": ((x - self.mean) / self.scale).T @ d_in,
+            "encode_b": d_in.sum(axis=0),
+        }
+
+
 def fit_attention(bags: list[np.ndarray], labels: np.ndarray, rounds: int = 60, size: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> AttentionModel:
     """Learn from bags and their labels (0 or 1) with Adam; deterministic for a seed."""
     draw = np.random.default_rng(seed)
@@ -117,26 +141,8 @@ def fit_attention(bags: list[np.ndarray], labels: np.ndarray, rounds: int = 60,
             chosen = order[at : at + size]
             x = np.concatenate([bags[i] for i in chosen])
             starts = np.cumsum([0, *[len(bags[i]) for i in chosen[:-1]]])
-            s = model.forward(x, starts)
-            d_out = (s["score"] - labels[chosen]) / len(chosen)
-            d_z = np.repeat(d_out[:, None] * weights["out"], s["sizes"], axis=0)
-            d_a = (d_z * s["h"]).sum(axis=1)
-            d_raw = s["a"] * (d_a - np.repeat(np.add.reduceat(s["a"] * d_a, starts), s["sizes"]))
-            d_gate = d_raw[:, None] * weights["attend"]
-            d_v, d_u = d_gate * s["u"] * (1 - s["v"] ** 2), d_gate * s["v"] * s["u"] * (1 - s["u"])
-            d_h = s["a"][:, None] * d_z + d_v @ weights["v"].T + d_u @ weights["u"].T
-            d_in = d_h * (1 - s["h"] ** 2)
-            gradients = {
-                "out": s["z"].T @ d_out,
-                "out_b": d_out.sum(keepdims=True),
-                "attend": (s["v"] * s["u"]).T @ d_raw,
-                "v": s["h"].T @ d_v,
-                "u": s["h"].T @ d_u,
-                "encode": ((x - model.mean) / model.scale).T @ d_in,
-                "encode_b": d_in.sum(axis=0),
-            }
             step += 1
-            for k, g in gradients.items():
+            for k, g in model.gradients(x, starts, labels[chosen]).items():
                 g = g + decay * weights[k]
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.001 * (g * g - second[k])
@@ -157,10 +163,12 @@ def learn_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.float32()))], ["id", "label", "bag"])
 
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    marks = marks.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id")
+    marks = marks.groupBy("id").agg(F.max("label").alias("label"))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chosen = texts.join(F.broadcast(marks.limit(2 * SAMPLE_ROWS)), "id").select("id", "label", "text")
-    sample = chosen.orderBy(F.xxhash64("id"), "id", "text").limit(SAMPLE_ROWS)
+    chosen = hash_sample(marks.join(texts.select("id"), "id", "left_semi").select("id"), SAMPLE_ROWS)
+    marked = marks.join(F.broadcast(chosen), "id")  # at most SAMPLE_ROWS rows
+    # of rows that share an id, the least text; its features are made where it is, and only they are collected
+    sample = texts.join(F.broadcast(marked), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "label", "text")
     rows = sample.mapInArrow(run, "id long, label int, bag array<float>").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["id"], r["label"], r["bag"]))
     bags = [np.array(r["bag"], dtype=np.float32).reshape(-1, FEATURES) for r in rows]
