@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words kept before the memory starts anew.
-REMEMBERED = 900_000
+REMEMBERED = 400_000
 #: A run of letters that neither compose nor change under lower-casing (a-z, ß to ÿ), then punctuation.
 RUN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 #: Opens a special token, which counts only as written.
