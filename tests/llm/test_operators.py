@@ -12,9 +12,11 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm import decontam, html_text, langid, packing, pii, quality_model, quality_rules, queries, sharding, simhash, token_counts
+from corpusloom.llm import decontam, html_text, langid, packing, pii, quality_model, quality_rules, queries, sampling, sharding, simhash, token_counts
 from corpusloom.llm.tokens import WordEncoder, default_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, words string, rank string"
@@ -96,7 +98,7 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a hre
 
 @pytest.fixture(scope="module")
 def labeller():
-    return html_text.fit_labeller([PAGE] * 5)
+    return html_text.fit_labeller([html_text.page_lesson(PAGE, html_text.Featurizer())] * 5)
 
 
 def test_html_blocks_decode_and_close():
@@ -113,6 +115,48 @@ def test_html_main_text(spark, labeller):
     assert [r.text for r in rows if r.page_id == 1] == ["Title & more\nFirst para line two.\nSecond link <b>.\none\ntwo"] * 2
     assert [(r.text, r.n_chars) for r in rows if r.page_id != 1] == [("", 0)] * 2
     assert html_text.extract_text(pages.limit(0), labeller).count() == 0
+    texts = [t for t in html_text.extract_text(awkward(spark).withColumn("html", F.col("text")), labeller, "doc_id", keep=("words", "id")).collect()]
+    assert len(texts) == 12 and {(t.words, t.id) for t in texts} == {("z", "x")}
+    learnt = html_text.learn_blocks(pages.unionByName(pages))
+    assert [r.text for r in html_text.extract_text(pages, learnt).where("page_id = 1").collect()] == ["Title & more\nFirst para line two.\nSecond link <b>.\none\ntwo"] * 2
+    assert html_text.extract_text(pages, html_text.learn_blocks(pages.limit(0))).count() == 4
+
+
+def test_html_very_long_pages_are_read_whole(spark, labeller):
+    words = [f"word{k}" for k in range(60_000)]
+    tall = "".join(f"<p>{w} and some more of it.</p>" for w in words[:20_000])
+    pages = spark.createDataFrame([(1, f"<article><p>{' '.join(words)}</p></article>"), (2, f"<article>{tall}</article>")], "page_id long, html string")
+    got = {r.page_id: r for r in html_text.extract_text(pages, labeller, keep=()).collect()}
+    assert got[1].text == " ".join(words) and got[2].n_blocks == 20_000 and got[2].n_main > 19_000
+    taught, said = html_text.page_lesson(f"<article>{tall}</article>", html_text.Featurizer())
+    assert len(taught) == html_text.TRAIN_RUNS and max(len(y) for _, y in taught) <= html_text.TRAIN_BLOCKS and len(said) <= html_text.TRAIN_WORDS
+
+
+def test_html_text_of_formulas_and_fallbacks_stays():
+    found = [b.text for b in html_text.blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <noscript>always</noscript><script>no()</script> here</p>")]
+    assert found == ["so x=2 holds always here"]
+
+
+def test_html_gradients_are_the_slopes_of_the_loss():
+    draw, model = np.random.default_rng(5), html_text.BlockLabeller.fresh()
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    x, mask = draw.normal(size=(5, 3, html_text.INPUTS)), np.ones((5, 3))
+    mask[3:, 1] = mask[1:, 2] = 0
+    gold = draw.integers(0, 2, (5, 3)).astype(float)
+
+    def loss():
+        p = model.forward(x, mask)[0]
+        return -(np.log(np.where(gold == 1, p, 1 - p)) * mask).sum() / mask.sum()
+
+    for name, slope in model.gradients(x, mask, gold).items():
+        for at in [tuple(draw.integers(0, n) for n in slope.shape) for _ in range(6)]:
+            kept = model.w[name][at]
+            model.w[name][at] = kept + 1e-3
+            high = loss()
+            model.w[name][at] = kept - 1e-3
+            low = loss()
+            model.w[name][at] = kept
+            assert abs((high - low) / 2e-3 - slope[at]) < 2e-4, name
 
 
 def test_html_held_out_layouts(labeller):
@@ -156,6 +200,10 @@ def test_decontamination_finds_copies_and_edits(spark):
     found = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated_passages(df, bench).collect()}
     assert set(found) == {(40, 0), (41, 1)} and found[40, 0] == 1.0 and found[41, 1] < 1.0
     assert {r.doc_id for r in decontam.decontaminate(df, bench).collect()} == set(range(44)) - {40, 41}
+    same = df.withColumn("doc_id", F.when(F.col("doc_id") < 41, F.lit(7).cast("long")))
+    assert decontam.decontaminate(same, bench).count() == 42 and decontam.decontaminate(same, bench).columns == same.columns
+    assert decontam.decontaminate(empty(spark), bench).count() == 0 and decontam.decontaminate(awkward(spark), bench).count() == 12
+    assert decontam.decontaminate(df, bench.limit(0)).count() == 44
     assert decontam.contaminated_passages(empty(spark), bench).count() == 0
     assert decontam.contaminated_passages(df, bench.limit(0)).count() == 0
     assert decontam.contaminated_passages(awkward(spark), bench).count() == 0
@@ -194,6 +242,25 @@ def test_decontamination_finds_a_common_edit_that_shares_one_run_of_five_words(s
     assert set(found) == set(range(122)) and found[0] == 1.0 and all(abs(found[k] - 0.8) < 1e-9 for k in range(1, 122))
 
 
+def test_decontamination_equals_alignment_of_all_pairs(spark):
+    """Recall of copies with every k-th word edited, replaced, dropped or doubled, against all pairs."""
+    draw = random.Random(14)
+    items = [prose(draw, n).split() for n in (7, 12, 15, 20, 28, 38, 60)]
+    edits = {
+        "replaced": lambda w, k: [f"new{k}"],
+        "dropped": lambda w, k: [],
+        "doubled": lambda w, k: [w, f"new{k}"],
+        "swapped": lambda w, k: [f"other{k}", w],
+    }
+    docs = [f"{prose(draw, 30)} {' '.join(x for k, w in enumerate(item) for x in (edit(w, k) if k % every == every - 1 else [w]))} {prose(draw, 30)}" for every in (3, 4, 5, 6, 8) for edit in edits.values() for item in items]
+    docs += [prose(draw, 200) for _ in range(40)]
+    hashes, texts = [decontam.word_hashes(" ".join(t)) for t in items], [decontam.word_hashes(t) for t in docs]
+    true = {(d, k): decontam.alignment(h, t)[0] / (2 * len(h)) for d, t in enumerate(texts) for k, h in enumerate(hashes) if decontam.alignment(h, t)[0] >= len(h)}
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated_passages(table(spark, docs), bench).collect()}
+    assert got == pytest.approx(true) and len(true) > 120
+
+
 def test_every_alignment_of_the_score_holds_the_seeds():
     draw = random.Random(11)
     near = 0
@@ -270,6 +337,40 @@ def test_rules_verdicts(spark):
     assert quality_rules.quality_rules(awkward(spark)).count() == 12 and quality_rules.quality_rules(empty(spark)).count() == 0
 
 
+def test_rules_verdicts_equal_brute_force(spark):
+    """Fitted limits from plain lists of the ratios of all different texts."""
+    draw = random.Random(17)
+    texts = [prose(draw, draw.randint(55, 400)) for _ in range(900)]
+    texts += [" ".join(" ".join(w.split()[:1]) + " " + draw.choice(("one", "two")) for w in (prose(draw, 1) for _ in range(draw.randint(60, 200)))) for _ in range(60)]
+    texts += ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(draw.randint(500, 2000))) for _ in range(30)]
+    texts += [texts[0]] * 700 + [None, "", "short"]
+    bands, compressor = quality_rules.Bands(), zstandard.ZstdCompressor(level=3)
+    ratio = {t: len(compressor.compress(t.encode())) / len(t.encode()) for t in texts if t}
+    counts = {t: brute_rules(t or "") for t in texts}
+    base = {t: c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"] for t, c in counts.items()}
+    fit = [t for t in ratio if not base[t]]
+    of = {t: int(np.floor(np.log2(len(t.encode())) * 8)) for t in ratio}
+    step = {t: int(np.floor(np.log(r) * 500)) for t, r in ratio.items()}
+    own = [c for c in sorted(set(of.values())) if sum(of[t] == c for t in fit) >= 20]
+    median = [sorted(step[t] for t in fit if of[t] == c)[(sum(of[t] == c for t in fit) - 1) // 2] for c in own]
+    smooth = [np.median(median[k - min(4, k, len(own) - 1 - k) : k + min(4, k, len(own) - 1 - k) + 1]) for k in range(len(own))]
+
+    def kept(t):
+        if not t or base[t] or not quality_rules.compression(t, bands, compressor)[3]:
+            return False
+        peers = sorted(step[u] - np.interp(of[u], own, smooth) for u in fit if of[u] // 8 == of[t] // 8)
+        if len(peers) < 100:
+            return True
+        low, high = peers[-(-len(peers) // 4) - 1], peers[-(-3 * len(peers) // 4) - 1]
+        usual, spread = np.interp(of[t], own, smooth), max(high - low, 10)
+        return np.exp((usual + low - 2.5 * spread) / 500) <= ratio[t] <= np.exp((usual + high + 1 + 2.5 * spread) / 500)
+
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table(spark, texts)).collect()}
+    verdicts = {t: bool(kept(t)) for t in set(texts)}
+    assert [got[k].kept for k in range(len(texts))] == [verdicts[t] for t in texts]
+    assert all(got[k].kept for k in range(900)) and sum(not got[k].kept and not got[k].base_failed for k in range(900, 990)) > 60
+
+
 def test_rules_see_repetition_in_every_part_of_a_text(spark):
     draw, whole = random.Random(4), []
     for size in (600, 1000, 2000, 3000, 4090, 5000, 8190, 12000, 20000):
@@ -445,6 +546,17 @@ def test_near_dedup_and_edges(spark):
     assert simhash.simhash_components(df).count() == 12 and simhash.simhash_components(empty(spark)).count() == 0
     kept = simhash.near_dedup(df)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5, 6, 8, 9] and kept.columns == df.columns
+    assert simhash.near_dedup(empty(spark)).count() == 0
+
+
+def test_near_dedup_loses_no_text_and_keeps_no_copy(spark):
+    draw = random.Random(15)
+    a, b, c = (prose(draw, 60) for _ in range(3))
+    rows = [(3, a), (5, a), (5, c), (None, b), (None, b), (None, c), (9, b), (9, b), (None, None), (None, "x y z"), (None, "x y z"), (7, c)]
+    df = spark.createDataFrame([(i, t, "e") for i, t in rows], "doc_id long, text string, fp string")
+    assert Counter((r.doc_id, r.text) for r in simhash.near_dedup(df).collect()) == Counter([(3, a), (5, c), (9, b), (None, None), (None, "x y z")])
+    many = df.unionByName(df).unionByName(df).repartition(7)
+    assert Counter((r.doc_id, r.text) for r in simhash.near_dedup(many).collect()) == Counter([(3, a), (5, c), (9, b), (None, None), (None, "x y z")])
 
 
 # -- 10
@@ -464,8 +576,39 @@ def test_quality_held_out(spark):
     assert quality_model.score_quality(docs, untrained).count() == 300 and quality_model.score_quality(empty(spark), model).count() == 0
 
 
-def test_attention_gradients():
-    """One small step against numeric slopes of the loss."""
+def test_attention_gradients_are_the_slopes_of_the_loss():
+    draw = np.random.default_rng(16)
+    bags = [draw.normal(size=(n, quality_model.FEATURES)) for n in (3, 1, 4)]
+    y, x, starts = np.array([1.0, 0, 1]), np.concatenate(bags), np.array([0, 3, 4])
+    model = quality_model.fit_attention(bags, y, rounds=0)
+    model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+
+    def loss():
+        s = model.forward(x, starts)["score"]
+        return -np.log(np.where(y == 1, s, 1 - s)).mean()
+
+    for name, slope in model.gradients(x, starts, y).items():
+        for at in [tuple(draw.integers(0, n) for n in slope.shape) for _ in range(8)]:
+            kept = model.weights[name][at]
+            model.weights[name][at] = kept + 1e-4
+            high = loss()
+            model.weights[name][at] = kept - 1e-4
+            low = loss()
+            model.weights[name][at] = kept
+            assert abs((high - low) / 2e-4 - slope[at]) < 1e-5, name
+
+
+def test_samples_are_the_least_hashes_of_each_group(spark):
+    rows = spark.range(20_000).selectExpr("id", "if(id % 10 = 0, 'rare', 'often') as lang").unionByName(spark.range(50).selectExpr("id", "'often' as lang"))
+    marks = {r.id: r.m for r in rows.select("id", F.pmod(F.xxhash64("id"), F.lit(sampling.RANGE)).alias("m")).collect()}
+    both = Counter(r.lang for r in sampling.hash_sample(rows, 100, ("lang",)).collect())
+    assert both == {"rare": 100, "often": 100}
+    assert {r.id for r in sampling.hash_sample(rows.select("id"), 300).collect()} == set(sorted(marks, key=lambda i: (marks[i], i))[:300])
+    assert sampling.hash_sample(rows.select("id").limit(7), 300).count() == 7 and sampling.hash_sample(rows.limit(0), 3, ("lang",)).count() == 0
+
+
+def test_attention_learns():
+    """A few steps lower the loss."""
     draw = np.random.default_rng(14)
     bags = [draw.normal(size=(n, quality_model.FEATURES)).astype(np.float32) for n in (3, 1, 4)]
     y = np.array([1, 0, 1], dtype=np.float32)
