@@ -34,10 +34,13 @@ def workspace(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the one the cluster names in ``spark.checkpoint.dir``.  Only where
-    that is unset, as in tests, a new local folder is made and set once.
+    that is unset and all tasks run on this machine, as in tests, a new local
+    folder is made and set once; on a cluster without the setting this raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -51,4 +54,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote, once nothing is to be computed from it any more."""
+    path = written.sparkSession._jvm.org.apache.hadoop.fs.Path(written.scratch_path)
+    path.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
