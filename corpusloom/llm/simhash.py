@@ -29,6 +29,8 @@ from corpusloom.session import materialize
 BITS = 64
 #: First bit and width of each third.
 THIRDS = ((0, 22), (22, 21), (43, 21))
+#: A fingerprint is hot if more than one in so many rows has it.
+HOT = 5000
 #: Shingles that are counted at once, to bound memory on very long texts.
 BLOCK = 65536
 
@@ -129,11 +131,14 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ignored.
     """
     prints = materialize(fingerprints(df, id_col, text_col, width, seed), "simhash")
-    lowest = prints.groupBy("fp").agg(F.min("id").alias("low"))
+    lowest = prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     groups = link_fingerprints(prints).join(lowest, "fp")
     of_group = groups.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_print = groups.join(of_group, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(
+    of_print = materialize(groups.join(of_group, "component").select("fp", "copies", "component_id"), "of-print")
+    # fewer than HOT fingerprints can have more than a HOT-th of the rows: theirs go to every task, so no key of the shuffle is hot
+    hot = F.broadcast(of_print.where(F.col("copies") > prints.count() / HOT).select("fp", "component_id"))
+    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(of_print.select("fp", "component_id"), "fp")
+    return prints.join(hot, "fp").unionByName(rest).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
