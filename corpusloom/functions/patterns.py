@@ -39,6 +39,13 @@ NOISE = [
     r"E-?mail:?\s*[^\s]+@[^\s]+",
 ]
 
+#: What a text needs for one of these to match, in lower case.
+NOISE_SIGNS = ["downloaded from", "wiley online library", "see the terms", "oa articles", "applicable creative", "©", "copyright", "all rights reserved",
+    "creative commons", "cc by", "doi", "received", "accepted", "published", "page", "|", "accessed", "jstor", "correspondence", "mail"]
+
+# What the cleaner of plain documents cuts out, in any case, line by line.
+GENERIC_NOISE = [r"^\d+\s*$", r"^Page\s+\d+", r"Downloaded from", r"©\s*\d{4}"]
+
 # Signs of academic and of business documents, in lower-cased text.
 ACADEMIC = [
     r"\babstract\b",
@@ -127,6 +134,15 @@ TOPIC_KEYWORDS = [
     "sectoral", "context", "methodology", "covid", "pandemic", "just transition", "policy",
 ]
 
+# Signs of over-generalisation and of a percentage in an answer, in any case.
+OVERGENERAL = [
+    r"all (?:studies|research|papers|authors|evidence) (?:show|indicate|suggest|demonstrate)",
+    r"(?:every|all) researcher",
+    r"universal(?:ly)? agree",
+    r"(?:always|never) the case",
+]
+PERCENTAGE = r"([0-9]+(?:\.[0-9]+)?)\s*(?:%|percent|percentage)"
+
 # Plan tiers (documents, bytes, calls a day; None: unlimited) for the usage report.
 PLANS = [("free", 50, 200_000, 100), ("pro", 500, 2_000_000, 1000), ("enterprise", None, None, None)]
 

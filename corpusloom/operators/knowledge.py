@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import patterns as P
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.ranking import distributed_rank
 from corpusloom.operators.text import phrases
@@ -132,17 +133,55 @@ def claims_by_cluster(view: DataFrame) -> DataFrame:
     return view.groupBy("component").agg(F.count("*").alias("n_claims"), F.count_distinct("doc_id").alias("n_docs"), F.count(F.when(F.col("n_gaps") > 0, 1)).alias("with_gap"))
 
 
-def answer_verdict(answers: DataFrame, issues: DataFrame, id_cols: list[str]) -> DataFrame:
-    """``valid, accuracy, hallucination`` of every answer, from the list of its issues: none is valid, two are a hallucination."""
+def overgeneral(answer: Column) -> Column:
+    """Whether an answer has one of the phrases of over-generalisation."""
+    return F.coalesce(answer.rlike("(?i)" + "|".join(P.OVERGENERAL)), F.lit(False))
+
+
+def unverified_statistics(answers: DataFrame, sources: DataFrame, id_cols: list[str], source_cols: list[str], text_col: str = "answer", source_col: str = "source") -> DataFrame:
+    """``id_cols, stat``: the figures that an answer gives in percent and no text of its sources has.
+
+    ``sources`` has ``source_cols``, which are among ``id_cols``, and one text a row; an answer may have many.
+    """
+    figure = F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(P.PERCENTAGE), 1))).alias("stat")
+    named = answers.select(*id_cols, figure).distinct()
+    held = named.join(sources.select(*source_cols, source_col), source_cols).where(F.contains(source_col, "stat")).select(*id_cols, "stat").distinct()
+    return named.join(held, [*id_cols, "stat"], "left_anti")
+
+
+def answer_verdict(answers: DataFrame, issues: DataFrame, id_cols: list[str], score_col: str | None = None, passing: float = 0.8) -> DataFrame:
+    """``issues, valid, accuracy, hallucination, passed`` of every answer, from the list of its issues.
+
+    Without a model's score an answer without issues is valid (accuracy 0.9, else
+    0.5) and two issues are a hallucination; it passes if it has none.  With one in
+    ``score_col``, each issue takes 0.1 off it, down to 0, and the answer passes from
+    ``passing`` on, unless it is a hallucination; where the score is null, the first
+    rule counts.
+    """
     counts = issues.groupBy(*id_cols).agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0)).cast("long")
-    return answers.join(counts, id_cols, "left").select(*id_cols, n.alias("issues"), (n == 0).alias("valid"), F.when(n == 0, 0.9).otherwise(0.5).alias("accuracy"), (n >= 2).alias("hallucination"))
+    plain = F.when(n == 0, 0.9).otherwise(0.5)
+    accuracy, passed = plain, n == 0
+    if score_col:
+        lowered = F.when(F.col(score_col).isNotNull(), F.greatest(F.lit(0.0), F.round(F.col(score_col) - 0.1 * n, 6)))
+        accuracy = F.coalesce(lowered, plain)
+        passed = F.when(F.col(score_col).isNull(), n == 0).otherwise((lowered >= passing) & (n < 2))
+    return answers.join(counts, id_cols, "left").select(*id_cols, n.alias("issues"), (n == 0).alias("valid"), accuracy.alias("accuracy"), (n >= 2).alias("hallucination"), passed.alias("passed"))
 
 
-def look_up_citations(cited: DataFrame, sources: DataFrame, id_cols: list[str]) -> DataFrame:
-    """Each cited author and year with the first source of that author's name and year, or null."""
-    first = sources.groupBy("author", "year").agg(F.min("doc_id").alias("doc_id"))
-    return cited.join(first, ["author", "year"], "left").select(*id_cols, "author", "year", "doc_id")
+def look_up_citations(cited: DataFrame, sources: DataFrame, id_cols: list[str], order: str = "doc_id") -> DataFrame:
+    """Each cited author and year with the first source whose authors and year hold them, or null.
+
+    ``sources`` has ``authors`` (one string) and ``year``.  The different cited pairs
+    meet the different authors and years of the sources, which are far fewer than
+    either table; what matches is joined back by equality.
+    """
+    pairs = cited.select("author", "year").distinct()
+    first = sources.groupBy("authors", F.col("year").cast("string").alias("y")).agg(F.min(order).alias(order))
+    years = pairs.select("year").distinct().join(first.select("y").distinct(), F.contains("y", "year"))
+    names = pairs.join(years, "year").join(first, "y").where(F.contains(F.lower("authors"), F.lower("author")))
+    found = names.groupBy("author", "year").agg(F.min(order).alias(order))
+    return cited.join(found, ["author", "year"], "left").select(*id_cols, "author", "year", order)
 
 
 def quote_similarity(cases: DataFrame, docs: DataFrame, passing: float = 0.6) -> DataFrame:

@@ -40,7 +40,7 @@ def usage_report(items: DataFrame, plans: DataFrame, owner: str = "owner", size:
     """Per owner: documents and bytes, and against the plan: percent used (null if unlimited) and whether one more fits."""
     used = items.groupBy(owner, "tier").agg(F.count("*").alias("n_docs"), F.sum(size).cast("long").alias("n_bytes"))
     share = lambda n, limit: F.round(100 * F.col(n) / F.col(limit), 6)
-    return used.join(F.broadcast(plans), "tier", "left").select(  # a few plans
+    return used.join(plans, "tier", "left").select(
         owner,
         "tier",
         "n_docs",

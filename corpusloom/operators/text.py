@@ -14,8 +14,24 @@ from corpusloom.functions import patterns as P
 NOT_A_TITLE = ("page", "http", r"www\.", "@", "copyright", "confidential")
 
 
+def _without(text: Column, patterns: list[str]) -> Column:
+    return reduce(lambda t, p: F.regexp_replace(t, f"(?im){p}", ""), patterns, text)
+
+
 def strip_noise(text: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, f"(?im){p}", ""), P.NOISE, text)
+    """The text without what the patterns of noise match.
+
+    Every pattern but that of bare numbers needs one of a few words or signs, so a
+    text without any of them, and without a bare number, stays as it is.
+    """
+    low = F.lower(text)
+    signs = reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in P.NOISE_SIGNS])
+    return F.when(signs | text.rlike(r"(?m)^\d+\s*$"), _without(text, P.NOISE)).otherwise(text)
+
+
+def strip_generic_noise(text: Column) -> Column:
+    """The cleaner of plain documents: four patterns, then lines that are hardly text."""
+    return filter_lines(_without(text, P.GENERIC_NOISE))
 
 
 def _readable(line: Column) -> Column:

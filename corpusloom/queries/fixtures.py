@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranking import distributed_rank
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +52,14 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), "embedding")
 
 
+def paired_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every text query: in the order of the queries, the query vectors over and over."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    numbered = distributed_rank(asked, [], F.floor(F.col("query_id") / 10_000).cast("long"), ["query_id"])
+    given = query_vectors(spark, sf_dir).withColumnRenamed("query_id", "vec_id")
+    return numbered.withColumn("vec_id", F.col("rank") % F.lit(max(1, given.count())) * 50).join(given, "vec_id").select("query_id", "embedding")
+
+
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twelve words of every benchmark passage."""
     return table(spark, sf_dir, "benchmark").select(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import bm25, chunking, dense, filters, fusion
-from corpusloom.queries.fixtures import CHUNKS, PAPERS, TEXT_QUERIES, TOKENS, papers, query_vectors, table, text_queries, vectors
+from corpusloom.queries.fixtures import CHUNKS, PAPERS, TEXT_QUERIES, TOKENS, paired_vectors, papers, query_vectors, table, text_queries, vectors
+from corpusloom.session import materialize, workspace
 
 QUERIES, ORACLES = {}, {}
 
@@ -84,13 +87,20 @@ sparse AS (
 
 
 def _index(spark: SparkSession, sf_dir: str) -> bm25.SparseIndex:
-    return bm25.build_index(table(spark, sf_dir, "documents"), "doc_id")
+    """The index of all documents: built on its first use in a session, then read from the shared folder."""
+    saved = f"{workspace(spark)}/index-{spark.sparkContext.applicationId}-{md5(sf_dir.encode()).hexdigest()}"
+    return bm25.ensure_index(spark, saved, table(spark, sf_dir, "documents"), "doc_id")
 
 
 def _sparse(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return bm25.bm25_topk(_index(spark, sf_dir), text_queries(spark, sf_dir), k)
 
 
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits with their scores, written once."""
+    return materialize(bm25.bm25_scores(_index(spark, sf_dir), text_queries(spark, sf_dir)), "scores")
+
+
 @query(f"WITH {_SCORED} SELECT * FROM sparse WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sparse(spark, sf_dir, 10)
@@ -108,7 +118,8 @@ def bm25_term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_INDEX} SELECT chunk_id, term, tf FROM postings")
 def sparse_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).postings
+    """A new index, whatever is saved."""
+    return bm25.build_index(table(spark, sf_dir, "documents"), "doc_id").postings.select("chunk_id", "term", "tf")
 
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, doc_id FROM chunks")
@@ -148,7 +159,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_VECTORS}, {_nearest(_COSINE, 'label >= 3 AND label = query_label')} SELECT query_id, rank, chunk_id, distance FROM dense WHERE rank <= 5")
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = vectors(spark, sf_dir).where(filters.where({"label": {"$gte": 3}}))
-    return dense.dense_topk(query_vectors(spark, sf_dir), corpus, 5, on=F.col("label") == F.col("query_label")).select("query_id", "rank", "chunk_id", "distance")
+    return dense.dense_topk(query_vectors(spark, sf_dir), corpus, 5, match=("label", "query_label")).select("query_id", "rank", "chunk_id", "distance")
 
 
 @query(f"WITH {_VECTORS}, {_nearest(_L2)} SELECT query_id, rank, chunk_id, distance FROM dense WHERE rank <= 10")
@@ -182,10 +193,10 @@ def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.lsh_topk(query_vectors(spark, sf_dir), vectors(spark, sf_dir))
 
 
-# -- hybrid: query i pairs the i-th passage with the i-th query vector; a chunk is a document with a vector
+# -- hybrid: the passages in order pair with the query vectors in order, over and over; a chunk is a document with a vector
 
 _HYBRID = f"""{_SCORED}, vectors AS (SELECT vec_id AS chunk_id, vec_id AS doc_id, embedding FROM embeddings JOIN documents ON doc_id = vec_id),
-qv AS (SELECT vec_id // 50 AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), {_nearest(_COSINE)},
+qv AS (SELECT item_id AS query_id, embedding AS q FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS n FROM benchmark) JOIN embeddings ON vec_id = n % (SELECT count(*) FILTER (vec_id % 50 = 0) FROM embeddings) * 50), {_nearest(_COSINE)},
 s50 AS (SELECT * FROM sparse WHERE rank <= 50), d50 AS (SELECT * FROM dense WHERE rank <= 50),
 fused AS (SELECT query_id, chunk_id, min(sr) AS sparse_rank, min(dr) AS dense_rank FROM (
   SELECT query_id, chunk_id, rank AS sr, NULL AS dr FROM s50 UNION ALL SELECT query_id, chunk_id, NULL, rank FROM d50) GROUP BY ALL),
@@ -197,8 +208,7 @@ def _legs(spark: SparkSession, sf_dir: str, k: int = 50) -> tuple[DataFrame, Dat
     sparse = _sparse(spark, sf_dir, k)
     with_text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
     corpus = vectors(spark, sf_dir).join(with_text, "chunk_id")
-    asked = query_vectors(spark, sf_dir).withColumn("query_id", F.floor(F.col("query_id") / 50).cast("long"))
-    return sparse, dense.dense_topk(asked, corpus, k).select("query_id", "rank", "chunk_id", "distance")
+    return sparse, dense.dense_topk(paired_vectors(spark, sf_dir), corpus, k).select("query_id", "rank", "chunk_id", "distance")
 
 
 def _fused(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
@@ -267,11 +277,11 @@ SELECT *, FALSE AS fallback FROM strict WHERE rank <= 3
 UNION ALL SELECT *, TRUE FROM sparse WHERE rank <= 3 AND query_id NOT IN (SELECT query_id FROM strict)""")
 def language_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search in short German documents; queries without a hit search all.  Both use the statistics of the whole index."""
-    every = _sparse(spark, sf_dir, 2**31 - 1)
+    every = _scores(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").where("lang = 'de' AND n_chars < 400").select(F.col("doc_id").alias("chunk_id"))
-    strict = bm25.top_k(every.join(docs, "chunk_id", "left_semi").drop("rank"), 3, [F.desc("score"), "chunk_id"])
-    columns = ["query_id", "rank", "chunk_id", "score"]
-    return fusion.with_fallback(text_queries(spark, sf_dir), strict.select(*columns), every.where("rank <= 3").select(*columns))
+    columns, order = ["query_id", "rank", "chunk_id", "score"], [F.desc("score"), "chunk_id"]
+    strict = bm25.top_k(every.join(docs, "chunk_id", "left_semi"), 3, order)
+    return fusion.with_fallback(text_queries(spark, sf_dir), strict.select(*columns), bm25.top_k(every, 3, order).select(*columns))
 
 
 @query(f"""WITH {_SCORED} SELECT query_id, topic, rank, chunk_id, score FROM (
@@ -280,7 +290,7 @@ def language_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthesis_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two best documents of every query in each of three topics."""
     docs = table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2", "src3"))
-    every = _sparse(spark, sf_dir, 2**31 - 1).drop("rank").join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("topic")), "chunk_id")
+    every = _scores(spark, sf_dir).join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("topic")), "chunk_id")
     pair = every.withColumn("pair", F.struct("query_id", "topic"))
     return bm25.top_k(pair, 2, [F.desc("score"), "chunk_id"], "pair").select("query_id", "topic", "rank", "chunk_id", "score")
 

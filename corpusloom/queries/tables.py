@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import patterns as P
 from corpusloom.operators import bm25, chunking, dense, formatting, knowledge, stats, tenancy
 from corpusloom.queries.fixtures import CHUNKS, PAPERS, papers, query_vectors, table, text_queries, vectors
-from corpusloom.queries.search import _COSINE, _SCORED, _sparse
+from corpusloom.queries.search import _COSINE, _SCORED, _index, _sparse
 from corpusloom.queries.search import ORACLES as ORACLES_OF_SEARCH
 from corpusloom.session import workspace
 from corpusloom.sources import tables as io
@@ -86,10 +86,19 @@ _TRUTH = "truth AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmar
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage word for word; candidates are the documents that its first twelve words find."""
-    hits = _sparse(spark, sf_dir, 2**31 - 1)
+    """Documents that hold a passage word for word; candidates hold all of the passage's inner tokens.
+
+    The first and the last token may be parts of longer words of a document, so
+    they are not asked for; of passages without an inner token every text is looked at.
+    """
+    asked = text_queries(spark, sf_dir).withColumn("t", bm25.tokens(F.col("passage"))).withColumn("terms", F.slice("t", 2, F.greatest(F.lit(0), F.size("t") - 2)))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return hits.join(text_queries(spark, sf_dir), "query_id").join(docs, "chunk_id").where(F.contains("text", "passage")).select("query_id", "chunk_id")
+    pairs = bm25.chunks_with_all(_index(spark, sf_dir), asked.where("size(terms) > 0"))
+    held = pairs.join(asked, "query_id").join(docs, "chunk_id").where(F.contains("text", "passage")).select("query_id", "chunk_id")
+    bare = asked.where("size(terms) = 0")
+    if bare.isEmpty():
+        return held
+    return held.unionByName(docs.join(bare, F.contains("text", "passage")).select("query_id", "chunk_id"))
 
 
 @query(f"""WITH {_SCORED}, {_TRUTH}, e AS (SELECT query_id, count(*) AS expected FROM truth GROUP BY query_id),
@@ -230,24 +239,29 @@ def cited_not_in_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited.join(papers(spark, sf_dir).select(F.col("first_author").alias("author")).distinct(), "author", "left_anti")
 
 
-@query(f"""WITH a AS (SELECT conv_id, turn, {_ANSWERS} AS t FROM conversations WHERE role = 'assistant'), p AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?%')) AS stat FROM a),
-u AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS asked FROM conversations WHERE role <> 'assistant' GROUP BY conv_id)
-SELECT p.conv_id, turn, stat FROM p LEFT JOIN u USING (conv_id) WHERE NOT contains(coalesce(asked, ''), stat)""")
+#: Each answer gets one figure that its source (document ``conv_id``) has or lacks, written in one of the three ways.
+_FIGURES = "text || CASE conv_id % 4 WHEN 0 THEN ' grew 42%.' WHEN 1 THEN ' fell by 17.5 percent' WHEN 2 THEN ' at 99  percentage points' ELSE ' rose 3 per cent' END"
+_SOURCES = "text || CASE WHEN doc_id % 8 < 4 THEN ' in all 42 of 17.5 and 99' ELSE '' END"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, {_FIGURES} AS t FROM conversations WHERE role = 'assistant'), p AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(t, '([0-9]+(?:\\.[0-9]+)?)\\s*(?:%|percent|percentage)', 1)) AS stat FROM a),
+s AS (SELECT doc_id, {_SOURCES} AS source FROM documents) SELECT p.conv_id, turn, stat FROM p LEFT JOIN s ON doc_id = conv_id WHERE NOT contains(coalesce(source, ''), stat)""")
 def unverified_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    stat = F.explode(F.regexp_extract_all(F.expr(_ANSWERS), F.lit(r"([0-9]+(?:\.[0-9]+)?%)"), 1)).alias("stat")
-    named = turns.where("role = 'assistant'").select("conv_id", "turn", stat).distinct()
-    asked = turns.where("role <> 'assistant'").groupBy("conv_id").agg(F.array_join(F.collect_list("text"), "\n").alias("asked"))
-    return named.join(asked, "conv_id", "left").where(~F.contains(F.coalesce("asked", F.lit("")), "stat")).select("conv_id", "turn", "stat")
+    """The source of an answer is the document that has the number of the conversation."""
+    answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.expr(_FIGURES).alias("answer"))
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.expr(_SOURCES).alias("source"))
+    return knowledge.unverified_statistics(answers, sources, ["conv_id", "turn"], ["conv_id"])
 
 
-_BROAD = "text || CASE conv_id % 4 WHEN 0 THEN ' This always holds.' WHEN 1 THEN ' It clearly proves that.' WHEN 2 THEN ' In every case.' ELSE ' Allowed at times.' END"
+_BROAD = """text || CASE conv_id % 7 WHEN 0 THEN ' All Studies show it.' WHEN 1 THEN ' so every researcher knows' WHEN 2 THEN ' They UNIVERSALLY agree.'
+  WHEN 3 THEN ' This is always the case.' WHEN 4 THEN ' It always holds.' WHEN 5 THEN ' as all researchers found' ELSE ' all studies of it' END"""
+_TOO_BROAD = "|".join(P.OVERGENERAL)
 
 
-@query(f"SELECT conv_id, turn FROM conversations WHERE role = 'assistant' AND regexp_matches(lower({_BROAD}), '\\b(all|every|never|always)\\b|clearly proves')")
+@query(f"SELECT conv_id, turn FROM conversations WHERE role = 'assistant' AND regexp_matches(lower({_BROAD}), '{_TOO_BROAD}')")
 def overgeneralisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return rows.where(F.lower(F.expr(_BROAD)).rlike(r"\b(all|every|never|always)\b|clearly proves")).select("conv_id", "turn")
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("answer", F.expr(_BROAD))
+    return rows.where(knowledge.overgeneral(F.col("answer"))).select("conv_id", "turn")
 
 
 @query(f"""WITH {PAPERS}, c AS (SELECT doc_id AS case_id, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE doc_id END AS doc_id, doc_id % 5 AS page, CASE WHEN doc_id % 2 = 0 THEN substr(text, 5, 30) ELSE 'never said' END AS quote FROM papers)
@@ -355,16 +369,13 @@ _POLICIES = [("/api/", 4), ("/api/p", 2), ("/api/purchase", 1)]
 
 
 @query("""WITH p(prefix, cap) AS (VALUES ('/api/', 4), ('/api/p', 2), ('/api/purchase', 1)),
-r AS (SELECT event_id, user_id % 2 = 0 AS member, '/api/' || event_type AS path, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599 SECOND PRECEDING AND CURRENT ROW) AS n FROM events),
+r AS (SELECT event_id, user_id % 2 = 0 AS member, '/api/' || event_type AS path, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECOND PRECEDING AND CURRENT ROW) AS n FROM events),
 m AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY length(prefix) DESC) AS k FROM r JOIN p ON starts_with(path, prefix))
 SELECT event_id AS request_id, prefix AS policy, CAST(cap * CASE WHEN member THEN 2 ELSE 1 END AS BIGINT) AS allowed, n >= cap * CASE WHEN member THEN 2 ELSE 1 END AS throttled FROM m WHERE k = 1""")
 def throttle_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of the last hour against the limit of their path."""
-    from pyspark.sql import Window
-
     events = table(spark, sf_dir, "events")
-    hour = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_599_000_000, 0)
-    counts = events.select(F.col("event_id").alias("request_id"), F.count("*").over(hour).alias("n"))
+    counts = usage.recent_requests(events.withColumnRenamed("event_id", "request_id"), 3600)
     asked = events.select(F.col("event_id").alias("request_id"), (F.col("user_id") % 2 == 0).alias("member"), F.concat(F.lit("/api/"), "event_type").alias("path"))
     return usage.throttle(counts, asked, spark.createDataFrame(_POLICIES, "prefix string, limit int"), 10)
 
@@ -374,7 +385,7 @@ def daily_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.daily_calls(table(spark, sf_dir, "events"), 5)
 
 
-@query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS most FROM events GROUP BY ALL")
+@query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(avg(value), 6) AS mean, round(list_sort(list(value))[CAST(ceil(0.95 * count(value)) AS INT)], 6) AS p95, round(max(value), 6) AS most FROM events GROUP BY ALL")
 def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.request_metrics(table(spark, sf_dir, "events"))
 
@@ -392,7 +403,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{workspace(spark)}/ingest-{uuid.uuid4().hex}"
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     ingest.ingest(spark, f"{sf_dir}/documents.parquet", f"{base}/chunks", f"{base}/state", schema).awaitTermination()
-    return spark.read.parquet(f"{base}/chunks")
+    return spark.read.parquet(f"{base}/chunks").drop("bucket")
 
 
 @query(ORACLES_OF_SEARCH["bm25_stats"])
@@ -401,5 +412,5 @@ def saved_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     base = f"{workspace(spark)}/index-{uuid.uuid4().hex}"
-    io.write_index(bm25.build_index(table(spark, sf_dir, "documents"), "doc_id"), base)
-    return bm25.index_stats(io.read_index(spark, base)).withColumn("avg_length", F.round("avg_length", 6))
+    bm25.write_index(bm25.build_index(table(spark, sf_dir, "documents"), "doc_id"), base)
+    return bm25.index_stats(bm25.read_index(spark, base)).withColumn("avg_length", F.round("avg_length", 6))

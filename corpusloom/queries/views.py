@@ -9,7 +9,7 @@ from corpusloom.operators import chunking, dense, fusion, knowledge, stats, tena
 from corpusloom.operators import text as T
 from corpusloom.queries.fixtures import CHUNKS, PAPERS, papers, table, vectors
 from corpusloom.queries.search import _COSINE, _SCORED, _VECTORS, _sparse
-from corpusloom.queries.tables import _ANSWERS, _BASES, _BROAD, _EVIDENCE, _TRUTH, _bases, _evidence, _truth
+from corpusloom.queries.tables import _ANSWERS, _BASES, _BROAD, _EVIDENCE, _TOO_BROAD, _TRUTH, _bases, _evidence, _truth
 
 QUERIES, ORACLES = {}, {}
 
@@ -122,7 +122,7 @@ def documents_of_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- insights
 
-_INSIGHTS = f"""{_EVIDENCE}, claims AS (SELECT query_id AS claim_id, query_id % 50 * 3 AS doc_id FROM ev),
+_INSIGHTS = f"""{_EVIDENCE}, claims AS (SELECT query_id AS claim_id, query_id // 50 * 3 AS doc_id FROM ev),
 gaps AS (SELECT query_id AS claim_id, CASE WHEN best_score < 0.25 THEN 'missing_evidence' WHEN evidence < 2 THEN 'weak_coverage' ELSE 'none' END AS gap FROM ev),
 dc AS (SELECT doc_id, doc_id % 7 AS component FROM documents WHERE doc_id % 2 = 0),
 view AS (SELECT claim_id, doc_id, component, CAST(coalesce(n_gaps, 0) AS BIGINT) AS n_gaps, kinds FROM claims LEFT JOIN (SELECT claim_id, count(*) AS n_gaps, string_agg(DISTINCT gap, ',' ORDER BY gap) AS kinds FROM gaps WHERE gap <> 'none' GROUP BY claim_id) USING (claim_id) LEFT JOIN dc USING (doc_id))"""
@@ -130,7 +130,7 @@ view AS (SELECT claim_id, doc_id, component, CAST(coalesce(n_gaps, 0) AS BIGINT)
 
 def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = knowledge.evidence_gaps(_evidence(spark, sf_dir)).withColumnRenamed("query_id", "claim_id")
-    claims = gaps.select("claim_id", (F.col("claim_id") % 50 * 3).alias("doc_id"))
+    claims = gaps.select("claim_id", (F.expr("claim_id div 50") * 3).alias("doc_id"))
     clusters = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", (F.col("doc_id") % 7).alias("component"))
     return knowledge.insights_view(claims, gaps, clusters)
 
@@ -152,25 +152,38 @@ def evidence_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ISSUES = f"""answers AS (SELECT conv_id, turn, {_ANSWERS} AS t, {_BROAD} AS b FROM conversations WHERE role = 'assistant'),
-issues AS (SELECT conv_id, turn, 1 AS kind FROM answers WHERE contains(t, 'Nobody (') UNION ALL SELECT conv_id, turn, 2 FROM answers WHERE regexp_matches(lower(b), 'clearly proves|\\balways\\b'))"""
+issues AS (SELECT conv_id, turn, 1 AS kind FROM answers WHERE contains(t, 'Nobody (') UNION ALL SELECT conv_id, turn, 2 FROM answers WHERE regexp_matches(lower(b), '{_TOO_BROAD}'))"""
 
 
 @query(f"""WITH {_ISSUES}, n AS (SELECT conv_id, turn, count(*) AS n FROM issues GROUP BY ALL)
-SELECT conv_id, turn, coalesce(n, 0) AS issues, coalesce(n, 0) = 0 AS valid, CASE WHEN coalesce(n, 0) = 0 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS accuracy, coalesce(n, 0) >= 2 AS hallucination FROM (SELECT conv_id, turn FROM answers) LEFT JOIN n USING (conv_id, turn)""")
+SELECT conv_id, turn, coalesce(n, 0) AS issues, coalesce(n, 0) = 0 AS valid, CASE WHEN coalesce(n, 0) = 0 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS accuracy, coalesce(n, 0) >= 2 AS hallucination, coalesce(n, 0) = 0 AS passed FROM (SELECT conv_id, turn FROM answers) LEFT JOIN n USING (conv_id, turn)""")
 def answer_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.expr(_ANSWERS).alias("t"), F.expr(_BROAD).alias("b"))
     unknown = answers.where("contains(t, 'Nobody (')").select("conv_id", "turn")
-    broad = answers.where(F.lower("b").rlike(r"clearly proves|\balways\b")).select("conv_id", "turn")
+    broad = answers.where(knowledge.overgeneral(F.col("b"))).select("conv_id", "turn")
     return knowledge.answer_verdict(answers.select("conv_id", "turn"), unknown.unionByName(broad), ["conv_id", "turn"])
 
 
+@query(f"""WITH {_ISSUES}, n AS (SELECT conv_id, turn, count(*) AS n FROM issues GROUP BY ALL),
+v AS (SELECT conv_id, turn, CAST(coalesce(n, 0) AS BIGINT) AS issues, CASE WHEN turn % 5 <> 0 THEN (turn % 3) / 10.0::DOUBLE + 0.75 END AS score FROM (SELECT conv_id, turn FROM answers) LEFT JOIN n USING (conv_id, turn))
+SELECT conv_id, turn, issues, issues = 0 AS valid, (CASE WHEN score IS NOT NULL THEN greatest(0.0, round(score - 0.1 * issues, 6)) WHEN issues = 0 THEN 0.9 ELSE 0.5 END)::DOUBLE AS accuracy, issues >= 2 AS hallucination,
+  CASE WHEN score IS NULL THEN issues = 0 ELSE greatest(0.0, round(score - 0.1 * issues, 6)) >= 0.8 AND issues < 2 END AS passed FROM v""")
+def scored_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts where a model has scored four answers in five."""
+    answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.expr(_ANSWERS).alias("t"), F.expr(_BROAD).alias("b"))
+    unknown = answers.where("contains(t, 'Nobody (')").select("conv_id", "turn")
+    broad = answers.where(knowledge.overgeneral(F.col("b"))).select("conv_id", "turn")
+    scored = answers.select("conv_id", "turn", F.when(F.col("turn") % 5 != 0, F.col("turn") % 3 / 10 + 0.75).alias("score"))
+    return knowledge.answer_verdict(scored, unknown.unionByName(broad), ["conv_id", "turn"], "score")
+
+
 @query(f"""WITH {PAPERS}, a AS (SELECT conv_id, turn, {_ANSWERS} AS t FROM conversations WHERE role = 'assistant'),
 c AS (SELECT DISTINCT conv_id, turn, p[1] AS author, p[2] AS year FROM (SELECT conv_id, turn, unnest(list_zip(regexp_extract_all(t, '([A-Z][A-Za-z0-9]+) \\(([0-9]{{4}})\\)', 1), regexp_extract_all(t, '([A-Z][A-Za-z0-9]+) \\(([0-9]{{4}})\\)', 2))) AS p FROM a)),
-s AS (SELECT first_author AS author, CAST(year AS VARCHAR) AS year, min(doc_id) AS doc_id FROM papers GROUP BY ALL)
-SELECT conv_id, turn, author, year, doc_id FROM c LEFT JOIN s USING (author, year)""")
+s AS (SELECT lower(first_author || ', ' || second_author) AS authors, CAST(year AS VARCHAR) AS y, min(doc_id) AS d FROM papers GROUP BY ALL)
+SELECT conv_id, turn, author, c.year, (SELECT min(d) FROM s WHERE contains(authors, lower(c.author)) AND contains(y, c.year)) AS doc_id FROM c""")
 def citation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("text", F.expr(_ANSWERS))
-    sources = papers(spark, sf_dir).select(F.col("first_author").alias("author"), F.col("year").cast("string").alias("year"), "doc_id")
+    sources = papers(spark, sf_dir).select(F.concat_ws(", ", "first_author", "second_author").alias("authors"), "year", "doc_id")
     return knowledge.look_up_citations(knowledge.cited_pairs(answers, ["conv_id", "turn"]), sources, ["conv_id", "turn"])
 
 

@@ -59,6 +59,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return written
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file system has something at ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def discard(written: DataFrame) -> None:
     """Delete what :func:`materialize` wrote, once nothing is to be computed from it any more."""
     path = written.sparkSession._jvm.org.apache.hadoop.fs.Path(written.scratch_path)

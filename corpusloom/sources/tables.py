@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from corpusloom.functions.patterns import INTENTS, STRATEGIES
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark's file system has something at ``path``."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def corpus_catalog(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
     """``path, filename, phase, phase_name, topic, length`` of every file two levels under ``root``.
 
@@ -71,19 +65,6 @@ def write_chunks(chunks: DataFrame, path: str, by: str = "kb_id") -> None:
     named.write.mode("append").partitionBy(by).parquet(path)
 
 
-def write_index(index, path: str) -> None:
-    """Save the three tables of a sparse index; postings are ranged by term, so that a reader skips files."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-
-
-def read_index(spark: SparkSession, path: str):
-    from corpusloom.operators.bm25 import SparseIndex
-
-    return SparseIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms")])
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 

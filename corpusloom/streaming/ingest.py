@@ -3,27 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators.chunking import fixed_chunks
-from corpusloom.sources.tables import exists
+from corpusloom.session import exists
 
 
-def append_new(batch: DataFrame, path: str, id_col: str = "chunk_id") -> None:
-    """Append the rows of a batch whose id the table at ``path`` lacks."""
+#: Folders of a chunk table; a batch reads only the ids in the folders that its own ids fall into.
+BUCKETS = 256
+
+
+def append_new(batch: DataFrame, path: str, id_col: str = "chunk_id", key: str = "doc_id") -> None:
+    """Append the rows of a batch whose id the table at ``path`` lacks.
+
+    The table is kept in folders by a hash of ``key``, so that a small batch is
+    compared with the ids in a few of them; only the ids are read.
+    """
     spark = batch.sparkSession
-    rows = batch.dropDuplicates([id_col])
+    rows = batch.dropDuplicates([id_col]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
     if exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select(id_col), id_col, "left_anti").select(*batch.columns)
-    rows.write.mode("append").parquet(path)
+        met = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+        there = spark.read.parquet(path).where(F.col("bucket").isin(met)).select("bucket", id_col)
+        rows = rows.join(there, ["bucket", id_col], "left_anti").select(*rows.columns)
+    rows.write.mode("append").partitionBy("bucket").parquet(path)
 
 
-def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, size: int = 1000, overlap: int = 200) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, size: int = 1000, overlap: int = 200, ts: str | None = None, late: str = "1 day") -> StreamingQuery:
     """Chunk every document that arrives under ``source`` and append its new chunks to ``target``.
 
-    A replayed batch adds nothing, since ids that are there are skipped.
+    A replayed batch adds nothing, since ids that are there are skipped.  Where the
+    documents have a time in ``ts``, one that comes again within ``late`` is dropped
+    on the stream by its id, with a state that the watermark bounds.
     """
     docs = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source)
+    if ts:
+        docs = docs.withWatermark(ts, late).dropDuplicatesWithinWatermark(["doc_id"])
     chunks = fixed_chunks(docs, "doc_id", "text", size, overlap)
     write = chunks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return write.foreachBatch(lambda batch, _: append_new(batch, target)).start()

@@ -1,9 +1,29 @@
-"""Usage metering; each function takes a batch or a stream of events alike."""
+"""Usage metering; each function takes a batch or a stream of events alike, unless it says otherwise."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import deque
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+#: Policies that may be sent to every task.
+MAX_POLICIES = 10_000
+
+
+@dataclass(frozen=True)
+class Policy:
+    """A limit of ``requests`` in ``seconds`` for paths with one of the prefixes; members have ``factor`` times as many."""
+
+    name: str
+    prefixes: tuple[str, ...]
+    requests: int
+    seconds: int = 60
+    factor: float = 1.0
 
 
 def sliding_requests(events: DataFrame, client: str = "user_id", ts: str = "ts", length: str = "60 seconds", step: str = "6 seconds", late: str = "60 seconds") -> DataFrame:
@@ -12,12 +32,104 @@ def sliding_requests(events: DataFrame, client: str = "user_id", ts: str = "ts",
     return counted.select(client, F.col("w.start").alias("window_start"), "n")
 
 
+def client_name(user: Column, authorization: Column, cookie: Column, forwarded: Column, host: Column) -> Column:
+    """Who asks: the user; else a fingerprint of the bearer token, or of the session's cookie; else the first address."""
+    print_of = lambda token: F.substring(F.sha2(token.cast("binary"), 256), 1, 24)
+    token = F.when(F.lower(authorization).startswith("bearer "), F.nullif(F.trim(F.substring(authorization, 8, 1 << 20)), F.lit("")))
+    address = F.coalesce(F.trim(F.split_part(F.nullif(forwarded, F.lit("")), F.lit(","), F.lit(1))), host, F.lit("unknown"))
+    return F.coalesce(
+        F.concat(F.lit("user:"), user.cast("string")),
+        F.concat(F.lit("bearer:"), print_of(token)),
+        F.concat(F.lit("session:"), print_of(F.nullif(cookie, F.lit("")))),
+        F.concat(F.lit("ip:"), address),
+    )
+
+
+def _with_policy(requests: DataFrame, policies: list[Policy], default: Policy) -> DataFrame:
+    """Adds ``policy, allowed, seconds``: the policy with the longest prefix of the path."""
+    level = lambda p: F.struct(F.lit(p.name).alias("policy"), F.floor(p.requests * F.when(F.col("member"), float(p.factor)).otherwise(1.0)).cast("long").alias("allowed"), F.lit(p.seconds).cast("long").alias("seconds"))
+    case = F.when(F.lit(False), level(default))
+    for prefix, p in sorted(((x, p) for p in policies for x in p.prefixes), key=lambda item: -len(item[0])):
+        case = case.when(F.startswith("path", F.lit(prefix)), level(p))
+    return requests.withColumn("__p", case.otherwise(level(default))).select(*requests.columns, "__p.*")
+
+
+DECISIONS = "client string, policy string, request_id long, n long, allowed long, throttled boolean"
+
+
+def _decide(rows: pd.DataFrame, held: deque) -> pd.DataFrame:
+    """Decisions in order of time; ``held`` has the times of the granted requests that still count, at most as many as are allowed."""
+    rows = rows.sort_values(["at", "request_id"])
+    counts, refused = [], []
+    for at, seconds, allowed in zip(rows["at"], rows["seconds"], rows["allowed"], strict=True):
+        while held and held[0] <= at - seconds * 1_000_000:
+            held.popleft()
+        counts.append(len(held))
+        refused.append(len(held) >= allowed)
+        if not refused[-1]:
+            held.append(at)
+    return rows[["client", "policy", "request_id"]].assign(n=counts, allowed=rows["allowed"], throttled=refused)
+
+
+def limit_requests(requests: DataFrame, policies: list[Policy], default: Policy, ts: str = "ts") -> DataFrame:
+    """``client, policy, request_id, n, allowed, throttled`` for a batch of ``request_id, client, path, member`` and a time.
+
+    A request is refused if the client has ``allowed`` granted ones under the same
+    policy in the last seconds; refused ones do not count later.  So decisions of a
+    client depend on each other, but only until a pause as long as the window: the
+    stretches between pauses are decided on their own, each in one task.
+    """
+    rows = _with_policy(requests, policies, default).withColumn("at", F.unix_micros(F.col(ts).cast("timestamp")))
+    order = Window.partitionBy("client", "policy").orderBy("at", "request_id")
+    pause = F.coalesce(F.col("at") - F.lag("at").over(order) >= F.col("seconds") * 1_000_000, F.lit(True))
+    stretch = rows.withColumn("pause", pause.cast("int")).withColumn("stretch", F.sum("pause").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return stretch.select("client", "policy", "stretch", "request_id", "at", "seconds", "allowed").groupBy("client", "policy", "stretch").applyInPandas(lambda rows: _decide(rows, deque()), DECISIONS)
+
+
+def limit_stream(requests: DataFrame, policies: list[Policy], default: Policy, ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """:func:`limit_requests` of a stream, in the order of its batches; requests later than ``late`` are dropped.
+
+    The state of a client and policy is the times of the granted requests that
+    still count; it goes when the watermark has passed the window.
+    """
+    rows = _with_policy(requests, policies, default).withWatermark(ts, late).withColumn("at", F.unix_micros(F.col(ts).cast("timestamp")))
+
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts))
+        held = deque(state.get[0] if state.exists else [])
+        yield _decide(rows, held)
+        state.update((list(held),))
+        state.setTimeoutTimestamp(int((rows["at"] // 1000 + rows["seconds"] * 1000).max()) + 1)
+
+    keyed = rows.select("client", "policy", "request_id", ts, "at", "seconds", "allowed").groupBy("client", "policy")
+    return keyed.applyInPandasWithState(step, DECISIONS, "granted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def recent_requests(requests: DataFrame, seconds: int, client: str = "user_id", ts: str = "ts") -> DataFrame:
+    """``request_id, n``: how many requests the client made in the last ``seconds``, this one included (a batch).
+
+    Rows are kept by client and stretch of ``seconds``, each also in the next one, so
+    no task holds more of a client's history than two windows.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    own = F.expr(f"at div {seconds * 1_000_000}")
+    rows = requests.select(F.col(client).alias("client"), "request_id", at.alias("at")).withColumn("own", own)
+    twice = rows.withColumn("stretch", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    window = Window.partitionBy("client", "stretch").orderBy("at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    return twice.withColumn("n", F.count("*").over(window)).where("own = stretch").select("request_id", "n")
+
+
 def throttle(counts: DataFrame, requests: DataFrame, policies: DataFrame, default: int, factor: int = 2) -> DataFrame:
     """Adds ``policy``, ``allowed`` and ``throttled`` to requests with their count ``n``.
 
     The policy of the longest prefix of the path counts; members have ``factor`` times as many.
     """
-    met = requests.join(F.broadcast(policies), F.startswith("path", F.col("prefix")), "left")  # a few policies
+    if policies.limit(MAX_POLICIES + 1).count() > MAX_POLICIES:
+        raise ValueError(f"more than {MAX_POLICIES} policies")
+    met = requests.join(F.broadcast(policies), F.startswith("path", F.col("prefix")), "left")
     best = Window.partitionBy("request_id").orderBy(F.desc_nulls_last(F.length("prefix")))
     one = met.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
     allowed = F.coalesce("limit", F.lit(default)) * F.when(F.col("member"), factor).otherwise(1)
@@ -30,8 +142,10 @@ def daily_calls(events: DataFrame, limit: int, user: str = "user_id", ts: str =
 
 
 def request_metrics(events: DataFrame, kind: str = "event_type", value: str = "value", ts: str = "ts", length: str = "1 day", late: str = "1 day") -> DataFrame:
-    counted = events.withWatermark(ts, late).groupBy(kind, F.window(ts, length).alias("w")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most"))
-    return counted.select(kind, F.to_date("w.start").alias("day"), "n", F.round("mean", 6).alias("mean"), F.round("most", 6).alias("most"))
+    """``kind, day, n, mean, p95, most``; the percentile is exact up to 10,000 values of a kind and day, and within 0.01 % of the rank beyond."""
+    p95 = F.percentile_approx(value, 0.95, 10_000)
+    counted = events.withWatermark(ts, late).groupBy(kind, F.window(ts, length).alias("w")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), p95.alias("p95"), F.max(value).alias("most"))
+    return counted.select(kind, F.to_date("w.start").alias("day"), "n", *[F.round(c, 6).alias(c) for c in ("mean", "p95", "most")])
 
 
 def latest_state(events: DataFrame, task: str = "user_id", ts: str = "ts", state: str = "event_type", tie: str = "event_id") -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import session
 from corpusloom.operators import bm25, chunking, dense, filters, fusion, knowledge, stats
 from corpusloom.operators import text as T
 from corpusloom.operators.components import connected_components
@@ -87,12 +90,118 @@ def test_evidence_gap_thresholds(spark):
     assert {r.query_id: r.gap for r in knowledge.evidence_gaps(hits).collect()} == {1: "missing_evidence", 2: "weak_coverage", 3: "none", 4: "missing_evidence"}
 
 
-def test_too_many_queries_are_refused(spark):
-    from pytest import raises
-
-    many = spark.range(dense.MAX_QUERIES + 1).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("embedding"))
-    with raises(ValueError):
-        dense.dense_topk(many, many.limit(1))
+def test_exact_search_equals_brute_force_in_any_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(21)
+    points = draw.integers(-2, 3, (400, 6)).astype(float)  # many ties
+    points[7] = 0
+    rows = [(k, p.tolist() if k % 97 else None, k % 3 or None) for k, p in enumerate(points)]
+    corpus = spark.createDataFrame([(f"c{k:03d}", *r[1:]) for k, r in enumerate(rows)], "chunk_id string, embedding array<double>, kind long")
+    asked = spark.createDataFrame(rows, "query_id long, embedding array<double>, want long").where("query_id % 9 = 0")
+    sizes = np.sqrt((points**2).sum(axis=1))
+    both = np.outer(sizes, sizes)
+    measures = {"cosine": 1 - points @ points.T / np.where(both > 0, both, 1), "ip": 1 - points @ points.T, "l2sq": ((points[:, None] - points[None]) ** 2).sum(axis=2)}
+    for block, cells in ((4096, 2_000_000), (7, 50)):
+        monkeypatch.setattr(dense, "QUERY_BLOCK", block)
+        monkeypatch.setattr(dense, "CELLS", cells)
+        for metric, match in (("cosine", None), ("ip", None), ("l2sq", None), ("cosine", ("kind", "want"))):
+            got = {(r.query_id, r["rank"]): (r.chunk_id, r.distance) for r in dense.dense_topk(asked, corpus, 12, metric, match).collect()}
+            want = {}
+            for q in range(0, 400, 9):
+                if q % 97 == 0:
+                    continue
+                order = sorted((round(measures[metric][q, c], 6) + 0.0, f"c{c:03d}") for c in range(400) if c % 97 and (not match or (q % 3 and c % 3 == q % 3)))
+                want |= {(q, n + 1): (c, d) for n, (d, c) in enumerate(order[:12])}
+            assert got == want
+    assert dense.dense_topk(asked.limit(0), corpus).count() == 0 and dense.dense_topk(asked, corpus.limit(0)).count() == 0
+
+
+def test_related_by_first_chunk_sees_past_its_own_chunks(spark):
+    rows = [(k, 0, [1.0, 0.001 * k]) for k in range(60)] + [(100 + k, 1 + k // 30, [1.0, 0.5 + 0.001 * k]) for k in range(60)] + [(200, 5, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id long, doc_id long, embedding array<double>")
+    got = dense.related_by_first_chunk(vectors, vectors, 2).collect()
+    assert {(r.doc_id, r["rank"]): r.related_doc_id for r in got} == {(0, 1): 1, (0, 2): 2, (1, 1): 2, (1, 2): 0, (2, 1): 1, (2, 2): 0, (5, 1): 2, (5, 2): 1}
+
+
+def test_throttling_as_configured(spark):
+    policies = [usage.Policy("auth", ("/api/auth/login",), 2), usage.Policy("search", ("/api/search",), 3)]
+    paths = ["/api/auth/login"] * 3 + ["/api/search"] * 4 + ["/api/other"] * 11
+    rows = [(k, "ip:a", p, False, k) for k, p in enumerate(paths)] + [(100 + k, "ip:b", "/api/auth/login", False, 5) for k in range(2)] + [(200, "ip:a", "/api/auth/login", False, 61)]
+    schema = "request_id long, client string, path string, member boolean, s long"
+    asked = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.request_id: (r.policy, r.throttled) for r in usage.limit_requests(asked, policies, usage.Policy("default", (), 10)).collect()}
+    assert [k for k, (_, no) in sorted(got.items()) if no] == [2, 6, 17] and got[2][0] == "auth" and got[6][0] == "search" and got[17][0] == "default"
+    # the member's limit of 2 counts twice, and each token is a client
+    head = spark.createDataFrame([(k, "Bearer token-A") for k in range(5)] + [(5, "bearer token-B"), (6, None)], "request_id long, a string")
+    none = F.lit(None).cast("string")
+    named = head.select("request_id", usage.client_name(none, F.col("a"), none, F.lit("10.0.0.1, 10.0.0.2"), F.lit("h")).alias("client"), F.lit("/api/plain").alias("path"), F.col("a").isNotNull().alias("member"), F.timestamp_seconds("request_id").alias("ts"))
+    got = {r.request_id: r for r in usage.limit_requests(named, [], usage.Policy("default", (), 2, 60, 2.0)).collect()}
+    assert [k for k in sorted(got) if got[k].throttled] == [4] and got[0].allowed == 4 and got[6].allowed == 2
+    assert got[0].client.startswith("bearer:") and len(got[0].client) == 31 and got[5].client != got[0].client and got[6].client == "ip:10.0.0.1"
+
+
+def test_throttling_equals_brute_force_in_batch_and_stream(spark, tmp_path):
+    draw = random.Random(23)
+    rows = [(k, f"c{draw.randint(0, 4)}", draw.choice(["/a", "/a/b", "/x"]), draw.random() < 0.3, draw.randint(0, 900)) for k in range(600)]
+    policies, default = [usage.Policy("a", ("/a",), 2, 30, 2.0), usage.Policy("ab", ("/a/b",), 1, 60)], usage.Policy("default", (), 3, 20, 1.5)
+    schema = "request_id long, client string, path string, member boolean, s long"
+    asked = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000))
+    want, log = {}, {}
+    for i, client, path, member, s in sorted(rows, key=lambda r: (r[4], r[0])):
+        p = policies[1] if path == "/a/b" else policies[0] if path == "/a" else default
+        granted = [t for t in log.setdefault((client, p.name), []) if t > s - p.seconds]
+        want[i] = (len(granted), len(granted) >= int(p.requests * (p.factor if member else 1)))
+        if not want[i][1]:
+            log[client, p.name].append(s)
+    assert {r.request_id: (r.n, r.throttled) for r in usage.limit_requests(asked, policies, default).collect()} == want
+    for k in range(3):
+        asked.where(f"s >= {k * 300} and s < {k * 300 + 300 + (k == 2)}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(asked.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = usage.limit_stream(stream, policies, default).writeStream.format("memory").queryName("limits").outputMode("append")
+    out.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").start().awaitTermination()
+    assert {r.request_id: (r.n, r.throttled) for r in spark.table("limits").collect()} == want
+
+
+def test_recent_requests_over_window_edges(spark):
+    draw = random.Random(24)
+    rows = [(k, draw.randint(0, 2), draw.randint(0, 300)) for k in range(200)]
+    got = usage.recent_requests(spark.createDataFrame(rows, "request_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s")), 40).collect()
+    assert {r.request_id: r.n for r in got} == {i: sum(u == v and s - 40 < t <= s for _, v, t in rows) for i, u, s in rows}
+
+
+def test_noise_guard_changes_nothing(spark):
+    draw = random.Random(25)
+    parts = ["Downloaded from https://x.y/z", "© 2004 Press.", "12", "\n", " ", "plain words", "Page 3 of 9", "7 | head", "E-mail: a@b.c", "DOI: 10.1/x", "k", "accepted 3 May 2001", "\u212a", "CC BY-NC"]
+    rows = spark.createDataFrame([("".join(draw.choice(parts) for _ in range(draw.randint(0, 6))),) for _ in range(400)] + [(None,)], "t string")
+    both = rows.select(T.strip_noise(F.col("t")).alias("a"), T._without(F.col("t"), T.P.NOISE).alias("b")).collect()
+    assert all(r.a == r.b for r in both)
+
+
+def test_verdict_rules(spark):
+    texts = ["All studies show it", "every researcher", "all researchers", "they universally AGREE", "never the case", "it always holds", "all studies of it", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    assert [r[0] for r in rows.orderBy("k").select(knowledge.overgeneral(F.col("t"))).collect()] == [True] * 5 + [False] * 3
+    answers = spark.createDataFrame([(1, "rose 12.5% and 7 percent"), (2, "40 percentage points"), (3, None), (4, "9 %")], "k long, answer string")
+    sources = spark.createDataFrame([(1, "7 of"), (1, "3"), (2, "140"), (4, None)], "k long, source string")
+    assert {(r.k, r.stat) for r in knowledge.unverified_statistics(answers, sources, ["k"], ["k"]).collect()} == {(1, "12.5"), (4, "9")}
+    scored = spark.createDataFrame([(1, 0.95), (2, 0.95), (3, 0.95), (4, None), (5, 0.05)], "k long, score double")
+    issues = spark.createDataFrame([(2,), (3,), (3,), (5,)], "k long")
+    got = {r.k: (r.accuracy, r.passed, r.hallucination) for r in knowledge.answer_verdict(scored, issues, ["k"], "score").collect()}
+    assert got == {1: (0.95, True, False), 2: (0.85, True, False), 3: (0.75, False, True), 4: (0.9, True, False), 5: (0.0, False, False)}
+    cited = spark.createDataFrame([(1, "Keller", "1991"), (1, "keller", "199"), (1, "Stein", "1991")], "k long, author string, year string")
+    held = spark.createDataFrame([("Anna Keller, Jo Stein", 1991, 7), ("Anna Keller", 1991, 3), (None, 1991, 1), ("X", None, 2)], "authors string, year int, doc_id long")
+    assert {(r.author, r.year): r.doc_id for r in knowledge.look_up_citations(cited, held, ["k"]).collect()} == {("Keller", "1991"): 3, ("keller", "199"): 3, ("Stein", "1991"): 7}
+
+
+def test_clusters_need_the_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        session.workspace(Session())
 
 
 def test_hybrid_plan(spark):
@@ -108,7 +217,7 @@ def test_stream_equals_batch_and_replay_adds_nothing(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/in")
     for state in ("a", "b"):  # the second checkpoint replays everything
         ingest.ingest(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/{state}", "doc_id long, text string").awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out").drop("bucket")
     assert sorted(got.collect()) == sorted(chunking.fixed_chunks(docs).collect())
 
     events = spark.createDataFrame([(k, k % 3, 7.0 * k) for k in range(60)], "event_id long, user_id long, s double").withColumn("ts", F.timestamp_seconds("s"))
@@ -168,7 +277,11 @@ def test_approximate_search_finds_nine_in_ten(spark):
     asked = corpus.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
     pairs = lambda df: {(r.query_id, r.chunk_id) for r in df.collect()}
     exact = pairs(dense.dense_topk(asked, corpus))
-    assert len(exact & pairs(dense.lsh_topk(asked, corpus))) >= 0.9 * len(exact)
+    index = dense.fit_cells(corpus, cells=32)
+    assert len(exact & pairs(dense.lsh_topk(asked, corpus, index=index))) >= 0.9 * len(exact)
+    met = dense._in_cells(asked, index, "query_id", 3).alias("q").join(dense._in_cells(corpus, index, "chunk_id", 1).alias("c"), "cell").select("q.id", "c.id").distinct().count()
+    assert met <= 0.35 * 300 * asked.count()
+    assert dense.lsh_topk(asked, corpus.limit(0)).count() == 0
 
 
 def test_section_chunks_keep_sections_whole(spark):
