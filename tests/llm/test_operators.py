@@ -16,8 +16,9 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm import decontam, html_text, langid, packing, pii, quality_model, quality_rules, queries, sampling, sharding, simhash, token_counts
+from corpusloom.llm import decontam, html_text, langid, packing, pii, quality_model, quality_rules, queries, sharding, simhash, token_counts
 from corpusloom.llm.tokens import WordEncoder, default_path
+from corpusloom.operators import sampling
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, words string, rank string"
 
