@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Groups whose sizes are sent to every task.
+MAX_GROUPS = 10_000
 #: Values of the hash that decides.
 RANGE = 1 << 40
 
@@ -23,6 +25,7 @@ def hash_sample(ids: DataFrame, most: int, by: tuple[str, ...] = ()) -> DataFram
         near = ids.where(mark <= F.lit(least / max(1, ids.count()))).select("id").distinct()
         return near.orderBy(mark, "id").limit(most)
     sizes = ids.groupBy(*by).agg(F.count("*").alias("__n"))
-    near = ids.join(sizes, [*by]).where(mark <= F.lit(least) / F.col("__n")).select("id", *by).distinct()
+    few = sizes.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS  # then no id is shuffled before the hash has passed it
+    near = ids.join(F.broadcast(sizes) if few else sizes, [*by]).where(mark <= F.lit(least) / F.col("__n")).select("id", *by).distinct()
     order = Window.partitionBy(*by).orderBy(mark, "id")
     return near.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= most).drop("__k")
