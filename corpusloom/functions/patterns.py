@@ -46,6 +46,10 @@ NOISE_SIGNS = ["downloaded from", "wiley online library", "see the terms", "oa a
 # What the cleaner of plain documents cuts out, in any case, line by line.
 GENERIC_NOISE = [r"^\d+\s*$", r"^Page\s+\d+", r"Downloaded from", r"©\s*\d{4}"]
 
+# Words that end the lines of authors, and words of affiliations.
+AUTHOR_STOPS = "abstract|keywords|introduction|correspondence|received|accepted"
+AFFILIATIONS = "university|department|faculty|institute|school|centre|center"
+
 # Signs of academic and of business documents, in lower-cased text.
 ACADEMIC = [
     r"\babstract\b",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,21 +47,57 @@ def _units(text: Column, size: int, separators: tuple[str, ...]) -> Column:
 SEPARATORS = ("\n\n", "\n", r"\. ", " ")
 
 
-def recursive_chunks(df: DataFrame, id_cols: list[str], text_col: str = "text", size: int = 2048, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+def recursive_chunks(df: DataFrame, id_cols: list[str], text_col: str = "text", size: int = 2048, separators: tuple[str, ...] = SEPARATORS, overlap: int = 0) -> DataFrame:
     """Chunks of whole paragraphs, lines, sentences or words, as large as ``size`` allows.
 
-    Joined in order they give the text again.  Adds ``position`` and ``chunk``.
+    Every chunk but the first begins with at most the last ``overlap`` characters of
+    the one before, from a word on.  Without that, joined in order, they give the
+    text again.  Adds ``position``, ``chunk`` and ``shared``, the characters that it
+    has from the one before.
     """
-    packed = pack_units(_units(F.col(text_col), size, separators), size)
-    return df.where(F.length(text_col) > 0).select(*id_cols, F.posexplode(packed).alias("position", "chunk"))
+    packed = pack_units(_units(F.col(text_col), size - overlap, separators), size - overlap)
+    cut = df.where(F.length(text_col) > 0).select(*id_cols, packed.alias("__parts"))
+    if not overlap:
+        return cut.select(*id_cols, F.posexplode("__parts").alias("position", "chunk")).withColumn("shared", F.lit(0))
+    rows = cut.select(*id_cols, "__parts", F.posexplode("__parts").alias("position", "__own"))
+    before = F.when(F.col("position") > 0, F.element_at("__parts", F.greatest(F.col("position"), F.lit(1)))).otherwise("")
+    tail = F.regexp_replace(F.substring(before, -overlap, overlap), r"^\S*\s?", "")
+    shared = F.when(F.length(before) <= overlap, before).otherwise(tail)
+    return rows.withColumn("__shared", shared).select(*id_cols, "position", F.concat("__shared", "__own").alias("chunk"), F.length("__shared").alias("shared"))
+
 
+def level_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, ...] = (2048, 1024, 512), overlap: int = 0) -> DataFrame:
+    """``id, chunk_id, parent_id, level, text`` of every level; a chunk is cut from its parent on the level above.
 
-def hierarchical_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parent_size: int = 2048, child_size: int = 1024, min_parent: int = 100, min_child: int = 50) -> DataFrame:
+    A chunk's id is its parent's and its number there: ``{doc}_0_2_1``.
+    """
+    level = df.select(F.col(id_col), F.col(id_col).cast("string").alias("parent_id"), F.col(text_col).alias("text"))
+    out = []
+    for k, size in enumerate(sizes):
+        cut = recursive_chunks(level, [id_col, "parent_id"], "text", size, overlap=overlap)
+        level = cut.select(id_col, F.concat("parent_id", F.lit("_"), "position").alias("chunk_id"), F.when(F.lit(k > 0), F.col("parent_id")).alias("parent_id"), F.lit(k).alias("level"), F.col("chunk").alias("text"))
+        out.append(level)
+        level = level.select(id_col, F.col("chunk_id").alias("parent_id"), "text")
+    return reduce(DataFrame.unionByName, out)
+
+
+def routed_chunks(docs: DataFrame, sections: DataFrame, sizes: dict[str, int], id_col: str = "doc_id") -> DataFrame:
+    """``id, chunk_id, text``: chunks of sections for documents of the method ``section_aware`` that have some, of two levels for the others."""
+    own = sections.select(id_col).distinct()
+    aware = F.coalesce(F.col("method") == "section_aware", F.lit(False))
+    by_section = docs.where(aware).join(own, id_col, "left_semi")
+    plain = docs.where(~aware).unionByName(docs.where(aware).join(own, id_col, "left_anti"))
+    cut = section_chunks(sections.join(by_section.select(id_col), id_col, "left_semi"), sizes, id_col=id_col)
+    named = cut.select(id_col, F.concat(id_col, F.lit("_section_"), "chunk_index").alias("chunk_id"), "text")
+    return named.unionByName(hierarchical_chunks(plain, id_col).select(id_col, "chunk_id", "text"))
+
+
+def hierarchical_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parent_size: int = 2048, child_size: int = 1024, min_parent: int = 100, min_child: int = 50, parent_overlap: int = 0, child_overlap: int = 0) -> DataFrame:
     """Parents and their children in one table; child numbers run over the document."""
-    parents = recursive_chunks(df, [id_col], text_col, parent_size).where(F.length(F.trim("chunk")) >= min_parent)
+    parents = recursive_chunks(df, [id_col], text_col, parent_size, overlap=parent_overlap).where(F.length(F.trim("chunk")) >= min_parent)
     parents = parents.select(id_col, F.col("position").cast("long").alias("parent_no"), F.col("chunk").alias("text"))
     parent_id = F.concat(F.col(id_col), F.lit("_parent_"), F.col("parent_no"))
-    children = recursive_chunks(parents, [id_col, "parent_no"], "text", child_size).where(F.length(F.trim("chunk")) >= min_child)
+    children = recursive_chunks(parents, [id_col, "parent_no"], "text", child_size, overlap=child_overlap).where(F.length(F.trim("chunk")) >= min_child)
     of_doc = Window.partitionBy(id_col).orderBy("parent_no", "position")
     number = (F.row_number().over(of_doc) - 1).cast("long")
     children = children.withColumn("number", number).select(

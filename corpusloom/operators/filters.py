@@ -15,6 +15,7 @@ _COMPARE = {
     "$gte": lambda c, v: c >= v,
     "$lt": lambda c, v: c < v,
     "$lte": lambda c, v: c <= v,
+    "$exists": lambda c, v: (c.isNotNull() & (c.cast("string") != "")) == v,
     "$in": lambda c, v: c.isin(list(v)),
     "$contains": lambda c, v: F.contains(c, F.lit(v)),
 }
@@ -24,7 +25,8 @@ def where(tree: dict[str, Any]) -> Column:
     """A filter such as ``{"$and": [{"year": {"$gte": 2000}}, {"phase": "en"}]}`` as a column.
 
     Keys of one level hold together; an empty tree passes everything.  Missing
-    values fail every comparison but ``$ne``.
+    values fail every comparison but ``$ne``; ``{"doi": {"$exists": True}}`` asks for
+    one that is there and not empty.
     """
     parts = []
     for key, value in tree.items():
@@ -42,3 +44,8 @@ def where(tree: dict[str, Any]) -> Column:
 def text_search(query: str, *columns: str) -> Column:
     """Whether any of the columns holds the text, in any case."""
     return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lit(query.lower())), F.lit(False)) for c in columns])
+
+
+def keyword_search(keyword: str, *columns: str) -> Column:
+    """Whether the columns, joined by spaces, hold the keyword in any case."""
+    return F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(keyword.lower()))

@@ -111,3 +111,38 @@ def result_limit(complexity: Column, n: int = 5, sub_queries: Column | None = No
     """How many results a question of this class asks for: n, two more (at most ten) or, for a complex one, at least two a sub-query."""
     each = F.greatest(F.lit(2), F.floor(F.lit(n) / F.greatest(F.lit(1), sub_queries if sub_queries is not None else F.lit(1))))
     return F.when(complexity == "simple", n).when(complexity == "medium", min(n + 2, 10)).otherwise(each).cast("long")
+
+
+def candidate_sizes(n: int, mode: str = "hybrid", rerank: int | None = None, sparse: int = 50) -> dict[str, int]:
+    """How many candidates each leg gives, and how many the fusion keeps, for ``n`` results.
+
+    ``dense``: one leg, as many as are reranked.  ``hybrid``: both legs, with room for
+    reranking.  ``base``: hybrid search in one knowledge base, without reranking.
+    """
+    top = rerank if rerank is not None else n
+    if mode == "dense":
+        return {"sparse": 0, "dense": max(n, top) if rerank is not None else n, "fused": max(n, top) if rerank is not None else n}
+    if mode == "base":
+        return {"sparse": sparse, "dense": max(sparse, 3 * n), "fused": 2 * n}
+    return {"sparse": sparse, "dense": max(sparse, 2 * top, 3 * n), "fused": max(2 * n, top)}
+
+
+def routed(hits: DataFrame, more: DataFrame, classes: DataFrame, n: int = 5, passing: float = 0.7) -> DataFrame:
+    """The hits of every question as its class wants them, with ``retried``.
+
+    ``classes`` has ``query_id, complexity, n_sub``; ``hits`` are ranked, with ``doc_id``
+    and ``score``.  Simple questions keep n hits, medium ones two more, complex ones at
+    least two a sub-query.  Complex ones whose hits do not suffice get those of
+    ``more``, a second and wider pass, instead: up to n + 3.
+    """
+    kept = hits.join(classes, "query_id").where(F.col("rank") <= result_limit(F.col("complexity"), n, F.col("n_sub")))
+    failed = sufficiency(kept.where("complexity = 'complex'"), passing).where("not sufficient").select("query_id")
+    first = kept.join(failed, "query_id", "left_anti").withColumn("retried", F.lit(False))
+    again = more.join(failed, "query_id", "left_semi").join(classes, "query_id").where(F.col("rank") <= n + 3).withColumn("retried", F.lit(True))
+    return first.unionByName(again.select(*first.columns))
+
+
+def rerank_by(candidates: DataFrame, scores: DataFrame, n: int = 5) -> DataFrame:
+    """Candidates in the order of a model's scores ``query_id, chunk_id, score``; those without one come last."""
+    scored = candidates.drop("rank", "score").join(scores.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left")
+    return top_k(scored, n, [F.desc_nulls_last("score"), "chunk_id"])

@@ -204,3 +204,82 @@ def quote_similarity(cases: DataFrame, docs: DataFrame, passing: float = 0.6) ->
     held = held.select("case_id", runs("q").alias("__q"), runs("t").alias("__t"))
     share = F.coalesce(F.size(F.array_intersect("__q", "__t")) / F.nullif(F.size("__q"), F.lit(0)), F.lit(0.0))
     return held.select("case_id", F.round(F.when(F.col("__t").isNull() | F.col("__q").isNull(), 0.0).otherwise(share), 6).alias("similarity")).withColumn("close", F.col("similarity") > passing)
+
+
+def merge_entities(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """One row per entity: the first type that is given, the last cluster that is, and the number of rows.
+
+    ``rows`` has ``by`` (such as base and name), ``type``, ``cluster`` and columns that order them.
+    """
+    place = F.struct(*order)
+    return rows.groupBy(*by).agg(
+        F.min_by("type", F.when(F.col("type").isNotNull(), place)).alias("type"),
+        F.max_by("cluster", F.when(F.col("cluster").isNotNull(), place)).alias("cluster"),
+        F.count("*").alias("n"),
+    )
+
+
+def occurrences(mentions: DataFrame, entities: DataFrame, by: list[str]) -> DataFrame:
+    """The mentions whose entity is kept."""
+    return mentions.join(entities.select(*by).distinct(), by, "left_semi")
+
+
+def known_edges(relations: DataFrame, entities: DataFrame, name: str = "name", weight: float = 1.0) -> DataFrame:
+    """The relations ``source, target`` of which both ends are entities, with a weight."""
+    for end in ("source", "target"):
+        relations = relations.join(entities.select(F.col(name).alias(end)).distinct(), end, "left_semi")
+    return relations.withColumn("weight", F.lit(weight))
+
+
+def fill_clusters(entities: DataFrame, clustered: DataFrame, name: str = "name") -> DataFrame:
+    """Entities with the cluster of their component where they have none of their own; ``clustered`` is ``node, cluster``."""
+    found = clustered.select(F.col("node").alias(name), F.col("cluster").alias("__found"))
+    return entities.join(found, name, "left").withColumn("cluster", F.coalesce("cluster", "__found")).select(*entities.columns)
+
+
+def cluster_relations(clustered: DataFrame, edges: DataFrame) -> DataFrame:
+    """``cluster, relations``: the different kinds of relation that touch each cluster, in order, comma-joined.
+
+    ``edges`` is ``source, target, relation``.
+    """
+    ends = edges.select(F.col("source").alias("node"), "relation").unionByName(edges.select(F.col("target").alias("node"), "relation"))
+    met = clustered.select("node", "cluster").join(ends, "node").select("cluster", "relation").distinct()
+    return met.groupBy("cluster").agg(F.array_join(F.sort_array(F.collect_list("relation")), ", ").alias("relations"))
+
+
+def graph_listing(entities: DataFrame, edges: DataFrame, nodes: int = 1000, links: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """What a graph view shows: the first entities by name, and the first edges by their ends."""
+    return entities.orderBy("name").limit(nodes), edges.orderBy("source", "target").limit(links)
+
+
+def induced_subgraph(nodes: DataFrame, edges: DataFrame, most_nodes: int = 200, most_edges: int = 400) -> DataFrame:
+    """Edges ``source, target`` among the first nodes by ``name``, the first ones by their ends."""
+    kept = nodes.select("name").distinct().orderBy("name").limit(most_nodes)
+    for end in ("source", "target"):
+        edges = edges.join(kept.select(F.col("name").alias(end)), end, "left_semi")
+    return edges.select("source", "target").distinct().orderBy("source", "target").limit(most_edges)
+
+
+def claims_to_check(claims: DataFrame, docs: DataFrame, per_document: int = 8, newest: int = 50, order: str = "claim_no") -> DataFrame:
+    """The first claims of each of the newest documents; ``docs`` has ``doc_id`` and ``added``."""
+    recent = docs.orderBy(F.desc("added"), F.desc("doc_id")).limit(newest).select("doc_id")
+    first = Window.partitionBy("doc_id").orderBy(order)
+    return claims.join(recent, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_document).drop("__n")
+
+
+def run_summary(docs: DataFrame, claims: DataFrame, gaps: DataFrame) -> DataFrame:
+    """One row: documents processed, claims extracted, and gaps detected."""
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return one(docs, "documents_processed").join(one(claims, "claims_extracted")).join(one(gaps.where("gap <> 'none'"), "gaps_detected"))  # one row each
+
+
+def gap_counters(gaps: DataFrame) -> DataFrame:
+    """One row: claims with a missing and with a weak gap."""
+    having = lambda kind, name: F.count_distinct(F.when(F.col("gap") == kind, F.col("claim_id"))).alias(name)
+    return gaps.agg(having("missing_evidence", "missing"), having("weak_coverage", "weak"))
+
+
+def claim_groups(view: DataFrame) -> DataFrame:
+    """``component, n_claims, claims, place``: clusters by size, each with its claims in order."""
+    groups = view.where("component is not null").groupBy("component").agg(F.count("*").alias("n_claims"), F.array_join(F.transform(F.sort_array(F.collect_list("claim_id")), lambda c: c.cast("string")), ",").alias("claims"))
+    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_claims"), "component")).cast("long"))  # one row a cluster

@@ -124,3 +124,39 @@ def overhead(df: DataFrame, by: str, arm: Column, value: str) -> DataFrame:
 def distribution(docs: DataFrame, by: str, value: str) -> DataFrame:
     """``by, value, n``: how often each value occurs in each group."""
     return docs.groupBy(by, value).agg(F.count("*").alias("n"))
+
+
+def counts_by(chunks: DataFrame, col: str) -> DataFrame:
+    """``col, n_chunks``: how many chunks, not documents, each value has; a missing one is ``Unknown``."""
+    return chunks.groupBy(F.coalesce(col, F.lit("Unknown")).alias(col)).agg(F.count("*").alias("n_chunks"))
+
+
+def total_of(bases: DataFrame, *columns: str) -> DataFrame:
+    """One row: the sums of these counters over all knowledge bases; 0 if there is none."""
+    return bases.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in columns])
+
+
+def document_metadata(chunks: DataFrame, columns: list[str], order: str = "chunk_index", doc: str = "doc_id") -> DataFrame:
+    """The metadata of every document, as its first chunk has them."""
+    return chunks.groupBy(doc).agg(F.min_by(F.struct(*columns), order).alias("__m")).select(doc, "__m.*")
+
+
+def available(docs: DataFrame, col: str) -> DataFrame:
+    """The different values of a column, without the missing one."""
+    return docs.select(col).where(F.col(col).isNotNull()).distinct()
+
+
+def metrics_summary(per_query: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row over :func:`retrieval_metrics`: queries, those with a truth, macro precision and micro recall."""
+    asked = queries.select("query_id").distinct().join(per_query, "query_id", "left")
+    return asked.agg(
+        F.count("*").alias("queries"),
+        F.count("expected").alias("labelled"),
+        F.round(F.coalesce(F.avg("precision"), F.lit(0.0)), 6).alias("macro_precision"),
+        F.round(F.coalesce(F.sum("found") / F.nullif(F.sum("expected"), F.lit(0)), F.lit(0.0)), 6).alias("micro_recall"),
+    )
+
+
+def focus_statistics(docs: DataFrame, by: str, focus: str) -> DataFrame:
+    """``by, focus, n_docs``: documents of each group for every entry of the array ``focus``."""
+    return docs.select(by, "doc_id", F.explode(F.array_distinct(focus)).alias(focus)).groupBy(by, focus).agg(F.count_distinct("doc_id").alias("n_docs"))

@@ -340,3 +340,76 @@ def plain_year(text: Column, now: int) -> Column:
     marked = F.regexp_extract(text, r"©\s*([0-9]{4})", 1).try_cast("int")
     years = F.transform(F.regexp_extract_all(text, F.lit(r"\b(?:19|20)[0-9]{2}\b"), 0), lambda y: y.cast("int"))
     return F.coalesce(F.when(marked.between(1900, now), marked), F.get(F.filter(years, lambda y: y.between(1900, now)), 0)).cast("long")
+
+
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def filename_year(name: Column, now: int) -> Column:
+    """The first year that stands alone in a file's name, if it is from 1950 to ``now``."""
+    year = F.regexp_extract(_stem(name), r"\b((?:19|20)[0-9]{2})\b", 1).try_cast("int")
+    return F.when(year.between(1950, now), year).cast("long")
+
+
+def filename_authors(name: Column, excluded: list[str] = P.NOT_NAMES) -> Column:
+    """The authors that a file's name gives: after a year, before a year, two before a year, or in lower case before a year.
+
+    The first of the four forms with a name that is not among ``excluded`` (lower case) counts; null if there is none.
+    """
+    stem, barred = _stem(name), F.array(*map(F.lit, excluded))
+
+    def names(*parts: Column) -> Column:
+        found = F.transform(F.array(*parts), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 40)))
+        kept = F.filter(found, lambda x: (F.length(x) >= 3) & ~F.array_contains(barred, F.lower(x)))
+        return F.when(F.size(kept) > 0, kept)
+
+    part = lambda pattern, group=1: F.regexp_extract(stem, pattern, group)
+    two = r"^([A-Z][a-z]{2,20})[_\-\s]+([A-Z][a-z]{2,20})[_\-\s]+[0-9]{4}"
+    return F.coalesce(
+        names(part(r"^[0-9]{4}[_\-\s]+([A-Z][a-z]{2,20})")),
+        names(part(r"^([A-Z][a-z]{2,20})[_\-\s]+[0-9]{4}")),
+        names(part(two, 1), part(two, 2)),
+        names(part(r"^([a-z]{3,20})[0-9]{4}")),
+    )
+
+
+def plain_authors(text: Column, title: Column) -> Column:
+    """Authors of a plain document: names in the lines after the title, else after a line that begins with ``by``.
+
+    Up to eight lines are read, as far as the first word of the body; lines of an
+    affiliation, with an address, or of an unlikely length are skipped.  Names are
+    what stands between commas, semicolons, ampersands and the word ``and``, and has
+    two parts; null if there is none.  Without a title among the first forty lines the
+    text is read from its start.
+    """
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    head = F.slice(lines, 1, 40)
+    places = F.transform(head, lambda x, i: F.when(F.contains(F.lower(x), F.lower(title)), i + 1))
+    start = F.when(F.length(title) > 0, F.coalesce(F.array_min(F.array_compact(places)), F.lit(0))).otherwise(0)
+    near = F.slice(lines, start + 1, 8)
+    stops = F.transform(near, lambda x, i: F.when(x.rlike(rf"(?i){P.AUTHOR_STOPS}"), i))
+    near = F.slice(near, 1, F.coalesce(F.array_min(F.array_compact(stops)), F.lit(8)))
+    fits = F.filter(near, lambda x: ~F.contains(x, F.lit("@")) & ~x.rlike(rf"(?i){P.AFFILIATIONS}") & F.length(x).between(5, 120))
+    by = F.get(F.filter(F.transform(F.slice(lines, 1, 20), lambda x: F.regexp_extract(x, r"(?i)^by\s+(.+)$", 1)), lambda x: x != ""), 0)
+    said = F.when(F.size(fits) > 0, F.array_join(fits, " ")).otherwise(F.trim(by))
+    flat = F.trim(F.regexp_replace(F.regexp_replace(said, r"\s+", " "), "[0-9]+", ""))
+    names = F.transform(F.split(flat, r"(?i)\s*(?:,|;|&|\band\b)\s*"), lambda x: F.trim(x))
+    kept = F.filter(names, lambda x: x.rlike(r"\S\s+\S") & x.rlike("[A-Za-z]"))
+    return F.when(F.size(kept) > 0, kept)
+
+
+def extractor_kind(kind: Column, text: Column) -> Column:
+    """``academic``, ``business`` or ``generic``: as a knowledge base says, found in the text where it says ``auto`` or nothing."""
+    return F.when(kind.isin("academic", "business", "generic"), kind).otherwise(detect_doctype(F.coalesce(text, F.lit(""))))
+
+
+def clean_by_kind(kind: Column, text: Column) -> Column:
+    """The text without noise, as the extractor of its kind cleans it."""
+    return collapse_space(F.when(kind == "academic", filter_lines(strip_noise(text))).otherwise(strip_generic_noise(text)))
+
+
+def topical_keywords(text: Column, patterns: list[str], most: int = 10) -> Column:
+    """Up to ten capitalised phrases, then what the caller's topical patterns find, once each, ``most`` in all."""
+    found = [F.regexp_extract_all(text, F.lit(f"(?i)({p})"), 1) for p in patterns]
+    return F.slice(F.array_distinct(F.concat(F.slice(phrases(text), 1, 10), *found)), 1, most)

@@ -131,7 +131,7 @@ def page_and_word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PHRASE = "[A-Z][a-z]+(?: [A-Z][a-z]+)+"
 #: Every word of the first 60 characters in capitals gives phrases to work with.
-_CAPS = "array_join(transform(split(text, '\n'), l -> concat(initcap(substring(l, 1, 60)), substring(l, 61, length(l)))), '\n')"
+_CAPS = "array_join(transform(split(text, '\n'), l -> concat(array_join(transform(split(substring(l, 1, 60), ' '), w -> concat(translate(substring(w, 1, 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), lower(substring(w, 2, 60)))), ' '), substring(l, 61, length(l)))), '\n')"
 
 
 @query()

@@ -37,8 +37,8 @@ def term_maps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query_set(spark: SparkSession, path: str) -> DataFrame:
-    """``id, query, expected_doc_ids, n_results`` from JSON lines; placeholder and empty ids are ignored."""
-    rows = spark.read.schema("id string, query string, expected_doc_ids array<string>, n_results int").json(path)
+    """``id, query, expected_doc_ids, n_results, phase_filter, topic_filter`` from JSON lines; placeholder and empty ids are ignored."""
+    rows = spark.read.schema("id string, query string, expected_doc_ids array<string>, n_results int, phase_filter string, topic_filter string").json(path)
     return rows.withColumn("expected_doc_ids", F.filter("expected_doc_ids", lambda x: (x != "") & (x != "REPLACE_ME")))
 
 
@@ -95,3 +95,24 @@ def parse_plans(df: DataFrame, raw: str = "raw", question: str = "question", mos
         F.when(bad, "single").otherwise(one_of("__p.retrieval_strategy", STRATEGIES, "multi_query")).alias("strategy"),
         F.when(bad | F.col("__p.sub_queries").isNull() | (F.size("__p.sub_queries") == 0), F.array(question)).otherwise(asked).alias("sub_queries"),
     )
+
+
+def write_report(summary: DataFrame, per_query: DataFrame, path: str) -> None:
+    """An evaluation report: the summary as one JSON line, and one line a query."""
+    write_json(summary, f"{path}/summary")
+    write_json(per_query, f"{path}/queries")
+
+
+def write_documents(chunks: DataFrame, path: str, order: str = "chunk_index") -> None:
+    """The table of documents of a chunk table: the first chunk's columns, and how many chunks each has."""
+    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    first = chunks.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in chunks.columns if c not in ("doc_id", "text")]), order).alias("__d"))
+    first.select("doc_id", "__d.*").join(sizes, "doc_id").write.mode("overwrite").parquet(path)
+
+
+def with_model(df: DataFrame, model, schema: str) -> DataFrame:
+    """Rows through a model of the caller (an extractor, an embedder or a scorer): a function of a pandas frame, applied batch by batch in the tasks.
+
+    ``schema`` is that of what the model gives back.
+    """
+    return df.mapInPandas(lambda parts: (model(part) for part in parts), schema)
