@@ -328,3 +328,33 @@ def test_all_names_of_a_line_are_mentions_and_edges(spark):
     want[tuple(sorted((names[28], names[29])))] += 1
     for part in (256, 7):
         assert {(r.source, r.target): r.weight for r in knowledge.cooccurrence_edges(mentions, part=part).collect()} == want
+
+
+def test_file_names_and_plain_authors(spark):
+    names = ["2012_Keller_Report.pdf", "Stein-2011.pdf", "a/Keller_Stein_2010.docx", "brandt2009_x", "Review_2003", "notes", None]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k long, n string").orderBy("k")
+    got = rows.select(T.filename_authors(F.col("n")).alias("a"), T.filename_year(F.col("n"), 2024).alias("y")).collect()
+    assert [r.a for r in got] == [["Keller"], ["Stein"], ["Keller", "Stein"], ["Brandt"], None, None, None] and [r.y for r in got] == [None, 2011, None, None, None, None, None]
+    texts = [("Head\nOn Rivers\nSandra Anders and Jo Land1\nAbstract\nBy No One", "on rivers"), ("x\nby Ann Lee & Bo Ray", None), ("", "t"), (None, None)]
+    rows = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "k long, t string, h string").orderBy("k")
+    assert [r[0] for r in rows.select(T.plain_authors(F.col("t"), F.col("h"))).collect()] == [["Sandra Anders", "Jo Land"], ["by Ann Lee", "Bo Ray"], None, None]
+
+
+def test_candidate_sizes_and_reranking(spark):
+    assert fusion.candidate_sizes(5) == {"sparse": 50, "dense": 50, "fused": 10} and fusion.candidate_sizes(30, rerank=40) == {"sparse": 50, "dense": 90, "fused": 60}
+    assert fusion.candidate_sizes(20, "base") == {"sparse": 50, "dense": 60, "fused": 40} and fusion.candidate_sizes(5, "dense", 20)["dense"] == 20
+    rows = spark.createDataFrame([(1, k, k + 1, 0.5) for k in range(4)], "query_id long, chunk_id long, rank long, score double")
+    scores = spark.createDataFrame([(1, 2, 0.9), (1, 0, 0.1)], "query_id long, chunk_id long, score double")
+    assert [r.chunk_id for r in fusion.rerank_by(rows, scores, 3).orderBy("rank").collect()] == [2, 0, 1]
+
+
+def test_saved_index_is_built_once(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "green valley"), (2, "coal valley")], "chunk_id long, text string")
+    first = bm25.ensure_index(spark, f"{tmp_path}/i", chunks)
+    again = bm25.ensure_index(spark, f"{tmp_path}/i", chunks.limit(0))
+    assert first.postings.count() == again.postings.count() == 4 and {r.df for r in again.terms.where("term = 'valley'").collect()} == {2}
+
+
+def test_models_of_the_caller(spark):
+    out = io.with_model(spark.range(5), lambda frame: frame.assign(score=frame["id"] * 0.5), "id long, score double")
+    assert {r.id: r.score for r in out.collect()} == {k: k / 2 for k in range(5)}
