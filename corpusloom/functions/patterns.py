@@ -147,8 +147,12 @@ OVERGENERAL = [
 ]
 PERCENTAGE = r"([0-9]+(?:\.[0-9]+)?)\s*(?:%|percent|percentage)"
 
-# Plan tiers (documents, bytes, calls a day; None: unlimited) for the usage report.
-PLANS = [("free", 50, 200_000, 100), ("pro", 500, 2_000_000, 1000), ("enterprise", None, None, None)]
+# Plan tiers (documents, knowledge bases, bytes, calls a day; None: unlimited) for the usage report.
+PLANS = [("free", 50, 3, 100 * 1024**2, 500), ("pro", 500, 20, 5 * 1024**3, 10_000), ("enterprise", None, None, None, None)]
+
+# Words that test questions leave out.
+EVAL_STOPS = """the and for with from into over under between a an of in on at by to as is are was were this that these those study studies analysis
+research paper evidence case effects impact aims aim examining investigate intends develop proposes approach method methods results discussion conclusion""".split()
 
 #: Words of page furniture and prose that begin with a capital but are no part of a name; callers pass their corpus's own.
 NOT_NAMES = """abstract introduction methods results discussion conclusion references keywords university institute department school

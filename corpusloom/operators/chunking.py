@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,13 @@ def _units(text: Column, size: int, separators: tuple[str, ...]) -> Column:
 SEPARATORS = ("\n\n", "\n", r"\. ", " ")
 
 
+def _shared(overlap: int) -> Column:
+    """What the chunk at ``position`` repeats of the one before in ``__parts``."""
+    before = F.when(F.col("position") > 0, F.element_at("__parts", F.greatest(F.col("position"), F.lit(1)))).otherwise("")
+    tail = F.regexp_replace(F.substring(before, -overlap, overlap), r"^\S*\s?", "")
+    return F.when(F.length(before) <= overlap, before).otherwise(tail)
+
+
 def recursive_chunks(df: DataFrame, id_cols: list[str], text_col: str = "text", size: int = 2048, separators: tuple[str, ...] = SEPARATORS, overlap: int = 0) -> DataFrame:
     """Chunks of whole paragraphs, lines, sentences or words, as large as ``size`` allows.
 
@@ -60,10 +68,7 @@ def recursive_chunks(df: DataFrame, id_cols: list[str], text_col: str = "text",
     if not overlap:
         return cut.select(*id_cols, F.posexplode("__parts").alias("position", "chunk")).withColumn("shared", F.lit(0))
     rows = cut.select(*id_cols, "__parts", F.posexplode("__parts").alias("position", "__own"))
-    before = F.when(F.col("position") > 0, F.element_at("__parts", F.greatest(F.col("position"), F.lit(1)))).otherwise("")
-    tail = F.regexp_replace(F.substring(before, -overlap, overlap), r"^\S*\s?", "")
-    shared = F.when(F.length(before) <= overlap, before).otherwise(tail)
-    return rows.withColumn("__shared", shared).select(*id_cols, "position", F.concat("__shared", "__own").alias("chunk"), F.length("__shared").alias("shared"))
+    return rows.withColumn("__shared", _shared(overlap)).select(*id_cols, "position", F.concat("__shared", "__own").alias("chunk"), F.length("__shared").alias("shared"))
 
 
 def level_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, ...] = (2048, 1024, 512), overlap: int = 0) -> DataFrame:
@@ -117,6 +122,35 @@ def fingerprint(text: Column, size: int = 100) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\n]+", " ")), 1, size)
 
 
+def hierarchy_dedupe(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """:func:`hierarchical_chunks` without chunks whose fingerprint the document has before, in reading order.
+
+    Parents and children share one set of fingerprints.  A dropped parent takes its
+    children along, and these count for nothing later, so whether a chunk stays
+    depends on all before it: each document's fingerprints are read in order in one
+    task.  The children that stay are numbered anew.
+    """
+    number = F.regexp_extract(F.coalesce("parent_id", "chunk_id"), r"(\d+)$", 1).cast("long")
+    rows = chunks.select(id_col, "chunk_id", number.alias("parent"), F.coalesce("child_position", F.lit(-1)).alias("place"), fingerprint(F.col("text")).alias("print"))
+
+    def stay(rows: pd.DataFrame) -> pd.DataFrame:
+        seen, kept, parents = set(), [], set()
+        for row in rows.sort_values(["parent", "place"]).itertuples():
+            if row.print not in seen and (row.place < 0 or row.parent in parents):
+                seen.add(row.print)
+                kept.append(row.Index)
+                if row.place < 0:
+                    parents.add(row.parent)
+        out = rows.loc[kept, [id_col, "chunk_id"]]
+        child = rows.loc[kept, "place"] >= 0
+        return out.assign(number=(child.cumsum() - 1).where(child, -1))
+
+    kinds = rows.schema
+    left = rows.groupBy(id_col).applyInPandas(stay, f"{id_col} {kinds[id_col].dataType.simpleString()}, chunk_id {kinds['chunk_id'].dataType.simpleString()}, number long")
+    named = F.when(F.col("number") >= 0, F.concat(F.col(id_col), F.lit("_child_"), F.col("number"))).otherwise(F.col("chunk_id"))
+    return chunks.join(left, [id_col, "chunk_id"]).withColumn("chunk_id", named).select(*chunks.columns)
+
+
 def fingerprint_dedupe(chunks: DataFrame, by: list[str], order: list[str], text_col: str = "text") -> DataFrame:
     """The first chunk, in ``order``, of each fingerprint within ``by``."""
     first = Window.partitionBy(*by, "__print").orderBy(*order)
@@ -140,15 +174,19 @@ def split_oversize(chunks: DataFrame, id_col: str = "chunk_id", text_col: str =
     return small.unionByName(cut)
 
 
-def section_chunks(sections: DataFrame, sizes: dict[str, int], default: int = 1000, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+def section_chunks(sections: DataFrame, sizes: dict[str, int], default: int = 1000, id_col: str = "doc_id", text_col: str = "content", overlap: int = 0) -> DataFrame:
     """Chunks of ``id, section_no, section_type, content``, of a size by section type; numbers run over the document.
 
-    A section's chunks, joined in order, give it again.  Empty and null sections give none.
+    A section's chunks, without their first ``shared`` characters, give it again when
+    joined in order.  Empty and null sections give none.
     """
     known = F.create_map(*[F.lit(x) for item in sizes.items() for x in item]) if sizes else F.lit(None).cast("map<string,int>")
     size = F.coalesce(F.try_element_at(known, F.col("section_type")), F.lit(default))
     cut = sections.where(F.length(text_col) > 0).withColumn("__size", size)
-    packed = pack_units(_units(F.col(text_col), F.col("__size"), SEPARATORS), F.col("__size"))
-    rows = cut.select(id_col, "section_no", "section_type", F.posexplode(packed).alias("position", "text"))
+    packed = pack_units(_units(F.col(text_col), F.col("__size") - overlap, SEPARATORS), F.col("__size") - overlap)
+    rows = cut.select(id_col, "section_no", "section_type", packed.alias("__parts"))
+    rows = rows.select(id_col, "section_no", "section_type", "__parts", F.posexplode("__parts").alias("position", "text"))
+    rows = rows.withColumn("__shared", _shared(overlap) if overlap else F.lit("")).drop("__parts")
+    rows = rows.select(id_col, "section_no", "section_type", "position", F.concat("__shared", "text").alias("text"), F.length("__shared").alias("shared"))
     number = (F.row_number().over(Window.partitionBy(id_col).orderBy("section_no", "position")) - 1).cast("long")
     return rows.withColumn("chunk_index", number).drop("position")

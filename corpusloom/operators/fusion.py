@@ -55,12 +55,15 @@ def overlap_rerank(candidates: DataFrame, n: int = 5, query: str = "query", text
     return top_k(scored, n, [F.desc("score"), "chunk_id"])
 
 
-def multi_query(hits: DataFrame, n: int = 10, parent: str = "parent_id") -> DataFrame:
-    """Hits of sub-queries as one list a parent: max(n // sub-queries, 2) each, one row per chunk."""
+def multi_query(hits: DataFrame, n: int = 10, parent: str = "parent_id", same: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """Hits of sub-queries as one list a parent: max(n // sub-queries, 2) each; of equal ``same`` the first sub-query's.
+
+    ``same`` may be the document and the start of the text, so that a passage that was indexed twice counts once.
+    """
     each = F.greatest(F.lit(2), F.floor(F.lit(n) / F.size(F.collect_set("query_id").over(Window.partitionBy(parent)))))
-    kept = hits.withColumn("__each", each).where(F.col("rank") <= F.col("__each")).drop("__each", "rank")
-    once = Window.partitionBy(parent, "chunk_id").orderBy(F.desc("score"), "query_id")
-    rows = kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    kept = hits.withColumn("__each", each).where(F.col("rank") <= F.col("__each")).drop("__each")
+    once = Window.partitionBy(parent, *same).orderBy("query_id", "rank")
+    rows = kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n", "rank")
     return top_k(rows, n, [F.desc("score"), "chunk_id"], parent)
 
 

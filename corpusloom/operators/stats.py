@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import patterns as P
+
 
 def corpus_stats(chunks: DataFrame, doc: str = "doc_id", year: str = "year") -> DataFrame:
     """One row: chunks, documents, and the range of plausible years (0 if none)."""
@@ -36,19 +38,18 @@ def topic_stats(docs: DataFrame, by: str, year: str = "year") -> DataFrame:
     return docs.groupBy(by).agg(F.count("*").alias("n_docs"), F.round(F.avg(year), 6).alias("avg_year"), F.min(year).alias("year_min"), F.max(year).alias("year_max"))
 
 
-def usage_report(items: DataFrame, plans: DataFrame, owner: str = "owner", size: str = "size") -> DataFrame:
-    """Per owner: documents and bytes, and against the plan: percent used (null if unlimited) and whether one more fits."""
-    used = items.groupBy(owner, "tier").agg(F.count("*").alias("n_docs"), F.sum(size).cast("long").alias("n_bytes"))
-    share = lambda n, limit: F.round(100 * F.col(n) / F.col(limit), 6)
-    return used.join(plans, "tier", "left").select(
-        owner,
-        "tier",
-        "n_docs",
-        "n_bytes",
-        share("n_docs", "max_docs").alias("docs_percent"),
-        share("n_bytes", "max_bytes").alias("bytes_percent"),
-        (F.col("max_docs").isNull() | (F.col("n_docs") < F.col("max_docs"))).alias("may_add"),
-    )
+def usage_report(items: DataFrame, plans: DataFrame, calls: DataFrame, owner: str = "owner", size: str = "size", base: str = "kb_id") -> DataFrame:
+    """Per owner: bases, documents, bytes and calls, and against the plan: percent used (null if unlimited) and whether one more fits.
+
+    ``calls`` has ``owner`` and ``n_calls`` of the day; ``plans`` has a limit (null: none) for each, by ``tier``.
+    """
+    kinds = ("bases", "docs", "bytes", "calls")
+    used = items.groupBy(owner, "tier").agg(F.count_distinct(base).alias("n_bases"), F.count("*").alias("n_docs"), F.sum(size).cast("long").alias("n_bytes"))
+    used = used.join(calls, owner, "left").withColumn("n_calls", F.coalesce("n_calls", F.lit(0)))
+    share = lambda k: F.round(100 * F.col(f"n_{k}") / F.col(f"max_{k}"), 6).alias(f"{k}_percent")
+    fits = lambda k, name: (F.col(f"max_{k}").isNull() | (F.col(f"n_{k}") < F.col(f"max_{k}"))).alias(name)
+    counts = [f"n_{k}" for k in kinds]
+    return used.join(plans, "tier", "left").select(owner, "tier", *counts, *map(share, kinds), fits("bases", "may_add_base"), fits("docs", "may_add"), fits("calls", "may_call"))
 
 
 def retrieval_metrics(hits: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -89,18 +90,40 @@ def latency_summary(df: DataFrame, by: str, value: str, bins: int = 1024) -> Dat
     return summary.join(found, by, "left").select(by, "n", "mean", "median", "stdev", "least", "most", "p95")
 
 
-def picked_keywords(text: Column, n: int) -> Column:
-    """The first n different lower-case words of four or more letters or digits."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{4,})"), 1)), 1, n)
+def _plain_words(text: Column, apart: str) -> Column:
+    """Words in lower case with only their letters and digits; the characters ``apart`` part words as spaces do."""
+    parts = F.split(F.translate(text, apart, " " * len(apart)), r"\s+")
+    return F.transform(parts, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")))
+
 
+def picked_keywords(text: Column, n: int, stop: list[str]) -> Column:
+    """The first n different words of four or more letters or digits that are no stop words; none of a null."""
+    words = F.filter(_plain_words(F.coalesce(text, F.lit("")), "-/"), lambda w: (F.length(w) >= 4) & ~w.isin(stop))
+    return F.slice(F.array_distinct(words), 1, n)
 
-def eval_set(docs: DataFrame, n: int = 20, m: int = 3) -> DataFrame:
-    """Test queries from the largest (topic, phase) groups: expected ids and words of the first document."""
-    size = docs.groupBy("topic", "phase").agg(F.count("*").alias("n_docs"), F.min_by("title", "doc_id").alias("title"))
+
+def topic_tokens(topic: Column, stop: list[str]) -> Column:
+    """The words of a topic's name, of four or more letters or digits and no stop words."""
+    return F.filter(_plain_words(F.coalesce(topic, F.lit("")), "_"), lambda w: (F.length(w) >= 4) & ~w.isin(stop))
+
+
+def eval_set(docs: DataFrame, n: int = 20, m: int = 3, stop: list[str] = P.EVAL_STOPS) -> DataFrame:
+    """Test queries from the largest (topic, phase) groups: expected ids, words of the topic and keywords.
+
+    The keywords are four of the first document's abstract or, where it has none, three
+    of its title; those that the topic's name has too are preferred.
+    """
+    first_of = lambda c: F.min_by(c, "doc_id").alias(c)
+    size = docs.groupBy("topic", "phase").agg(F.count("*").alias("n_docs"), first_of("title"), first_of("abstract"))
     first = docs.withColumn("r", F.row_number().over(Window.partitionBy("topic", "phase").orderBy("doc_id"))).where(F.col("r") <= m)
     expected = first.groupBy("topic", "phase").agg(F.sort_array(F.collect_list("doc_id")).alias("expected"))
     top = size.orderBy(F.desc("n_docs"), "topic", "phase").limit(n).join(expected, ["topic", "phase"])
-    return top.select("topic", "phase", "n_docs", F.array_join("expected", ",").alias("expected"), F.concat_ws(" ", "topic", F.array_join(picked_keywords(F.col("title"), 4), " ")).alias("query"))
+    top = top.withColumns({"__a": picked_keywords(F.col("abstract"), 4, stop), "__t": picked_keywords(F.col("title"), 3, stop), "__w": topic_tokens(F.col("topic"), stop)})
+    top = top.withColumn("__k", F.when(F.size("__a") > 0, F.col("__a")).otherwise(F.col("__t")))
+    shared = F.filter("__k", lambda w: F.array_contains("__w", w))
+    words = F.when(F.size("__w") > 0, F.slice("__w", 1, 3)).otherwise(F.array(F.translate("topic", "_", " ")))
+    query = F.trim(F.array_join(F.concat(words, F.when(F.size(shared) > 0, shared).otherwise(F.col("__k"))), " "))
+    return top.select("topic", "phase", "n_docs", F.array_join("expected", ",").alias("expected"), query.alias("query"))
 
 
 def citation_correctness(cited: DataFrame, truth: DataFrame) -> DataFrame:

@@ -19,14 +19,20 @@ def access_check(requests: DataFrame, bases: DataFrame) -> DataFrame:
     return met.select("request_id", decision.alias("decision"))
 
 
-def delete_document(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the rows of the documents in ``gone``; relations lose both directions."""
+def delete_document(tables: dict[str, DataFrame], gone: DataFrame, below: dict[str, tuple[str, str]] | None = None) -> dict[str, DataFrame]:
+    """Every table without the rows of the documents in ``gone``; relations lose both directions.
+
+    ``below`` names for tables without a ``doc_id`` the table above and the column they
+    share, such as ``{"postings": ("chunks", "chunk_id")}``: rows go with the last row above them.
+    """
     out = {}
     for name, df in tables.items():
         for col in ("doc_id", "related_doc_id"):
             if col in df.columns:
                 df = df.join(gone.select(F.col("doc_id").alias(col)), col, "left_anti")
         out[name] = df
+    for name, (above, key) in (below or {}).items():
+        out[name] = out[name].join(out[above].select(key).distinct(), key, "left_semi")
     return out
 
 

@@ -59,7 +59,7 @@ def plain_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text", F.expr(_HEADED))
     heads = {h.lower(): f"{h}:$" for h in _HEADS}
-    return chunking.section_chunks(T.sections(docs, heads, list(heads)), P.SECTION_SIZES)
+    return chunking.section_chunks(T.sections(docs, heads, list(heads)), P.SECTION_SIZES, overlap=300)
 
 
 # -- questions

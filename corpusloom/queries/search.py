@@ -263,13 +263,15 @@ def overlap_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.overlap_rerank(rows).select("query_id", "rank", "chunk_id", "score")
 
 
-@query(f"""WITH {_SCORED}, sized AS (SELECT query_id // 4 AS parent_id, query_id, rank, chunk_id, score FROM sparse WHERE rank <= 10),
+@query(f"""WITH {_SCORED}, sized AS (SELECT query_id // 4 AS parent_id, query_id, rank, chunk_id, score, source, substr(text, 1, 50) AS head FROM sparse JOIN documents ON doc_id = chunk_id WHERE rank <= 10),
 per AS (SELECT parent_id, greatest(2, 10 // count(DISTINCT query_id)) AS each FROM sized GROUP BY parent_id),
-once AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY parent_id, chunk_id ORDER BY score DESC, query_id) AS n FROM sized s JOIN per USING (parent_id) WHERE rank <= each) WHERE n = 1)
+once AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY parent_id, source, head ORDER BY query_id, rank) AS n FROM sized s JOIN per USING (parent_id) WHERE rank <= each) WHERE n = 1)
 SELECT parent_id, rank, chunk_id, query_id, score FROM (SELECT parent_id, chunk_id, query_id, score, row_number() OVER (PARTITION BY parent_id ORDER BY score DESC, chunk_id) AS rank FROM once) WHERE rank <= 10""")
 def multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _sparse(spark, sf_dir, 10).withColumn("parent_id", F.floor(F.col("query_id") / 4))
-    return fusion.multi_query(hits).select("parent_id", "rank", "chunk_id", "query_id", "score")
+    """The source stands for the document; passages of one with the same first characters count once."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.substring("text", 1, 50).alias("head"))
+    hits = _sparse(spark, sf_dir, 10).withColumn("parent_id", F.floor(F.col("query_id") / 4)).join(docs, "chunk_id")
+    return fusion.multi_query(hits, same=("source", "head")).select("parent_id", "rank", "chunk_id", "query_id", "score")
 
 
 @query(f"""WITH {_SCORED}, strict AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM scored JOIN documents ON doc_id = chunk_id WHERE score > 0 AND lang = 'de' AND n_chars < 400)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,16 +72,20 @@ def topic_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.topic_stats(papers(spark, sf_dir), "topic")
 
 
-@query(f"""WITH plans(tier, max_docs, max_bytes) AS (VALUES ('free', 50, 200000), ('pro', 500, 2000000), ('enterprise', NULL, NULL)),
-u AS (SELECT o_custkey % 97 AS owner, CASE (o_custkey % 97) % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'pro' ELSE 'enterprise' END AS tier, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders),
-g AS (SELECT owner, tier, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS n_bytes FROM u GROUP BY ALL)
-SELECT owner, tier, n_docs, n_bytes, round(100.0::DOUBLE * n_docs / max_docs, 6) AS docs_percent, round(100.0::DOUBLE * n_bytes / max_bytes, 6) AS bytes_percent, max_docs IS NULL OR n_docs < max_docs AS may_add FROM g LEFT JOIN plans USING (tier)""")
+@query(f"""WITH plans(tier, max_docs, max_bases, max_bytes, max_calls) AS (VALUES ('free', 50, 3, 104857600, 500), ('pro', 500, 20, 5368709120, 10000), ('enterprise', NULL, NULL, NULL, NULL)),
+c AS (SELECT user_id % 97 AS owner, count(*) AS n_calls FROM events GROUP BY 1),
+u AS (SELECT o_custkey % 97 AS owner, o_custkey AS kb_id, CASE (o_custkey % 97) % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'pro' ELSE 'enterprise' END AS tier, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders),
+g AS (SELECT owner, tier, count(DISTINCT kb_id) AS n_bases, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS n_bytes FROM u GROUP BY ALL), j AS (SELECT g.*, coalesce(n_calls, 0) AS n_calls FROM g LEFT JOIN c USING (owner))
+SELECT owner, tier, n_bases, n_docs, n_bytes, n_calls, {", ".join(f"round(100.0::DOUBLE * n_{k} / max_{k}, 6) AS {k}_percent" for k in ("bases", "docs", "bytes", "calls"))},
+  max_bases IS NULL OR n_bases < max_bases AS may_add_base, max_docs IS NULL OR n_docs < max_docs AS may_add, max_calls IS NULL OR n_calls < max_calls AS may_call FROM j LEFT JOIN plans USING (tier)""")
 def usage_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = spark.createDataFrame([p[:3] for p in P.PLANS], "tier string, max_docs long, max_bytes long")
+    """Customers stand for knowledge bases, orders for documents and events for calls."""
+    plans = spark.createDataFrame(P.PLANS, "tier string, max_docs long, max_bases long, max_bytes long, max_calls long")
+    calls = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 97).alias("owner")).agg(F.count("*").alias("n_calls"))
     owner = F.col("o_custkey") % 97
     tier = F.element_at(F.array(F.lit("free"), F.lit("pro"), F.lit("enterprise")), (owner % 3 + 1).cast("int"))
-    items = table(spark, sf_dir, "orders").select(owner.alias("owner"), tier.alias("tier"), F.floor("o_totalprice").cast("long").alias("size"))
-    return stats.usage_report(items, plans)
+    items = table(spark, sf_dir, "orders").select(owner.alias("owner"), F.col("o_custkey").alias("kb_id"), tier.alias("tier"), F.floor("o_totalprice").cast("long").alias("size"))
+    return stats.usage_report(items, plans, calls)
 
 
 _TRUTH = "truth AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -114,11 +120,29 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.latency_summary(table(spark, sf_dir, "events"), "event_type", "value")
 
 
-@query(f"""WITH {PAPERS}, g AS (SELECT topic, phase, count(*) AS n_docs, array_to_string(list_sort(list(doc_id))[1:3], ',') AS expected, arg_min(title, doc_id) AS title FROM papers GROUP BY ALL),
-w AS (SELECT *, regexp_extract_all(lower(title), '[a-z0-9]{{4,}}') AS ws FROM g ORDER BY n_docs DESC, topic, phase LIMIT 20)
-SELECT topic, phase, n_docs, expected, topic || ' ' || array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i : list_position(ws, ws[i]) = i)[1:4], lambda i : ws[i]), ' ') AS query FROM w""")
+_STOPS = "[" + ", ".join(f"'{w}'" for w in P.EVAL_STOPS) + "]"
+#: Topics whose names share words with texts, have short and stop words, or only these; half of the documents have an abstract.
+_NAMED = "CASE CAST(substr(topic, 4) AS INT) % 4 WHEN 0 THEN topic WHEN 1 THEN 'The_' || substr(title, 1, 12) || '_of' WHEN 2 THEN 'a_study' ELSE topic || '_case' END"
+
+
+def _kept_words(text: str, apart: str) -> str:
+    plain = f"list_transform(regexp_split_to_array(translate(coalesce({text}, ''), '{apart}', '{' ' * len(apart)}'), '\\s+'), lambda w : lower(regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')))"
+    return f"list_filter({plain}, lambda w : length(w) >= 4 AND NOT list_contains({_STOPS}, w))"
+
+
+def _first_words(name: str, n: int) -> str:
+    return f"list_transform(list_filter(range(1, len({name}) + 1), lambda i : list_position({name}, {name}[i]) = i)[1:{n}], lambda i : {name}[i])"
+
+
+@query(f"""WITH {PAPERS}, t AS (SELECT doc_id, title, phase, {_NAMED} AS topic, CASE WHEN doc_id % 2 = 0 THEN text END AS abstract FROM papers),
+g AS (SELECT topic, phase, count(*) AS n_docs, array_to_string(list_sort(list(doc_id))[1:3], ',') AS expected, min(doc_id) AS first FROM t GROUP BY ALL),
+w AS (SELECT g.*, {_kept_words("abstract", "-/")} AS a, {_kept_words("title", "-/")} AS b, {_kept_words("g.topic", "_")} AS w FROM g JOIN t ON doc_id = first ORDER BY n_docs DESC, g.topic, g.phase LIMIT 20),
+k AS (SELECT *, CASE WHEN len(a) > 0 THEN {_first_words("a", 4)} ELSE {_first_words("b", 3)} END AS k FROM w),
+s AS (SELECT *, list_filter(k, lambda x : list_contains(w, x)) AS s FROM k)
+SELECT topic, phase, n_docs, expected, trim(array_to_string(list_concat(CASE WHEN len(w) > 0 THEN w[1:3] ELSE [replace(topic, '_', ' ')] END, CASE WHEN len(s) > 0 THEN s ELSE k END), ' ')) AS query FROM s""")
 def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.eval_set(papers(spark, sf_dir))
+    docs = papers(spark, sf_dir).withColumn("topic", F.expr(_NAMED)).withColumn("abstract", F.when(F.col("doc_id") % 2 == 0, F.col("text")))
+    return stats.eval_set(docs)
 
 
 @query(f"WITH {PAPERS} SELECT topic, phase, sum(total_pages)::BIGINT AS pages, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w : w <> '')))::BIGINT AS words FROM papers GROUP BY ALL")
@@ -338,14 +362,29 @@ def access_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tenancy.access_check(asked, _bases(spark))
 
 
-@query(f"""WITH {CHUNKS}, gone AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT 'chunks' AS name, count(*) AS n FROM chunks WHERE doc_id NOT IN (SELECT * FROM gone)
-UNION ALL SELECT 'relations', count(*) FROM (SELECT doc_id, doc_id + 1 AS related_doc_id FROM documents) WHERE doc_id NOT IN (SELECT * FROM gone) AND related_doc_id NOT IN (SELECT * FROM gone)""")
+_LINES = "SELECT doc_id, doc_id || '-' || i AS claim_id FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""WITH {CHUNKS}, gone AS (SELECT doc_id FROM labels WHERE toxic = 1), c AS (SELECT doc_id, chunk_id FROM chunks WHERE doc_id NOT IN (SELECT * FROM gone)),
+l AS ({_LINES}), k AS (SELECT * FROM l WHERE doc_id NOT IN (SELECT * FROM gone))
+SELECT 'chunks' AS name, chunk_id AS id FROM c
+UNION ALL SELECT 'relations', doc_id || '-' || (doc_id + 1) FROM documents WHERE doc_id NOT IN (SELECT * FROM gone) AND doc_id + 1 NOT IN (SELECT * FROM gone)
+UNION ALL SELECT 'postings', chunk_id || ' the' FROM chunks WHERE contains(lower(text), 'the') AND chunk_id IN (SELECT chunk_id FROM c)
+UNION ALL SELECT 'claims', claim_id FROM k UNION ALL SELECT 'gaps', claim_id || ' weak' FROM l WHERE doc_id % 3 = 0 AND claim_id IN (SELECT claim_id FROM k)""")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines are claims, of which every third document's have a gap; postings are those of one term."""
     docs = table(spark, sf_dir, "documents")
-    relations = docs.select("doc_id", (F.col("doc_id") + 1).alias("related_doc_id"))
-    left = tenancy.delete_document({"chunks": chunking.fixed_chunks(docs), "relations": relations}, table(spark, sf_dir, "labels").where("toxic = 1"))
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
-    return counts[0].union(counts[1])
+    chunks = chunking.fixed_chunks(docs)
+    claims = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", F.concat("doc_id", F.lit("-"), "i").alias("claim_id"))
+    tables = {
+        "chunks": chunks.select("doc_id", "chunk_id", F.col("chunk_id").alias("id")),
+        "relations": docs.select("doc_id", (F.col("doc_id") + 1).alias("related_doc_id")).withColumn("id", F.concat("doc_id", F.lit("-"), "related_doc_id")),
+        "postings": chunks.where(F.contains(F.lower("text"), F.lit("the"))).select("chunk_id", F.concat("chunk_id", F.lit(" the")).alias("id")),
+        "claims": claims.withColumn("id", F.col("claim_id")),
+        "gaps": claims.where("doc_id % 3 = 0").select("claim_id", F.concat("claim_id", F.lit(" weak")).alias("id")),
+    }
+    left = tenancy.delete_document(tables, table(spark, sf_dir, "labels").where("toxic = 1"), {"postings": ("chunks", "chunk_id"), "gaps": ("claims", "claim_id")})
+    return reduce(DataFrame.union, [df.select(F.lit(name).alias("name"), "id") for name, df in left.items()])
 
 
 @query("""SELECT doc_id, doc_id + 1 AS related_doc_id, 0.5::DOUBLE AS score FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id, doc_id + 2, 0.75::DOUBLE FROM documents WHERE doc_id % 10 = 0""")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import session
-from corpusloom.operators import bm25, chunking, dense, filters, fusion, knowledge, stats
+from corpusloom.operators import bm25, chunking, dense, filters, fusion, knowledge, stats, tenancy
 from corpusloom.operators import text as T
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.ranking import distributed_rank
@@ -358,3 +358,31 @@ def test_saved_index_is_built_once(spark, tmp_path):
 def test_models_of_the_caller(spark):
     out = io.with_model(spark.range(5), lambda frame: frame.assign(score=frame["id"] * 0.5), "id long, score double")
     assert {r.id: r.score for r in out.collect()} == {k: k / 2 for k in range(5)}
+
+
+def test_hierarchy_without_repeated_chunks(spark):
+    same, other, tail = "a " * 60, "b " * 60, "c " * 60
+    rows = [(0, 0, same, [same + "x", other]), (1, 1, same, [tail]), (2, 2, tail, [tail + "y", other, "d " * 60])]
+    chunks = [(7, f"7_parent_{n}", None, "parent", None, text) for n, _, text, _ in rows]
+    chunks += [(7, f"7_child_{n}{k}", f"7_parent_{n}", "child", k, text) for n, _, _, below in rows for k, text in enumerate(below)]
+    df = spark.createDataFrame(chunks, "doc_id long, chunk_id string, parent_id string, chunk_type string, child_position long, text string")
+    got = {(r.chunk_id, r.parent_id, r.text[0]) for r in chunking.hierarchy_dedupe(df).collect()}
+    # the second parent repeats the first and takes its child along, so the third, which begins like that child, stays; first children repeat their parents
+    want = {("7_parent_0", None, "a"), ("7_child_0", "7_parent_0", "b"), ("7_parent_2", None, "c"), ("7_child_1", "7_parent_2", "d")}
+    assert got == want
+    assert chunking.hierarchy_dedupe(df.limit(0)).count() == 0
+
+
+def test_overlapping_sections_give_themselves_again(spark):
+    text = " ".join(f"word{k}." for k in range(600))
+    out = chunking.section_chunks(spark.createDataFrame([(1, 0, "abstract", text)], "doc_id long, section_no int, section_type string, content string"), {"abstract": 1500}, overlap=300)
+    rows = out.orderBy("chunk_index").collect()
+    assert "".join(r.text[r.shared :] for r in rows) == text and all(len(r.text) <= 1500 for r in rows) and all(0 < r.shared <= 300 for r in rows[1:])
+
+
+def test_deleting_reaches_tables_below(spark):
+    chunks = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, chunk_id string")
+    postings = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y")], "chunk_id string, term string")
+    gone = spark.createDataFrame([(2,)], "doc_id long")
+    left = tenancy.delete_document({"chunks": chunks, "postings": postings}, gone, {"postings": ("chunks", "chunk_id")})
+    assert [tuple(r) for r in left["postings"].collect()] == [("a", "x")]
