@@ -129,14 +129,6 @@ COMPLEX = [
     r"\bevolution of\b",
     r"\bhistorical (?:development|trajectory|analysis)\b",
 ]
-TOPIC_KEYWORDS = [
-    "ruhr", "ruhrgebiet", "ruhr valley", "nrw", "north rhine-westphalia", "germany", "german", "european", "europe",
-    "deindustrialization", "tertiarization", "structural change", "business formation", "entrepreneurship", "startups",
-    "economic transition", "regional development", "resilience", "varieties of capitalism", "voc", "institutional",
-    "institutions", "lme", "cme", "coordinated market", "liberal market", "spatial panel", "econometrics", "qualitative",
-    "quantitative", "mixed methods", "case study", "inkar", "phase 1", "phase 2", "phase 3", "phase 4", "theoretical",
-    "sectoral", "context", "methodology", "covid", "pandemic", "just transition", "policy",
-]
 
 # Signs of over-generalisation and of a percentage in an answer, in any case.
 OVERGENERAL = [

@@ -228,14 +228,14 @@ def page_ranges(spans: DataFrame, pages: DataFrame, id_col: str = "doc_id") -> D
     return met.groupBy(id_col, "start", "end").agg(F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"))
 
 
-def classify_questions(df: DataFrame, text_col: str = "query") -> DataFrame:
-    """Adds ``complexity``, ``confidence``, ``word_count`` and ``topic_count``."""
+def classify_questions(df: DataFrame, subjects: list[str], text_col: str = "query") -> DataFrame:
+    """Adds ``complexity``, ``confidence``, ``word_count`` and ``topic_count``, the number of ``subjects`` (words or phrases, in lower case) in a question."""
     low = F.lower(F.trim(text_col))
     words = F.filter(F.split(F.trim(text_col), r"\s+"), lambda w: w != "")
     asked = F.length(text_col) - F.length(F.regexp_replace(text_col, r"\?", ""))
     own = F.filter(F.split(low, r"\s+"), lambda w: w != "")
     topic = lambda k: F.contains(low, F.lit(k)) if " " in k else F.array_contains(own, k)
-    topics = reduce(lambda a, b: a + b, [topic(k).cast("long") for k in P.TOPIC_KEYWORDS])
+    topics = reduce(lambda a, b: a + b, [topic(k).cast("long") for k in subjects], F.lit(0).cast("long"))
     has = lambda signs: reduce(lambda a, b: a | b, [low.rlike(p) for p in signs])
     rows = df.withColumns({"word_count": F.size(words).cast("long"), "topic_count": topics, "__q": asked, "__s": has(P.SIMPLE), "__m": has(P.MEDIUM), "__c": has(P.COMPLEX)})
     w, t, q = F.col("word_count"), F.col("topic_count"), F.col("__q")

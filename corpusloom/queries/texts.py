@@ -201,11 +201,21 @@ def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.page_ranges(spans, pages)
 
 
+# The subject words of one collection, for the topics that a question names.
+TOPIC_KEYWORDS = [
+    "ruhr", "ruhrgebiet", "ruhr valley", "nrw", "north rhine-westphalia", "germany", "german", "european", "europe",
+    "deindustrialization", "tertiarization", "structural change", "business formation", "entrepreneurship", "startups",
+    "economic transition", "regional development", "resilience", "varieties of capitalism", "voc", "institutional",
+    "institutions", "lme", "cme", "coordinated market", "liberal market", "spatial panel", "econometrics", "qualitative",
+    "quantitative", "mixed methods", "case study", "inkar", "phase 1", "phase 2", "phase 3", "phase 4", "theoretical",
+    "sectoral", "context", "methodology", "covid", "pandemic", "just transition", "policy",
+]
+
 #: User turns, with openings that reach every class of question.
 _ASK = """CASE conv_id % 8 WHEN 0 THEN 'What is ' WHEN 1 THEN 'How does this affect ' WHEN 2 THEN 'Compare policy and resilience in ' WHEN 3 THEN 'ruhr policy resilience? ' WHEN 4 THEN 'why? why? '
   WHEN 5 THEN 'Pros and cons of ' WHEN 6 THEN 'What role of structural change, case study, nrw ' ELSE '' END || text"""
 _any = lambda signs: " OR ".join(f"regexp_matches(q, '{p}')" for p in signs)
-_topics = " + ".join(f"CAST(contains(q, '{k}') AS INT)" if " " in k else f"CAST(list_contains(ws, '{k}') AS INT)" for k in P.TOPIC_KEYWORDS)
+_topics = " + ".join(f"CAST(contains(q, '{k}') AS INT)" if " " in k else f"CAST(list_contains(ws, '{k}') AS INT)" for k in TOPIC_KEYWORDS)
 
 
 @query(f"""WITH r AS (SELECT conv_id, turn, {_ASK} AS query FROM conversations WHERE role = 'user'),
@@ -217,7 +227,7 @@ SELECT conv_id, turn, CAST(w AS BIGINT) AS word_count, CAST(t AS BIGINT) AS topi
     WHEN m AND (t >= 2 OR w >= 20) THEN 0.85 WHEN m THEN 0.75 WHEN s THEN 0.85 WHEN w <= 15 THEN 0.7 ELSE 0.6 END AS DOUBLE) AS confidence FROM f""")
 def classify_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.expr(_ASK).alias("query"))
-    return T.classify_questions(asked).drop("query")
+    return T.classify_questions(asked, TOPIC_KEYWORDS).drop("query")
 
 
 _GROUPS = [["the", "this thing", "that thing"], ["Of", "from it", "by it", "with it"], ["xyzzy", "and", "or else"], ["nowhere", "not there"]]
