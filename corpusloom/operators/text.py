@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import patterns as P
 
 
+#: White space that is cut off the ends of lines and entries.
+SPACE = " \t\n\r\x0b\x0c"
+
 # A line that holds one of these is no title.
 NOT_A_TITLE = ("page", "http", r"www\.", "@", "copyright", "confidential")
 
@@ -144,9 +147,9 @@ def find_doi(text: Column) -> Column:
 
 
 def keyword_line(text: Column, most: int = 10) -> Column:
-    """The entries after ``Keywords``, longer than two characters."""
-    line = F.regexp_extract(text, r"(?i)keywords?[\s:\-]*([^\n]+)", 1)
-    return F.slice(F.filter(F.transform(F.split(line, "[,;•·]"), lambda k: F.trim(k)), lambda k: F.length(k) > 2), 1, most)
+    """The entries after ``Keywords`` and on the line below, longer than two characters."""
+    said = F.regexp_extract(text, r"(?i)keywords?[\s:\-]*([^\n]+(?:\n[^\n]+)?)", 1)
+    return F.slice(F.filter(F.transform(F.split(said, "[,;•·]"), lambda k: F.btrim(k, F.lit(SPACE))), lambda k: F.length(k) > 2), 1, most)
 
 
 def phrases(text: Column) -> Column:
@@ -155,7 +158,8 @@ def phrases(text: Column) -> Column:
 
 
 def normalize_authors(names: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != ""))
+    """White space inside a name becomes one space; blank and repeated names are dropped."""
+    return F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(F.regexp_replace(n, r"\s+", " "))), lambda n: n != ""))
 
 
 def normalize_doi(doi: Column) -> Column:
@@ -200,21 +204,29 @@ def page_text(df: DataFrame, page_sep: str, id_col: str = "doc_id", text_col: st
 def sections(df: DataFrame, headings: dict[str, str], expected: list[str], id_col: str = "doc_id", text_col: str = "text", shortest: int = 100) -> DataFrame:
     """``id, section_no, section_type, content, confidence``.
 
-    A line that matches a heading opens a section that runs to the next one; text
-    before the first heading is left out.  Confidence is the share of the expected
-    types that the document has.
+    A line that begins with a heading opens a section that runs to the next one and
+    holds the heading too; text before the first heading and blank lines are left out.
+    Sections of at most ``shortest`` characters are dropped, and documents without a
+    section (or a text) give no row.  Confidence is the share of the expected types that
+    the document has.  Each document is cut where it is read, without a shuffle.
     """
-    lines = df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    kind = reduce(lambda acc, item: acc.when(F.col("line").rlike(f"(?i)^\\s*{item[1]}"), item[0]), headings.items(), F.when(F.lit(False), F.lit("")))
-    so_far = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("kind", kind).select(
-        id_col, "pos", "line", F.col("kind").isNotNull().alias("heading"), F.last("kind", True).over(so_far).alias("section_type"), F.count("kind").over(so_far).alias("section_no")
-    )
-    body = marked.where("section_no > 0 and not heading")
-    joined = F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n"))
-    out = body.groupBy(id_col, "section_no", "section_type").agg(joined.alias("content")).where(F.length("content") > shortest)
-    found = out.groupBy(id_col).agg((F.count_distinct(F.when(F.col("section_type").isin(expected), F.col("section_type"))) / len(expected)).alias("confidence"))
-    return out.join(found, id_col)
+    lines = F.filter(F.split(text_col, "\n"), lambda l: F.btrim(l, F.lit(SPACE)) != "")
+    kind = lambda l: reduce(lambda acc, item: acc.when(F.btrim(l, F.lit(SPACE)).rlike(f"(?i)^(?:{item[1]})"), item[0]), headings.items(), F.when(F.lit(False), F.lit("")))
+    cut = df.select(id_col, lines.alias("__l")).withColumn("__k", F.transform("__l", kind))
+    numbers = F.when(F.size("__l") > 0, F.sequence(F.lit(1), F.size("__l")))
+    cut = cut.withColumn("__s", F.filter(numbers, lambda i: F.element_at("__k", i).isNotNull()))
+
+    def section(start: Column, number: Column) -> Column:
+        end = F.coalesce(F.try_element_at("__s", number + 2), F.size("__l") + 1)
+        content = F.btrim(F.array_join(F.slice("__l", start, end - start), "\n"), F.lit(SPACE))
+        return F.struct((number + 1).alias("section_no"), F.element_at("__k", start).alias("section_type"), content.alias("content"))
+
+    found = cut.select(id_col, F.transform("__s", section).alias("__f"))
+    found = found.select(id_col, F.filter("__f", lambda f: F.length(f["content"]) > shortest).alias("__f"))
+    types = F.array_distinct(F.filter(F.transform("__f", lambda f: f["section_type"]), lambda k: k.isin(expected)))
+    # an outer explode: a plain one has a filter on its array inferred, which is pushed to the scan with all of the above in it
+    rows = found.select(id_col, (F.size(types) / len(expected)).alias("confidence"), F.explode_outer("__f").alias("__f")).where("__f is not null")
+    return rows.select(id_col, "__f.section_no", "__f.section_type", "__f.content", "confidence")
 
 
 def page_ranges(spans: DataFrame, pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -410,6 +422,7 @@ def clean_by_kind(kind: Column, text: Column) -> Column:
 
 
 def topical_keywords(text: Column, patterns: list[str], most: int = 10) -> Column:
-    """Up to ten capitalised phrases, then what the caller's topical patterns find, once each, ``most`` in all."""
+    """The first ten capitalised words and phrases, then what the caller's topical patterns find, once each, ``most`` in all."""
+    names = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)(?![\p{L}\p{N}_])"), 1)
     found = [F.regexp_extract_all(text, F.lit(f"(?i)({p})"), 1) for p in patterns]
-    return F.slice(F.array_distinct(F.concat(F.slice(phrases(text), 1, 10), *found)), 1, most)
+    return F.slice(F.array_distinct(F.concat(F.slice(names, 1, 10), *found)), 1, most)

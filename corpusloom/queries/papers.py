@@ -10,7 +10,7 @@ from corpusloom.operators import chunking, dense, fusion, knowledge
 from corpusloom.operators import text as T
 from corpusloom.queries.fixtures import PAPERS, papers, query_vectors, table, vectors
 from corpusloom.queries.search import _COSINE, _VECTORS
-from corpusloom.queries.texts import _HEADED, _HEADS
+from corpusloom.queries.texts import _HEADED
 from corpusloom.queries.views import ORACLES as _VIEW_SQL
 from corpusloom.queries.views import related_by_first_chunk
 from corpusloom.sources import tables as io
@@ -58,8 +58,7 @@ def plain_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text", F.expr(_HEADED))
-    heads = {h.lower(): f"{h}:$" for h in _HEADS}
-    return chunking.section_chunks(T.sections(docs, heads, list(heads)), P.SECTION_SIZES, overlap=300)
+    return chunking.section_chunks(T.sections(docs, P.SECTION_HEADINGS, P.EXPECTED_SECTIONS), P.SECTION_SIZES, overlap=300)
 
 
 # -- questions

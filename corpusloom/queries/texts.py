@@ -127,17 +127,41 @@ def doi_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.find_doi(with_doi).alias("doi"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_extract(t, '(?i)keywords?[\\s:\\-]*([^\\n]+)', 1), '[,;•·]'), lambda k : trim(k)), lambda k : length(k) > 2)[1:10], '|') AS keywords
-FROM (SELECT doc_id, 'Keywords: ' || replace(substr(text, 1, 200), ' ', ', ') AS t FROM documents)""")
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_extract(t, '(?i)keywords?[\\s:\\-]*([^\\n]+(?:\\n[^\\n]+)?)', 1), '[,;•·]'), lambda k : trim(k, E' \\t\\n\\r')), lambda k : length(k) > 2)[1:10], '|') AS keywords
+FROM (SELECT doc_id, 'Keywords: ' || replace(substr(text, 1, 40), ' ', ', ') || chr(10) || 'last one ; and this' || chr(10) || 'not, these' AS t FROM documents)""")
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit("Keywords: "), F.replace(F.substring("text", 1, 200), F.lit(" "), F.lit(", ")))
+    """Entries on two lines; the third is none of them."""
+    line = F.concat(F.lit("Keywords: "), F.replace(F.substring("text", 1, 40), F.lit(" "), F.lit(", ")), F.lit("\nlast one ; and this\nnot, these"))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.keyword_line(line), "|").alias("keywords"))
 
 
-@query(f"""WITH {PAPERS} SELECT doc_id, array_to_string(CASE WHEN doc_id % 7 = doc_id % 5 THEN [first_author, second_author] ELSE [first_author, second_author] END, '; ') AS authors,
+#: Stands in for the subjects of a corpus.
+_TOPICAL = ["(?:small|large) [a-z]+", "regional\\s+\\w+"]
+#: Capitalised words here and there, single and in a row, some over a line's end.
+_CAPITALS = "'Über Anna Keller' || chr(10) || 'Lang saw the small town of Bonn; Bonn saw Ärzte and Regional  Banks' || CASE WHEN doc_id % 2 = 0 THEN ' near La Tour_d and Abé' ELSE '' END || chr(10) || text"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_CAPITALS} AS t FROM documents),
+n AS (SELECT doc_id, t, regexp_extract_all(regexp_replace(t, '[À-ÖØ-öø-ÿœŒßẞ]', '_', 'g'), '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b')[1:10] || regexp_extract_all(t, '(?i)({_TOPICAL[0]})') || regexp_extract_all(t, '(?i)({_TOPICAL[1]})') AS l FROM d)
+SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i : list_position(l, l[i]) = i), lambda i : l[i])[1:10], '|') AS keywords FROM n""")
+def topical_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.topical_keywords(F.expr(_CAPITALS), _TOPICAL), "|").alias("keywords"))
+
+
+_FILE_NAMES = """CASE doc_id % 5 WHEN 0 THEN '0a1b2c3d_2004_rivers-of_the__north.pdf' WHEN 1 THEN '1999 - growth.' || 'docx' WHEN 2 THEN 'a_b.pdf' WHEN 3 THEN 'plain name ' || doc_id ELSE 'report.v' || doc_id END"""
+_STEM = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(f, '\\.[A-Za-z0-9]+$', ''), '^[0-9a-f]{8}_', ''), '^(?:19|20)[0-9]{2}[_ -]+', ''), '[_ -]+', ' ', 'g'))"
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_FILE_NAMES} AS f FROM documents)
+SELECT doc_id, CASE WHEN length({_STEM}) > 3 THEN array_to_string(list_transform(string_split({_STEM}, ' '), lambda w : upper(w[1]) || lower(w[2:])), ' ') END AS title FROM f""")
+def filename_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.title_from_filename(F.expr(_FILE_NAMES)).alias("title"))
+
+
+@query(f"""WITH {PAPERS} SELECT doc_id, array_to_string([first_author, second_author, 'Ann Lee'], '; ') AS authors,
   regexp_replace(lower(trim(' HTTPS://DOI.org/' || coalesce(doi, '10.1/X') || ' ')), '^https?://doi\\.org/', '') AS doi, TRY_CAST(CASE WHEN doc_id % 2 = 0 THEN CAST(year AS VARCHAR) ELSE 'n.d.' END AS BIGINT) AS year FROM papers""")
 def normalize_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(F.concat(F.lit(" "), "first_author"), F.col("second_author"), F.col("first_author"), F.lit(" "))
+    names = F.array(F.concat(F.lit(" "), "first_author"), F.col("second_author"), F.col("first_author"), F.lit(" "), F.lit("Ann \t Lee"))
     doi = F.concat(F.lit(" HTTPS://DOI.org/"), F.coalesce("doi", F.lit("10.1/X")), F.lit(" "))
     year = F.when(F.col("doc_id") % 2 == 0, F.col("year").cast("string")).otherwise("n.d.")
     return papers(spark, sf_dir).select("doc_id", F.array_join(T.normalize_authors(names), "; ").alias("authors"), T.normalize_doi(doi).alias("doi"), year.try_cast("long").alias("year"))
@@ -175,19 +199,41 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.page_text(table(spark, sf_dir, "documents"), "\n")
 
 
-_HEADS = ["Abstract", "Introduction", "Methods", "Results", "Conclusion"]
-#: A heading before each third line of the first fifteen.
-_HEADED = "array_join(transform(split(text, '\n'), (l, i) -> CASE WHEN i < 15 AND i % 3 = 0 THEN element_at(array('Abstract:', 'Introduction:', 'Methods:', 'Results:', 'Conclusion:'), CAST(i / 3 + 1 AS INT)) || '\n' || l ELSE l END), '\n')"
+def _headed(heads: list[str]) -> tuple[str, str]:
+    """The text with a heading before each third of its first lines, for Spark and for DuckDB."""
+    listed, last = _quoted(heads), 3 * len(heads)
+    return (
+        f"array_join(transform(split(text, '\n'), (l, i) -> CASE WHEN i < {last} AND i % 3 = 0 THEN element_at(array({listed}), CAST(i / 3 + 1 AS INT)) || '\n' || l ELSE l END), '\n')",
+        f"array_to_string(list_transform(string_split(text, chr(10)), lambda l, i : CASE WHEN i <= {last} AND i % 3 = 1 THEN ([{listed}])[i // 3 + 1] || chr(10) || l ELSE l END), chr(10))",
+    )
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
-s AS (SELECT doc_id, least(pos // 3, 4) + 1 AS section_no, trim(string_agg(line, chr(10) ORDER BY pos)) AS content FROM l GROUP BY ALL),
-k AS (SELECT *, ['abstract', 'introduction', 'methods', 'results', 'conclusion'][section_no] AS section_type FROM s WHERE length(content) > 100)
-SELECT doc_id, section_no, section_type, content, round(count(*) OVER (PARTITION BY doc_id) / 5.0::DOUBLE, 6) AS confidence FROM k""")
+def _sections_sql(text: str, headings: dict[str, str], expected: list[str], shortest: int) -> str:
+    kind = " ".join(f"WHEN regexp_matches(b, '(?i)^(?:{p})') THEN '{k}'" for k, p in headings.items())
+    return f"""WITH t AS (SELECT doc_id, string_split({text}, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
+k AS (SELECT *, CASE {kind} END AS kind FROM (SELECT *, trim(line, E' \\t\\n\\r') AS b FROM l) WHERE b <> ''),
+n AS (SELECT *, count(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS section_no FROM k),
+s AS (SELECT doc_id, section_no, max(kind) AS section_type, trim(string_agg(line, chr(10) ORDER BY pos), E' \\t\\n\\r') AS content FROM n WHERE section_no > 0 GROUP BY ALL),
+f AS (SELECT * FROM s WHERE length(content) > {shortest}), c AS (SELECT doc_id, count(DISTINCT section_type) FILTER (section_type IN ({_quoted(expected)})) AS n FROM f GROUP BY doc_id)
+SELECT doc_id, section_no, section_type, content, round(n / {len(expected)}.0::DOUBLE, 6) AS confidence FROM f JOIN c USING (doc_id)"""
+
+
+_HEADED, _HEADED_SQL = _headed(["Summary: of all", "  1. Background", "2. Research design: ", "Findings: some", "Results", "Data: more", "Literature: cited", "Concluding remarks"])
+
+
+@query(_sections_sql(_HEADED_SQL, P.SECTION_HEADINGS, P.EXPECTED_SECTIONS, 100))
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text", F.expr(_HEADED))
-    heads = {h.lower(): f"{h}:$" for h in _HEADS}
-    return T.sections(docs, heads, list(heads)).withColumn("confidence", F.round("confidence", 6))
+    return T.sections(docs, P.SECTION_HEADINGS, P.EXPECTED_SECTIONS).withColumn("confidence", F.round("confidence", 6))
+
+
+_BRIEFED, _BRIEFED_SQL = _headed(["Executive  Summary: x", "Overview - y", "Assessment of z", "Next steps: a", "Closing words", "Attachments - b"])
+
+
+@query(_sections_sql(_BRIEFED_SQL, P.BUSINESS_HEADINGS, P.EXPECTED_BUSINESS, 50))
+def business_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.expr(_BRIEFED))
+    return T.sections(docs, P.BUSINESS_HEADINGS, P.EXPECTED_BUSINESS, shortest=50).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
