@@ -66,7 +66,9 @@ def write_chunks(chunks: DataFrame, path: str, by: str = "kb_id") -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    """CSV with a header; quotes are doubled and white space at the ends of values is kept."""
+    spaces = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.mode("overwrite").options(header="true", escape='"', **spaces).csv(path)
 
 
 def write_markdown(lines: DataFrame, path: str, order: list[str], line: str = "line") -> None:
