@@ -211,7 +211,12 @@ def sections(df: DataFrame, headings: dict[str, str], expected: list[str], id_co
     the document has.  Each document is cut where it is read, without a shuffle.
     """
     lines = F.filter(F.split(text_col, "\n"), lambda l: F.btrim(l, F.lit(SPACE)) != "")
-    kind = lambda l: reduce(lambda acc, item: acc.when(F.btrim(l, F.lit(SPACE)).rlike(f"(?i)^(?:{item[1]})"), item[0]), headings.items(), F.when(F.lit(False), F.lit("")))
+    maybe = rf"(?i)^\s*(?:{'|'.join(headings.values())})"  # most lines are none, and are looked at once
+
+    def kind(line: Column) -> Column:
+        bare = F.btrim(line, F.lit(SPACE))
+        return reduce(lambda acc, item: acc.when(bare.rlike(f"(?i)^(?:{item[1]})"), item[0]), headings.items(), F.when(~line.rlike(maybe), None))
+
     cut = df.select(id_col, lines.alias("__l")).withColumn("__k", F.transform("__l", kind))
     numbers = F.when(F.size("__l") > 0, F.sequence(F.lit(1), F.size("__l")))
     cut = cut.withColumn("__s", F.filter(numbers, lambda i: F.element_at("__k", i).isNotNull()))

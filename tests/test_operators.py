@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import session
+from corpusloom.functions import patterns as P
 from corpusloom.operators import bm25, chunking, dense, filters, fusion, knowledge, stats, tenancy
 from corpusloom.operators import text as T
 from corpusloom.operators.components import connected_components
@@ -386,3 +387,28 @@ def test_deleting_reaches_tables_below(spark):
     gone = spark.createDataFrame([(2,)], "doc_id long")
     left = tenancy.delete_document({"chunks": chunks, "postings": postings}, gone, {"postings": ("chunks", "chunk_id")})
     assert [tuple(r) for r in left["postings"].collect()] == [("a", "x")]
+
+
+def test_sections_of_awkward_texts(spark):
+    long = "Methods: \n" + "word " * 30_000 + "\nAbstract: x"
+    texts = ["lead\nAbstract: " + "a" * 100 + "\n\n \tb\nAbstract\nSummary " + "c" * 100 + "\n  Results:", None, "", "\n \n", "no heading", long]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").unionByName(spark.createDataFrame([(9, texts[0])], "doc_id int, text string"))
+    found = T.sections(rows, P.SECTION_HEADINGS, P.EXPECTED_SECTIONS)
+    first = [(1, "abstract", "Abstract: " + "a" * 100 + "\n \tb\nAbstract"), (2, "abstract", "Summary " + "c" * 100)]
+    out = sorted((r.doc_id, r.section_no, r.section_type, r.content, r.confidence) for r in found.collect())
+    assert out == [(0, *f, 0.2) for f in first] + [(5, 1, "methods", long[: -len("\nAbstract: x")].strip(), 0.2)] + [(9, *f, 0.2) for f in first]
+    assert T.sections(rows.limit(0), P.SECTION_HEADINGS, P.EXPECTED_SECTIONS).count() == 0
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keywords_of_awkward_texts(spark):
+    rows = spark.createDataFrame([("Über Bonn and Bonn\nLa Tour_d Café",), ("Keywords - abc;\td e f \nghi, no\nlast",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(T.topical_keywords(F.col("t"), [r"and \w+"])).collect()] == [["Bonn", "Bonn\nLa", "and Bonn"], ["Keywords"], [], None]
+    assert [r[0] for r in rows.select(T.keyword_line(F.col("t"))).collect()] == [[], ["abc", "d e f \nghi"], [], None]
+
+
+def test_csv_keeps_values(spark, tmp_path):
+    kept = [(1, ' a "b", c '), (2, "back\\slash"), (3, "x")]
+    io.write_csv(spark.createDataFrame(kept, "k int, v string"), f"{tmp_path}/c")
+    spaces = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    assert sorted(tuple(r) for r in spark.read.options(header="true", escape='"', **spaces).schema("k int, v string").csv(f"{tmp_path}/c").collect()) == kept
