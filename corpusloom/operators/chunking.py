@@ -66,8 +66,9 @@ def recursive_chunks(df: DataFrame, id_cols: list[str], text_col: str = "text",
     packed = pack_units(_units(F.col(text_col), size - overlap, separators), size - overlap)
     cut = df.where(F.length(text_col) > 0).select(*id_cols, packed.alias("__parts"))
     if not overlap:
-        return cut.select(*id_cols, F.posexplode("__parts").alias("position", "chunk")).withColumn("shared", F.lit(0))
-    rows = cut.select(*id_cols, "__parts", F.posexplode("__parts").alias("position", "__own"))
+        # outer explodes here: a plain one has a filter on its array inferred, which is pushed down and packs the text again
+        return cut.select(*id_cols, F.posexplode_outer("__parts").alias("position", "chunk")).where("chunk is not null").withColumn("shared", F.lit(0))
+    rows = cut.select(*id_cols, "__parts", F.posexplode_outer("__parts").alias("position", "__own")).where("__own is not null")
     return rows.withColumn("__shared", _shared(overlap)).select(*id_cols, "position", F.concat("__shared", "__own").alias("chunk"), F.length("__shared").alias("shared"))
 
 
@@ -185,7 +186,7 @@ def section_chunks(sections: DataFrame, sizes: dict[str, int], default: int = 10
     cut = sections.where(F.length(text_col) > 0).withColumn("__size", size)
     packed = pack_units(_units(F.col(text_col), F.col("__size") - overlap, SEPARATORS), F.col("__size") - overlap)
     rows = cut.select(id_col, "section_no", "section_type", packed.alias("__parts"))
-    rows = rows.select(id_col, "section_no", "section_type", "__parts", F.posexplode("__parts").alias("position", "text"))
+    rows = rows.select(id_col, "section_no", "section_type", "__parts", F.posexplode_outer("__parts").alias("position", "text")).where("text is not null")
     rows = rows.withColumn("__shared", _shared(overlap) if overlap else F.lit("")).drop("__parts")
     rows = rows.select(id_col, "section_no", "section_type", "position", F.concat("__shared", "text").alias("text"), F.length("__shared").alias("shared"))
     number = (F.row_number().over(Window.partitionBy(id_col).orderBy("section_no", "position")) - 1).cast("long")
