@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
-
+from corpusloom.operators.phrases import expansions, named_groups
 
 #: White space that is cut off the ends of lines and entries.
 SPACE = " \t\n\r\x0b\x0c"
@@ -177,9 +177,8 @@ def research_type(topic: Column) -> Column:
 
 
 def geographic_focus(text: Column, rules: dict[str, list[str]], default: str) -> Column:
-    """The names of the rules one of whose substrings occurs; else ``[default]``."""
-    low = F.lower(text)
-    hits = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in subs]), F.lit(name)) for name, subs in rules.items()]))
+    """The names of the rules one of whose substrings occurs; else ``[default]``.  The rules may be many (see :mod:`phrases`)."""
+    hits = named_groups(text, rules)
     return F.when(F.size(hits) == 0, F.array(F.lit(default))).otherwise(hits)
 
 
@@ -275,21 +274,13 @@ def classify_questions(df: DataFrame, subjects: list[str], text_col: str = "quer
 def expand_terms(queries: DataFrame, groups: list[list[str]], most: int = 2, text_col: str = "query") -> DataFrame:
     """Adds ``expanded`` and ``detected``: the first ``most`` variants of each group that the text names.
 
-    A group is ``[canonical, variant, ...]``; the groups are the caller's list, in order.
+    A group is ``[canonical, variant, ...]``; the groups are the caller's list, in order,
+    and may be a hundred thousand: they are found by an automaton, not by the plan.
     """
-    low = F.lower(text_col)
-    named, added = [], []
-    for canonical, *variants in groups:
-        top = F.array(*map(F.lit, variants[:most])) if variants else F.array().cast("array<string>")
-        case = F.when(F.contains(low, F.lit(canonical.lower())), top)
-        for v in variants:
-            others = [x for x in variants[:most] if x != v]
-            case = case.when(F.contains(low, F.lit(v.lower())), F.array(F.lit(canonical), *map(F.lit, others)))
-        added.append(F.coalesce(case, F.array().cast("array<string>")))
-        named.append(F.when(case.isNotNull(), F.lit(canonical)))
-    extra = F.flatten(F.array(*added))
+    rows = queries.withColumn("__terms", expansions(F.col(text_col), groups, most))
+    extra = F.col("__terms.extra")
     expanded = F.when(F.size(extra) > 0, F.concat_ws(" ", F.col(text_col), F.array_join(extra, " "))).otherwise(F.col(text_col))
-    return queries.withColumn("expanded", expanded).withColumn("detected", F.array_compact(F.array(*named)))
+    return rows.withColumn("expanded", expanded).withColumn("detected", F.col("__terms.detected")).drop("__terms")
 
 
 def plain_title(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that register queries.
-MODULES = ("search", "texts", "tables", "views", "papers", "corpus", "files")
+MODULES = ("search", "texts", "tables", "views", "papers", "corpus", "files", "structures")
 
 
 def _all(name: str) -> dict:

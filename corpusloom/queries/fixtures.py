@@ -61,14 +61,11 @@ def paired_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve words of every benchmark passage."""
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("query"), F.col("text").alias("passage")
-    )
+    """Every benchmark passage, whole, as a question."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("text").alias("passage"))
 
 
-TEXT_QUERIES = """text_queries AS (
-  SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS query, text AS passage FROM benchmark)"""
+TEXT_QUERIES = """text_queries AS (SELECT item_id AS query_id, text AS query, text AS passage FROM benchmark)"""
 
 #: Lower-case words of two or more ASCII letters or digits that touch no other letter or digit.
 TOKENS = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda t : regexp_full_match(t, '[a-z0-9]{{2,}}'))"

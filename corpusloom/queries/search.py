@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from hashlib import md5
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import bm25, chunking, dense, filters, fusion
+from corpusloom.operators import blockmax, bm25, chunking, dense, filters, fusion, segments
 from corpusloom.queries.fixtures import CHUNKS, PAPERS, TEXT_QUERIES, TOKENS, paired_vectors, papers, query_vectors, table, text_queries, vectors
-from corpusloom.session import materialize, workspace
+from corpusloom.session import materialize, state_of, workspace
 
 QUERIES, ORACLES = {}, {}
 
@@ -87,8 +88,9 @@ sparse AS (
 
 
 def _index(spark: SparkSession, sf_dir: str) -> bm25.SparseIndex:
-    """The index of all documents: built on its first use in a session, then read from the shared folder."""
-    saved = f"{workspace(spark)}/index-{spark.sparkContext.applicationId}-{md5(sf_dir.encode()).hexdigest()}"
+    """The index of all documents: built on its first use in a session, then read from the shared folder as long as the table's files stay the same."""
+    key = f"{sf_dir} {state_of(spark, f'{sf_dir}/documents.parquet')}"
+    saved = f"{workspace(spark)}/index-{spark.sparkContext.applicationId}-{md5(key.encode()).hexdigest()}"
     return bm25.ensure_index(spark, saved, table(spark, sf_dir, "documents"), "doc_id")
 
 
@@ -106,6 +108,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sparse(spark, sf_dir, 10)
 
 
+@query(f"WITH {_SCORED.replace('SELECT item_id AS query_id, text AS query,', "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS query,")} SELECT * FROM sparse WHERE rank <= 10")
+def short_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of twelve words, as a user types them."""
+    short = F.array_join(F.slice(F.split("query", " "), 1, 12), " ")
+    return bm25.bm25_topk(_index(spark, sf_dir), text_queries(spark, sf_dir).withColumn("query", short))
+
+
 @query(f"WITH {_INDEX} SELECT count(*) AS n_docs, CAST(sum(length) AS BIGINT) AS n_tokens, round(avg(length), 6) AS avg_length FROM lens")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.index_stats(_index(spark, sf_dir)).withColumn("avg_length", F.round("avg_length", 6))
@@ -122,6 +131,45 @@ def sparse_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.build_index(table(spark, sf_dir, "documents"), "doc_id").postings.select("chunk_id", "term", "tf")
 
 
+@query(f"WITH {_SCORED} SELECT * FROM sparse WHERE rank <= 10")
+def bm25_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``bm25_topk``, from as few postings as that takes."""
+    return blockmax.blockmax_topk(blockmax.build_blocks(_index(spark, sf_dir)), text_queries(spark, sf_dir))
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> segments.StoredIndex:
+    """An index of the documents of two ids in three, then without the toxic ones and every seventh id, then with the rest and every 14th id, then without a source."""
+    docs, base = table(spark, sf_dir, "documents"), f"{workspace(spark)}/segments-{uuid4().hex}"
+    stored = segments.add(segments.create(spark, base), docs.where("doc_id % 3 < 2"), "doc_id")
+    stored = segments.remove_chunks(stored, table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
+    stored = segments.remove_chunks(stored, docs.where("doc_id % 7 = 0"), "doc_id")
+    stored = segments.add(stored, docs.where("doc_id % 3 = 2 or doc_id % 14 = 0"), "doc_id")
+    return segments.remove_documents(stored, docs.where("source = 'src3'"))
+
+
+_CHANGED = """changed AS (SELECT * FROM documents WHERE source IS DISTINCT FROM 'src3' AND (doc_id % 3 = 2 OR doc_id % 14 = 0
+  OR (doc_id % 7 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))))"""
+
+
+@query(f"WITH {_CHANGED}, {_SCORED.replace('FROM documents)', 'FROM changed)')} SELECT * FROM sparse WHERE rank <= 10")
+def segmented_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search in an index after additions and removals; its terms, lengths and scores are those of a new one."""
+    return bm25.bm25_topk(_changed(spark, sf_dir).index(), text_queries(spark, sf_dir))
+
+
+@query(f"WITH {_CHANGED}, {_INDEX.replace('FROM documents)', 'FROM changed)')} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def segmented_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.term_idf(_changed(spark, sf_dir).index()).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"""WITH {_CHANGED}, {_INDEX.replace('FROM documents)', 'FROM changed)')}
+SELECT chunk_id, term, tf, length, (SELECT count(*) FROM lens) AS n_chunks, (SELECT CAST(sum(length) AS BIGINT) FROM lens) AS n_tokens FROM postings JOIN lens USING (chunk_id)""")
+def merged_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of the changed index once its segments are one, with the counts that its entries carry."""
+    stored = segments.merge(_changed(spark, sf_dir))
+    return stored.postings().select("chunk_id", "term", "tf", "length", F.lit(stored.n_chunks).alias("n_chunks"), F.lit(stored.n_tokens).alias("n_tokens"))
+
+
 @query(f"WITH {CHUNKS} SELECT chunk_id, doc_id FROM chunks")
 def index_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks, added to an index that has those of every second document."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
-from corpusloom.operators import bm25, chunking, dense, formatting, knowledge, stats, tenancy
+from corpusloom.operators import anchors, bm25, chunking, dense, formatting, knowledge, stats, tenancy
 from corpusloom.queries.fixtures import CHUNKS, PAPERS, papers, query_vectors, table, text_queries, vectors
 from corpusloom.queries.search import _COSINE, _SCORED, _index, _sparse
 from corpusloom.queries.search import ORACLES as ORACLES_OF_SEARCH
@@ -92,19 +92,8 @@ _TRUTH = "truth AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmar
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage word for word; candidates hold all of the passage's inner tokens.
-
-    The first and the last token may be parts of longer words of a document, so
-    they are not asked for; of passages without an inner token every text is looked at.
-    """
-    asked = text_queries(spark, sf_dir).withColumn("t", bm25.tokens(F.col("passage"))).withColumn("terms", F.slice("t", 2, F.greatest(F.lit(0), F.size("t") - 2)))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    pairs = bm25.chunks_with_all(_index(spark, sf_dir), asked.where("size(terms) > 0"))
-    held = pairs.join(asked, "query_id").join(docs, "chunk_id").where(F.contains("text", "passage")).select("query_id", "chunk_id")
-    bare = asked.where("size(terms) = 0")
-    if bare.isEmpty():
-        return held
-    return held.unionByName(docs.join(bare, F.contains("text", "passage")).select("query_id", "chunk_id"))
+    """Documents that hold a passage word for word."""
+    return anchors.holders(text_queries(spark, sf_dir), table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "chunk_id"))
 
 
 @query(f"""WITH {_SCORED}, {_TRUTH}, e AS (SELECT query_id, count(*) AS expected FROM truth GROUP BY query_id),

@@ -59,13 +59,39 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return written
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in the folder ``path``; none if there is no such folder."""
+    p, fs = _files(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` and all in it."""
+    p, fs = _files(spark, path)
+    fs.delete(p, True)
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files at ``path``: another text once a table has changed."""
+    p, fs = _files(spark, path)
+    found, rows = fs.listFiles(p, True), []
+    while found.hasNext():
+        f = found.next()
+        rows.append(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}")
+    return ",".join(sorted(rows))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether Spark's file system has something at ``path``."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    p, fs = _files(spark, path)
+    return fs.exists(p)
 
 
 def discard(written: DataFrame) -> None:
     """Delete what :func:`materialize` wrote, once nothing is to be computed from it any more."""
-    path = written.sparkSession._jvm.org.apache.hadoop.fs.Path(written.scratch_path)
-    path.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    remove(written.sparkSession, written.scratch_path)
