@@ -2,9 +2,10 @@
 
 Two kinds of bands decide.  Fixed ones, wide and the same for every corpus, hold
 for whole texts and for their chunks.  Fitted ones hold for whole texts: how far
-text compresses depends on its length and its kind, so each length class takes its
-limits from the ratios of all different texts of the corpus that pass the base
-rule, as fences around the middle half.
+text compresses depends on its length and its kind, so a smooth curve over the
+logarithm of the length gives the usual ratio and its spread, learnt from all
+different texts of a corpus that pass the base rule.  A curve is a value of its
+own: with a given curve the verdict of a text depends on nothing but the text.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import materialize
@@ -23,10 +24,42 @@ from corpusloom.session import materialize
 SYMBOLS = b"#*$%&|<>"
 #: Length classes for each doubling of a text's bytes, and steps of the logarithm of a ratio.
 CLASSES, STEPS = 8, 500
-#: A doubling of length with fewer different texts has only the fixed bands, and a class with fewer no median of its own.
-LEAST_OF_OCTAVE, LEAST_OF_CLASS = 100, 20
-#: Classes over which medians are smoothed, and the least spread of the middle half, so that a family of near copies sets no narrow band.
-SMOOTH, LEAST_SPREAD = 9, 0.02
+#: Least width of the middle half of the logarithms, so that a family of near copies sets no narrow band.
+LEAST_SPREAD = 0.02
+#: What is taken to be usual before any text is seen: texts that count for each doubling of the bytes between two powers of two, logarithm of their ratio at 2**11 bytes, its slope by doubling, and its standard deviation.
+PRIOR_TEXTS, PRIOR_OCTAVES, PRIOR_CENTRE, PRIOR_SLOPE, PRIOR_SPREAD = 2.0, (7, 24), -0.75, -0.06, 0.3
+#: Residuals beyond so many standard deviations pull no harder on the curve.
+HUBER = 1.5
+#: Share of the texts that the curve leaves out at either end of the lengths; beyond, it goes straight and the spread doubles by doubling.
+ENDS = 0.005
+
+
+@dataclass(frozen=True)
+class Curve:
+    """Usual logarithm of the ratio (quadratic in the doublings of the length) and the logarithm of its standard deviation."""
+
+    centre: tuple[float, float, float]
+    spread: tuple[float, float, float]
+    #: doublings between which texts were seen
+    low: float
+    high: float
+
+    def at(self, doublings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Centre and width of the middle half at lengths of ``2 ** doublings`` bytes."""
+        inside = np.clip(doublings, self.low, self.high)
+        beyond = np.abs(doublings - inside)
+        centre = np.polyval(self.centre[::-1], inside - 11) + PRIOR_SLOPE * (doublings - inside)
+        return centre, np.maximum(1.349 * np.exp(np.polyval(self.spread[::-1], inside - 11)) * 2.0**beyond, LEAST_SPREAD)
+
+    def limits(self, size: Column, fence: float) -> tuple[Column, Column]:
+        """Lowest and highest ratio of a text of ``size`` bytes: fences of so many widths beyond the middle half."""
+        doublings = F.log2(size)
+        inside = F.least(F.greatest(doublings, F.lit(self.low)), F.lit(self.high))
+        x = inside - 11
+        centre = F.lit(self.centre[0]) + self.centre[1] * x + self.centre[2] * x * x + PRIOR_SLOPE * (doublings - inside)
+        width = F.exp(F.lit(self.spread[0]) + self.spread[1] * x + self.spread[2] * x * x) * F.pow(F.lit(2.0), F.abs(doublings - inside))
+        reach = (0.5 + fence) * F.greatest(1.349 * width, F.lit(LEAST_SPREAD))
+        return F.exp(centre - reach), F.exp(centre + reach)
 
 
 @dataclass(frozen=True)
@@ -51,8 +84,8 @@ class Bands:
     )
     #: a text is rejected if more than this share of its chunks is out of its band
     bad_chunks: float = 0.25
-    #: fitted limits lie so many spreads of the middle half beyond it; infinite: fixed bands only
-    fence: float = 2.5
+    #: fitted limits lie so many widths of the middle half beyond it; infinite: fixed bands only
+    fence: float = 2.0
 
     def limits(self, size: int) -> tuple[float, float]:
         found = (0.0, float("inf"))
@@ -113,43 +146,43 @@ def compression(text: str, bands: Bands, compressor: zstandard.ZstdCompressor) -
     return ratio, len(begins), bad, low <= ratio <= high and bad <= bands.bad_chunks * len(begins)
 
 
-def fit_limits(histogram: list[tuple[int, int, int]], fence: float) -> list[tuple[int, float, float]]:
-    """``(length class, lowest, highest ratio)`` from ``(class, step of the logarithm of the ratio, texts)``.
+def fit_curve(histogram: list[tuple[int, int, int]]) -> Curve:
+    """The curve of ``(length class, step of the logarithm of the ratio, texts)``.
 
-    The medians of the classes, smoothed, give the usual ratio of every length; the
-    quartiles of what differs from it, over a doubling of length, give the spread.
+    Reweighted least squares, so that a share of odd texts does not bend it.  The
+    prior counts as a few texts of every length, so every corpus has a curve that
+    changes with each text a little: nothing is switched by how many there are.
+    """
+    octaves = np.arange(PRIOR_OCTAVES[0], PRIOR_OCTAVES[1] + 1) - 11.0
+    seen = np.array(sorted(histogram), dtype=np.float64).reshape(-1, 3)
+    x = np.concatenate([(seen[:, 0] + 0.5) / CLASSES - 11, octaves])
+    y = np.concatenate([(seen[:, 1] + 0.5) / STEPS, PRIOR_CENTRE + PRIOR_SLOPE * octaves])
+    n = np.concatenate([seen[:, 2], np.full(len(octaves), PRIOR_TEXTS)])
+    own = np.arange(len(x)) < len(seen)
+    basis = np.stack([np.ones_like(x), x, x * x], axis=1)
+    centre, spread = np.array([PRIOR_CENTRE, PRIOR_SLOPE, 0.0]), np.array([np.log(PRIOR_SPREAD), 0.0, 0.0])
+    for _ in range(60):
+        sigma = np.where(own, np.maximum(np.exp(basis @ spread), LEAST_SPREAD / 2), PRIOR_SPREAD)
+        off = np.abs(y - basis @ centre) / sigma
+        w = n / sigma**2 * np.minimum(1, HUBER / np.maximum(off, 1e-9))
+        centre = np.linalg.solve(basis.T @ (basis * w[:, None]), basis.T @ (w * y))
+        # the mean logarithm of a normal deviate's size is 0.635 under that of its standard deviation
+        size = np.where(own, np.log(np.maximum(np.abs(y - basis @ centre), 0.5 / STEPS)) + 0.635, np.log(PRIOR_SPREAD))
+        spread = np.linalg.solve(basis.T @ (basis * n[:, None]), basis.T @ (n * size))
+    at = np.cumsum(seen[np.argsort(seen[:, 0], kind="stable"), 2])
+    ends = [float(np.sort(seen[:, 0])[np.searchsorted(at, q * at[-1])]) for q in (ENDS, 1 - ENDS)] if len(seen) else [11 * CLASSES] * 2
+    return Curve(tuple(map(float, centre)), tuple(map(float, spread)), ends[0] / CLASSES, (ends[1] + 1) / CLASSES)
+
+
+def learn_curve(figures: DataFrame) -> Curve:
+    """The curve of all different texts that pass the base rule, from what :func:`quality_figures` gives.
+
+    Copies have the same figures and count once.
     """
-    counts: dict[int, Counter] = {}
-    for c, step, n in histogram:
-        counts.setdefault(c, Counter())[step] += n
-
-    def quantile(of: dict[float, int], q: float) -> float:
-        at, total = 0, sum(of.values())
-        for value in sorted(of):
-            at += of[value]
-            if at >= q * total:
-                return value
-        raise ValueError("no values")
-
-    own = sorted(c for c, of in counts.items() if of.total() >= LEAST_OF_CLASS)
-    if not own:
-        return []
-    medians = np.array([quantile(counts[c], 0.5) for c in own])
-    half = SMOOTH // 2
-    smooth = [float(np.median(medians[max(0, k - min(half, k, len(own) - 1 - k)) : k + min(half, k, len(own) - 1 - k) + 1])) for k in range(len(own))]
-    usual = {c: float(np.interp(c, own, smooth)) for c in counts}
-    limits = []
-    for octave in sorted({c // CLASSES for c in counts}):
-        inside = [c for c in counts if c // CLASSES == octave]
-        rest: Counter = Counter()
-        for c in inside:
-            for step, n in counts[c].items():
-                rest[step - usual[c]] += n
-        if rest.total() >= LEAST_OF_OCTAVE:
-            low, high = quantile(rest, 0.25), quantile(rest, 0.75)
-            spread = max(high - low, LEAST_SPREAD * STEPS)
-            limits += [(c, float(np.exp((usual[c] + low - fence * spread) / STEPS)), float(np.exp((usual[c] + high + 1 + fence * spread) / STEPS))) for c in sorted(inside)]
-    return limits
+    different = figures.where("not base_failed").select("n_bytes", "zstd_ratio", "n_words", "word_chars", "n_symbols").distinct()
+    # at most a few hundred classes times the steps of a ratio, whatever the input
+    length_class, step = F.floor(F.log2("n_bytes") * CLASSES).cast("int"), F.floor(F.log("zstd_ratio") * STEPS).cast("int")
+    return fit_curve([tuple(r) for r in different.groupBy(length_class.alias("c"), step.alias("step")).count().collect()])
 
 
 def quality_figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
@@ -175,30 +208,28 @@ def quality_figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return picked.mapInArrow(run, schema).withColumn("base_failed", failed)
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands(), curve: Curve | None = None) -> DataFrame:
     """Counts, ``base_failed``, compression figures, fitted limits and ``kept`` for every row.
 
     ``kept`` is false where the base rule fails (under 50 words, or over half of
     the words in repeated three-word windows) and otherwise says whether the text
-    is inside its compression bands, the fixed and the fitted ones.  The fit takes
-    every different text once (copies have the same figures), so a group of copies
-    weighs no more than one of them; a length with too few texts has no fitted
-    limits, which are then null.  Null texts count as empty and fail the base rule;
-    null ids and repeated rows stay; an empty table gives an empty result; further
-    columns are ignored.
+    is inside its compression bands, the fixed ones and those of ``curve``.  With a
+    given curve a row has the same verdict in every table; without one it is learnt
+    from the table itself (:func:`learn_curve`), so that of a corpus cut in parts
+    the curve of the whole should be given to each.  Null texts count as empty and
+    fail the base rule; null ids and repeated rows stay; an empty table gives an
+    empty result; further columns are ignored.
     """
-    spark = df.sparkSession
-    figures = materialize(quality_figures(df, id_col, text_col, bands), "quality-figures")
-    length_class = F.floor(F.log2("n_bytes") * CLASSES).cast("int")
-    different = figures.where("not base_failed").select("n_bytes", "zstd_ratio", "n_words", "word_chars", "n_symbols").distinct()
-    # at most a few hundred classes times the steps of a ratio, whatever the input
-    histogram = different.groupBy(length_class.alias("c"), F.floor(F.log("zstd_ratio") * STEPS).cast("int").alias("step")).count().collect()
-    limits = spark.createDataFrame(fit_limits([tuple(r) for r in histogram], bands.fence), "length_class int, fitted_low double, fitted_high double")
+    figures = quality_figures(df, id_col, text_col, bands)
+    if curve is None:
+        figures = materialize(figures, "quality-figures")
+        curve = learn_curve(figures)
+    low, high = curve.limits(F.col("n_bytes"), bands.fence)
     fitted = F.coalesce(F.col("zstd_ratio").between(F.col("fitted_low"), F.col("fitted_high")), F.lit(True))
     return (
-        figures.withColumn("length_class", F.when(F.col("n_bytes") > 0, length_class))
-        .join(F.broadcast(limits), "length_class", "left")  # one row a class
+        figures.withColumn("fitted_low", F.when(F.col("n_bytes") > 0, low))
+        .withColumn("fitted_high", F.when(F.col("n_bytes") > 0, high))
         .withColumn("kept", ~F.col("base_failed") & F.col("in_band") & fitted)
-        .drop("in_band", "length_class")
+        .drop("in_band")
         .withColumnRenamed("id", id_col)
     )

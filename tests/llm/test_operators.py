@@ -338,38 +338,53 @@ def test_rules_verdicts(spark):
     assert quality_rules.quality_rules(awkward(spark)).count() == 12 and quality_rules.quality_rules(empty(spark)).count() == 0
 
 
-def test_rules_verdicts_equal_brute_force(spark):
-    """Fitted limits from plain lists of the ratios of all different texts."""
-    draw = random.Random(17)
+def rule_texts(draw):
     texts = [prose(draw, draw.randint(55, 400)) for _ in range(900)]
     texts += [" ".join(" ".join(w.split()[:1]) + " " + draw.choice(("one", "two")) for w in (prose(draw, 1) for _ in range(draw.randint(60, 200)))) for _ in range(60)]
     texts += ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(draw.randint(500, 2000))) for _ in range(30)]
-    texts += [texts[0]] * 700 + [None, "", "short"]
+    return texts + [texts[0]] * 700 + [None, "", "short"]
+
+
+def test_rules_verdicts_equal_brute_force(spark):
+    """The curve from plain lists of the ratios of all different texts, the verdicts text by text."""
+    texts = rule_texts(random.Random(17))
     bands, compressor = quality_rules.Bands(), zstandard.ZstdCompressor(level=3)
     ratio = {t: len(compressor.compress(t.encode())) / len(t.encode()) for t in texts if t}
     counts = {t: brute_rules(t or "") for t in texts}
     base = {t: c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"] for t, c in counts.items()}
-    fit = [t for t in ratio if not base[t]]
-    of = {t: int(np.floor(np.log2(len(t.encode())) * 8)) for t in ratio}
-    step = {t: int(np.floor(np.log(r) * 500)) for t, r in ratio.items()}
-    own = [c for c in sorted(set(of.values())) if sum(of[t] == c for t in fit) >= 20]
-    median = [sorted(step[t] for t in fit if of[t] == c)[(sum(of[t] == c for t in fit) - 1) // 2] for c in own]
-    smooth = [np.median(median[k - min(4, k, len(own) - 1 - k) : k + min(4, k, len(own) - 1 - k) + 1]) for k in range(len(own))]
+    histogram = Counter((int(np.floor(np.log2(len(t.encode())) * 8)), int(np.floor(np.log(r) * 500))) for t, r in ratio.items() if not base[t])
+    curve = quality_rules.fit_curve([(c, step, n) for (c, step), n in histogram.items()])
 
     def kept(t):
         if not t or base[t] or not quality_rules.compression(t, bands, compressor)[3]:
             return False
-        peers = sorted(step[u] - np.interp(of[u], own, smooth) for u in fit if of[u] // 8 == of[t] // 8)
-        if len(peers) < 100:
-            return True
-        low, high = peers[-(-len(peers) // 4) - 1], peers[-(-3 * len(peers) // 4) - 1]
-        usual, spread = np.interp(of[t], own, smooth), max(high - low, 10)
-        return np.exp((usual + low - 2.5 * spread) / 500) <= ratio[t] <= np.exp((usual + high + 1 + 2.5 * spread) / 500)
-
-    got = {r.doc_id: r for r in quality_rules.quality_rules(table(spark, texts)).collect()}
+        centre, width = (float(v[0]) for v in curve.at(np.log2([len(t.encode())])))
+        return abs(np.log(ratio[t]) - centre) <= (0.5 + bands.fence) * width
+
+    found = quality_rules.quality_rules(table(spark, texts))
+    got = {r.doc_id: r for r in found.collect()}
     verdicts = {t: bool(kept(t)) for t in set(texts)}
     assert [got[k].kept for k in range(len(texts))] == [verdicts[t] for t in texts]
     assert all(got[k].kept for k in range(900)) and sum(not got[k].kept and not got[k].base_failed for k in range(900, 990)) > 60
+    fixed = quality_rules.learn_curve(quality_rules.quality_figures(table(spark, texts)))
+    for part in (texts[::20], texts[905:908], texts[-4:]):  # the verdict of a text hangs on the curve, not on its table
+        some = quality_rules.quality_rules(table(spark, part), curve=fixed)
+        assert {r.doc_id: r.kept for r in some.collect()} == {k: verdicts[t] for k, t in enumerate(part)}
+
+
+def test_curve_of_ratios_bends_little_with_the_number_of_texts():
+    draw = random.Random(18)
+    compressor = zstandard.ZstdCompressor(level=3)
+    sized = [(len(t), len(compressor.compress(t.encode())) / len(t)) for t in (prose(draw, draw.randint(55, 900)) for _ in range(2000))]
+    steps = [(int(np.floor(np.log2(n) * 8)), int(np.floor(np.log(r) * 500))) for n, r in sized]
+    fits = [quality_rules.fit_curve([(c, s, k) for (c, s), k in Counter(steps[:n]).items()]) for n in (0, 3, 20, 100, 500, 2000)]
+    at = np.linspace(9, 12, 13)
+    centres, widths = zip(*(f.at(at) for f in fits), strict=True)
+    assert np.abs(centres[-1] - centres[-2]).max() < 0.01 and np.abs(centres[-1] - centres[-3]).max() < 0.05
+    assert all((a >= b - 1e-9).all() for a, b in zip(widths[1:-1], widths[2:], strict=True))  # more texts, narrower limits; never a jump to none
+    odd = steps + [(c, s - 400) for c, s in steps[:100]]
+    bent = quality_rules.fit_curve([(c, s, k) for (c, s), k in Counter(odd).items()])
+    assert np.abs(bent.at(at)[0] - centres[-1]).max() < 0.02
 
 
 def test_rules_see_repetition_in_every_part_of_a_text(spark):
