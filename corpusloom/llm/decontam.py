@@ -1,12 +1,17 @@
-"""Benchmark decontamination: gapped three-word seeds, then Smith-Waterman alignment.
-
-Three words of an item, each one or two words after the one before, are a seed; in
-a document each may come up to three words after the one before.  How many seeds an
-alignment of a given score must hold follows from its edits (``least_seeds``), so a
-document with fewer seeds of an item anywhere is no copy of it, and all others are
-aligned.  Seeds are neither weighed nor counted over documents: what is found does
-not depend on how common a passage is.  Items go to the tasks in blocks of bounded
-size, and each document is read once for each block.
+"""Benchmark decontamination: rare gapped three-word seeds, then Smith-Waterman alignment.
+
+Three words of an item, each one or two words after the one before, are a seed of the
+middle one; in a document each may come up to three words after the one before.  How
+many middles an alignment of a given score must hold follows from its edits
+(``least_seeds``): a document that holds ``c`` of an item's ``s`` middles holds one of
+its ``s - c + 1`` rarest.  So middles are counted over all documents first; then
+documents meet items by their rare seeds, those with enough seeds are aligned, and
+what is found does not depend on how common a passage is.  Items go to the tasks in
+blocks of bounded size; each document is read twice for each block.
+
+Items of five and six words meet documents by any two of their words in reach of each
+other, shorter ones by their words in a row, which must be the same.  In scripts that
+put no space between words every character is a word.
 """
 
 from __future__ import annotations
@@ -24,10 +29,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import materialize
 
-#: Items of fewer words are not searched for.
-LEAST_WORDS = 5
-#: Words from one word of a seed to the next, in an item and in a document.
-ITEM_STEPS, TEXT_STEPS = (1, 2), (1, 2, 3)
+#: Items of fewer words have seeds of two words, of still fewer must be held word for word.
+SEEDED_WORDS, ALIGNED_WORDS = 7, 5
+#: Words from one word of a seed to the next, in an item and in a document; of a seed of two words.
+ITEM_STEPS, TEXT_STEPS, PAIR_STEPS = (1, 2), (1, 2, 3), (1, 2)
 #: Least share of the best possible alignment score of an item.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -35,17 +40,23 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 1 << 23
 #: Item words that go to the tasks at once, and document words that are searched at once.
 BLOCK_WORDS, TEXT_WORDS = 500_000, 200_000
-#: Alignments that a task remembers, so that equal passages are aligned once.
-KNOWN = 2000
+#: Words of passages whose alignments a task remembers, so that equal ones are aligned once.
+KNOWN_WORDS = 200_000
 #: No word has this hash; three stand between texts, so that no seed spans two.
 _BREAK = 1 << 33
 _WORD = re.compile(r"[^\W_]+")
+#: Blocks of scripts without spaces (fixed values): Thai and Lao, Tibetan, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+_ANY_WORD = re.compile(f"[{_UNSPACED}]|[^\\W_{_UNSPACED}]+")
 _PRIME = 0x9E3779B97F4A7C15
+#: In place of the further words of a seed of two words, and of one.
+_TWO, _ONE = np.uint64((1 << 34) + 2), np.uint64((1 << 34) + 1)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """A 32-bit hash of each word, without case and punctuation."""
-    return np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall((text or "").lower())], dtype=np.int64)
+    """A 32-bit hash of each word, without case and punctuation; characters of scripts without spaces are words."""
+    low = (text or "").lower()
+    return np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in (_WORD if low.isascii() else _ANY_WORD).findall(low)], dtype=np.int64)
 
 
 def least_seeds(n: int, threshold: float) -> int:
@@ -101,29 +112,48 @@ def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 
 class SeedIndex:
-    """The seeds of some items, and the search for passages that hold enough of them."""
+    """The seeds of some items, and the search for passages that hold enough of them.
+
+    An entry is a seed with its item and its middle there; middles are numbered over
+    all items.  ``rare`` says of each entry whether its middle is one that documents
+    are looked up by.
+    """
 
     def __init__(self, item_words: list[np.ndarray], threshold: float):
         self.items = item_words
-        self.least = np.array([least_seeds(len(w), threshold) for w in item_words], dtype=np.int64)
+        sizes = np.array([len(w) for w in item_words], dtype=np.int64)
+        self.least = np.array([least_seeds(n, threshold) if n >= SEEDED_WORDS else 1 for n in sizes], dtype=np.int64)
         # no alignment from the threshold on is longer
-        self.window = np.array([np.ceil((3 - 2 * threshold) * len(w)) for w in item_words], dtype=np.int64)
-        pairs, seeds, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        self.window = np.array([np.ceil((3 - 2 * threshold) * n) for n in sizes], dtype=np.int64)
+        self.begin = np.cumsum(sizes) - sizes
+        pairs, seeds, owners, middles = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def enter(hashes: np.ndarray, k: int, first: int) -> None:
+            seeds.append(hashes)
+            owners.append(np.full(len(hashes), k, np.int64))
+            middles.append(self.begin[k] + first + np.arange(len(hashes)))
+
         for k, words in enumerate(item_words):
             w = words.astype(np.uint64)
-            for a in ITEM_STEPS:
+            if len(w) == 1:
+                enter(_mix(w * np.uint64(_PRIME), _ONE), k, 0)
+            for a in ITEM_STEPS if len(w) > 1 else ():
                 pair = _mix(w[:-a] * np.uint64(_PRIME), w[a:])
+                if len(w) < SEEDED_WORDS:
+                    enter(_mix(pair, _TWO), k, 0)
+                    continue
                 pairs.append(pair)
                 for b in ITEM_STEPS:
-                    seeds.append(_mix(pair[: max(0, len(w) - a - b)], w[a + b :]))
-                    owners.append(np.full(len(seeds[-1]), k, np.int64))
-        seeds, owners = np.concatenate(seeds), np.concatenate(owners)
-        order = np.lexsort((owners, seeds))
-        seeds, owners = seeds[order], owners[order]
+                    enter(_mix(pair[: max(0, len(w) - a - b)], w[a + b :]), k, a)
+        self.single, self.paired, self.seeded = (bool(((low <= sizes) & (sizes < high)).any()) for low, high in ((1, 2), (2, SEEDED_WORDS), (SEEDED_WORDS, 1 << 62)))
+        seeds, owners, middles = np.concatenate(seeds), np.concatenate(owners), np.concatenate(middles)
+        order = np.lexsort((middles, seeds))
+        seeds, owners, middles = seeds[order], owners[order], middles[order]
         first = np.ones(len(seeds), bool)
-        first[1:] = (seeds[1:] != seeds[:-1]) | (owners[1:] != owners[:-1])
+        first[1:] = (seeds[1:] != seeds[:-1]) | (middles[1:] != middles[:-1])
         self.seeds, self.at, self.count = np.unique(seeds[first], return_index=True, return_counts=True)
-        self.owners = owners[first]
+        self.owners, self.middles = owners[first], middles[first]
+        self.rare = np.ones(len(self.owners), bool)
         self.pair_bits, self.seed_bits = np.zeros(FILTER_BITS, bool), np.zeros(FILTER_BITS, bool)
         self.pair_bits[_slots(np.concatenate(pairs))] = True
         self.seed_bits[_slots(self.seeds)] = True
@@ -134,34 +164,71 @@ class SeedIndex:
     def __setstate__(self, state):
         self.__dict__ |= state | {k: np.unpackbits(state[k]).astype(bool) for k in ("pair_bits", "seed_bits")}
 
+    def rare_entries(self, counts: dict[int, int]) -> np.ndarray:
+        """Which entries have one of the rarest middles of their item: so many that a document with enough middles holds one."""
+        has = np.unique(self.middles)
+        item = np.searchsorted(self.begin, has, "right") - 1
+        times = np.array([counts.get(int(m), 0) for m in has], dtype=np.int64)
+        order = np.lexsort((has, times, item))
+        place = np.arange(len(has)) - np.searchsorted(item[order], item[order], "left")
+        held = np.bincount(item, minlength=len(self.items))
+        kept = np.zeros(len(has), bool)
+        kept[order] = place < (held - self.least + 1)[item[order]]
+        return kept[np.searchsorted(has, self.middles)] if len(has) else self.rare
+
+    def _entries(self, seed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of each of the hashes ``seed``, and the words ``at`` which they stand."""
+        passed = self.seed_bits[_slots(seed)]
+        seed, at = seed[passed], at[passed]
+        place = np.minimum(np.searchsorted(self.seeds, seed), len(self.seeds) - 1)
+        same = self.seeds[place] == seed
+        at, place = at[same], place[same]
+        count = self.count[place]
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(self.at[place], count) + nth, np.repeat(at, count)
+
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item and middle word of every seed in ``words``, once each and in order."""
+        """Entry and middle word of every seed in ``words``."""
         w = words.astype(np.uint64)
         scaled = w * np.uint64(_PRIME)
-        items, middles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a in TEXT_STEPS:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if not len(self.seeds):
+            return found[0]
+        if self.single:
+            found.append(self._entries(_mix(scaled, _ONE), np.arange(len(w))))
+        for a in TEXT_STEPS if self.paired or self.seeded else ():
             pair = _mix(scaled[:-a], w[a:])
-            some = np.flatnonzero(self.pair_bits[_slots(pair)])
-            for b in TEXT_STEPS:
+            if self.paired and a in PAIR_STEPS:
+                found.append(self._entries(_mix(pair, _TWO), np.arange(len(pair))))
+            some = np.flatnonzero(self.pair_bits[_slots(pair)]) if self.seeded else np.zeros(0, np.int64)
+            for b in TEXT_STEPS if len(some) else ():
                 start = some[some < len(w) - a - b]
-                seed = _mix(pair[start], w[start + a + b])
-                passed = self.seed_bits[_slots(seed)]
-                start, seed = start[passed], seed[passed]
-                place = np.minimum(np.searchsorted(self.seeds, seed), len(self.seeds) - 1)
-                same = self.seeds[place] == seed
-                start, place = start[same], place[same]
-                count = self.count[place]
-                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                items.append(self.owners[np.repeat(self.at[place], count) + nth])
-                middles.append(np.repeat(start + a, count))
-        key = np.unique(np.concatenate(items) * (1 << 32) + np.concatenate(middles))
-        return key >> 32, key & 0xFFFFFFFF
+                found.append(self._entries(_mix(pair[start], w[start + a + b]), start + a))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    def passages(self, texts: list[np.ndarray]):
-        """``text, item, first, end``: every passage that may hold an alignment of the item."""
+    def _hits_of(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, entry and middle word (over all texts) of the hits, and where each text begins."""
         gap = np.full(3, _BREAK, np.int64)
         begins = np.cumsum([0, *(len(t) + 3 for t in texts)])
-        item, at = self.hits(np.concatenate([x for t in texts for x in (t, gap)]))
+        entry, at = self.hits(np.concatenate([x for t in texts for x in (t, gap)]))
+        return np.searchsorted(begins, at, "right") - 1, entry, at, begins
+
+    def held_middles(self, texts: list[np.ndarray]) -> np.ndarray:
+        """The middles that the texts hold, each as often as there are texts that do."""
+        text, entry, _, _ = self._hits_of(texts)
+        both = np.unique(np.stack([text, self.middles[entry]]), axis=1) if len(text) else np.zeros((2, 0), np.int64)
+        return both[1]
+
+    def passages(self, texts: list[np.ndarray]):
+        """``text, item, first, end``: every passage that may hold an alignment of the item."""
+        text, entry, at, begins = self._hits_of(texts)
+        if not len(entry):
+            return
+        item = self.owners[entry]
+        # a text without a rare seed of an item is no copy of it
+        looked = np.unique(text[self.rare[entry]] * len(self.items) + item[self.rare[entry]])
+        able = np.isin(text * len(self.items) + item, looked)
+        item, at = np.unique(np.stack([item[able], at[able]]), axis=1)
         if not len(item):
             return
         text = np.searchsorted(begins, at, "right") - 1
@@ -190,33 +257,51 @@ def _item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], ["item_id", "item_words"])
 
     picked = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "item_id long, item_words array<long>").where(F.size("item_words") >= LEAST_WORDS)
+    return picked.mapInArrow(run, "item_id long, item_words array<long>").where("size(item_words) > 0")
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, threshold: float):
-    """A broadcast :class:`SeedIndex` and its item ids for every block of items."""
+def _blocks(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str, threshold: float):
+    """A broadcast :class:`SeedIndex` with its rare entries, and its item ids, for every block of items."""
     spark = items.sparkSession
-    item_words = materialize(_item_words(items, item_col, text_col), "items")
+    item_words = materialize(_item_words(items, item_col, item_text_col), "items")
     blocks = -(-(item_words.agg(F.sum(F.size("item_words"))).first()[0] or 0) // BLOCK_WORDS) or 1
     block = F.pmod(F.xxhash64("item_id", "item_words"), F.lit(blocks))
     for k in range(blocks):
         rows = item_words.where(block == k).collect()  # about BLOCK_WORDS words
         index = SeedIndex([np.array(r.item_words, dtype=np.int64) for r in rows], threshold)
+        counts = _counted(docs, spark.sparkContext.broadcast(index), text_col).collect()  # a number for each of these words at most
+        index.rare = index.rare_entries({r.middle: r.n for r in counts})
         yield spark.sparkContext.broadcast((index, [r.item_id for r in rows]))
 
 
+def _counted(docs: DataFrame, sent: Broadcast, text_col: str) -> DataFrame:
+    """``middle, n``: how many documents hold each middle."""
+
+    def run(batches):
+        index = sent.value
+        total = np.zeros(sum(map(len, index.items)), dtype=np.int64)
+        for batch in batches:
+            for _, texts in _hashed(batch.column(0)):
+                total += np.bincount(index.held_middles(texts), minlength=len(total))
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["middle", "n"])
+
+    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "middle long, n long").groupBy("middle").agg(F.sum("n").alias("n"))
+
+
 def _alignments(index: SeedIndex, texts: list[np.ndarray], threshold: float, known: dict):
-    """``text, item, share of the score, first, end`` of the passages from ``threshold`` on."""
+    """``text, item, share of the score, first, end`` of the passages from ``threshold`` on; short items whole."""
     for t, k, first, end in index.passages(texts):
         passage = texts[t][first:end]
         key = k, passage.tobytes()
         if key not in known:
-            if len(known) >= KNOWN:
+            if known.get("words", 0) + len(passage) > KNOWN_WORDS:
                 known.clear()
+            known["words"] = known.get("words", 0) + len(passage)
             known[key] = alignment(index.items[k], passage)
         score, start, last = known[key]
         share = score / (MATCH * len(index.items[k]))
-        if share >= threshold:
+        if share >= (threshold if len(index.items[k]) >= ALIGNED_WORDS else 1):
             yield t, k, share, first + start, first + last
 
 
@@ -256,13 +341,12 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_
 
     ``score`` is the Smith-Waterman score over words (2 for a match, -1 for a
     mismatch or gap) as a share of the score of a verbatim copy; rows from
-    ``threshold`` on are returned, all of them for items from seven words at 0.5.
-    An item of five or six words is found where three of its words are in reach of
-    each other; one of fewer than five words gives no row, and neither do null and
-    empty texts.  Rows of null ids count as one document and repeated rows as one;
+    ``threshold`` (0.5 or more) on are returned, all of them; an item of fewer than
+    five words must be held word for word.  In scripts without spaces words are
+    characters.  Null and empty texts and items give no row.  Rows of null ids count as one document and repeated rows as one;
     an empty table on either side gives an empty result; further columns are ignored.
     """
-    parts = [_scored(docs, sent, threshold, id_col, text_col) for sent in _blocks(items, item_col, item_text_col, threshold)]
+    parts = [_scored(docs, sent, threshold, id_col, text_col) for sent in _blocks(docs, items, text_col, item_col, item_text_col, threshold)]
     case = F.struct("score", (-F.col("first")).alias("start"), F.col("last").alias("end"))
     best = reduce(DataFrame.unionByName, parts).groupBy("id", "item_id").agg(F.max(case).alias("case"))
     return best.select(
@@ -274,7 +358,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """The rows of ``docs`` that hold no copy of an item; all columns stay.
 
     Every row is judged by its own text where it is read, so ids may be null or
-    repeated and nothing is shuffled.  Null and empty texts stay; an empty table on
+    repeated and no text is shuffled.  Null and empty texts stay; an empty table on
     either side drops nothing.
     """
 
@@ -290,6 +374,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
         return run
 
-    for sent in _blocks(items, item_col, item_text_col, threshold):
-        docs = docs.mapInArrow(clean(sent), docs.schema)
-    return docs
+    left = docs
+    for sent in _blocks(docs, items, text_col, item_col, item_text_col, threshold):
+        left = left.mapInArrow(clean(sent), docs.schema)
+    return left

@@ -285,6 +285,53 @@ def test_every_alignment_of_the_score_holds_the_seeds():
     assert near > 1000
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 6, 7])
+def test_decontamination_finds_short_items(spark, size):
+    """Every copy of an item of few words, and every edited one from five words on, against all pairs."""
+    draw = random.Random(30 + size)
+    items = [[f"q{size}x{k}y{j}" for j in range(size)] for k in range(12)]
+    docs = [prose(draw, 60) for _ in range(10)]
+    for item in items:
+        for _ in range(4):
+            text = []
+            for w in item:
+                text += [draw.choice(WORDS)] * draw.choice((0, 0, 0, 1, 2))
+                text += [w] if draw.random() < 0.75 else [draw.choice(WORDS)] * draw.choice((0, 1))
+            docs.append(f"{prose(draw, 15)} {' '.join(text)} {prose(draw, 15)}")
+        docs += [f"{prose(draw, 5)} {' '.join(item).upper()}, {prose(draw, 5)}", " ".join(item)]
+    hashes, texts = [decontam.word_hashes(" ".join(t)) for t in items], [decontam.word_hashes(t) for t in docs]
+    score = {(d, k): decontam.alignment(h, t)[0] / (2 * size) for d, t in enumerate(texts) for k, h in enumerate(hashes)}
+    true = {at: s for at, s in score.items() if s >= (0.5 if size >= 5 else 1)}
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    df = table(spark, docs)
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.contaminated_passages(df, bench).collect()} == pytest.approx(true) and len(true) >= 24
+    assert {r.doc_id for r in decontam.decontaminate(df, bench).collect()} == set(range(len(docs))) - {d for d, _ in true}
+
+
+def test_decontamination_reads_scripts_without_spaces(spark):
+    item, other = "機械学習の評価に使われる文章は訓練資料から除かれる", "ภาษาไทยไม่มีช่องว่างระหว่างคำในประโยคเดียวกัน"
+    docs = [f"前置きの文。{item}そして続き。", f"本文の前{item[:9]}別の{item[10:]}後", "全く別の日本語の文章であり何も含まない。", f"ก่อน{other}หลัง", "plain text"]
+    bench = spark.createDataFrame([(0, item), (1, other)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated_passages(table(spark, docs), bench).collect()}
+    assert set(found) == {(0, 0), (1, 0), (3, 1)} and found[0, 0] == found[3, 1] == 1.0 and 0.8 < found[1, 0] < 1
+
+
+def test_rare_middles_let_every_document_with_enough_seeds_meet():
+    draw = random.Random(31)
+    items = [np.array([draw.randrange(30) for _ in range(draw.randint(1, 20))]) for _ in range(40)]
+    index = decontam.SeedIndex(items, 0.5)
+    index.rare = index.rare_entries({int(m): draw.randrange(9) for m in index.middles})
+    for k, least in enumerate(index.least):
+        own = set(index.middles[index.owners == k].tolist())
+        rare = set(index.middles[(index.owners == k) & index.rare].tolist())
+        assert len(rare) == max(0, len(own) - least + 1) and (len(items[k]) < 7 or len(rare) < len(own) or least == 1)
+    loose = decontam.SeedIndex(items, 0.5)
+    loose.rare = np.ones(len(loose.owners), bool)
+    texts = [np.array([draw.randrange(30) for _ in range(60)]) for _ in range(60)]
+    found = [{(t, k) for t, k, *_ in decontam._alignments(i, texts, 0.5, {})} for i in (index, loose)]
+    assert found[0] == found[1] and found[0]
+
+
 # -- 4
 
 
