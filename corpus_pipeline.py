@@ -12,7 +12,7 @@ from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.pii import redact_pii
 from corpusloom.llm.quality_model import learn_quality, score_quality
 from corpusloom.llm.simhash import near_dedup
-from corpusloom.session import workspace
+from corpusloom.session import remove, scratch, workspace
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, one after the other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, one after the other; only the last one's rows stay in the shared folder."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     base = f"{workspace(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        if before:
+            remove(spark, before)
+        before = f"{base}/{k}"
+        docs = spark.read.parquet(before)
     return docs

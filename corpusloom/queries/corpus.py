@@ -279,7 +279,7 @@ def claim_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- exports
 
 
-@query(f"""WITH {_SCORED}, {PAPERS} SELECT query_id, rank, doc_id, title, round(score, 4) AS score, substr(coalesce(text, ''), 1, 500) AS content FROM sparse JOIN papers ON doc_id = chunk_id WHERE rank <= 5""")
+@query(f"""WITH {_SCORED}, {PAPERS} SELECT query_id, rank, doc_id, title, CAST(round(CAST(score AS DECIMAL(18, 6)), 4) AS DOUBLE) AS score, substr(coalesce(text, ''), 1, 500) AS content FROM sparse JOIN papers ON doc_id = chunk_id WHERE rank <= 5""")
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _sparse(spark, sf_dir, 5).join(papers(spark, sf_dir), F.col("chunk_id") == F.col("doc_id"))
     return formatting.result_rows(hits, ["doc_id", "title"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,25 @@ def workspace(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: What the open scopes are to delete.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what :func:`materialize` has written inside, also after an error.
+
+    For jobs that have written their result elsewhere: nothing may be computed
+    afterwards from a DataFrame that was made inside.  Scopes may be nested.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
@@ -53,6 +74,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _SCOPES[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.scratch_path = path
