@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.bm25 import tokens, top_k
+from corpusloom.session import materialize
 
 
 def rrf(sparse: DataFrame, dense: DataFrame, n: int = 10, k: int = 60) -> DataFrame:
@@ -130,19 +133,36 @@ def candidate_sizes(n: int, mode: str = "hybrid", rerank: int | None = None, spa
     return {"sparse": sparse, "dense": max(sparse, 2 * top, 3 * n), "fused": max(2 * n, top)}
 
 
-def routed(hits: DataFrame, more: DataFrame, classes: DataFrame, n: int = 5, passing: float = 0.7) -> DataFrame:
-    """The hits of every question as its class wants them, with ``retried``.
+def routed(hits: DataFrame, widen: Callable[[DataFrame, int], DataFrame], classes: DataFrame, n: int = 5, passing: float = 0.7, retries: int = 2) -> DataFrame:
+    """The hits of every question as its class wants them, with ``retries``: how often the search was widened for it.
 
     ``classes`` has ``query_id, complexity, n_sub``; ``hits`` are ranked, with ``doc_id``
     and ``score``.  Simple questions keep n hits, medium ones two more, complex ones at
-    least two a sub-query.  Complex ones whose hits do not suffice get those of
-    ``more``, a second and wider pass, instead: up to n + 3.
+    least two a sub-query.  For complex ones whose hits do not suffice, ``widen`` (the
+    questions, the round from 1) gives ranked hits with the same columns, of which
+    n + 3 take their place, and so on for those that still fail.  A question whose
+    last round gave nothing keeps the hits it had, as does one that never suffices.
+    Rounds end when none fails.
     """
     kept = hits.join(classes, "query_id").where(F.col("rank") <= result_limit(F.col("complexity"), n, F.col("n_sub")))
-    failed = sufficiency(kept.where("complexity = 'complex'"), passing).where("not sufficient").select("query_id")
-    first = kept.join(failed, "query_id", "left_anti").withColumn("retried", F.lit(False))
-    again = more.join(failed, "query_id", "left_semi").join(classes, "query_id").where(F.col("rank") <= n + 3).withColumn("retried", F.lit(True))
-    return first.unionByName(again.select(*first.columns))
+    columns = [*hits.columns, "retries"]
+    now = materialize(kept.withColumn("retries", F.lit(0)).select(*columns, "complexity"), "routed")
+    complex_ones = classes.where("complexity = 'complex'").select("query_id").distinct()
+    for k in range(1, retries + 1):
+        passed = sufficiency(now.where("complexity = 'complex'"), passing).where("sufficient").select("query_id")
+        failed = materialize(complex_ones.join(passed, "query_id", "left_anti"), "failed")
+        if failed.isEmpty():
+            break
+        again = widen(failed, k).join(failed, "query_id", "left_semi").where(F.col("rank") <= n + 3)
+        again = materialize(again.withColumn("retries", F.lit(k)).withColumn("complexity", F.lit("complex")).select(*columns, "complexity"), "widened")
+        now = materialize(now.join(again.select("query_id").distinct(), "query_id", "left_anti").select(*columns, "complexity").unionByName(again), "routed")
+    return now.select(*columns)
+
+
+def topic_hits(scored: DataFrame, topics: DataFrame, each: int = 2) -> DataFrame:
+    """``query_id, topic, rank, chunk_id, score``: the best chunks of every question in each topic; ``topics`` has ``chunk_id, topic``."""
+    pair = scored.join(topics, "chunk_id").withColumn("pair", F.struct("query_id", "topic"))
+    return top_k(pair, each, [F.desc("score"), "chunk_id"], "pair").select("query_id", "topic", "rank", "chunk_id", "score")
 
 
 def rerank_by(candidates: DataFrame, scores: DataFrame, n: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from corpusloom.functions import patterns as P
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.ranking import distributed_rank
 from corpusloom.operators.text import phrases
+from corpusloom.session import materialize
 
 
 def entity_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,13 +115,33 @@ def documents_of_entities(occurrences: DataFrame, names: DataFrame) -> DataFrame
 
 
 def evidence_snippets(hits: DataFrame, chunks: DataFrame, claim: str = "query_id", most: int = 2, chars: int = 300) -> DataFrame:
-    """``claim, snippets``: the best chunks of each claim as a JSON list of document, score and the start of its text."""
-    best = hits.where(F.col("rank") <= most).join(chunks.select("chunk_id", "text"), "chunk_id", "left")
-    item = F.struct("rank", F.col("doc_id"), F.greatest(F.lit(0.0), F.round(1 - F.col("distance"), 6)).alias("score"), F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("snippet"))
-    ordered = F.transform(F.sort_array(F.collect_list(item)), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["score"].alias("score"), x["snippet"].alias("snippet")))
+    """``claim, snippets``: the best chunks of each claim as a JSON list of document, title, score and the start of its text.
+
+    ``chunks`` has ``chunk_id, title, text``; a hit whose chunk is gone has an empty
+    title and snippet.
+    """
+    best = hits.where(F.col("rank") <= most).join(chunks.select("chunk_id", "title", "text"), "chunk_id", "left")
+    item = F.struct("rank", F.col("doc_id"), F.coalesce("title", F.lit("")).alias("title"), F.greatest(F.lit(0.0), F.round(1 - F.col("distance"), 6)).alias("score"), F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("snippet"))
+    ordered = F.transform(F.sort_array(F.collect_list(item)), lambda x: F.struct(*[x[c].alias(c) for c in ("doc_id", "title", "score", "snippet")]))
     return best.groupBy(claim).agg(F.to_json(ordered).alias("snippets"))
 
 
+def paragraphs(chunks: DataFrame, most: int = 12, chars: int = 12_000, id_col: str = "doc_id", order: str = "chunk_index", text_col: str = "text") -> DataFrame:
+    """``id, paragraph, no``: what claims are drawn from, the first paragraphs of each document.
+
+    Chunks are joined in order by a blank line, the first ``chars`` characters are cut
+    at blank lines, and of the parts that are not blank the first ``most`` are numbered
+    from 1.  Only chunks that begin within those characters are gathered.
+    """
+    before = Window.partitionBy(id_col).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.sum(F.char_length(text_col) + 2).over(before), F.lit(0))
+    near = chunks.where(F.length(text_col) > 0).withColumn("__at", begins).where(F.col("__at") < chars)
+    joined = near.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text_col))), lambda c: c[text_col]), "\n\n").alias("__text"))
+    parts = F.transform(F.split(F.substring("__text", 1, chars), "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    rows = joined.select(id_col, F.posexplode(F.slice(F.filter(parts, lambda p: p != ""), 1, most)).alias("pos", "paragraph"))
+    return rows.select(id_col, "paragraph", (F.col("pos") + 1).cast("long").alias("no"))
+
+
 def insights_view(claims: DataFrame, gaps: DataFrame, doc_clusters: DataFrame) -> DataFrame:
     """``claim_id, doc_id, component, n_gaps, kinds``: every claim with its gaps and its document's cluster, null where there is none."""
     kinds = F.array_join(F.sort_array(F.collect_set("gap")), ",")
@@ -247,9 +268,13 @@ def cluster_relations(clustered: DataFrame, edges: DataFrame) -> DataFrame:
     return met.groupBy("cluster").agg(F.array_join(F.sort_array(F.collect_list("relation")), ", ").alias("relations"))
 
 
-def graph_listing(entities: DataFrame, edges: DataFrame, nodes: int = 1000, links: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """What a graph view shows: the first entities by name, and the first edges by their ends."""
-    return entities.orderBy("name").limit(nodes), edges.orderBy("source", "target").limit(links)
+def graph_listing(entities: DataFrame, edges: DataFrame, clusters: DataFrame, nodes: int = 1000, links: int = 2000, groups: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a graph view shows: the first entities by name, the first edges by their ends, and the largest clusters.
+
+    ``clusters`` has ``component, name``; the third result is ``component, size``, by size and then component.
+    """
+    sized = clusters.groupBy("component").agg(F.count_distinct("name").alias("size"))
+    return entities.orderBy("name").limit(nodes), edges.orderBy("source", "target").limit(links), sized.orderBy(F.desc("size"), "component").limit(groups)
 
 
 def induced_subgraph(nodes: DataFrame, edges: DataFrame, most_nodes: int = 200, most_edges: int = 400) -> DataFrame:
@@ -280,6 +305,10 @@ def gap_counters(gaps: DataFrame) -> DataFrame:
 
 
 def claim_groups(view: DataFrame) -> DataFrame:
-    """``component, n_claims, claims, place``: clusters by size, each with its claims in order."""
+    """``component, n_claims, claims, place``: clusters by size, each with its claims in order.
+
+    Clusters of one size are placed together (sizes are few), so no task has all.
+    """
     groups = view.where("component is not null").groupBy("component").agg(F.count("*").alias("n_claims"), F.array_join(F.transform(F.sort_array(F.collect_list("claim_id")), lambda c: c.cast("string")), ",").alias("claims"))
-    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_claims"), "component")).cast("long"))  # one row a cluster
+    groups = materialize(groups, "claim-groups")
+    return distributed_rank(groups.withColumn("__all", F.lit(0)), ["__all"], -F.col("n_claims"), ["component"], "place").withColumn("place", F.col("place") + 1).drop("__all")

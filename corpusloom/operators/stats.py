@@ -90,6 +90,25 @@ def latency_summary(df: DataFrame, by: str, value: str, bins: int = 1024) -> Dat
     return summary.join(found, by, "left").select(by, "n", "mean", "median", "stdev", "least", "most", "p95")
 
 
+def order_statistic(df: DataFrame, by: list[str], value: str, place: Column, bins: int = 1024) -> DataFrame:
+    """``by, value``: the value at ``place`` (from 0; an expression of ``n``, the values of the group) in ascending order.
+
+    Exact: values are counted, counts are summed up over ``bins`` equal ranges of each
+    group, and only then inside the range that has the place.  Nulls do not count.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn("__by", F.struct(*by))
+    summary = rows.groupBy("__by").agg(F.count("*").alias("n"), F.min(value).alias("__least"), F.max(value).alias("__most"))
+    counts = rows.groupBy("__by", F.col(value).alias("value")).agg(F.count("*").alias("__n")).join(summary, "__by")
+    width = F.col("__most") - F.col("__least")
+    counts = counts.withColumn("__bin", F.when(width > 0, F.floor((F.col("value") - F.col("__least")) / width * (bins - 1))).otherwise(0))
+    ahead = Window.partitionBy("__by").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.groupBy("__by", "__bin").agg(F.sum("__n").alias("__m"), F.first("n").alias("n")).withColumn("__start", F.coalesce(F.sum("__m").over(ahead), F.lit(0)))
+    asked = starts.where((F.col("__start") <= place) & (F.col("__start") + F.col("__m") > place)).select("__by", "__bin", "__start")
+    inside = Window.partitionBy("__by").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(asked, ["__by", "__bin"]).withColumn("__to", F.col("__start") + F.sum("__n").over(inside))
+    return placed.where((F.col("__to") > place) & (F.col("__to") - F.col("__n") <= place)).select("__by.*", "value")
+
+
 def _plain_words(text: Column, apart: str) -> Column:
     """Words in lower case with only their letters and digits; the characters ``apart`` part words as spaces do."""
     parts = F.split(F.translate(text, apart, " " * len(apart)), r"\s+")
@@ -183,3 +202,20 @@ def metrics_summary(per_query: DataFrame, queries: DataFrame) -> DataFrame:
 def focus_statistics(docs: DataFrame, by: str, focus: str) -> DataFrame:
     """``by, focus, n_docs``: documents of each group for every entry of the array ``focus``."""
     return docs.select(by, "doc_id", F.explode(F.array_distinct(focus)).alias(focus)).groupBy(by, focus).agg(F.count_distinct("doc_id").alias("n_docs"))
+
+
+def type_statistics(docs: DataFrame, by: str, kind: Column) -> DataFrame:
+    """``by, research_type, n_docs, n_of_all``: documents of each group by type, and of the group."""
+    counted = docs.select(by, "doc_id", kind.alias("research_type")).groupBy(by, "research_type").agg(F.count_distinct("doc_id").alias("n_docs"))
+    return counted.join(docs.groupBy(by).agg(F.count_distinct("doc_id").alias("n_of_all")), by)
+
+
+def kb_counters(chunks: DataFrame, by: str = "kb_id") -> DataFrame:
+    """Every base with its documents, chunks and years, of ``by, doc_id, year`` of each chunk; counted, never kept."""
+    return chunks.groupBy(by).agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_chunks"), F.min("year").alias("year_min"), F.max("year").alias("year_max"))
+
+
+def page_and_word_totals(docs: DataFrame, by: list[str], text_col: str = "text") -> DataFrame:
+    """``by, pages, words``: pages and words (what stands between white space) of each group."""
+    words = F.size(F.filter(F.split(text_col, r"\s+"), lambda w: w != ""))
+    return docs.groupBy(*by).agg(F.sum("total_pages").alias("pages"), F.sum(words).cast("long").alias("words"))

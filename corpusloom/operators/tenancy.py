@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,22 @@ def sessions(messages: DataFrame) -> DataFrame:
     """``conv_id, messages, last_turn, title``: one row a chat, named after its first question."""
     asked = F.min_by(F.when(F.col("role") == "user", F.substring("text", 1, 80)), F.when(F.col("role") == "user", F.struct("turn", "text")))
     return messages.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"), asked.alias("title"))
+
+
+def session_page(chats: DataFrame, page: int, size: int, updated: str = "last_turn") -> DataFrame:
+    """One page of chats, the last updated first, with their ``place`` from 1."""
+    rows = chats.orderBy(F.desc(updated), "conv_id").offset(page * size).limit(size)  # a page
+    place = F.row_number().over(Window.orderBy(F.desc(updated), "conv_id")).cast("long")
+    return rows.withColumn("place", place + page * size)
+
+
+def chat_messages(messages: DataFrame, citations: str = "citations", at: str = "turn") -> DataFrame:
+    """``conv_id, place, role, text, doc_ids, titles``: the messages of each chat by time, their citations parsed.
+
+    Citations are a JSON list of objects with ``doc_id`` and ``title``; null, empty and
+    broken ones are none.
+    """
+    parsed = F.from_json(F.col(citations), "array<struct<doc_id: string, title: string>>")
+    some = F.coalesce(F.filter(parsed, lambda c: c.isNotNull()), F.array().cast("array<struct<doc_id: string, title: string>>"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(at, "role", "text")).cast("long")
+    return messages.withColumn("__c", some).select("conv_id", place.alias("place"), "role", "text", F.col("__c.doc_id").alias("doc_ids"), F.col("__c.title").alias("titles"))

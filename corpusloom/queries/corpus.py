@@ -16,6 +16,7 @@ from corpusloom.queries.tables import ORACLES as _TABLE_SQL
 from corpusloom.queries.texts import _NOISY, _TYPED, noisy
 from corpusloom.queries.texts import ORACLES as _TEXT_SQL
 from corpusloom.queries.views import _GRAPH, _INSIGHTS, _graph, _insights
+from corpusloom.session import materialize
 
 QUERIES, ORACLES = {}, {}
 
@@ -219,7 +220,25 @@ def known_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_GRAPH} SELECT source, target FROM edges ORDER BY source, target LIMIT 2000")
 def graph_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     occ, edges = _graph(spark, sf_dir)
-    return knowledge.graph_listing(occ.select("name").distinct(), edges)[1].select("source", "target")
+    return knowledge.graph_listing(occ.select("name").distinct(), edges, _stems(occ))[1].select("source", "target")
+
+
+def _stems(occ: DataFrame) -> DataFrame:
+    """Names by their first letters, which is what ties them."""
+    return occ.select(F.substring("name", 1, 4).alias("component"), "name").distinct()
+
+
+@query(f"WITH {_GRAPH} SELECT DISTINCT name FROM occ ORDER BY name LIMIT 1000")
+def graph_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    occ, edges = _graph(spark, sf_dir)
+    return knowledge.graph_listing(occ.select("name").distinct(), edges, _stems(occ))[0]
+
+
+@query(f"WITH {_GRAPH} SELECT substr(name, 1, 4) AS component, count(DISTINCT name) AS size FROM occ GROUP BY 1 ORDER BY size DESC, component LIMIT 100")
+def graph_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest clusters first."""
+    occ, edges = _graph(spark, sf_dir)
+    return knowledge.graph_listing(occ.select("name").distinct(), edges, _stems(occ), groups=100)[2]
 
 
 @query(f"""WITH {_GRAPH}, k AS (SELECT DISTINCT name FROM (SELECT source AS name FROM edges UNION SELECT target FROM edges) ORDER BY name LIMIT 200)
@@ -349,7 +368,42 @@ def routed_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = _fused(spark, sf_dir, 20).join(docs, "chunk_id")
     kind = F.expr("CASE query_id % 3 WHEN 0 THEN 'simple' WHEN 1 THEN 'medium' ELSE 'complex' END")
     classes = text_queries(spark, sf_dir).select("query_id", kind.alias("complexity"), (F.col("query_id") % 4).alias("n_sub"))
-    return fusion.routed(hits, more, classes, 5, 0.9).select("query_id", "rank", "chunk_id", "score", "retried")
+    found = fusion.routed(hits, lambda failed, k: more, classes, 5, 0.9, retries=1)
+    return found.select("query_id", "rank", "chunk_id", "score", (F.col("retries") > 0).alias("retried"))
+
+
+def _fails(of: str, among: str) -> str:
+    """Questions of ``among`` whose hits in ``of`` do not suffice at 0.75."""
+    return f"""(SELECT a.query_id FROM {among} a LEFT JOIN (SELECT query_id, round(least(avg(score) + 0.2, 1.0), 6) AS relevance, round(count(DISTINCT doc_id) / count(*)::DOUBLE, 6) AS diversity, round(least(count(*) / 5.0::DOUBLE, 1.0), 6) AS coverage FROM {of} GROUP BY query_id) q USING (query_id)
+  WHERE coalesce(round(0.5 * relevance + 0.3 * diversity + 0.2 * coverage, 7) < 0.75, TRUE))"""
+
+
+@query(f"""WITH {_HYBRID}, s AS (SELECT query_id, rank, chunk_id, source AS doc_id, round(least(score / 90.0::DOUBLE, 1.0), 6) AS score FROM sparse JOIN documents ON doc_id = chunk_id WHERE rank <= 10),
+h AS (SELECT query_id, rank, chunk_id, source AS doc_id, round(CAST(score AS DOUBLE) * 15, 6) AS score FROM rrf JOIN documents ON doc_id = chunk_id WHERE rank <= 20),
+c AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'simple' ELSE 'complex' END AS complexity, item_id % 3 AS n_sub FROM benchmark), x AS (SELECT query_id FROM c WHERE complexity = 'complex'),
+k AS (SELECT s.* FROM s JOIN c USING (query_id) WHERE rank <= CASE complexity WHEN 'simple' THEN 5 ELSE greatest(2, 5 // greatest(1, n_sub)) END),
+f1 AS {_fails("k", "x")}, r1 AS (SELECT * FROM h WHERE rank <= 8 AND query_id IN (SELECT query_id FROM f1)), f2 AS {_fails("r1", "f1")},
+r2 AS (SELECT * FROM s WHERE rank <= 8 AND query_id IN (SELECT query_id FROM f2))
+SELECT query_id, rank, chunk_id, score, retries FROM (
+  SELECT *, 0 AS retries FROM k WHERE query_id NOT IN (SELECT query_id FROM f1) UNION ALL SELECT *, 1 FROM r1 WHERE query_id NOT IN (SELECT query_id FROM f2) UNION ALL SELECT *, 2 FROM r2)""")
+def routed_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complex questions are widened twice at most: to fused hits, then to more sparse ones."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"))
+    hits = materialize(_sparse(spark, sf_dir, 10).withColumn("score", F.round(F.least(F.col("score") / 90, F.lit(1.0)), 6)).join(docs, "chunk_id"), "hits")
+    fused = _fused(spark, sf_dir, 20).withColumn("score", F.round(F.col("score") * 15, 6)).join(docs, "chunk_id").select(*hits.columns)
+    kind = F.expr("CASE query_id % 4 WHEN 0 THEN 'simple' ELSE 'complex' END")
+    classes = text_queries(spark, sf_dir).select("query_id", kind.alias("complexity"), (F.col("query_id") % 3).alias("n_sub"))
+    found = fusion.routed(hits, lambda failed, k: fused if k == 1 else hits, classes, 5, 0.75)
+    return found.select("query_id", "rank", "chunk_id", "score", "retries")
+
+
+@query("""WITH r AS (SELECT doc_id, source AS topic, lower(substr(text, 1, 200)) AS low FROM documents), t AS (SELECT topic, doc_id, CASE WHEN contains(low, 'method') OR contains(low, 'data') THEN 'methodology' WHEN contains(low, 'case stud') THEN 'case_study'
+  WHEN contains(low, 'theoretical') OR contains(low, 'framework') THEN 'theoretical' ELSE 'empirical' END AS research_type FROM (SELECT doc_id, topic, low || CASE doc_id % 4 WHEN 0 THEN ' a method' WHEN 1 THEN ' a case study' WHEN 2 THEN ' a framework' ELSE '' END AS low FROM r))
+SELECT topic, research_type, count(DISTINCT doc_id) AS n_docs, max(n_of_all) AS n_of_all FROM t JOIN (SELECT topic, count(DISTINCT doc_id) AS n_of_all FROM t GROUP BY topic) USING (topic) GROUP BY topic, research_type""")
+def topic_research_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.expr("concat(substr(text, 1, 200), CASE doc_id % 4 WHEN 0 THEN ' a method' WHEN 1 THEN ' a case study' WHEN 2 THEN ' a framework' ELSE '' END)")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("topic"), said.alias("said"))
+    return stats.type_statistics(docs, "topic", T.research_type(F.col("said")))
 
 
 @query(f"""WITH {_SCORED}, {_TRUTH} SELECT * FROM truth""")

@@ -340,9 +340,7 @@ def language_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthesis_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two best documents of every query in each of three topics."""
     docs = table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2", "src3"))
-    every = _scores(spark, sf_dir).join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("topic")), "chunk_id")
-    pair = every.withColumn("pair", F.struct("query_id", "topic"))
-    return bm25.top_k(pair, 2, [F.desc("score"), "chunk_id"], "pair").select("query_id", "topic", "rank", "chunk_id", "score")
+    return fusion.topic_hits(_scores(spark, sf_dir), docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("topic")))
 
 
 @query(f"""WITH {_RESCORED}, s AS (SELECT query_id, round(least(avg(score) + 0.2, 1.0), 6) AS relevance, round(count(DISTINCT topic) / count(*)::DOUBLE, 6) AS diversity, round(least(count(*) / 5.0::DOUBLE, 1.0), 6) AS coverage FROM rescored GROUP BY query_id)

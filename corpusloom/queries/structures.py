@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking, dense, quantized, quotes
 from corpusloom.operators import text as T
-from corpusloom.queries.fixtures import query_vectors, table, vectors
+from corpusloom.queries.fixtures import CHUNKS, query_vectors, table, vectors
 from corpusloom.queries.search import _PRINT
 from corpusloom.session import workspace
+from corpusloom.streaming import ingest
 
 QUERIES, ORACLES = {}, {}
 
@@ -52,6 +53,42 @@ def quantized_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.lit(asked.count()).alias("n_queries"), F.lit(corpus.count()).alias("n_vectors"), (F.col("found") >= 0.9 * F.col("all")).alias("recall_reached"))
 
 
+@query("SELECT count(DISTINCT vec_id % 50) AS n_docs, TRUE AS recall_reached FROM embeddings")
+def related_docs_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the search of the quantised index gives nine in ten of the related documents that the exact one does."""
+    corpus, path = vectors(spark, sf_dir).select("chunk_id", "doc_id", "embedding"), _quantized(spark, sf_dir)
+    exact = dense.related_documents(corpus).select("doc_id", "related_doc_id")
+    near = dense.related_documents(corpus, near=lambda asked, rows, k: quantized.quantized_topk(path, asked, rows.select("chunk_id", "embedding"), k))
+    found = exact.join(near, ["doc_id", "related_doc_id"], "left_semi").agg(F.count("*").alias("found")).join(exact.agg(F.count("*").alias("all")))  # one row each
+    return found.select(F.lit(corpus.select("doc_id").distinct().count()).alias("n_docs"), (F.col("found") >= 0.9 * F.col("all")).alias("recall_reached"))
+
+
+# -- ingestion on a stream: documents whose text comes, or does not
+
+
+@query("""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR length(text) = 0 THEN NULL ELSE text END AS text FROM documents)
+SELECT doc_id, p AS progress, CASE WHEN p = 100 THEN 'completed' ELSE 'processing' END AS status FROM (SELECT doc_id, unnest(CASE WHEN text IS NULL THEN [10] ELSE [10, 20, 70, 90, 100] END) AS p FROM e)""")
+def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of all documents through the streaming job, which is then run again from the start and adds none."""
+    return _ingested(spark, sf_dir, "progress").select("doc_id", "progress", "status")
+
+
+@query(f"""WITH {CHUNKS} SELECT chunk_id, doc_id, chunk_index, text, TRUE AS unit FROM chunks WHERE doc_id % 9 <> 0""")
+def ingested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that the same job has written, each with a vector of length 1 or, without a token, of zeros."""
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return _ingested(spark, sf_dir, "chunks").select("chunk_id", "doc_id", "chunk_index", "text", ((F.abs(size - 1) < 1e-4) | (size == 0)).alias("unit"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str, table_name: str) -> DataFrame:
+    base = f"{workspace(spark)}/uploads-{uuid4().hex}"
+    for run in ("first", "again"):
+        docs = spark.readStream.schema("doc_id long, text string").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/documents.parquet")
+        events = docs.select("doc_id", F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("text"))
+        ingest.ingest_uploads(events, f"{base}/target", f"{base}/state-{run}", dense.hashed_vectors).awaitTermination()
+    return spark.read.parquet(f"{base}/target/{table_name}")
+
+
 # -- quotes
 
 #: Three words of every text from the third on, each with none, one or two letters changed, put in or left out; at nine in ten of its letters a quote of 20 letters may have two edits.  Letters beyond ASCII are one mark, as SQL counts bytes.

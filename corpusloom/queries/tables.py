@@ -53,7 +53,7 @@ def docs_by_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PAPER_CHUNKS} SELECT kb_id, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, min(year) AS year_min, max(year) AS year_max FROM pc GROUP BY kb_id")
 def kb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters are always recomputed, never kept as mutable state."""
-    return _paper_chunks(spark, sf_dir).groupBy("kb_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_chunks"), F.min("year").alias("year_min"), F.max("year").alias("year_max"))
+    return stats.kb_counters(_paper_chunks(spark, sf_dir))
 
 
 @query(f"WITH {_PAPER_CHUNKS} SELECT doc_id, chunk_id, title, year FROM pc WHERE chunk_index = 0 AND year >= 2000")
@@ -136,8 +136,7 @@ def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAPERS} SELECT topic, phase, sum(total_pages)::BIGINT AS pages, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w : w <> '')))::BIGINT AS words FROM papers GROUP BY ALL")
 def page_and_word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    return papers(spark, sf_dir).groupBy("topic", "phase").agg(F.sum("total_pages").alias("pages"), F.sum(words).cast("long").alias("words"))
+    return stats.page_and_word_totals(papers(spark, sf_dir), ["topic", "phase"])
 
 
 # -- graph
@@ -231,13 +230,12 @@ def claim_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.evidence_gaps(_evidence(spark, sf_dir))
 
 
-@query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(substr(text, 1, 12000), chr(10)))) AS paragraph, unnest(range(len(string_split(substr(text, 1, 12000), chr(10))))) AS pos FROM documents),
+@query(f"""WITH {CHUNKS}, t AS (SELECT doc_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index), 1, 12000) AS text FROM chunks GROUP BY doc_id),
+l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10) || chr(10))), '^\\s+|\\s+$', '', 'g') AS paragraph, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS pos FROM t),
 n AS (SELECT doc_id, paragraph, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM l WHERE paragraph <> '') SELECT * FROM n WHERE no <= 12""")
 def doc_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve paragraphs of the first 12,000 characters, which is what claims are drawn from."""
-    parts = F.slice(F.filter(F.transform(F.split(F.substring("text", 1, 12000), "\n"), lambda p: F.trim(p)), lambda p: p != ""), 1, 12)
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("pos", "paragraph"))
-    return rows.select("doc_id", "paragraph", (F.col("pos") + 1).cast("long").alias("no"))
+    """The first twelve paragraphs of the first 12,000 characters of a document's chunks, which is what claims are drawn from."""
+    return knowledge.paragraphs(chunking.fixed_chunks(table(spark, sf_dir, "documents")))
 
 
 _ANSWERS = "text || CASE conv_id % 3 WHEN 0 THEN ' as Author1 (1991) says' WHEN 1 THEN ' as Nobody (2020) and Author2 (2001) say, 42%' ELSE '' END"

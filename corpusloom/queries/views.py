@@ -145,9 +145,11 @@ def claims_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.claims_by_cluster(_insights(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_EVIDENCE}, b AS (SELECT query_id, rank, n.chunk_id % 50 AS doc_id, coalesce(p.title, '') AS title, greatest(0.0::DOUBLE, round(1 - distance, 6)) AS score, substr(coalesce(text, ''), 1, 300) AS snippet
+  FROM near n LEFT JOIN ({PAPERS.replace("papers AS (", "", 1)[:-1]}) p ON p.doc_id = n.chunk_id WHERE rank <= 2)
+SELECT query_id, CAST(to_json(list({{'doc_id': doc_id, 'title': title, 'score': score, 'snippet': snippet}} ORDER BY rank)) AS VARCHAR) AS snippets FROM b GROUP BY query_id""")
 def evidence_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    texts = papers(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "title", "text")
     return knowledge.evidence_snippets(_evidence(spark, sf_dir), texts)
 
 
@@ -227,3 +229,25 @@ def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id, count(*) AS messages, max(turn) AS last_turn, arg_min(substr(text, 1, 80), (turn, text)) FILTER (role = 'user') AS title FROM conversations GROUP BY conv_id""")
 def chat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tenancy.sessions(table(spark, sf_dir, "conversations"))
+
+
+@query("""SELECT conv_id, messages, last_turn, title, row_number() OVER (ORDER BY last_turn DESC, conv_id) AS place FROM (
+  SELECT conv_id, count(*) AS messages, max(turn) AS last_turn, arg_min(substr(text, 1, 80), (turn, text)) FILTER (role = 'user') AS title FROM conversations GROUP BY conv_id)
+ORDER BY place OFFSET 20 LIMIT 20""")
+def chat_session_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second twenty chats, the last updated first."""
+    return tenancy.session_page(tenancy.sessions(table(spark, sf_dir, "conversations")), 1, 20)
+
+
+#: The citations of answers; some are null, empty or broken.
+_CITATIONS = """CASE WHEN role <> 'assistant' OR conv_id % 5 = 0 THEN NULL WHEN conv_id % 5 = 1 THEN '' WHEN conv_id % 5 = 2 THEN '[{{"doc_id": "broken' WHEN conv_id % 5 = 3 THEN '[]'
+  ELSE concat('[{{"doc_id": "d', conv_id, '", "title": "Title ', turn, '"}}, {{"doc_id": "e', turn, '", "title": "Second", "page": 3}}]') END"""
+
+
+@query(f"""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, role, text,
+  CASE WHEN json_valid(c) THEN array_to_string(CAST(json_extract_string(c, '$[*].doc_id') AS VARCHAR[]), '|') ELSE '' END AS doc_ids,
+  CASE WHEN json_valid(c) THEN array_to_string(CAST(json_extract_string(c, '$[*].title') AS VARCHAR[]), '|') ELSE '' END AS titles
+FROM (SELECT *, nullif({_CITATIONS.format()}, '') AS c FROM conversations)""")
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations").withColumn("citations", F.expr(_CITATIONS.format()))
+    return tenancy.chat_messages(talk).withColumns({c: F.array_join(c, "|") for c in ("doc_ids", "titles")})

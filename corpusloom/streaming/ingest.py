@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators.chunking import fixed_chunks
-from corpusloom.session import exists
+from corpusloom.session import exists, materialize, scratch
 
 
 #: Folders of a chunk table; a batch reads only the ids in the folders that its own ids fall into.
@@ -42,3 +46,75 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schem
     chunks = fixed_chunks(docs, "doc_id", "text", size, overlap)
     write = chunks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return write.foreachBatch(lambda batch, _: append_new(batch, target)).start()
+
+
+#: Progress of a document, and what is said of it.
+STEPS = {10: "announced", 20: "text accepted", 70: "chunks and vectors made", 90: "appended", 100: "completed"}
+_UPDATES = "doc_id long, progress int, status string, text string"
+
+
+def track(events: DataFrame, patience: str = "1 hour", late: str = "1 hour", ts: str = "ts") -> DataFrame:
+    """``doc_id, progress, status, text`` for a stream of ``doc_id, ts, text``: what each event changes for its document.
+
+    A document may be announced without a text and get it later; the first text
+    counts.  The state of a document is how far it has come, so an event that comes
+    again says nothing.  One that has no text ``patience`` after its last event, in
+    event time, has failed, and may be announced anew.  Events later than ``late``
+    are dropped, and a completed document is forgotten after as long.
+    """
+    wait = int(pd.Timedelta(patience).total_seconds() * 1000)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (doc,), (done,) = key, state.get if state.exists else (0,)
+        rows = []
+        if state.hasTimedOut:
+            if done < 20:
+                rows.append((doc, done, "failed", None))
+            state.remove()
+        else:
+            events = pd.concat(list(parts)).sort_values(ts, kind="stable")
+            texts = [t for t in events["text"] if t]
+            if done < 10:
+                rows.append((doc, 10, "processing", None))
+            if done < 20 and texts:
+                rows.append((doc, 20, "processing", texts[0]))
+            state.update((max(done, 20 if texts else 10),))
+            newest = int(events[ts].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest + wait, state.getCurrentWatermarkMs() + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "progress", "status", "text"])
+
+    keyed = events.where("doc_id is not null").withWatermark(ts, late).select("doc_id", ts, "text").groupBy("doc_id")
+    return keyed.applyInPandasWithState(step, _UPDATES, "progress int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _report(rows: DataFrame, steps: list[int], target: str, status: str | None = None) -> None:
+    """Append progress rows ``doc_id, progress, status, message`` that are not there."""
+    done = F.when(F.col("progress") == 100, "completed").otherwise("processing")
+    said = F.create_map(*[F.lit(x) for item in STEPS.items() for x in item])
+    each = rows.select("doc_id", F.explode(F.array(*map(F.lit, steps))).alias("progress")) if steps else rows
+    shown = each.select("doc_id", "progress", (F.lit(status) if status else done).alias("status"), (F.lit("no text came") if status else said[F.col("progress")]).alias("message"))
+    append_new(shown.withColumn("step_id", F.concat_ws("-", "doc_id", "progress", "status")), f"{target}/progress", "step_id")
+
+
+def ingest_uploads(events: DataFrame, target: str, checkpoint: str, vectors: Callable[[DataFrame], DataFrame], size: int = 1000, overlap: int = 200, patience: str = "1 hour", late: str = "1 hour") -> StreamingQuery:
+    """Chunks with vectors under ``target/chunks`` and progress under ``target/progress``, for a stream of ``doc_id, ts, text``.
+
+    ``vectors`` gives ``chunk_id, embedding`` for chunks.  A document's steps are
+    reported as they are reached: 10 and 20 before, 70, 90 and 100 after its chunks
+    are in the table.  A batch that fails in between is run again and adds what is
+    missing, since chunks and steps that are there are skipped.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        with scratch(batch.sparkSession):
+            changed = materialize(batch, "updates")
+            _report(changed.where("status = 'processing'").select("doc_id", "progress"), [], target)
+            _report(changed.where("status = 'failed'").select("doc_id", "progress"), [], target, "failed")
+            accepted = changed.where("text is not null").select("doc_id", "text")
+            chunks = materialize(fixed_chunks(accepted, "doc_id", "text", size, overlap), "new-chunks")
+            with_vectors = materialize(chunks.join(vectors(chunks), "chunk_id", "left"), "new-vectors")
+            append_new(with_vectors, f"{target}/chunks")
+            _report(accepted.select("doc_id"), [70, 90, 100], target)
+
+    return track(events, patience, late).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Policies that may be sent to every task.
-MAX_POLICIES = 10_000
+from corpusloom.operators.stats import order_statistic
 
 
 @dataclass(frozen=True)
@@ -57,18 +57,21 @@ def _with_policy(requests: DataFrame, policies: list[Policy], default: Policy) -
 DECISIONS = "client string, policy string, request_id long, n long, allowed long, throttled boolean"
 
 
+def _decide_one(held: deque, at: int, seconds: int, allowed: int) -> tuple[int, bool]:
+    """How many granted requests count at a time, and whether one more is refused; ``held`` has their times."""
+    while held and held[0] <= at - seconds * 1_000_000:
+        held.popleft()
+    n = len(held)
+    if n < allowed:
+        held.append(at)
+    return n, n >= allowed
+
+
 def _decide(rows: pd.DataFrame, held: deque) -> pd.DataFrame:
-    """Decisions in order of time; ``held`` has the times of the granted requests that still count, at most as many as are allowed."""
+    """Decisions of one client and policy in order of time."""
     rows = rows.sort_values(["at", "request_id"])
-    counts, refused = [], []
-    for at, seconds, allowed in zip(rows["at"], rows["seconds"], rows["allowed"], strict=True):
-        while held and held[0] <= at - seconds * 1_000_000:
-            held.popleft()
-        counts.append(len(held))
-        refused.append(len(held) >= allowed)
-        if not refused[-1]:
-            held.append(at)
-    return rows[["client", "policy", "request_id"]].assign(n=counts, allowed=rows["allowed"], throttled=refused)
+    made = [_decide_one(held, *x) for x in zip(rows["at"], rows["seconds"], rows["allowed"], strict=True)]
+    return rows[["client", "policy", "request_id"]].assign(n=[n for n, _ in made], allowed=rows["allowed"], throttled=[no for _, no in made])
 
 
 def limit_requests(requests: DataFrame, policies: list[Policy], default: Policy, ts: str = "ts") -> DataFrame:
@@ -76,14 +79,30 @@ def limit_requests(requests: DataFrame, policies: list[Policy], default: Policy,
 
     A request is refused if the client has ``allowed`` granted ones under the same
     policy in the last seconds; refused ones do not count later.  So decisions of a
-    client depend on each other, but only until a pause as long as the window: the
-    stretches between pauses are decided on their own, each in one task.
+    client depend on each other, and are made in order of time: rows are dealt by
+    client and policy, sorted there, and read once as they come.  A task holds the
+    times of the granted requests that still count, at most as many as are allowed,
+    however long the history of a client is and even if it has no pause.  Null
+    clients are one client.
     """
     rows = _with_policy(requests, policies, default).withColumn("at", F.unix_micros(F.col(ts).cast("timestamp")))
-    order = Window.partitionBy("client", "policy").orderBy("at", "request_id")
-    pause = F.coalesce(F.col("at") - F.lag("at").over(order) >= F.col("seconds") * 1_000_000, F.lit(True))
-    stretch = rows.withColumn("pause", pause.cast("int")).withColumn("stretch", F.sum("pause").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return stretch.select("client", "policy", "stretch", "request_id", "at", "seconds", "allowed").groupBy("client", "policy", "stretch").applyInPandas(lambda rows: _decide(rows, deque()), DECISIONS)
+    rows = rows.select("client", "policy", F.col("request_id").cast("long").alias("request_id"), "at", "seconds", "allowed")
+    dealt = rows.repartition("client", "policy").sortWithinPartitions("client", "policy", "at", "request_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, deque()
+        for batch in batches:
+            clients, names, _, times, lengths, most = (c.to_pylist() for c in batch.columns)
+            counts, refused = [], []
+            for client, name, at, seconds, allowed in zip(clients, names, times, lengths, most, strict=True):
+                if (client, name) != last:
+                    last, held = (client, name), deque()
+                n, no = _decide_one(held, at, seconds, allowed)
+                counts.append(n)
+                refused.append(no)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64()), batch.column(5), pa.array(refused, pa.bool_())], ["client", "policy", "request_id", "n", "allowed", "throttled"])
+
+    return dealt.mapInArrow(run, DECISIONS)
 
 
 def limit_stream(requests: DataFrame, policies: list[Policy], default: Policy, ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -122,16 +141,26 @@ def recent_requests(requests: DataFrame, seconds: int, client: str = "user_id",
     return twice.withColumn("n", F.count("*").over(window)).where("own = stretch").select("request_id", "n")
 
 
+def longest_prefix(paths: DataFrame, policies: DataFrame) -> DataFrame:
+    """``path, prefix, limit``: the longest prefix among the policies of each path that has one.
+
+    A path meets the policies by equality, once for each length that a prefix has, so
+    there may be any number of either.  Of two policies with one prefix the smaller
+    limit counts.
+    """
+    once = policies.where("prefix is not null").groupBy("prefix").agg(F.min("limit").alias("limit"))
+    lengths = [r.n for r in once.select(F.char_length("prefix").alias("n")).distinct().collect()]  # few: no path is longer
+    cut = F.array_distinct(F.transform(F.lit(lengths or [0]), lambda n: F.substring("path", F.lit(1), n.cast("int"))))
+    met = paths.where("path is not null").select("path", F.explode(cut).alias("prefix")).join(once, "prefix")
+    return met.groupBy("path").agg(F.max_by(F.struct("prefix", "limit"), F.char_length("prefix")).alias("p")).select("path", "p.*")
+
+
 def throttle(counts: DataFrame, requests: DataFrame, policies: DataFrame, default: int, factor: int = 2) -> DataFrame:
     """Adds ``policy``, ``allowed`` and ``throttled`` to requests with their count ``n``.
 
     The policy of the longest prefix of the path counts; members have ``factor`` times as many.
     """
-    if policies.limit(MAX_POLICIES + 1).count() > MAX_POLICIES:
-        raise ValueError(f"more than {MAX_POLICIES} policies")
-    met = requests.join(F.broadcast(policies), F.startswith("path", F.col("prefix")), "left")
-    best = Window.partitionBy("request_id").orderBy(F.desc_nulls_last(F.length("prefix")))
-    one = met.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+    one = requests.join(longest_prefix(requests.select("path").distinct(), policies), "path", "left")
     allowed = F.coalesce("limit", F.lit(default)) * F.when(F.col("member"), factor).otherwise(1)
     return one.join(counts, "request_id").select("request_id", F.coalesce("prefix", F.lit("default")).alias("policy"), allowed.cast("long").alias("allowed"), (F.col("n") >= allowed).alias("throttled"))
 
@@ -142,10 +171,23 @@ def daily_calls(events: DataFrame, limit: int, user: str = "user_id", ts: str =
 
 
 def request_metrics(events: DataFrame, kind: str = "event_type", value: str = "value", ts: str = "ts", length: str = "1 day", late: str = "1 day") -> DataFrame:
-    """``kind, day, n, mean, p95, most``; the percentile is exact up to 10,000 values of a kind and day, and within 0.01 % of the rank beyond."""
-    p95 = F.percentile_approx(value, 0.95, 10_000)
-    counted = events.withWatermark(ts, late).groupBy(kind, F.window(ts, length).alias("w")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), p95.alias("p95"), F.max(value).alias("most"))
-    return counted.select(kind, F.to_date("w.start").alias("day"), "n", *[F.round(c, 6).alias(c) for c in ("mean", "p95", "most")])
+    """``kind, day, n, mean, p95, most``; the percentile (nearest rank) is exact for a batch.
+
+    Of a stream it is an estimate: exact up to 10,000 values of a kind and day, and
+    within 0.01 % of the rank beyond.  For a batch values are counted first, so that
+    a kind of any size is summed up in ranges (see ``stats.order_statistic``).
+    """
+    timed = events.withWatermark(ts, late) if events.isStreaming else events
+    sums = [F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most")]
+    shown = lambda df: df.select(kind, "day", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p95", "most")])
+    window = F.window(ts, length).alias("w")
+    if events.isStreaming:
+        counted = timed.groupBy(kind, window).agg(*sums, F.percentile_approx(value, 0.95, 10_000).alias("p95"))
+        return shown(counted.withColumn("day", F.to_date("w.start")))
+    rows = timed.select(kind, window, value).select(kind, F.col("w.start").alias("start"), value)
+    p95 = order_statistic(rows, [kind, "start"], value, F.ceil(0.95 * F.col("n")) - 1).withColumnRenamed("value", "p95")
+    met = rows.groupBy(kind, "start").agg(*sums).join(p95.withColumnRenamed("start", "__start").withColumnRenamed(kind, "__kind"), F.col(kind).eqNullSafe(F.col("__kind")) & (F.col("start") == F.col("__start")), "left")
+    return shown(met.withColumn("day", F.to_date("start")))
 
 
 def latest_state(events: DataFrame, task: str = "user_id", ts: str = "ts", state: str = "event_type", tie: str = "event_id") -> DataFrame:

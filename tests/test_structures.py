@@ -10,8 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import anchors, blockmax, bm25, chunking, phrases, quantized, quotes, segments
+from corpusloom.operators import anchors, blockmax, bm25, chunking, dense, fusion, knowledge, phrases, quantized, quotes, segments, stats, tenancy
 from corpusloom.operators import text as T
+from corpusloom.session import materialize, scratch, state_of
+from corpusloom.streaming import ingest, usage
 
 WORDS = [a + b for a in ("ba", "ko", "mi", "tu", "re", "sa", "lo") for b in ("lon", "ri", "mus", "", "dent", "ve")]
 
@@ -268,3 +270,148 @@ def test_hierarchies_settle_as_read_in_order(spark):
                         kept.add(p)
     df = spark.createDataFrame(rows, "doc_id long, chunk string, parent string, place struct<p: int, k: int>, print long")
     assert {tuple(r) for r in chunking.settle_hierarchy(df, ["doc_id"]).collect()} == want
+
+
+# -- limits
+
+
+def test_the_longest_prefix_counts(spark):
+    policies = spark.createDataFrame([("/api", 5), ("/api/search", 3), ("/api/search", 2), ("", 9), (None, 1)] + [(f"/p{k}", k) for k in range(20_000)], "prefix string, limit int")
+    paths = spark.createDataFrame([(p,) for p in ("/api/x", "/api/search/a", "/zz", "/p17", "/p19999x", None)], "path string")
+    assert {r.path: (r.prefix, r.limit) for r in usage.longest_prefix(paths, policies).collect()} == {
+        "/api/x": ("/api", 5), "/api/search/a": ("/api/search", 2), "/zz": ("", 9), "/p17": ("/p17", 17), "/p19999x": ("/p19999", 19999)
+    }
+
+
+def test_one_client_without_a_pause(spark):
+    """All requests are one client's, one every second: ten in sixty seconds are granted."""
+    asked = spark.range(20_000).select(F.col("id").alias("request_id"), F.lit("c").alias("client"), F.lit("/x").alias("path"), F.lit(False).alias("member"), F.timestamp_seconds("id").alias("ts"))
+    found = usage.limit_requests(asked, [], usage.Policy("default", (), 10, 60)).orderBy("request_id").collect()
+    assert [r.request_id for r in found if not r.throttled] == [k for k in range(20_000) if k % 60 < 10]
+
+
+# -- what follows retrieval
+
+
+def test_retries_end_when_hits_suffice(spark):
+    """Question 0 is simple, 1 suffices at once, 2 after one round, 3 after two, 4 never, 5 has nothing at first, 6 gets nothing more."""
+    def hits(rows):
+        return spark.createDataFrame([(q, r, 100 * q + r, f"d{r if good else 0}", 0.9 if good else 0.1) for q, good, n in rows for r in range(1, n + 1)], "query_id long, rank long, chunk_id long, doc_id string, score double")
+
+    classes = spark.createDataFrame([(q, "simple" if q == 0 else "complex", 1) for q in range(7)], "query_id long, complexity string, n_sub int")
+    rounds = {1: hits([(2, True, 9), (3, False, 9), (4, False, 9), (5, True, 9), (1, True, 9)]), 2: hits([(3, True, 9), (4, False, 9)])}
+    asked = []
+
+    def widen(failed, k):
+        asked.append(sorted(r.query_id for r in failed.collect()))
+        return rounds[k]
+
+    found = fusion.routed(hits([(0, False, 7), (1, True, 7), (2, False, 5), (3, False, 5), (4, False, 5), (6, False, 3)]), widen, classes).collect()
+    kept = {}
+    for r in found:
+        kept.setdefault((r.query_id, r.retries), []).append(r.rank)
+    assert {k: len(v) for k, v in kept.items()} == {(0, 0): 5, (1, 0): 5, (2, 1): 8, (3, 2): 8, (4, 2): 8, (5, 1): 8, (6, 0): 3}
+    assert asked == [[2, 3, 4, 5, 6], [3, 4, 6]]
+    one = fusion.routed(hits([(1, True, 7)]), widen, classes.where("query_id = 1"))
+    assert one.count() == 5 and len(asked) == 2  # none fails, none is asked for
+
+
+def test_paragraphs_of_chunks(spark):
+    chunks = spark.createDataFrame([(1, 1, "b\n\n \n\n c "), (1, 0, "a"), (1, 2, None), (1, 3, "d" * 40), (1, 4, "e"), (2, 0, " \n")], "doc_id long, chunk_index long, text string")
+    assert [(r.doc_id, r.no, r.paragraph) for r in knowledge.paragraphs(chunks, chars=30).orderBy("no").collect()] == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (1, 4, "d" * 16)]
+    assert knowledge.paragraphs(chunks, most=2).count() == 2
+
+
+def test_messages_and_their_citations(spark):
+    rows = [(1, 2, "assistant", "x", '[{"doc_id": 5, "title": "T"}, null]'), (1, 1, "user", "y", None), (1, 3, "user", "z", "{broken")]
+    found = tenancy.chat_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, citations string")).orderBy("place").collect()
+    assert [(r.place, r.text, r.doc_ids, r.titles) for r in found] == [(1, "y", [], []), (2, "x", ["5"], ["T"]), (3, "z", [], [])]
+
+
+def test_order_statistics_are_exact(spark):
+    draw = random.Random(9)
+    rows = [(draw.choice(["a", "b", None]), draw.choice([None, draw.gauss(0, 5), 3.0])) for _ in range(3000)] + [("one", 7.0)]
+    found = {r.k: r.value for r in stats.order_statistic(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", F.ceil(0.95 * F.col("n")) - 1).collect()}
+    for k in ("a", "b", None, "one"):
+        own = sorted(v for g, v in rows if g == k and v is not None)
+        assert found[k] == own[-(-95 * len(own) // 100) - 1]
+
+
+# -- scratch
+
+
+def test_scratch_goes_with_its_scope(spark, tmp_path):
+    with scratch(spark):
+        outer = materialize(spark.range(3), "outer")
+        with scratch(spark):
+            inner = materialize(spark.range(3), "inner").scratch_path
+            assert os.path.isdir(inner)
+        assert not os.path.exists(inner) and outer.count() == 3
+    with pytest.raises(ValueError), scratch(spark):
+        broken = materialize(spark.range(3), "broken").scratch_path
+        raise ValueError
+    assert not os.path.exists(outer.scratch_path) and not os.path.exists(broken)
+
+
+def test_a_changed_table_has_another_state(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    spark.range(3).write.parquet(path)
+    before = state_of(spark, path)
+    assert state_of(spark, path) == before
+    spark.range(1).write.mode("append").parquet(path)
+    assert state_of(spark, path) != before
+
+
+# -- ingestion with states
+
+
+def test_uploads_are_tracked_over_batches(spark, tmp_path):
+    """Announced first and sent later, sent twice, never sent, and a batch that is run again."""
+    schema = "doc_id long, ts timestamp, text string"
+    at = lambda s: f"2024-01-01 {s}"
+    batches = [
+        [(1, at("10:00:00"), None), (2, at("10:00:00"), "two words"), (3, at("10:00:00"), None)],
+        [(1, at("10:20:00"), "text one"), (2, at("10:21:00"), "again"), (2, at("10:22:00"), "and again"), (None, at("10:22:00"), "lost")],
+        [(4, at("14:00:00"), "x" * 1500)],
+        [(5, at("14:01:00"), "late one")],
+    ]
+    target, source = f"{tmp_path}/target", f"{tmp_path}/in"
+
+    def run(checkpoint):
+        events = spark.readStream.schema(schema).parquet(source)
+        ingest.ingest_uploads(events, target, f"{tmp_path}/{checkpoint}", dense.hashed_vectors).awaitTermination()
+        steps = {}
+        for r in spark.read.parquet(f"{target}/progress").collect():
+            steps.setdefault(r.doc_id, []).append((r.progress, r.status))
+        return {d: sorted(s) for d, s in steps.items()}
+
+    for rows in batches:
+        spark.createDataFrame([(d, t, x) for d, t, x in rows], "doc_id long, ts string, text string").selectExpr("doc_id", "cast(ts as timestamp) ts", "text").coalesce(1).write.mode("append").parquet(source)
+        now = run("state")
+    whole = [(10, "processing"), (20, "processing"), (70, "processing"), (90, "processing"), (100, "completed")]
+    assert {d: now[d] for d in (1, 2, 4, 5)} == dict.fromkeys((1, 2, 4, 5), whole) and now[3] == [(10, "failed"), (10, "processing")]
+    chunks = {r.chunk_id: r for r in spark.read.parquet(f"{target}/chunks").collect()}
+    assert set(chunks) == {"1_chunk_0", "2_chunk_0", "4_chunk_0", "4_chunk_1", "5_chunk_0"} and chunks["2_chunk_0"].text == "two words"
+    assert all(len(c.embedding) == 256 for c in chunks.values())
+    assert run("again") == now and spark.read.parquet(f"{target}/chunks").count() == 5  # everything again, with no memory: nothing is added
+
+
+def test_nearest_of_other_documents_in_one_search(spark):
+    draw = np.random.default_rng(2)
+    x = np.round(draw.normal(size=(300, 6)), 1)
+    x[10:30] = x[5]  # copies, so that distances tie
+    doc = [0 if k < 200 else k % 13 for k in range(300)]  # one document has most chunks
+    rows = spark.createDataFrame([(k, d, [float(e) for e in v]) for k, (d, v) in enumerate(zip(doc, x, strict=True))] + [(999, 3, None)], "chunk_id long, doc_id long, embedding array<double>")
+    docs = rows.select("doc_id").distinct()
+    found = {}
+    for r in dense.related_by_first_chunk(rows, docs, 4).collect():
+        found.setdefault(r.doc_id, []).append((r.rank, r.related_doc_id, r.distance))
+    for d in set(doc):
+        first = min(k for k in range(300) if doc[k] == d)
+        near = {}
+        for k in range(300):
+            if doc[k] != d:
+                far = round(1 - float(x[k] @ x[first]) / float(np.linalg.norm(x[k]) * np.linalg.norm(x[first])), 6)
+                near[doc[k]] = min(far, near.get(doc[k], 9))
+        best = sorted((v, o) for o, v in near.items())[:4]
+        assert [o for _, o, _ in sorted(found[d])] == [o for _, o in best]
