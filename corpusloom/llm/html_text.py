@@ -2,20 +2,28 @@
 
 A page is cut into leaf blocks, the text between two block-level tags.  Each is
 described by its tag path (with class, id and role names) and its words, both
-hashed to fixed random vectors, and a few proportions.  A bidirectional LSTM
+hashed to fixed random vectors, and a few proportions; no list of names is read.  A bidirectional LSTM
 reads all blocks of a page in order and labels each as main text or not, so a
 block is judged in the context of the whole document.
 
 The model is trained here, on pages of the table whose markup names the article
 (``article`` or ``main``) and on pages laid out at random from the words of the
-table with the usual furniture around and inside the article.
+table with the usual furniture around and inside the article.  Of these only a
+quarter name furniture as pages usually do; half name it by words at random, as
+other languages and templates would, and a quarter have no names, so that order,
+elements and words must tell.
+
+All work is linear in the page, however deep its elements nest: a path is a node
+that knows its parent, and vectors of paths are sums that grow by one node.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from math import log1p
 from zlib import crc32
 
 import numpy as np
@@ -50,22 +58,43 @@ _TAG = re.compile(
     re.S,
 )
 _NAME = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_TOKEN = re.compile(r"[a-z]+")
+_TOKEN = re.compile(r"[^\W\d_]+")
+_NAMES_OF_FURNITURE = frozenset(FURNITURE_NAMES)
+
+
+class Node:
+    """An open element with its names; what is said of a path is kept with its last element."""
+
+    __slots__ = ("name", "names", "parent", "depth", "article", "furniture", "shown", "tokens", "whole")
+
+    def __init__(self, name: str, names: tuple[str, ...], parent: Node | None):
+        self.name, self.names, self.parent = name, names, parent
+        self.depth = parent.depth + 1 if parent else 1
+        named = name in ("article", "main")
+        #: whether the path has an article, and furniture, by element or name
+        self.article = named or bool(parent and parent.article)
+        self.furniture = bool(parent and parent.furniture) or (not named and name not in ("body", "html") and (name in FURNITURE_TAGS or not _NAMES_OF_FURNITURE.isdisjoint(names)))
+        #: the last element of the path that has a part in its vector, and the parts up to there
+        own = name in BLOCK or name == "a"
+        self.shown = self if own else parent and parent.shown
+        self.tokens = (parent.tokens if parent else 0) + (1 + len(names) if own else 0)
+        self.whole: np.ndarray | None = None
 
 
 @dataclass
 class Block:
-    """One leaf: its text, its open elements with their names, and its characters in links."""
+    """One leaf: its text, its innermost open element, and its characters in links."""
 
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    node: Node | None
     linked: int
 
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page that have text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    opened: Counter[str] = Counter()  # elements of the stack by name
     text: list[str] = []
     linked = links = 0  # characters in links of this block; open links
 
@@ -75,21 +104,24 @@ def blocks(page: str | None) -> list[Block]:
             return
         joined = " ".join("".join(text).split())
         if joined:
-            out.append(Block(joined, tuple(stack), linked))
+            out.append(Block(joined, stack[-1] if stack else None, linked))
         text.clear()
         linked = 0
 
     def close(names: tuple[str, ...], within: frozenset[str] = frozenset()) -> None:
         nonlocal links
+        if not any(opened[n] for n in names):
+            return
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                ended = [name for name, _ in stack[k:]]
+            if stack[k].name in names:
+                ended = [node.name for node in stack[k:]]
                 if not BLOCK.isdisjoint(ended):
                     flush()
                 links -= ended.count("a")
+                opened.subtract(ended)
                 del stack[k:]
                 return
-            if stack[k][0] in within:
+            if stack[k].name in within:
                 return
 
     def say(raw: str) -> None:
@@ -129,7 +161,8 @@ def blocks(page: str | None) -> list[Block]:
             continue
         names = tuple(_TOKEN.findall(" ".join("".join(g) for g in _NAME.findall(attributes)).lower())) if "=" in attributes else ()
         links += name == "a"
-        stack.append((name, names))
+        stack.append(Node(name, names, stack[-1] if stack else None))
+        opened[name] += 1
     say(page[at:])
     flush()
     return out
@@ -137,57 +170,105 @@ def blocks(page: str | None) -> list[Block]:
 
 # -- features
 
-PATH, LEAF, WORDS = 32, 16, 16
-OTHER = 8
+PATH, LEAF, WORDS = 64, 24, 16
+OTHER = 10
 INPUTS = PATH + LEAF + WORDS + OTHER
 WORD_BUCKETS = 4096
-HIDDEN = 16
+HIDDEN = 24
 
 
 @dataclass
 class Featurizer:
     """Hashed random vectors of path parts and words, remembered up to a bound."""
 
-    paths: dict[tuple, np.ndarray] = field(default_factory=dict)
+    parts: dict[tuple[str, int], np.ndarray] = field(default_factory=dict)
     words_of: np.ndarray = field(default_factory=lambda: np.random.default_rng(1).choice([-1.0, 1.0], (WORD_BUCKETS, WORDS)).astype(np.float32))
 
-    @staticmethod
-    def vector(token: str, size: int) -> np.ndarray:
-        return np.random.default_rng(crc32(token.encode("utf-8", "surrogatepass"))).choice([-1.0, 1.0], size).astype(np.float32)
-
-    def path(self, path: tuple[tuple[str, tuple[str, ...]], ...]) -> np.ndarray:
-        if path not in self.paths:
-            if len(self.paths) > 20_000:
-                self.paths.clear()
-            shown = [(n, names) for n, names in path if n in BLOCK or n == "a"]
-            tokens = [t for n, names in shown for t in (n, *(f".{x}" for x in names))]
-            whole = sum((self.vector(t, PATH) for t in tokens), np.zeros(PATH, dtype=np.float32)) / 2
-            leaf = shown[-1] if shown else ("", ())
-            last = sum((self.vector(t, LEAF) for t in (leaf[0], *(f".{x}" for x in leaf[1]))), np.zeros(LEAF, dtype=np.float32))
-            lexicon = (sum(n in FURNITURE_TAGS for n, _ in shown), sum(x in FURNITURE_NAMES for _, names in shown for x in names))
-            self.paths[path] = np.concatenate([whole, last, lexicon]).astype(np.float32)
-        return self.paths[path]
+    def vector(self, token: str, size: int) -> np.ndarray:
+        if (token, size) not in self.parts:
+            if len(self.parts) > 20_000:
+                self.parts.clear()
+            self.parts[token, size] = np.random.default_rng(crc32(token.encode("utf-8", "surrogatepass"))).choice([-1.0, 1.0], size).astype(np.float32)
+        return self.parts[token, size]
+
+    def _own(self, node: Node, size: int) -> np.ndarray:
+        return sum((self.vector(f".{x}", size) for x in node.names), self.vector(node.name, size)) if node.names else self.vector(node.name, size)
+
+    def path(self, node: Node | None, into: np.ndarray) -> None:
+        """The sum over the path, over the root of its parts, and the vector of its last element."""
+        last = node and node.shown
+        if not last:
+            return
+        fresh = []
+        at = last
+        while at and at.whole is None:
+            fresh.append(at)
+            at = at.parent and at.parent.shown
+        total = at.whole if at else np.zeros(PATH, dtype=np.float32)
+        for one in reversed(fresh):
+            total = one.whole = total + self._own(one, PATH)
+        into[:PATH] = last.whole
+        into[:PATH] /= (4 + last.tokens) ** 0.5
+        into[PATH : PATH + LEAF] = self._own(last, LEAF)
 
     def words(self, text: str) -> np.ndarray:
         """The vectors of all words of the block, by bucket, over the root of their number."""
         words = text.lower().encode("utf-8", "surrogatepass").split()
+        if len(words) == 1:
+            return self.words_of[crc32(words[0]) % WORD_BUCKETS] / 5**0.5
         buckets = np.fromiter(map(crc32, words), dtype=np.uint32, count=len(words)) % WORD_BUCKETS
         if len(words) < WORD_BUCKETS:
-            return self.words_of[buckets].sum(axis=0) / (4 + len(words)) ** 0.5
-        return np.bincount(buckets, minlength=WORD_BUCKETS).astype(np.float32) @ self.words_of / (4 + len(words)) ** 0.5
+            total = self.words_of[buckets].sum(axis=0)
+        else:
+            total = np.bincount(buckets, minlength=WORD_BUCKETS).astype(np.float32) @ self.words_of
+        return np.clip(total / (4 + len(words)) ** 0.5, -3, 3)  # one word over and over is no outlier
 
     def page(self, found: list[Block]) -> np.ndarray:
         rows = np.zeros((len(found), INPUTS), dtype=np.float32)
         for k, b in enumerate(found):
             n = len(b.text)
-            path = self.path(b.path)
-            rows[k, : PATH + LEAF] = path[:-2]
+            self.path(b.node, rows[k])
             rows[k, PATH + LEAF : -OTHER] = self.words(b.text)
             stops = b.text.count(".") + b.text.count(",")
-            rows[k, -OTHER:] = (np.log1p(n) / 4, b.linked / n, min(stops / n * 10, 2), k / len(found), len(b.path) / 10, k == 0, *path[-2:])
+            rows[k, -OTHER:-4] = (log1p(n) / 4, b.linked / n, min(stops / n * 10, 2), k / len(found), min(b.node.shown.depth if b.node and b.node.shown else 0, 30) / 10, k == 0)
+        rows[:, -4:-2], rows[:, -2:] = steps_between(found), beside_heading(found)
         return rows
 
 
+def steps_between(found: list[Block]) -> np.ndarray:
+    """For each block, logarithms of the elements that ended and began since the one before."""
+    out, last = np.zeros((len(found), 2), dtype=np.float32), None
+    for k, b in enumerate(found):
+        old, new = last, b.node and b.node.shown
+        while old is not new:
+            if new is None or (old is not None and old.depth >= new.depth):
+                old, out[k, 0] = old.parent, out[k, 0] + 1
+            else:
+                new, out[k, 1] = new.parent, out[k, 1] + 1
+        last = b.node and b.node.shown
+    return np.log1p(out)
+
+
+def beside_heading(found: list[Block]) -> np.ndarray:
+    """For each block, whether the element around the page's first ``h1`` (else ``h2``) is around it too (1 or -1; 0 without such a heading), and how far below that it is."""
+    out = np.zeros((len(found), 2), dtype=np.float32)
+    heads = [next((b.node for b in found if b.node and b.node.name == h), None) for h in ("h1", "h2")]
+    around = next((h.parent for h in heads if h), None)
+    if around is None:
+        return out
+    below: dict[Node | None, float] = {around: 0.0, None: -1.0}
+    for k, b in enumerate(found):
+        fresh, at = [], b.node and b.node.shown
+        while at not in below:
+            fresh.append(at)
+            at = at.parent
+        far = below[at]
+        for node in reversed(fresh):
+            far = below[node] = far + 1 if far >= 0 else far
+        out[k] = (1, min(far, 10) / 5) if far >= 0 else (-1, 0)
+    return out
+
+
 # -- model
 
 
@@ -208,8 +289,8 @@ class BlockLabeller:
         w["out0"] = np.zeros(1, dtype=np.float32)
         return BlockLabeller(w)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, learning: bool = True) -> tuple[np.ndarray, list]:
-        """x: steps x pages x inputs, already in this direction's order; the states of each step are kept for learning only."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+        """x: steps x pages x inputs, already in this direction's order; what learning needs of each step is kept."""
         h = c = np.zeros((x.shape[1], HIDDEN), dtype=np.float32)
         out, kept = np.zeros((*x.shape[:2], HIDDEN), dtype=np.float32), []
         pushed = x @ self.w[d][:INPUTS] + self.w[d + "0"]
@@ -220,16 +301,39 @@ class BlockLabeller:
             m = mask[t][:, None]
             new = f * c + i * n
             shown = np.tanh(new)
-            if learning:
-                kept.append((h, c, i, f, o, n, shown, m))
+            kept.append((h, c, i, f, o, n, shown, m))
             c = m * new + (1 - m) * c
             h = m * o * shown + (1 - m) * h
             out[t] = h
         return out, kept
 
+    def _both(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """The states of both directions, steps x pages x (2 * HIDDEN), without what learning needs."""
+        twice = np.repeat(np.array([1, 1, 1, 2], dtype=np.float32), HIDDEN)  # tanh(v) is 2 / (1 + exp(-2 v)) - 1
+        pushed = np.stack([x @ self.w["f"][:INPUTS] + self.w["f0"], x[::-1] @ self.w["b"][:INPUTS] + self.w["b0"]], axis=1) * -twice
+        held = None if mask.all() else np.stack([mask, mask[::-1]], axis=1)[:, :, :, None] > 0
+        again = np.stack([self.w["f"][INPUTS:], self.w["b"][INPUTS:]]) * -twice
+        h = c = np.zeros((2, x.shape[1], HIDDEN), dtype=np.float32)
+        out = np.empty((len(x), 2, x.shape[1], HIDDEN), dtype=np.float32)
+        with np.errstate(over="ignore"):  # a gate that is shut
+            for t in range(len(x)):
+                z = np.matmul(h, again)
+                z += pushed[t]
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                new = z[..., HIDDEN : 2 * HIDDEN] * c + z[..., :HIDDEN] * (2 * z[..., 3 * HIDDEN :] - 1)
+                shown = z[..., 2 * HIDDEN : 3 * HIDDEN] * np.tanh(new)
+                c, h = (new, shown) if held is None else (np.where(held[t], new, c), np.where(held[t], shown, h))
+                out[t] = h
+        return np.concatenate([out[:, 0], out[::-1, 1]], axis=2)
+
     def forward(self, x: np.ndarray, mask: np.ndarray, learning: bool = True):
-        f, kept_f = self._run(x, mask, "f", learning)
-        b, kept_b = self._run(x[::-1], mask[::-1], "b", learning)
+        if not learning:
+            both = self._both(x, mask)
+            return 1 / (1 + np.exp(-(both @ self.w["out"] + self.w["out0"]))), both, [], []
+        f, kept_f = self._run(x, mask, "f")
+        b, kept_b = self._run(x[::-1], mask[::-1], "b")
         both = np.concatenate([f, b[::-1]], axis=2)
         return 1 / (1 + np.exp(-(both @ self.w["out"] + self.w["out0"]))), both, kept_f, kept_b
 
@@ -282,39 +386,63 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 #: Bound of the learning sample, in pages, and the pages laid out at random.
 SAMPLE_PAGES = 300
-LAID_OUT = 900
+LAID_OUT = 1500
+#: How often a run of a sampled page counts for one layout.
+TAUGHT_TIMES = 2
 #: Blocks of a sampled page that training reads at once, how many such runs of a page it takes, and how many of its words layouts may use.
 TRAIN_BLOCKS, TRAIN_RUNS, TRAIN_WORDS = 120, 3, 1000
 
 
 def markup_labels(found: list[Block]) -> list[int] | None:
     """1 for blocks of a named article outside furniture; None if no article is named."""
-    if not any(n in ("article", "main") for b in found for n, _ in b.path):
+    if not any(b.node and b.node.article for b in found):
         return None
-    labels = []
-    for b in found:
-        inside = [k for k, (n, _) in enumerate(b.path) if n in ("article", "main")]
-        labels.append(int(bool(inside) and not any(n in FURNITURE_TAGS or set(names) & set(FURNITURE_NAMES) for n, names in b.path if n not in ("article", "main", "body", "html"))))
-    return labels
+    return [int(bool(b.node) and b.node.article and not b.node.furniture) for b in found]
 
 
-def lay_out(words: list[str], draw: np.random.Generator) -> tuple[list[Block], list[int]]:
-    """A page of random words with furniture around and inside its article."""
+def lay_out(words: list[str], draw: np.random.Generator, kind: str | None = None) -> tuple[list[Block], list[int]]:
+    """A page of random words with furniture around and inside its article.
+
+    ``kind`` says what names are: ``usual``, random ``words``, or ``none``; drawn if not given.
+    """
     out, labels = [], []
+    # names as pages usually have them, words in their place (the same for the same name all over the page), or none
+    kind = kind or ("usual", "words", "words", "none")[int(draw.integers(4))]
+    other: dict[str, tuple[str, ...]] = {}
+
+    def given(names: tuple[str, ...]) -> tuple[str, ...]:
+        if kind == "usual" or not names:
+            return names
+        if kind == "none":
+            return ()
+        for n in names:
+            if n not in other:
+                other[n] = tuple(_TOKEN.findall(words[int(draw.integers(len(words)))].lower()))[:1] if draw.random() < 0.8 else ()
+        return tuple(x for n in names for x in other[n])
 
     def text(low: int, high: int) -> str:
         return " ".join(words[i] for i in draw.integers(0, len(words), int(draw.integers(low, high + 1))))
 
-    def add(path: tuple, label: int, low: int, high: int, link: float = 0.0) -> None:
-        t = text(low, high)
-        out.append(Block(t, path, int(len(t) * link)))
+    shared: dict[tuple, Node] = {}
+
+    def add(path: tuple, label: int, low: int, high: int, link: float = 0.0, own: int = 1) -> None:
+        """A block; the last ``own`` elements of its path are its own, the others those of earlier blocks with the same path."""
+        t, node = text(low, high), None
+        for k, (n, names) in enumerate(path):
+            if k >= len(path) - own:
+                node = Node(n, given(names), node)
+            else:
+                node = shared.setdefault(path[: k + 1], Node(n, given(names), node))
+        out.append(Block(t, node, int(len(t) * link)))
         labels.append(label)
 
     def pick(*options):
         return options[int(draw.integers(len(options)))]
 
-    top = (("html", ()), ("body", ()))
-    add((("html", ()), ("head", ()), ("title", ())), 0, 3, 12)
+    top = pick(*[(("html", ()), ("body", ()))] * 4, (("body", ()),), ())  # these tags may be left out
+    bare = draw.random() < 0.15  # nothing but the article
+    if not bare and draw.random() < 0.8:
+        add((*top[:-1], *((("head", ()),) if top else ()), ("title", ())), 0, 3, 12)
     wrap = pick((), (("div", ("wrapper",)),), (("div", ("page", "container")),))
 
     def furniture(base: tuple) -> None:
@@ -323,33 +451,34 @@ def lay_out(words: list[str], draw: np.random.Generator) -> tuple[list[Block], l
         box = (*base, (pick("div", "div", "section", "aside", "ul"), (name, *pick((), ("box",), ("inner",)))))
         if kind == 0:
             for _ in range(int(draw.integers(2, 9))):
-                add((*base, pick(("nav", ()), ("nav", ("main",)), ("div", ("menu",)), ("header", ())), ("ul", ()), ("li", ()), ("a", ())), 0, 1, 3, 1.0)
+                add((*base, pick(("nav", ()), ("nav", ("main",)), ("div", ("menu",)), ("header", ())), ("ul", ()), ("li", ())), 0, 1, 3, 1.0)
         elif kind == 1:
             for _ in range(int(draw.integers(1, 4))):
                 add((*base, (pick("aside", "header", "footer", "form"), pick((), (name,))), (pick("p", "div", "h3", "label"), ())), 0, 1, 40, pick(0.0, 0.0, 1.0))
         elif kind == 2:
             comments = (*base, (pick("section", "div", "ol"), pick(("comments",), ("comment", "list"), ("disqus",), ("reader", "comments"))))
-            for _ in range(int(draw.integers(1, 6))):
-                add((*comments, pick(("div", ("comment",)), ("li", ("comment",)), ("article", ("comment",))), ("p", ())), 0, 3, 60)
+            for _ in range(int(draw.integers(1, 6)) if draw.random() < 0.9 else int(draw.integers(10, 40))):
+                add((*comments, pick(("div", ("comment",)), ("li", ("comment",)), ("article", ("comment",))), ("p", ())), 0, 3, 60, own=2)
         elif kind == 3:
             add((*base, ("form", ()), (pick("button", "label", "select", "div"), ())), 0, 1, 12)
         else:
             for _ in range(int(draw.integers(1, 4))):
-                add(pick(box, (*box, ("p", ())), (*box, ("div", ())), (*box, ("li", ()), ("a", ()))), 0, 1, 50, pick(0.0, 0.0, 1.0))
+                add(pick(box, (*box, ("p", ())), (*box, ("div", ())), (*box, ("li", ()))), 0, 1, 50, pick(0.0, 0.0, 1.0))
 
-    for _ in range(int(draw.integers(0, 4))):
+    for _ in range(0 if bare else int(draw.integers(0, 4))):
         furniture((*top, *wrap))
     body = (*top, *wrap, *pick((("article", ()),), (("main", ()),), (("main", ()), ("article", ())), (("article", ("post",)),), (("div", ("content",)),), (("div", ("article", "body")),), (("div", ("entry", "content")),), (("div", ("post", "text")),)))
-    if draw.random() < 0.8:
+    if draw.random() < (0.4 if bare else 0.75):
         add((*body, (pick("h1", "h2"), ())), 1, 2, 14)
-    for _ in range(int(draw.integers(1, 14))):
-        add((*body, *pick(*[(("p", ()),)] * 6, (("ul", ()), ("li", ())), (("blockquote", ()), ("p", ())), (("pre", ()),), (("h2", ()),), (("h3", ()),), (("table", ()), ("tr", ()), ("td", ())), (("div", ()),), (("section", ()), ("p", ())), (("figure", ()), ("figcaption", ())))), 1, 1, 120, pick(0.0, 0.0, 0.0, 0.2))
-        if draw.random() < 0.08:
+    longest = pick(120, 120, 120, 60, 12)
+    for _ in range(int(draw.integers(1, 14)) if draw.random() < 0.9 else int(draw.integers(20, 80))):
+        add((*body, *pick(*[(("p", ()),)] * 6, (("ul", ()), ("li", ())), (("blockquote", ()), ("p", ())), (("pre", ()),), (("h2", ()),), (("h3", ()),), (("table", ()), ("tr", ()), ("td", ())), (("div", ()),), (("section", ()), ("p", ())), (("figure", ()), ("figcaption", ())))), 1, 1, longest, pick(0.0, 0.0, 0.0, 0.2))
+        if draw.random() < 0.08 and not bare:
             furniture(body)
-    for _ in range(int(draw.integers(0, 4))):
+    for _ in range(0 if bare else int(draw.integers(0, 4))):
         furniture(pick((*top, *wrap), (*top, *wrap), body))
-    if draw.random() < 0.8:
-        add((*top, *wrap, ("footer", ())), 0, 1, 30)
+    if draw.random() < 0.8 and not bare:
+        add((*top, *wrap, *pick((("footer", ()),), (("div", ("footer",)),))), 0, 1, 30)
     return out, labels
 
 
@@ -365,17 +494,19 @@ def page_lesson(page: str, featurizer: Featurizer) -> tuple[list[tuple[np.ndarra
     return [(rows[k : k + TRAIN_BLOCKS], labels[k : k + TRAIN_BLOCKS]) for k in chosen], words
 
 
-def fit_labeller(lessons: list[tuple[list[tuple[np.ndarray, list[int]]], list[str]]], rounds: int = 600, size: int = 24, rate: float = 0.01, seed: int = 11) -> BlockLabeller:
+def fit_labeller(lessons: list[tuple[list[tuple[np.ndarray, list[int]]], list[str]]], rounds: int = 1400, size: int = 24, rate: float = 0.01, seed: int = 11) -> BlockLabeller:
     """Train on the lessons of pages and on random layouts of their words; deterministic for a seed."""
     draw, featurizer, model = np.random.default_rng(seed), Featurizer(), BlockLabeller.fresh()
-    cases = [case for taught, _ in lessons for case in taught]
+    cases = [case for taught, _ in lessons for case in taught] * TAUGHT_TIMES
     words = [w for _, said in lessons for w in said]
     for _ in range(LAID_OUT):
         found, labels = lay_out(words or ["word"], draw)
         cases.append((featurizer.page(found), labels))
     first, second = ({k: np.zeros_like(v) for k, v in model.w.items()} for _ in range(2))
+    cases.sort(key=lambda c: len(c[1]))
     for step in range(1, rounds + 1):
-        chosen = [cases[i] for i in draw.integers(0, len(cases), size)]
+        start = int(draw.integers(-size // 2, len(cases) - size // 2))  # cases of like length together
+        chosen = cases[max(0, start) : max(1, start + size)]
         x, mask = _padded([c[0] for c in chosen])
         gold = np.zeros(mask.shape, dtype=np.float32)
         for k, (_, labels) in enumerate(chosen):
@@ -421,7 +552,9 @@ def extract_text(df: DataFrame, model: BlockLabeller, id_col: str = "page_id", h
 
     ``text`` joins the main blocks in page order by one newline.  A null or empty
     page, and one without main text, has an empty text; null ids and repeated rows
-    stay; an empty table gives an empty result; further columns are ignored.
+    stay; an empty table gives an empty result; further columns are ignored.  Time
+    and memory are in proportion to the page, also where elements nest by the
+    hundred thousand.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
