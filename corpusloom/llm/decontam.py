@@ -42,21 +42,38 @@ FILTER_BITS = 1 << 23
 BLOCK_WORDS, TEXT_WORDS = 500_000, 200_000
 #: Words of passages whose alignments a task remembers, so that equal ones are aligned once.
 KNOWN_WORDS = 200_000
+#: Words whose hashes a task remembers.
+KNOWN_HASHES = 300_000
 #: No word has this hash; three stand between texts, so that no seed spans two.
 _BREAK = 1 << 33
 _WORD = re.compile(r"[^\W_]+")
 #: Blocks of scripts without spaces (fixed values): Thai and Lao, Tibetan, Myanmar, Khmer, kana, Han.
 _UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+_SOME_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _ANY_WORD = re.compile(f"[{_UNSPACED}]|[^\\W_{_UNSPACED}]+")
 _PRIME = 0x9E3779B97F4A7C15
 #: In place of the further words of a seed of two words, and of one.
 _TWO, _ONE = np.uint64((1 << 34) + 2), np.uint64((1 << 34) + 1)
 
 
+class _Hashes(dict):
+    """32-bit hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_HASHES:
+            self.clear()
+        found = self[word] = crc32(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+_hash_of = _Hashes().__getitem__
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A 32-bit hash of each word, without case and punctuation; characters of scripts without spaces are words."""
     low = (text or "").lower()
-    return np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in (_WORD if low.isascii() else _ANY_WORD).findall(low)], dtype=np.int64)
+    words = (_WORD if low.isascii() or not _SOME_UNSPACED.search(low) else _ANY_WORD).findall(low)
+    return np.fromiter(map(_hash_of, words), dtype=np.int64, count=len(words))
 
 
 def least_seeds(n: int, threshold: float) -> int:
