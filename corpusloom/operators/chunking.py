@@ -23,6 +23,11 @@ def fixed_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def with_metadata(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Chunks with what is known of their documents, as they are indexed; names of the chunks go before those of the documents."""
+    return chunks.join(docs.drop(*[c for c in chunks.columns if c != id_col]), id_col)
+
+
 def pack_units(units: Column, size: int) -> Column:
     """Greedy chunks of whole units: an array of joined texts of at most ``size`` characters where units allow it."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
@@ -199,15 +204,19 @@ def section_chunks(sections: DataFrame, sizes: dict[str, int], default: int = 10
     """Chunks of ``id, section_no, section_type, content``, of a size by section type; numbers run over the document.
 
     A section's chunks, without their first ``shared`` characters, give it again when
-    joined in order.  Empty and null sections give none.
+    joined in order.  Empty and null sections give none.  Where sections have
+    ``page_start`` and ``page_end``, chunks have ``page_range``, as ``2-5``.
     """
     known = F.create_map(*[F.lit(x) for item in sizes.items() for x in item]) if sizes else F.lit(None).cast("map<string,int>")
     size = F.coalesce(F.try_element_at(known, F.col("section_type")), F.lit(default))
     cut = sections.where(F.length(text_col) > 0).withColumn("__size", size)
     packed = pack_units(_units(F.col(text_col), F.col("__size") - overlap, SEPARATORS), F.col("__size") - overlap)
-    rows = cut.select(id_col, "section_no", "section_type", packed.alias("__parts"))
-    rows = rows.select(id_col, "section_no", "section_type", "__parts", F.posexplode_outer("__parts").alias("position", "text")).where("text is not null")
+    own = [id_col, "section_no", "section_type"]
+    if {"page_start", "page_end"} <= set(sections.columns):
+        cut, own = cut.withColumn("page_range", F.concat_ws("-", F.col("page_start").cast("string"), F.col("page_end").cast("string"))), [*own, "page_range"]
+    rows = cut.select(*own, packed.alias("__parts"))
+    rows = rows.select(*own, "__parts", F.posexplode_outer("__parts").alias("position", "text")).where("text is not null")
     rows = rows.withColumn("__shared", _shared(overlap) if overlap else F.lit("")).drop("__parts")
-    rows = rows.select(id_col, "section_no", "section_type", "position", F.concat("__shared", "text").alias("text"), F.length("__shared").alias("shared"))
+    rows = rows.select(*own, "position", F.concat("__shared", "text").alias("text"), F.length("__shared").alias("shared"))
     number = (F.row_number().over(Window.partitionBy(id_col).orderBy("section_no", "position")) - 1).cast("long")
     return rows.withColumn("chunk_index", number).drop("position")

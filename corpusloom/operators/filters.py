@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _COMPARE = {
@@ -49,3 +49,8 @@ def text_search(query: str, *columns: str) -> Column:
 def keyword_search(keyword: str, *columns: str) -> Column:
     """Whether the columns, joined by spaces, hold the keyword in any case."""
     return F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(keyword.lower()))
+
+
+def page_of(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
+    """One page of ``size`` rows in ``order``, counted from 0; beyond the last there is none."""
+    return rows.orderBy(*order).offset(page * size).limit(size)

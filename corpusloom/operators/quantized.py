@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.bm25 import top_k
-from corpusloom.operators.dense import dot
+from corpusloom.operators.dense import dot, whole, whole_vectors
 from corpusloom.operators.sampling import hash_sample
 from corpusloom.session import exists, listed
 
@@ -82,9 +82,10 @@ def fit_quantizer(corpus: DataFrame, parts: int | None = None, seed: int = 17) -
     """Learn from at most ``SAMPLE`` vectors, chosen by a hash of the id; the cells grow with the root of the corpus.
 
     ``parts`` is half the dimensions if not given, so a code takes an eighth of the
-    vector's bytes as floats.  Vectors must have one length and no null.
+    vector's bytes as floats.  Vectors with null or not finite entries, or of another
+    length than most, are not indexed.
     """
-    rows = corpus.where(F.col("embedding").isNotNull()).select(F.col("chunk_id").alias("id"), "embedding")
+    rows = whole(corpus).select(F.col("chunk_id").alias("id"), "embedding")
     total = rows.count()
     chosen = rows.join(F.broadcast(hash_sample(rows.select("id"), SAMPLE)), "id").groupBy("id").agg(F.min("embedding").alias("embedding")).orderBy("id")
     found = [r.embedding for r in chosen.collect()]
@@ -106,9 +107,9 @@ def fit_quantizer(corpus: DataFrame, parts: int | None = None, seed: int = 17) -
     return Quantizer(centres, words)
 
 
-def _vectors(batch) -> tuple[pa.RecordBatch, np.ndarray]:
-    """The rows of a batch (id, embedding) that have a vector, and these at length 1."""
-    whole = batch.filter(batch.column(1).is_valid())
+def _vectors(batch, dimensions: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The rows of a batch (chunk_id, embedding) that have a whole vector, and these at length 1."""
+    whole = whole_vectors(batch, dimensions)
     flat = np.asarray(whole.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float32)
     return whole, _unit(flat.reshape(whole.num_rows, -1)) if whole.num_rows else np.zeros((0, 0), np.float32)
 
@@ -127,7 +128,7 @@ def save_index(corpus: DataFrame, path: str, model: Quantizer | None = None) ->
 
     def run(batches):
         for batch in batches:
-            whole, unit = _vectors(batch)
+            whole, unit = _vectors(batch, sent.value.centres.shape[1])
             for a in range(0, whole.num_rows, 1024):
                 cell, code = sent.value.encode(unit[a : a + 1024])
                 yield pa.RecordBatch.from_arrays([whole.column(0).slice(a, 1024), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary())], ["chunk_id", "cell", "code"])
@@ -191,7 +192,7 @@ def survivors(spark: SparkSession, path: str, queries: DataFrame, share: float =
     model = load_model(spark, path)
     codes = spark.read.parquet(f"{path}/codes").select("chunk_id", "cell", "code")
     kinds = [queries.schema["query_id"].dataType.simpleString(), codes.schema["chunk_id"].dataType.simpleString()]
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    asked = queries.where(F.size("embedding") == model.centres.shape[1]).select("query_id", "embedding")
     look = max(1, round(share * len(model.centres)))
     sent = spark.sparkContext.broadcast(model)
 

@@ -361,4 +361,4 @@ def text_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page three of a free-text search, twenty rows a page."""
     found = papers(spark, sf_dir)
     hits = found.where(filters.text_search("the", "title") | filters.text_search("AUTHOR3", "first_author") | filters.text_search("src1", "topic"))
-    return hits.select("doc_id", "title").orderBy("doc_id").offset(40).limit(20)
+    return filters.page_of(hits.select("doc_id", "title"), ["doc_id"], 2, 20)

@@ -34,7 +34,7 @@ _PAPER_CHUNKS = f"{PAPERS}, {CHUNKS}, pc AS (SELECT c.chunk_id, c.chunk_index, p
 
 def _paper_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.fixed_chunks(table(spark, sf_dir, "documents")).select("doc_id", "chunk_id", "chunk_index")
-    return chunks.join(papers(spark, sf_dir), "doc_id")
+    return chunking.with_metadata(chunks, papers(spark, sf_dir))
 
 
 # -- statistics

@@ -93,14 +93,14 @@ def expanded_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.expanded(hits.where("sub = 0").drop("sub"), hits.where("sub > 0").withColumn("sub", F.col("sub") - 1))
 
 
-_GRAPH = """occ AS (SELECT DISTINCT doc_id, t.w AS name FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents), LATERAL (SELECT regexp_extract(l, '^([A-Za-z]{4,})', 1) AS w) t WHERE t.w <> ''),
+_GRAPH = """occ AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS name FROM documents),
 edges AS (SELECT DISTINCT name AS source, substr(name, 1, 4) AS target FROM occ WHERE length(name) > 4)"""
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The first words of lines as entities, tied to their stems."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
-    occ = lines.select("doc_id", F.regexp_extract("l", "^([A-Za-z]{4,})", 1).alias("name")).where("name <> ''").distinct()
+    """All words of four letters or more as entities, tied to their stems."""
+    names = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), 0))
+    occ = table(spark, sf_dir, "documents").select("doc_id", names.alias("name")).distinct()
     return occ, occ.where("length(name) > 4").select(F.col("name").alias("source"), F.substring("name", 1, 4).alias("target")).distinct()
 
 

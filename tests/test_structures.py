@@ -415,3 +415,18 @@ def test_nearest_of_other_documents_in_one_search(spark):
                 near[doc[k]] = min(far, near.get(doc[k], 9))
         best = sorted((v, o) for o, v in near.items())[:4]
         assert [o for _, o, _ in sorted(found[d])] == [o for _, o in best]
+
+
+def test_odd_vectors_and_names_of_queries(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 1.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, []), (8, [inf, 0.0]), (9, [0.0, 0.0])]
+    corpus = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([("a", [1.0, 0.1]), ("b", [0.1, 1.0]), ("c", [1.0]), ("d", None), ("e", [nan, 1.0])], "query_id string, embedding array<double>")
+    found = dense.dense_topk(asked, corpus, 5).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id) for r in found] == [("a", 1), ("a", 2), ("a", 9), ("b", 2), ("b", 1), ("b", 9)]
+    assert dense.dense_topk(asked.where("query_id = 'd'"), corpus).count() == 0
+
+
+def test_chunks_of_sections_know_their_pages(spark):
+    sections = spark.createDataFrame([(1, 0, "abstract", "x" * 50, 2, 5), (1, 1, "results", "y", 6, 6)], "doc_id long, section_no int, section_type string, content string, page_start int, page_end int")
+    assert {(r.chunk_index, r.page_range) for r in chunking.section_chunks(sections, {"abstract": 30}).collect()} == {(0, "2-5"), (1, "2-5"), (2, "6-6")}
