@@ -4,10 +4,10 @@ Three words of an item, each one or two words after the one before, are a seed o
 middle one; in a document each may come up to three words after the one before.  How
 many middles an alignment of a given score must hold follows from its edits
 (``least_seeds``): a document that holds ``c`` of an item's ``s`` middles holds one of
-its ``s - c + 1`` rarest.  So middles are counted over all documents first; then
-documents meet items by their rare seeds, those with enough seeds are aligned, and
-what is found does not depend on how common a passage is.  Items go to the tasks in
-blocks of bounded size; each document is read twice for each block.
+its ``s - c + 1`` rarest.  One pass counts middles over all documents and sets aside
+those with enough seeds of an item; these meet the items by their rare seeds and are
+aligned, and what is found does not depend on how common a passage is.  Items go to
+the tasks in blocks of bounded size; each document is read once for each block.
 
 Items of five and six words meet documents by any two of their words in reach of each
 other, shorter ones by their words in a row, which must be the same.  In scripts that
@@ -24,7 +24,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import materialize
@@ -42,6 +42,8 @@ FILTER_BITS = 1 << 23
 BLOCK_WORDS, TEXT_WORDS = 500_000, 200_000
 #: Words of passages whose alignments a task remembers, so that equal ones are aligned once.
 KNOWN_WORDS = 200_000
+#: Texts with a copy whose hashes are sent to the documents; more are joined.
+MAX_SENT = 1_000_000
 #: Words whose hashes a task remembers.
 KNOWN_HASHES = 300_000
 #: No word has this hash; three stand between texts, so that no seed spans two.
@@ -223,22 +225,22 @@ class SeedIndex:
                 found.append(self._entries(_mix(pair[start], w[start + a + b]), start + a))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    def _hits_of(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def hits_of(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, entry and middle word (over all texts) of the hits, and where each text begins."""
         gap = np.full(3, _BREAK, np.int64)
         begins = np.cumsum([0, *(len(t) + 3 for t in texts)])
         entry, at = self.hits(np.concatenate([x for t in texts for x in (t, gap)]))
         return np.searchsorted(begins, at, "right") - 1, entry, at, begins
 
-    def held_middles(self, texts: list[np.ndarray]) -> np.ndarray:
-        """The middles that the texts hold, each as often as there are texts that do."""
-        text, entry, _, _ = self._hits_of(texts)
+    def held_middles(self, hits: tuple) -> np.ndarray:
+        """The middles that texts with these hits hold, each as often as there are texts that do."""
+        text, entry, _, _ = hits
         both = np.unique(np.stack([text, self.middles[entry]]), axis=1) if len(text) else np.zeros((2, 0), np.int64)
         return both[1]
 
-    def passages(self, texts: list[np.ndarray]):
+    def passages(self, texts: list[np.ndarray], hits: tuple | None = None):
         """``text, item, first, end``: every passage that may hold an alignment of the item."""
-        text, entry, at, begins = self._hits_of(texts)
+        text, entry, at, begins = hits or self.hits_of(texts)
         if not len(entry):
             return
         item = self.owners[entry]
@@ -277,8 +279,9 @@ def _item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return picked.mapInArrow(run, "item_id long, item_words array<long>").where("size(item_words) > 0")
 
 
-def _blocks(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str, threshold: float):
-    """A broadcast :class:`SeedIndex` with its rare entries, and its item ids, for every block of items."""
+def _blocks(docs: DataFrame, items: DataFrame, id_col: str | None, text_col: str, item_col: str, item_text_col: str, threshold: float):
+    """For every block of items: a broadcast :class:`SeedIndex` with its rare entries, its item ids, and the documents
+    ``id, text`` that hold enough seeds of an item in reach, be they rare or not."""
     spark = items.sparkSession
     item_words = materialize(_item_words(items, item_col, item_text_col), "items")
     blocks = -(-(item_words.agg(F.sum(F.size("item_words"))).first()[0] or 0) // BLOCK_WORDS) or 1
@@ -286,24 +289,33 @@ def _blocks(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, ite
     for k in range(blocks):
         rows = item_words.where(block == k).collect()  # about BLOCK_WORDS words
         index = SeedIndex([np.array(r.item_words, dtype=np.int64) for r in rows], threshold)
-        counts = _counted(docs, spark.sparkContext.broadcast(index), text_col).collect()  # a number for each of these words at most
+        met = materialize(_met(docs, spark.sparkContext.broadcast(index), id_col, text_col), "met")
+        counts = met.where("middle is not null").groupBy("middle").agg(F.sum("n").alias("n")).collect()  # a number for each of these words at most
         index.rare = index.rare_entries({r.middle: r.n for r in counts})
-        yield spark.sparkContext.broadcast((index, [r.item_id for r in rows]))
+        yield spark.sparkContext.broadcast((index, [r.item_id for r in rows])), met.where("middle is null").select("id", "text")
 
 
-def _counted(docs: DataFrame, sent: Broadcast, text_col: str) -> DataFrame:
-    """``middle, n``: how many documents hold each middle."""
+def _met(docs: DataFrame, sent: Broadcast, id_col: str | None, text_col: str) -> DataFrame:
+    """One pass over the documents: ``middle, n``, how many of a task's documents hold each middle, and ``id, text`` of those with enough seeds."""
 
     def run(batches):
         index = sent.value
         total = np.zeros(sum(map(len, index.items)), dtype=np.int64)
+        names = ["middle", "n", "id", "text"]
         for batch in batches:
-            for _, texts in _hashed(batch.column(0)):
-                total += np.bincount(index.held_middles(texts), minlength=len(total))
+            enough = np.zeros(batch.num_rows, bool)
+            for begin, texts in _hashed(batch.column(1)):
+                hits = index.hits_of(texts)
+                total += np.bincount(index.held_middles(hits), minlength=len(total))
+                enough[[begin + t for t, *_ in index.passages(texts, hits)]] = True
+            some = batch.filter(pa.array(enough))
+            nothing = pa.nulls(some.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, nothing, some.column(0), some.column(1)], names)
         held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["middle", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64()), pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.string())], names)
 
-    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "middle long, n long").groupBy("middle").agg(F.sum("n").alias("n"))
+    name = F.col(f"`{id_col}`").cast("long") if id_col else F.lit(None).cast("long")
+    return docs.select(name.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "middle long, n long, id long, text string")
 
 
 def _alignments(index: SeedIndex, texts: list[np.ndarray], threshold: float, known: dict):
@@ -335,22 +347,26 @@ def _hashed(column) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield begin, texts
 
 
-def _scored(docs: DataFrame, sent: Broadcast, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """``id, item_id, score, first, last`` of the alignments with the items of one block."""
+def _scored(met: DataFrame, sent: Broadcast, threshold: float) -> DataFrame:
+    """``id, item_id, score, first, last, text`` of the alignments of ``met`` (``id, text``) with the items of one block."""
 
     def run(batches):
         index, names = sent.value
-        kinds = {"id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "first": pa.int64(), "last": pa.int64()}
+        kinds = {"id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "first": pa.int64(), "last": pa.int64(), "a": pa.int64(), "b": pa.int64()}
         known: dict = {}
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
+            ids, keys, rows = batch.column(0).to_pylist(), [c.to_pylist() for c in batch.columns[2:4]], []
             for begin, texts in _hashed(batch.column(1)):
-                rows += [(ids[begin + t], names[k], *rest) for t, k, *rest in _alignments(index, texts, threshold, known)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
+                rows += [(ids[begin + t], names[k], *rest, keys[0][begin + t], keys[1][begin + t]) for t, k, *rest in _alignments(index, texts, threshold, known)]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "id long, item_id long, score double, first long, last long")
+    return met.select("id", "text", *_text_keys(F.col("text"))).mapInArrow(run, "id long, item_id long, score double, first long, last long, a long, b long")
+
+
+def _text_keys(text: Column) -> list[Column]:
+    """Two hashes that say which text it is."""
+    return [F.xxhash64(text).alias("a"), F.xxhash64(F.lit("again"), text).alias("b")]
 
 
 def contaminated_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -363,7 +379,7 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_
     characters.  Null and empty texts and items give no row.  Rows of null ids count as one document and repeated rows as one;
     an empty table on either side gives an empty result; further columns are ignored.
     """
-    parts = [_scored(docs, sent, threshold, id_col, text_col) for sent in _blocks(docs, items, text_col, item_col, item_text_col, threshold)]
+    parts = [_scored(met, sent, threshold) for sent, met in _blocks(docs, items, id_col, text_col, item_col, item_text_col, threshold)]
     case = F.struct("score", (-F.col("first")).alias("start"), F.col("last").alias("end"))
     best = reduce(DataFrame.unionByName, parts).groupBy("id", "item_id").agg(F.max(case).alias("case"))
     return best.select(
@@ -374,24 +390,13 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no copy of an item; all columns stay.
 
-    Every row is judged by its own text where it is read, so ids may be null or
-    repeated and no text is shuffled.  Null and empty texts stay; an empty table on
+    Every text is judged, whatever ids there are, and equal texts alike: the texts that
+    hold an item go by two hashes, which are sent to the documents, or joined where
+    they are more than ``MAX_SENT``.  Null and empty texts stay; an empty table on
     either side drops nothing.
     """
-
-    def clean(sent: Broadcast):
-        def run(batches):
-            index, _ = sent.value
-            known: dict = {}
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for begin, texts in _hashed(batch.column(batch.schema.get_field_index(text_col))):
-                    keep[[begin + t for t, *_ in _alignments(index, texts, threshold, known)]] = False
-                yield batch.filter(pa.array(keep))
-
-        return run
-
-    left = docs
-    for sent in _blocks(docs, items, text_col, item_col, item_text_col, threshold):
-        left = left.mapInArrow(clean(sent), docs.schema)
-    return left
+    parts = [_scored(met, sent, threshold).select("a", "b") for sent, met in _blocks(docs, items, None, text_col, item_col, item_text_col, threshold)]
+    bad = materialize(reduce(DataFrame.unionByName, parts).distinct(), "copies").toDF("__a", "__b")
+    few = bad.limit(MAX_SENT + 1).count() <= MAX_SENT
+    a, b = _text_keys(F.col(f"`{text_col}`").cast("string"))
+    return docs.join(F.broadcast(bad) if few else bad, (a == F.col("__a")) & (b == F.col("__b")), "left_anti")
