@@ -19,9 +19,9 @@ from corpusloom.operators.bm25 import MAX_TERMS, SparseIndex, bm25_topk, query_t
 from corpusloom.session import materialize
 
 #: Postings of a block, on average.
-WIDTH = 16
-#: Terms of a query whose lists give the first threshold: so many at most, that add at least such a share of what the heaviest adds.
-PROBES, PROBE_SHARE = 3, 0.5
+WIDTH = 8
+#: The heaviest terms of a query give the first threshold, as many as add up to such a share of what all can add.
+PROBE_SHARE = 0.4
 #: Scores are rounded to six places, so what is under the threshold by less may still tie with it.
 MARGIN = 2e-6
 
@@ -74,7 +74,7 @@ def blockmax_topk(stored: BlockIndex, queries: DataFrame, k: int = 10, k1: float
     by_gain = Window.partitionBy("query_id").orderBy(F.desc("ub"), "term")
     rest = by_gain.rowsBetween(1, Window.unboundedFollowing)
     terms = materialize(
-        weights.join(most, "term").withColumn("ub", F.col("weight") * F.col("most")).withColumn("place", F.row_number().over(by_gain)).withColumn("probe", (F.col("place") <= PROBES) & (F.col("ub") >= PROBE_SHARE * F.max("ub").over(Window.partitionBy("query_id")))).withColumn("below", F.coalesce(F.sum("ub").over(rest), F.lit(0.0))), "terms-by-gain"
+        weights.join(most, "term").withColumn("ub", F.col("weight") * F.col("most")).withColumn("place", F.row_number().over(by_gain)).withColumn("below", F.coalesce(F.sum("ub").over(rest), F.lit(0.0))).withColumn("probe", F.col("ub") + F.col("below") > (1 - PROBE_SHARE) * F.sum("ub").over(Window.partitionBy("query_id"))), "terms-by-gain"
     )
 
     def scored(part: DataFrame) -> DataFrame:
