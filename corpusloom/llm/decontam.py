@@ -45,7 +45,7 @@ KNOWN_WORDS = 200_000
 #: Texts with a copy whose hashes are sent to the documents; more are joined.
 MAX_SENT = 1_000_000
 #: Words whose hashes a task remembers.
-KNOWN_HASHES = 300_000
+KNOWN_HASHES = 60_000
 #: No word has this hash; three stand between texts, so that no seed spans two.
 _BREAK = 1 << 33
 _WORD = re.compile(r"[^\W_]+")
