@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ def append_new(batch: DataFrame, path: str, id_col: str = "chunk_id", key: str =
     """Append the rows of a batch whose id the table at ``path`` lacks.
 
     The table is kept in folders by a hash of ``key``, so that a small batch is
-    compared with the ids in a few of them; only the ids are read.
+    compared with the ids in a few of them; only the ids are read.  A batch adds one
+    file to a folder, however many tasks have rows of it.
     """
     spark = batch.sparkSession
     rows = batch.dropDuplicates([id_col]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
@@ -30,7 +32,7 @@ def append_new(batch: DataFrame, path: str, id_col: str = "chunk_id", key: str =
         met = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
         there = spark.read.parquet(path).where(F.col("bucket").isin(met)).select("bucket", id_col)
         rows = rows.join(there, ["bucket", id_col], "left_anti").select(*rows.columns)
-    rows.write.mode("append").partitionBy("bucket").parquet(path)
+    rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, size: int = 1000, overlap: int = 200, ts: str | None = None, late: str = "1 day") -> StreamingQuery:
@@ -72,14 +74,16 @@ def track(events: DataFrame, patience: str = "1 hour", late: str = "1 hour", ts:
                 rows.append((doc, done, "failed", None))
             state.remove()
         else:
-            events = pd.concat(list(parts)).sort_values(ts, kind="stable")
-            texts = [t for t in events["text"] if t]
+            parts = list(parts)
+            times = np.concatenate([p[ts].to_numpy() for p in parts])
+            said = np.concatenate([p["text"].to_numpy(dtype=object) for p in parts])
+            texts = [t for t in (said[np.argsort(times, kind="stable")] if len(said) > 1 else said) if t]
             if done < 10:
                 rows.append((doc, 10, "processing", None))
             if done < 20 and texts:
                 rows.append((doc, 20, "processing", texts[0]))
             state.update((max(done, 20 if texts else 10),))
-            newest = int(events[ts].max().timestamp() * 1000)
+            newest = int(times.max().astype("datetime64[ms]").astype("int64"))
             state.setTimeoutTimestamp(max(newest + wait, state.getCurrentWatermarkMs() + 1))
         if rows:
             yield pd.DataFrame(rows, columns=["doc_id", "progress", "status", "text"])
@@ -109,6 +113,8 @@ def ingest_uploads(events: DataFrame, target: str, checkpoint: str, vectors: Cal
     def write(batch: DataFrame, _: int) -> None:
         with scratch(batch.sparkSession):
             changed = materialize(batch, "updates")
+            if changed.isEmpty():  # a batch that only moves the watermark on
+                return
             _report(changed.where("status = 'processing'").select("doc_id", "progress"), [], target)
             _report(changed.where("status = 'failed'").select("doc_id", "progress"), [], target, "failed")
             accepted = changed.where("text is not null").select("doc_id", "text")

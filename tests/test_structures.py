@@ -365,6 +365,19 @@ def test_a_changed_table_has_another_state(spark, tmp_path):
 # -- ingestion with states
 
 
+def test_a_batch_adds_one_file_a_folder(spark, tmp_path):
+    rows = spark.range(4000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), (F.col("id") % 1000).alias("doc_id"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream
+    try:
+        for batch in (rows.where("id < 2000"), rows):
+            ingest.append_new(batch.repartition(8), f"{tmp_path}/t")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    folders = [f for f in (tmp_path / "t").iterdir() if f.is_dir()]
+    assert max(len(list(f.glob("*.parquet"))) for f in folders) <= 2
+    assert spark.read.parquet(f"{tmp_path}/t").groupBy("chunk_id").count().agg(F.max("count"), F.count("*")).first() == (1, 4000)
+
+
 def test_uploads_are_tracked_over_batches(spark, tmp_path):
     """Announced first and sent later, sent twice, never sent, and a batch that is run again."""
     schema = "doc_id long, ts timestamp, text string"
