@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 
 class PhraseFinder:
-    """Which groups of phrases a lower-cased text names, and by which of their phrases first."""
+    """Which groups of phrases a lower-cased text names, and by which of their phrases first.
 
-    def __init__(self, groups: list[list[str]]):
+    With ``signs``, a list for each group, only those of its phrases that are there count.
+    """
+
+    def __init__(self, groups: list[list[str]], signs: list[list[str]] | None = None):
         self._automaton = ahocorasick.Automaton()
         owners: dict[str, list[tuple[int, int]]] = {}
         for g, phrases in enumerate(groups):
             for rank, phrase in enumerate(phrases):
+                if signs is not None and phrase not in signs[g]:
+                    continue
                 owners.setdefault(phrase.lower(), []).append((g, rank))
         self._always = owners.pop("", [])  # the empty phrase is in every text
         for phrase, own in owners.items():
@@ -52,17 +57,18 @@ def named_groups(text: Column, groups: dict[str, list[str]]) -> Column:
     return find(F.lower(text))
 
 
-def expansions(text: Column, groups: list[list[str]], most: int) -> Column:
+def expansions(text: Column, groups: list[list[str]], most: int, signs: list[list[str]] | None = None) -> Column:
     """``struct(extra, detected)``: terms that the groups named by ``text`` add, and their canonical terms.
 
     A group is ``[canonical, variant, ...]``.  Where the text names the canonical
     term the first ``most`` variants are added, else the canonical term and those of
-    these variants that are not the first one named.
+    these variants that are not the first one named.  With ``signs``, a group is
+    named only by those of its phrases that are in its list.
     """
 
     @F.pandas_udf("extra array<string>, detected array<string>")
     def expand(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        finder = PhraseFinder(groups)
+        finder = PhraseFinder(groups, signs)
         for texts in batches:
             extra, detected = [], []
             for t in texts:

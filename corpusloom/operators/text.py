@@ -271,13 +271,14 @@ def classify_questions(df: DataFrame, subjects: list[str], text_col: str = "quer
     return rows.withColumn("__l", made).select(*df.columns, "__l.*", "word_count", "topic_count")
 
 
-def expand_terms(queries: DataFrame, groups: list[list[str]], most: int = 2, text_col: str = "query") -> DataFrame:
+def expand_terms(queries: DataFrame, groups: list[list[str]], most: int = 2, text_col: str = "query", signs: list[list[str]] | None = None) -> DataFrame:
     """Adds ``expanded`` and ``detected``: the first ``most`` variants of each group that the text names.
 
     A group is ``[canonical, variant, ...]``; the groups are the caller's list, in order,
     and may be a hundred thousand: they are found by an automaton, not by the plan.
+    ``signs`` are the phrases that name each group, where not all of its own do.
     """
-    rows = queries.withColumn("__terms", expansions(F.col(text_col), groups, most))
+    rows = queries.withColumn("__terms", expansions(F.col(text_col), groups, most, signs))
     extra = F.col("__terms.extra")
     expanded = F.when(F.size(extra) > 0, F.concat_ws(" ", F.col(text_col), F.array_join(extra, " "))).otherwise(F.col(text_col))
     return rows.withColumn("expanded", expanded).withColumn("detected", F.col("__terms.detected")).drop("__terms")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import anchors, blockmax, bm25, chunking, dense, fusion, knowledge, phrases, quantized, quotes, segments, stats, tenancy
 from corpusloom.operators import text as T
+from corpusloom.queries.texts import QUERIES as texts_queries
 from corpusloom.session import materialize, scratch, state_of
 from corpusloom.streaming import ingest, usage
 
@@ -243,6 +244,14 @@ def test_terms_of_a_large_map(spark):
     assert got[1].detected == [""] and got[3].expanded == "variant9y0 variant9y3 canonical9x variant9y1 nothing" and got[2].detected == []
 
 
+def test_groups_are_named_by_their_signs_alone(spark, tmp_path):
+    rows = [(1, 0, "user", "alone with it, by it or else nowhere"), (2, 0, "user", "OF sand by it"), (3, 0, "user", "with it"), (4, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.expanded, r.detected) for r in texts_queries["expand_terms"](spark, str(tmp_path)).collect()}
+    assert got[1] == (rows[0][3], "") and got[3] == ("with it", "") and got[4] == (None, "")
+    assert got[2] == ("OF sand by it from it by it xyzzy or else", "Of|xyzzy")
+
+
 def test_phrases_are_those_of_substrings():
     draw = random.Random(6)
     groups = [["".join(draw.choice("abC ") for _ in range(draw.randint(1, 3))) for _ in range(draw.randint(1, 4))] for _ in range(40)]
