@@ -95,7 +95,8 @@ def _index(spark: SparkSession, sf_dir: str) -> bm25.SparseIndex:
 
 
 def _sparse(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return bm25.bm25_topk(_index(spark, sf_dir), text_queries(spark, sf_dir), k)
+    """The hits, written once: k rows a question, which joins send to the documents."""
+    return bm25.few(materialize(bm25.bm25_topk(_index(spark, sf_dir), text_queries(spark, sf_dir), k), "hits"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,11 +328,9 @@ SELECT *, FALSE AS fallback FROM strict WHERE rank <= 3
 UNION ALL SELECT *, TRUE FROM sparse WHERE rank <= 3 AND query_id NOT IN (SELECT query_id FROM strict)""")
 def language_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search in short German documents; queries without a hit search all.  Both use the statistics of the whole index."""
-    every = _scores(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").where("lang = 'de' AND n_chars < 400").select(F.col("doc_id").alias("chunk_id"))
-    columns, order = ["query_id", "rank", "chunk_id", "score"], [F.desc("score"), "chunk_id"]
-    strict = bm25.top_k(every.join(docs, "chunk_id", "left_semi"), 3, order)
-    return fusion.with_fallback(text_queries(spark, sf_dir), strict.select(*columns), bm25.top_k(every, 3, order).select(*columns))
+    strict = materialize(bm25.bm25_topk(_index(spark, sf_dir), text_queries(spark, sf_dir), 3, among=docs), "strict")
+    return fusion.with_fallback(text_queries(spark, sf_dir), strict, _sparse(spark, sf_dir, 3))
 
 
 @query(f"""WITH {_SCORED} SELECT query_id, topic, rank, chunk_id, score FROM (

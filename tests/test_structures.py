@@ -374,6 +374,39 @@ def test_a_changed_table_has_another_state(spark, tmp_path):
 # -- ingestion with states
 
 
+def test_searches_score_chunks_where_they_are_read(spark, monkeypatch):
+    rows = [(k % 150, 0, t) for k, t in enumerate(texts(40, 200))] + [(900 + k, 0, "balon kori") for k in range(30)] + [(990, 0, None), (991, 0, "!")]
+    chunks = chunk_table(spark, rows)
+    index = bm25.build_index(chunks)
+    whole = {}
+    for i, _, t in rows:
+        whole[i] = " ".join([whole.get(i, ""), t or ""])
+    counted = {i: [w for w in t.split() if len(w) > 1 and w != "!"] for i, t in whole.items()}
+    counted = {i: w for i, w in counted.items() if w}
+    assert {(r.chunk_id, r.length) for r in index.lengths.collect()} == {(i, len(w)) for i, w in counted.items()}
+    assert {(r.chunk_id, r.term): r.tf for r in index.postings.collect()} == {(i, x): w.count(x) for i, w in counted.items() for x in w}
+    idf, mean = {r.term: r.idf for r in bm25.term_idf(index).collect()}, np.mean([len(w) for w in counted.values()])
+    asked = {f"q{k}": t for k, t in enumerate(texts(41, 12))} | {"copies": "balon kori", "none": "zzz"}
+    frame = spark.createDataFrame(list(asked.items()), "query_id string, query string")
+    want = {}
+    for q, t in asked.items():
+        gain = {i: sum(idf.get(x, 0) * w.count(x) * 2.5 / (w.count(x) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for x in t.split() if x in w) for i, w in counted.items()}
+        want[q] = sorted(((round(s, 6), i) for i, s in gain.items() if round(s, 6) > 0), key=lambda p: (-p[0], p[1]))
+    for block, cells, products in ((4096, 2_000_000, 2_000_000), (3, 100, 50)):
+        monkeypatch.setattr(bm25, "QUERY_BLOCK", block)
+        monkeypatch.setattr(bm25, "CELLS", cells)
+        monkeypatch.setattr(bm25, "PRODUCTS", products)
+        found = bm25.bm25_topk(index, frame, 7)
+        got = {q: sorted((r.rank, r.chunk_id, r.score) for r in found.collect() if r.query_id == q) for q in asked}
+        for q in asked:
+            assert [i for _, i, _ in got[q]] == [i for _, i in want[q][:7]] and np.allclose([s for *_, s in got[q]], [s for s, _ in want[q][:7]], atol=2e-6)
+        assert bm25.bm25_scores(index, frame).count() == sum(map(len, want.values()))
+    # no shuffle by chunk: only the best of each task go to their query
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+    odd = bm25.bm25_topk(index, frame, 3, among=chunks.where("chunk_id % 2 = 1"))
+    assert {(r.query_id, r.chunk_id) for r in odd.collect()} == {(q, i) for q in asked for _, i in [p for p in want[q] if p[1] % 2 and p[1] != 991][:3]}
+
+
 def test_a_batch_adds_one_file_a_folder(spark, tmp_path):
     rows = spark.range(4000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), (F.col("id") % 1000).alias("doc_id"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream
