@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import materialize
 
-#: Anchors of passages that are sent to the texts; more are joined.
-MAX_SENT = 2_000_000
+#: Anchors of passages, and texts to be searched with their passages, that are sent to the texts; more are joined.
+MAX_SENT, MAX_PAIRS = 2_000_000, 100_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -93,6 +93,8 @@ def holders(passages: DataFrame, texts: DataFrame, passage_id: str = "query_id",
     counts = met.groupBy("class", "anchor").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("number").orderBy(F.coalesce("n", F.lit(0)), "class", "anchor")
     one = wanted.join(counts, ["class", "anchor"], "left").withColumn("k", F.row_number().over(rarest)).where("k = 1 and n > 0").select("number", "class", "anchor")
-    pairs = met.join(one, ["class", "anchor"]).select("number", "__text").distinct()
-    held = pairs.join(asked, "number").join(rows.withColumnRenamed("id", "__text"), "__text")
+    pairs = materialize(met.join(one, ["class", "anchor"]).select("number", "__text").distinct(), "pairs")
+    met_pairs = pairs.join(asked, "number")
+    met_pairs = F.broadcast(met_pairs) if pairs.count() <= MAX_PAIRS else met_pairs
+    held = met_pairs.join(rows.withColumnRenamed("id", "__text"), "__text")
     return held.where(F.contains("text", "passage")).select(F.col("id").alias(passage_id), F.col("__text").alias(text_id)).distinct()

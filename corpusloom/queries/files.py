@@ -14,7 +14,7 @@ from corpusloom.queries.fixtures import CHUNKS, table, text_queries
 from corpusloom.queries.search import _sparse
 from corpusloom.queries.tables import _PAPER_CHUNKS, _paper_chunks, _truth
 from corpusloom.queries.tables import ORACLES as _TABLE_SQL
-from corpusloom.session import workspace
+from corpusloom.session import materialize, workspace
 from corpusloom.sources import tables as io
 
 QUERIES, ORACLES = {}, {}
@@ -122,7 +122,7 @@ def document_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a report that was written and read again."""
     path = _folder(spark, "report")
-    per_query = stats.retrieval_metrics(_sparse(spark, sf_dir, 5), _truth(spark, sf_dir), 5)
+    per_query = materialize(stats.retrieval_metrics(_sparse(spark, sf_dir, 5), _truth(spark, sf_dir), 5), "per-query")
     io.write_report(stats.metrics_summary(per_query, text_queries(spark, sf_dir)), per_query, path)
     return spark.read.schema(per_query.schema).json(f"{path}/queries")
 

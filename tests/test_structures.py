@@ -407,6 +407,12 @@ def test_searches_score_chunks_where_they_are_read(spark, monkeypatch):
     assert {(r.query_id, r.chunk_id) for r in odd.collect()} == {(q, i) for q in asked for _, i in [p for p in want[q] if p[1] % 2 and p[1] != 991][:3]}
 
 
+def test_passages_go_to_the_texts(spark):
+    held = anchors.holders(spark.createDataFrame([(1, "kori balon mimus")], "query_id long, passage string"), spark.createDataFrame([(5, "a kori balon mimus b"), (6, "kori")], "chunk_id long, text string"))
+    assert [tuple(r) for r in held.collect()] == [(1, 5)]
+    assert "SortMergeJoin" not in held._jdf.queryExecution().executedPlan().toString() and held._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
+
+
 def test_a_batch_adds_one_file_a_folder(spark, tmp_path):
     rows = spark.range(4000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), (F.col("id") % 1000).alias("doc_id"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream
