@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from corpusloom.session import discard, materialize
+from pyspark.sql.types import StructType
 
 
 def fixed_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -129,35 +130,41 @@ def fingerprint(text: Column, size: int = 100) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\n]+", " ")), 1, size)
 
 
+def _settle(owners: int):
+    """A function over Arrow batches sorted by their first ``owners`` columns and then by place: the rows that stay, without parent and print."""
+
+    def run(batches):
+        now, prints, kept = None, set(), set()
+        for batch in batches:
+            *owner, _, name, parent, mark = (c.to_pylist() for c in batch.columns)
+            stays = np.zeros(batch.num_rows, dtype=bool)
+            for i, own in enumerate(zip(*owner, strict=True)):
+                if own != now:
+                    now, prints, kept = own, set(), set()
+                if mark[i] not in prints and (parent[i] is None or parent[i] in kept):
+                    prints.add(mark[i])
+                    kept.add(name[i])
+                    stays[i] = True
+            yield batch.filter(pa.array(stays)).select(list(range(owners + 1)))
+
+    return run
+
+
 def settle_hierarchy(chunks: DataFrame, by: list[str]) -> DataFrame:
     """The chunks that stay, of ``by, chunk, parent, place, print``: those whose print no earlier one that stays has.
 
-    ``place`` is the reading order within ``by``, ``parent`` the chunk that one
-    belongs to, or null.  A chunk whose parent goes, goes without a word: later ones
-    may have its print.  So each hangs on all before it, and they are settled in
-    rounds: of the chunks with one print the first that has not gone stays once its
-    parent does, and then the others go.  A round is two sums and two joins on
-    small rows, however long a document is; there are about twice as many as the
-    longest chain of chunks that decide about each other.
+    ``place`` is the reading order within ``by``, ``parent`` the chunk before it that
+    one belongs to, or null.  A chunk whose parent goes or is not there goes without
+    a word: later ones may have its print.  So each hangs on all before it, and they
+    are settled as they are read: rows are shuffled once by ``by``, sorted, and
+    passed one after the other, with the prints and names of what stays of one
+    ``by`` in memory.  Rows with a null in ``by`` or ``print`` give none.
     """
-    keys = [*by, "print"]
-    now = materialize(chunks.select(*by, "chunk", "parent", "place", "print", F.lit(None).cast("boolean").alias("stays")), "settling")
-    while True:
-        first = now.groupBy(*keys).agg(F.min("place").alias("first"), F.min(F.when(F.col("stays"), F.col("place"))).alias("held"))
-        above = now.select(*by, F.col("chunk").alias("parent"), F.col("stays").alias("above"))
-        met = now.join(first, keys).join(above.withColumn("there", F.lit(True)), [*by, "parent"], "left")
-        kept_parent = F.col("parent").isNull() | F.coalesce("above", F.lit(False))
-        lost_parent = F.col("parent").isNotNull() & (F.col("there").isNull() | ~F.coalesce("above", F.lit(True)))
-        stays = (
-            F.when(F.col("stays").isNotNull(), F.col("stays"))
-            .when(lost_parent | (F.col("held") < F.col("place")), False)
-            .when((F.col("place") == F.col("first")) & kept_parent, True)
-        )
-        last, now = now, materialize(met.select(*by, "chunk", "parent", "place", "print", stays.alias("stays")).where("stays is null or stays"), "settling")
-        discard(last)
-        if now.where("stays is null").isEmpty():
-            break
-    return now.select(*by, "chunk")
+    name = F.to_json if isinstance(chunks.schema["chunk"].dataType, StructType) else F.col  # a value that Python can look up
+    sound = reduce(Column.__and__, (F.col(c).isNotNull() for c in [*by, "print"]))
+    dealt = chunks.where(sound).repartition(*by).sortWithinPartitions(*by, "place")
+    rows = dealt.select(*by, "chunk", name("chunk").alias("__name"), name("parent").alias("__parent"), "print")
+    return rows.mapInArrow(_settle(len(by)), rows.select(*by, "chunk").schema)
 
 
 def hierarchy_dedupe(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -281,6 +281,24 @@ def test_hierarchies_settle_as_read_in_order(spark):
     assert {tuple(r) for r in chunking.settle_hierarchy(df, ["doc_id"]).collect()} == want
 
 
+def test_hierarchies_settle_in_one_shuffle(spark):
+    """Chunk i of a chain is decided by the one before it: every second stays, however long the chain, and nothing is shuffled again for it."""
+    chain = [(d, {"n": i}, None if j == 0 else {"n": i}, (i, j), m) for d in range(3) for i in range(2000) for j, m in ((0, 2 * (i // 2)), (1, 10_000 + i // 4))]
+    rows = [*chain, (7, {"n": 1}, {"n": 9}, (1, 0), 1), (7, {"n": 2}, None, (2, 0), 1), (7, {"n": 3}, None, (3, 0), 1), (None, {"n": 1}, None, (1, 0), 1), (8, {"n": 1}, None, (1, 0), None)]
+    df = spark.createDataFrame(rows, "doc_id long, chunk struct<n: int>, parent struct<n: int>, place struct<p: int, k: int>, print long")
+    found = chunking.settle_hierarchy(df, ["doc_id"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = []
+    for d in range(3):
+        seen, kept = set(), set()
+        for _, chunk, parent, _, mark in (r for r in chain if r[0] == d):
+            if mark not in seen and (parent is None or chunk["n"] in kept):
+                seen.add(mark)
+                kept.add(chunk["n"])
+                want.append((d, chunk["n"]))
+    assert sorted((r.doc_id, r.chunk.n) for r in found.collect()) == sorted([*want, (7, 2)])
+
+
 # -- limits
 
 
