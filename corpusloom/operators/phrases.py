@@ -1,4 +1,4 @@
-"""Phrases of a map of any size in texts, by an automaton that every task builds once."""
+"""Phrases in texts: of a caller's map, by an automaton that every task builds once, or of a table of any size, by joins."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: First characters of a term by which it meets the words of texts.
+SEED = 8
+
 
 class PhraseFinder:
     """Which groups of phrases a lower-cased text names, and by which of their phrases first.
@@ -82,3 +85,21 @@ def expansions(text: Column, groups: list[list[str]], most: int, signs: list[lis
             yield pd.DataFrame({"extra": extra, "detected": detected})
 
     return expand(F.lower(text))
+
+
+def terms_in(texts: DataFrame, by: list[str], terms: DataFrame, text_col: str = "text", apart: str = r"\s+") -> DataFrame:
+    """``by, found``: which of ``terms`` (``term``, in lower case) the texts hold in any case, as a word or a part of one, sorted.
+
+    Texts without one give no row, texts of one ``by`` one row.  No term holds what
+    the pattern ``apart`` matches, white space as a rule, so a term lies in one word.
+    Each different word meets the terms by its runs of at most ``SEED`` characters, of
+    which one is a term's beginning; then the texts meet their words.  All is
+    joined, so neither the driver nor a task has the table of terms.
+    """
+    each = texts.select(*by, F.explode(F.array_distinct(F.split(F.lower(text_col), apart))).alias("__word"))
+    runs = F.regexp_extract_all("__word", F.lit(f"(?s)(?=(.{{1,{SEED}}}))"), F.lit(1))
+    parts = F.flatten(F.transform(runs, lambda run: F.transform(F.sequence(F.lit(1), F.length(run)), lambda n: F.substring(run, F.lit(1), n))))
+    words = each.select("__word").distinct().where("__word <> ''").select("__word", F.explode(F.array_distinct(parts)).alias("__seed"))
+    sought = terms.select("term").where("term <> ''").distinct().withColumn("__seed", F.substring("term", 1, SEED))
+    held = words.join(sought, "__seed").where(F.contains("__word", "term")).groupBy("__word").agg(F.collect_list("term").alias("__terms"))
+    return each.join(held, "__word").groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__terms")))).alias("found"))

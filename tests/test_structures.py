@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import anchors, blockmax, bm25, chunking, dense, fusion, knowledge, phrases, quantized, quotes, segments, stats, tenancy
 from corpusloom.operators import text as T
+from corpusloom.queries.structures import QUERIES as structure_queries
 from corpusloom.queries.texts import QUERIES as texts_queries
 from corpusloom.session import materialize, scratch, state_of
 from corpusloom.streaming import ingest, usage
@@ -261,6 +262,25 @@ def test_phrases_are_those_of_substrings():
         assert finder.find(low) == [(g, min(k for k, p in enumerate(own) if p.lower() in low)) for g, own in enumerate(groups) if any(p.lower() in low for p in own)]
 
 
+def test_terms_of_a_table_are_those_of_substrings(spark):
+    draw = random.Random(9)
+    some = lambda most: "".join(draw.choice("abé😀") for _ in range(draw.randint(1, most)))
+    terms = sorted({some(n) for n in (1, 2, 3, 4, 8, 9, 12) for _ in range(60)})
+    texts = [(k, " ".join(some(30) for _ in range(draw.randint(0, 5)))) for k in range(60)] + [(60, "x" * 9 + terms[0].upper() + "\n" + max(terms, key=len)), (61, None), (62, "ab" * 20_000), (63, "zz"), (None, "a")]
+    found = phrases.terms_in(spark.createDataFrame(texts, "i long, text string"), ["i"], spark.createDataFrame([(t,) for t in [*terms, terms[0], "", None]], "term string"))
+    got = {r.i: sorted(r.found) for r in found.collect()}
+    want = {k: sorted(w for w in terms if w in t.lower()) for k, t in texts if t is not None}
+    assert got == {k: v for k, v in want.items() if v} and len(got) > 50
+
+
+def test_a_vocabulary_goes_to_no_task_whole(spark, tmp_path):
+    rows = [(1, 0, "user", "Sandy, of\nsands"), (2, 0, "user", "?"), (3, 0, "user", None), (4, 0, "assistant", "sand and of x\n an end\n")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = structure_queries["expand_many_terms"](spark, str(tmp_path))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.conv_id: (r.n_named, r.expanded) for r in found.collect()} == {1: (4, "Sandy, of\nsands zzanzz zzandzz zzofzz zzsandzz"), 2: (0, "?"), 3: (0, None)}
+
+
 # -- hierarchies
 
 
