@@ -105,7 +105,8 @@ def _three_bit_edges(labelled: DataFrame) -> DataFrame:
         & (F.col("a.component") != F.col("b.component"))
         & F.expr("bit_count(a.fp ^ b.fp) <= 3")
     )
-    return even.join(odd, close).select(F.col("a.component").alias("src"), F.col("b.component").alias("dst")).distinct()
+    # Spark sizes the rows of the explode like those before it, so without the hint it broadcasts more than the driver can hold
+    return even.hint("merge").join(odd.hint("merge"), close).select(F.col("a.component").alias("src"), F.col("b.component").alias("dst")).distinct()
 
 
 def link_fingerprints(prints: DataFrame) -> DataFrame:

@@ -636,6 +636,14 @@ def test_links_over_random_fingerprints(spark):
         assert {x for x in signed if got[x] == got[a]} == group[a]
 
 
+def test_variants_of_few_fingerprints_are_not_broadcast(spark, tmp_path):
+    """The rows of an explode are sized like those before it: a small table of fingerprints has 132 times as many variants."""
+    spark.range(500).selectExpr("xxhash64(id) as fp", "xxhash64(id) as component").write.parquet(f"{tmp_path}/labelled")
+    edges = simhash._three_bit_edges(spark.read.parquet(f"{tmp_path}/labelled"))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_dedup_and_edges(spark):
     df = awkward(spark)
     assert simhash.simhash_components(df).count() == 12 and simhash.simhash_components(empty(spark)).count() == 0
