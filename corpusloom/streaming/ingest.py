@@ -19,22 +19,42 @@ from corpusloom.session import exists, materialize, scratch
 BUCKETS = 256
 
 
-def append_new(batch: DataFrame, path: str, id_col: str = "chunk_id", key: str = "doc_id") -> None:
-    """Append the rows of a batch whose id the table at ``path`` lacks.
+def lacking(batch: DataFrame, path: str, id_col: str = "chunk_id", key: str = "doc_id") -> DataFrame | None:
+    """The rows of a batch whose id the table at ``path`` lacks, one of each id, with the ``bucket`` they belong to; None if it lacks none.
 
     The table is kept in folders by a hash of ``key``, so that a small batch is
-    compared with the ids in a few of them; only the ids are read.  A batch adds one
-    file to a folder, however many tasks have rows of it.
+    compared with the ids in a few of them.  Ids alone are compared; whole rows are
+    shuffled only if some of the ids are there, or come twice, and others are new.
+    To be called in a ``scratch``, as ids are written on the way.
     """
     spark = batch.sparkSession
-    rows = batch.dropDuplicates([id_col]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    ids = new = materialize(rows.groupBy("bucket", id_col).agg(F.count("*").alias("n")), "ids")
     if exists(spark, path):
-        met = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
-        there = spark.read.parquet(path).where(F.col("bucket").isin(met)).select("bucket", id_col)
-        rows = rows.join(there, ["bucket", id_col], "left_anti").select(*rows.columns)
+        met = [r.bucket for r in ids.select("bucket").distinct().collect()]  # at most BUCKETS
+        there = spark.read.schema(ids.select("bucket", id_col).schema).parquet(path).where(F.col("bucket").isin(met))
+        new = materialize(ids.join(there, ["bucket", id_col], "left_anti"), "new-ids")
+    found, most = new.agg(F.count("*"), F.max("n")).first()
+    if not found:
+        return None
+    if new is not ids and found < ids.count():
+        rows = rows.join(new.select("bucket", id_col), ["bucket", id_col], "left_semi").select(*rows.columns)
+    return rows.dropDuplicates([id_col]) if most > 1 else rows
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Append what ``lacking`` gave to the table at ``path``: one file a folder, however many tasks have rows of it."""
     rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
+def append_new(batch: DataFrame, path: str, id_col: str = "chunk_id", key: str = "doc_id") -> None:
+    """Append the rows of a batch whose id the table at ``path`` lacks."""
+    with scratch(batch.sparkSession):
+        rows = lacking(batch, path, id_col, key)
+        if rows is not None:
+            append(rows, path)
+
+
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, size: int = 1000, overlap: int = 200, ts: str | None = None, late: str = "1 day") -> StreamingQuery:
     """Chunk every document that arrives under ``source`` and append its new chunks to ``target``.
 
@@ -53,6 +73,9 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schem
 #: Progress of a document, and what is said of it.
 STEPS = {10: "announced", 20: "text accepted", 70: "chunks and vectors made", 90: "appended", 100: "completed"}
 _UPDATES = "doc_id long, progress int, status string, text string"
+#: Groups of documents by a hash of their id.
+GROUPS = 16384
+_STATE = "docs array<long>, done array<long>, until array<long>"
 
 
 def track(events: DataFrame, patience: str = "1 hour", late: str = "1 hour", ts: str = "ts") -> DataFrame:
@@ -63,51 +86,61 @@ def track(events: DataFrame, patience: str = "1 hour", late: str = "1 hour", ts:
     again says nothing.  One that has no text ``patience`` after its last event, in
     event time, has failed, and may be announced anew.  Events later than ``late``
     are dropped, and a completed document is forgotten after as long.
+
+    Documents are followed in ``GROUPS`` groups, as a call of Python takes milliseconds
+    however few they are: what a group holds is its part of a batch and three numbers
+    of each document that is not forgotten.
     """
     wait = int(pd.Timedelta(patience).total_seconds() * 1000)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (doc,), (done,) = key, state.get if state.exists else (0,)
-        rows = []
-        if state.hasTimedOut:
-            if done < 20:
-                rows.append((doc, done, "failed", None))
-            state.remove()
+        docs, done, until = (np.array(x, np.int64) for x in (state.get if state.exists else ([], [], [])))
+        now, parts = state.getCurrentWatermarkMs(), [] if state.hasTimedOut else list(parts)
+        came, at, said = (np.concatenate([p[c].to_numpy() for p in parts]) if parts else np.zeros(0, np.int64) for c in ("doc_id", ts, "text"))
+        order = np.argsort(at, kind="stable")
+        came, at, said = came[order].astype(np.int64), at[order].astype("datetime64[ms]").astype(np.int64), said[order]
+        told = np.flatnonzero([bool(t) for t in said])
+        here, last = np.unique(came[::-1], return_index=True)
+        texted, first = np.unique(came[told], return_index=True)
+        every = np.union1d(docs, here)
+        was, end, seen, has = (np.zeros(len(every), np.int64) for _ in range(4))
+        known, place = np.searchsorted(every, docs), np.searchsorted(every, here)
+        was[known], end[known] = done, until
+        end[place], seen[place], has[np.searchsorted(every, texted)] = np.maximum(at[::-1][last] + wait, now + 1), 1, 1
+        text = np.full(len(every), None, object)
+        text[has > 0] = said[told[first]]
+        gone = (seen == 0) & (end < now)
+        steps = ((seen > 0) & (was < 10), 10, "processing"), ((has > 0) & (was < 20), 20, "processing"), (gone & (was < 20), None, "failed")
+        rows = [(every[w], was[w] if p is None else np.full(w.sum(), p), np.full(w.sum(), what, object), text[w] if p == 20 else np.full(w.sum(), None)) for w, p, what in steps if w.any()]
+        stays, far = ~gone, np.maximum(was, np.where(has > 0, 20, np.where(seen > 0, 10, 0)))
+        if stays.any():
+            state.update((every[stays].tolist(), far[stays].tolist(), end[stays].tolist()))
+            state.setTimeoutTimestamp(int(end[stays].min()))
         else:
-            parts = list(parts)
-            times = np.concatenate([p[ts].to_numpy() for p in parts])
-            said = np.concatenate([p["text"].to_numpy(dtype=object) for p in parts])
-            texts = [t for t in (said[np.argsort(times, kind="stable")] if len(said) > 1 else said) if t]
-            if done < 10:
-                rows.append((doc, 10, "processing", None))
-            if done < 20 and texts:
-                rows.append((doc, 20, "processing", texts[0]))
-            state.update((max(done, 20 if texts else 10),))
-            newest = int(times.max().astype("datetime64[ms]").astype("int64"))
-            state.setTimeoutTimestamp(max(newest + wait, state.getCurrentWatermarkMs() + 1))
+            state.remove()
         if rows:
-            yield pd.DataFrame(rows, columns=["doc_id", "progress", "status", "text"])
+            yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("doc_id", "progress", "status", "text"), zip(*rows, strict=True), strict=True)})
 
-    keyed = events.where("doc_id is not null").withWatermark(ts, late).select("doc_id", ts, "text").groupBy("doc_id")
-    return keyed.applyInPandasWithState(step, _UPDATES, "progress int", "append", GroupStateTimeout.EventTimeTimeout)
+    group = F.pmod(F.xxhash64("doc_id"), F.lit(GROUPS)).alias("group")
+    keyed = events.where("doc_id is not null").withWatermark(ts, late).select(group, "doc_id", ts, "text").groupBy("group")
+    return keyed.applyInPandasWithState(step, _UPDATES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _report(rows: DataFrame, steps: list[int], target: str, status: str | None = None) -> None:
-    """Append progress rows ``doc_id, progress, status, message`` that are not there."""
-    done = F.when(F.col("progress") == 100, "completed").otherwise("processing")
+def _report(rows: DataFrame, target: str) -> None:
+    """Append the rows ``doc_id, progress, status`` that are not there, each with its message."""
     said = F.create_map(*[F.lit(x) for item in STEPS.items() for x in item])
-    each = rows.select("doc_id", F.explode(F.array(*map(F.lit, steps))).alias("progress")) if steps else rows
-    shown = each.select("doc_id", "progress", (F.lit(status) if status else done).alias("status"), (F.lit("no text came") if status else said[F.col("progress")]).alias("message"))
+    shown = rows.withColumn("message", F.when(F.col("status") == "failed", "no text came").otherwise(said[F.col("progress")]))
     append_new(shown.withColumn("step_id", F.concat_ws("-", "doc_id", "progress", "status")), f"{target}/progress", "step_id")
 
 
 def ingest_uploads(events: DataFrame, target: str, checkpoint: str, vectors: Callable[[DataFrame], DataFrame], size: int = 1000, overlap: int = 200, patience: str = "1 hour", late: str = "1 hour") -> StreamingQuery:
     """Chunks with vectors under ``target/chunks`` and progress under ``target/progress``, for a stream of ``doc_id, ts, text``.
 
-    ``vectors`` gives ``chunk_id, embedding`` for chunks.  A document's steps are
-    reported as they are reached: 10 and 20 before, 70, 90 and 100 after its chunks
-    are in the table.  A batch that fails in between is run again and adds what is
-    missing, since chunks and steps that are there are skipped.
+    ``vectors`` gives ``chunk_id, embedding`` for chunks that are not in the table, or
+    the chunks with all their columns and ``embedding``, which saves a join.  A
+    document's steps are reported as they are reached: 10 and 20 before, 70, 90 and
+    100 after its chunks are in the table.  A batch that fails in between is run again
+    and adds what is missing, since chunks and steps that are there are skipped.
     """
 
     def write(batch: DataFrame, _: int) -> None:
@@ -115,12 +148,13 @@ def ingest_uploads(events: DataFrame, target: str, checkpoint: str, vectors: Cal
             changed = materialize(batch, "updates")
             if changed.isEmpty():  # a batch that only moves the watermark on
                 return
-            _report(changed.where("status = 'processing'").select("doc_id", "progress"), [], target)
-            _report(changed.where("status = 'failed'").select("doc_id", "progress"), [], target, "failed")
+            _report(changed.select("doc_id", "progress", "status"), target)
             accepted = changed.where("text is not null").select("doc_id", "text")
-            chunks = materialize(fixed_chunks(accepted, "doc_id", "text", size, overlap), "new-chunks")
-            with_vectors = materialize(chunks.join(vectors(chunks), "chunk_id", "left"), "new-vectors")
-            append_new(with_vectors, f"{target}/chunks")
-            _report(accepted.select("doc_id"), [70, 90, 100], target)
+            chunks = lacking(fixed_chunks(accepted, "doc_id", "text", size, overlap), f"{target}/chunks")
+            if chunks is not None:
+                found = vectors(chunks)
+                append(found if set(chunks.columns) <= set(found.columns) else chunks.join(found, "chunk_id", "left"), f"{target}/chunks")
+            after = F.explode(F.array(*[F.struct(F.lit(p).alias("progress"), F.lit("completed" if p == 100 else "processing").alias("status")) for p in (70, 90, 100)]))
+            _report(accepted.select("doc_id", after.alias("at")).select("doc_id", "at.progress", "at.status"), target)
 
     return track(events, patience, late).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

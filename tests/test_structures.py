@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -517,6 +518,54 @@ def test_uploads_are_tracked_over_batches(spark, tmp_path):
     assert run("again") == now and spark.read.parquet(f"{target}/chunks").count() == 5  # everything again, with no memory: nothing is added
 
 
+def test_documents_are_followed_in_groups(spark, tmp_path, monkeypatch):
+    """Many documents are one row of the state and one call of Python; the steps are those of a plain loop."""
+    monkeypatch.setattr(ingest, "GROUPS", 5)
+    draw, hour = random.Random(3), 3600
+    batches = [[(draw.randrange(60), 10 * hour * n + draw.randrange(hour), draw.choice([None, None, "", f"text {n}"])) for _ in range(70)] for n in range(4)]
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame([(d, t, f"{x} {i}" if x else x) for i, (d, t, x) in enumerate(rows)], "doc_id long, s long, text string")
+        frame.select("doc_id", F.timestamp_seconds("s").alias("ts"), "text").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        batches[k] = [(d, t, f"{x} {i}" if x else x) for i, (d, t, x) in enumerate(rows)]
+        steps, query = [], ingest.track(spark.readStream.schema("doc_id long, ts timestamp, text string").parquet(f"{tmp_path}/in")).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
+        query = query.foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{tmp_path}/out")).start()
+        query.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 5
+    state, watermark = {}, 0
+    for rows in [x for batch in batches for x in (batch, [])]:  # a batch without rows follows, once the watermark has moved on
+        come = {}
+        for d, t, x in sorted((r for r in rows if r[1] >= watermark), key=lambda r: r[1]):
+            come.setdefault(d, []).append((t, x))
+        for d, events in come.items():
+            done, text = state.get(d, (0, 0))[0], next((x for _, x in events if x), None)
+            steps += [(d, 10, "processing", None)] * (done < 10) + [(d, 20, "processing", text)] * (done < 20 and text is not None)
+            state[d] = max(done, 20 if text else 10), events[-1][0] + hour
+        for d in [d for d, (_, end) in state.items() if d not in come and end < watermark]:
+            done, _ = state.pop(d)
+            steps += [(d, done, "failed", None)] * (done < 20)
+        watermark = max([watermark, *(t - hour for _, t, _ in rows)])
+    assert Counter(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == Counter(steps) and any(s == "failed" for _, _, s, _ in steps)
+
+
+def test_vectors_are_made_once_for_chunks_that_are_new(spark, tmp_path):
+    asked = []
+
+    def vectors(chunks):
+        asked.append(sorted(r.chunk_id for r in chunks.select("chunk_id").collect()))
+        return dense.hashed_vectors(chunks, keep=tuple(chunks.columns))
+
+    for k, (ids, want) in enumerate([((1, 2), [["1_chunk_0", "2_chunk_0"]]), ((2, 3, 3), [["3_chunk_0"]]), ((1, 3), [])]):
+        rows = spark.createDataFrame([(d, f"text {d}") for d in ids], "doc_id long, text string").select("doc_id", F.timestamp_seconds(F.lit(1)).alias("ts"), "text")
+        rows.write.parquet(f"{tmp_path}/in{k}")
+        events = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in{k}")
+        asked.clear()
+        ingest.ingest_uploads(events, f"{tmp_path}/target", f"{tmp_path}/state{k}", vectors).awaitTermination()
+        assert asked == want
+    held = spark.read.parquet(f"{tmp_path}/target/chunks")
+    joined = held.drop("embedding").join(dense.hashed_vectors(held), "chunk_id")  # the vectors that a join would give
+    assert held.count() == 3 and held.select("chunk_id", "embedding").exceptAll(joined.select("chunk_id", "embedding")).isEmpty()
+
+
 def test_nearest_of_other_documents_in_one_search(spark):
     draw = np.random.default_rng(2)
     x = np.round(draw.normal(size=(300, 6)), 1)
