@@ -119,6 +119,25 @@ def test_blockmax_leaves_common_lists_alone(spark):
     assert counts["read"] < 0.5 * counts["all"]
 
 
+def test_blockmax_shards_are_made_and_searched_without_a_row_for_a_posting(spark, monkeypatch):
+    """The index is not shuffled to make blocks; small shards, ties at the last rank, names for ids and several blocks of queries give the same rows."""
+    plans = []
+    monkeypatch.setattr(blockmax, "materialize", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialize(df, label))
+    rows = [(f"c{k}", t) for k, t in enumerate(texts(5, 300) + ["balon kori"] * 40 + texts(6, 60, 200, 300))]
+    index = bm25.build_index(spark.createDataFrame(rows, "chunk_id string, text string").repartition(3))
+    queries = spark.createDataFrame([(f"q{k}", t) for k, t in enumerate([*texts(7, 12, 1, 30), "balon kori", "kori"])], "query_id string, query string")
+    want = sorted(map(tuple, bm25.bm25_topk(index, queries, 7).collect()))
+    gathered = bm25.SparseIndex(index.postings, index.lengths, index.terms)
+    for size, block, held in ((2_000_000, 4096, index), (500, 4096, index), (1, 3, index), (500, 4096, gathered)):
+        monkeypatch.setattr(blockmax, "SHARD", size)
+        monkeypatch.setattr(bm25, "QUERY_BLOCK", block)
+        plans.clear()
+        stored, counts = blockmax.build_blocks(held), {}
+        assert held is gathered or "Exchange" not in plans[0]
+        assert sorted(map(tuple, blockmax.blockmax_topk(stored, queries, 7, counts=counts).collect())) == want
+        assert 0 < counts["read"] <= counts["all"] and "explode" not in plans[-1]
+
+
 def test_blockmax_of_an_empty_index(spark):
     queries = spark.createDataFrame([(0, "balon")], "query_id long, query string")
     assert blockmax.blockmax_topk(blockmax.build_blocks(bm25.build_index(chunk_table(spark, []))), queries).count() == 0
