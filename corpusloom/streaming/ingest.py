@@ -33,12 +33,13 @@ def lacking(batch: DataFrame, path: str, id_col: str = "chunk_id", key: str = "d
     if exists(spark, path):
         met = [r.bucket for r in ids.select("bucket").distinct().collect()]  # at most BUCKETS
         there = spark.read.schema(ids.select("bucket", id_col).schema).parquet(path).where(F.col("bucket").isin(met))
-        new = materialize(ids.join(there, ["bucket", id_col], "left_anti"), "new-ids")
+        # by merge: a small file of ids may be many rows, and Spark would send them all to the driver and each task
+        new = materialize(ids.join(there.hint("merge"), ["bucket", id_col], "left_anti"), "new-ids")
     found, most = new.agg(F.count("*"), F.max("n")).first()
     if not found:
         return None
     if new is not ids and found < ids.count():
-        rows = rows.join(new.select("bucket", id_col), ["bucket", id_col], "left_semi").select(*rows.columns)
+        rows = rows.join(new.select("bucket", id_col).hint("merge"), ["bucket", id_col], "left_semi").select(*rows.columns)
     return rows.dropDuplicates([id_col]) if most > 1 else rows
 
 
